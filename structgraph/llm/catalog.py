@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structgraph.llm.docs import pair_docs
+from structgraph.llm.provenance import file_kinds
 from structgraph.llm.rows import distinct_by
 from structgraph.llm.syntax import file_faults, indexer_view
 from structgraph.sources.tables import table
@@ -23,7 +25,28 @@ def p1_indexer(spark: SparkSession, root: str) -> DataFrame:
     return indexer_view(table(spark, root, "index_runs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_indexer)}
+def p6_pairs(spark: SparkSession, root: str) -> DataFrame:
+    functions = table(spark, root, "entities").where(F.col("kind").isin("Function", "Method"))
+    return pair_docs(functions, table(spark, root, "files").select("file_id", "path", "op_id", "content")).where("doc IS NOT NULL")
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return p6_pairs(spark, root).select("uri")
+
+
+def _kinds(spark: SparkSession, root: str) -> DataFrame:
+    return file_kinds(distinct_by(table(spark, root, "files").select("file_id", "repo", "path", "content"), "file_id"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return _kinds(spark, root).where("kind IS NOT NULL").select("file_id")
+
+
+def p7_report(spark: SparkSession, root: str) -> DataFrame:
+    return _kinds(spark, root).groupBy("repo", "kind").agg(F.count("*").alias("files"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_indexer, p6_found, p6_pairs, p7_found, p7_report)}
 
 SQL: dict[str, str] = {
     "p1_indexer": r"""WITH once AS (SELECT DISTINCT run_id, repo, files_indexed, errors FROM index_runs),

@@ -29,7 +29,7 @@ class Thresholds:
     numbers: int = 60  # and at least so many of them
     encoded: float = 0.45  # characters in long encoded runs
     shape: float = 0.72  # lines that have one of the two commonest shapes
-    shape_lines: int = 12  # among at least so many lines
+    shape_lines: int = 5  # among at least so many lines
     alnum: float = 0.0  # least share of letters and digits
 
 
@@ -42,9 +42,9 @@ TUNED = {
     "c": Thresholds(),
     "cpp": Thresholds(),
     "css": replace(Thresholds(), max_line=200, whitespace=0.05, numeric=1.1, shape=1.1),
-    "json": replace(Thresholds(), max_line=10**9, mean_line=10**9, numeric=0.8, numbers=400, shape=1.1),
-    "yaml": replace(Thresholds(), max_line=10**9, mean_line=10**9, numeric=0.8, numbers=400, shape=1.1),
-    "toml": replace(Thresholds(), max_line=10**9, mean_line=10**9, numeric=0.8, numbers=400, shape=1.1),
+    "json": replace(Thresholds(), max_line=10**9, mean_line=10**9, encoded=1.1, numeric=0.8, numbers=400, shape=1.1),
+    "yaml": replace(Thresholds(), max_line=10**9, mean_line=10**9, encoded=1.1, numeric=0.8, numbers=400, shape=1.1),
+    "toml": replace(Thresholds(), max_line=10**9, mean_line=10**9, encoded=1.1, numeric=0.8, numbers=400, shape=1.1),
     "html": replace(Thresholds(), shape=1.1),
 }
 
@@ -69,10 +69,12 @@ VENDORED = re.compile(
 THIRD_PARTY = {"node_modules", "site-packages", "bower_components", "third_party", "third-party", "thirdparty", "3rdparty", "jspm_packages", "vendor", "vendors", "vendored", "pods"}
 MAYBE_THIRD_PARTY = {"deps", "contrib", "external", "externals", "ext", "static", "helpers", "libs", "assets", "public"}
 _LOCK = re.compile(r"(?:^|[.-])lock\.(?:json|ya?ml|toml)$|^(?:package-lock|npm-shrinkwrap)\.json$|^pnpm-lock\.ya?ml$|^(?:poetry|cargo|uv|pdm)\.lock$", re.I)
+_TOOL = re.compile(r"_pb2(?:_grpc)?\.pyi?$|\.pb\.(?:cc|h|go)$|\.g\.(?:cs|ts|dart)$|\.designer\.\w+$", re.I)
 _MIN = re.compile(r"[.-]min\.(?:js|css|mjs)$", re.I)
 _VERSIONED = re.compile(r"^(?:lib[_-])?[a-z][a-z0-9]*[-_.@]v?\d+\.\d+(?:\.\d+)?\.\w+$", re.I)
 _LEAD = re.compile(r"\A(?:﻿|\s|#(?![a-z]+\s*[<\"])[^\n]*(?:\n|\Z)|//[^\n]*(?:\n|\Z)|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')*")
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][\da-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfFdD]*(?![\w])")
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*KEY[A-Z ]*-----[\s\S]*?(?:-----END [A-Z ]*-----|\Z)")
 _WORD = re.compile(r"[^\W\d]\w*")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{48,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:0x[0-9a-fA-F]{2},\s*){16,}")
 
@@ -80,6 +82,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{48,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:0x[0-9a-
 def layout(text: str) -> dict[str, float]:
     """Layout statistics of a text, its leading comment cut off."""
     body = text[_LEAD.match(text).end() :]
+    body = _KEY_BLOCK.sub("", body)  # a key in a file does not make the file a blob
     n = len(body)
     if not n:
         return {"n": 0, "max_line": 0, "mean_line": 0.0, "whitespace": 1.0, "line_space": 1.0, "alnum": 0.0, "numeric": 0.0, "numbers": 0, "encoded": 0.0, "shape": 0.0, "lines": 0}
@@ -112,6 +115,8 @@ def kind_by_layout(text: str, lang: str | None) -> str | None:
         return None
     if (s["max_line"] >= t.max_line or s["mean_line"] >= t.mean_line and s["n"] > 300) and s["line_space"] <= t.longest_word_line and s["whitespace"] <= t.whitespace and s["encoded"] < t.encoded:
         return "minified"
+    if lang == "json" and '"lockfileVersion"' in text[:400]:
+        return "generated"
     if s["encoded"] >= t.encoded and s["n"] > 200 or s["numeric"] >= t.numeric and s["numbers"] >= t.numbers:
         return "data"
     if s["shape"] >= t.shape and s["lines"] >= t.shape_lines and s["numbers"] >= s["lines"] * 0.4:
@@ -133,7 +138,7 @@ def kind_by_head(text: str) -> str | None:
 def kind_by_path(path: str) -> str | None:
     parts = path.lower().split("/")
     name, dirs = parts[-1], parts[2:-1]
-    if _LOCK.search(name):
+    if _LOCK.search(name) or _TOOL.search(name):
         return "generated"
     if _MIN.search(name):
         return "minified"
