@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from structgraph.llm.docs import pair_docs
 from structgraph.llm.provenance import file_kinds
 from structgraph.llm.rows import distinct_by
+from structgraph.llm.secrets import secrets_in_files, word_counts
 from structgraph.llm.syntax import file_faults, indexer_view
 from structgraph.sources.tables import table
 
@@ -25,6 +26,19 @@ def p1_indexer(spark: SparkSession, root: str) -> DataFrame:
     return indexer_view(table(spark, root, "index_runs"))
 
 
+def _p4(spark: SparkSession, root: str, redacted: bool) -> DataFrame:
+    files = table(spark, root, "files").select("file_id", "repo", "content")
+    return secrets_in_files(distinct_by(files, "file_id"), word_counts(files), redacted)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return _p4(spark, root, False).select("file_id", "line_no").distinct()
+
+
+def p4_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return _p4(spark, root, True)
+
+
 def p6_pairs(spark: SparkSession, root: str) -> DataFrame:
     functions = table(spark, root, "entities").where(F.col("kind").isin("Function", "Method"))
     return pair_docs(functions, table(spark, root, "files").select("file_id", "path", "op_id", "content")).where("doc IS NOT NULL")
@@ -46,7 +60,7 @@ def p7_report(spark: SparkSession, root: str) -> DataFrame:
     return _kinds(spark, root).groupBy("repo", "kind").agg(F.count("*").alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_indexer, p6_found, p6_pairs, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_indexer, p4_found, p4_redacted, p6_found, p6_pairs, p7_found, p7_report)}
 
 SQL: dict[str, str] = {
     "p1_indexer": r"""WITH once AS (SELECT DISTINCT run_id, repo, files_indexed, errors FROM index_runs),
