@@ -4,10 +4,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structgraph.llm.docs import pair_docs
+from structgraph.llm.packing import pack, packing_report
 from structgraph.llm.provenance import file_kinds
 from structgraph.llm.rows import distinct_by
 from structgraph.llm.secrets import secrets_in_files, word_counts
 from structgraph.llm.syntax import file_faults, indexer_view
+from structgraph.llm.tokens import encode_documents, token_count
+from structgraph.plans.lineage import cut
 from structgraph.sources.tables import table
 
 
@@ -60,7 +63,31 @@ def p7_report(spark: SparkSession, root: str) -> DataFrame:
     return _kinds(spark, root).groupBy("repo", "kind").agg(F.count("*").alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_indexer, p4_found, p4_redacted, p6_found, p6_pairs, p7_found, p7_report)}
+def _documents(spark: SparkSession, root: str) -> DataFrame:
+    return distinct_by(table(spark, root, "documents").select("doc_id", "text"), "doc_id")
+
+
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return encode_documents(_documents(spark, root))
+
+
+def _capacities(spark: SparkSession, root: str, most: int = 1000) -> list[tuple[int, int]]:
+    rows = table(spark, root, "capacities").select("capacity_id", "capacity").distinct().orderBy("capacity_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} capacities")
+    return [(r["capacity_id"], r["capacity"]) for r in rows]
+
+
+def p9_containers(spark: SparkSession, root: str) -> DataFrame:
+    sizes = cut(_documents(spark, root).select("doc_id", token_count(F.col("text")).alias("tokens")))
+    return pack(sizes, _capacities(spark, root))
+
+
+def p9_report(spark: SparkSession, root: str) -> DataFrame:
+    return packing_report(p9_containers(spark, root))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_indexer, p4_found, p4_redacted, p6_found, p6_pairs, p7_found, p7_report, p8_ids, p9_containers, p9_report)}
 
 SQL: dict[str, str] = {
     "p1_indexer": r"""WITH once AS (SELECT DISTINCT run_id, repo, files_indexed, errors FROM index_runs),
