@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from structgraph.llm.docs import pair_docs
 from structgraph.llm.packing import pack, packing_report
+from structgraph.llm.pii import fitted, known_names, learned_given, personal_mentions
 from structgraph.llm.provenance import file_kinds
 from structgraph.llm.rows import distinct_by
 from structgraph.llm.secrets import secrets_in_files, word_counts
@@ -87,7 +88,22 @@ def p9_report(spark: SparkSession, root: str) -> DataFrame:
     return packing_report(p9_containers(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_indexer, p4_found, p4_redacted, p6_found, p6_pairs, p7_found, p7_report, p8_ids, p9_containers, p9_report)}
+def _p10(spark: SparkSession, root: str, replaced: bool) -> DataFrame:
+    docs = _documents(spark, root)
+    names = known_names(table(spark, root, "contributors"))
+    names += learned_given(docs, names)
+    return personal_mentions(docs, names, fitted(docs, names), replaced)
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return _p10(spark, root, False)
+
+
+def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return _p10(spark, root, True)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_indexer, p4_found, p4_redacted, p6_found, p6_pairs, p7_found, p7_report, p8_ids, p9_containers, p9_report, p10_found, p10_redacted)}
 
 SQL: dict[str, str] = {
     "p1_indexer": r"""WITH once AS (SELECT DISTINCT run_id, repo, files_indexed, errors FROM index_runs),
