@@ -8,12 +8,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def core_queries() -> dict[str, Query]:
-    from structgraph.catalog import general, graph
+    from structgraph.catalog import general, graph, language
 
-    return {**graph.QUERIES, **general.QUERIES}
+    return {**graph.QUERIES, **language.QUERIES, **general.QUERIES}
 
 
 def core_sql() -> dict[str, str]:
-    from structgraph.catalog import general, graph
+    from structgraph.catalog import general, graph, language
 
-    return {**graph.SQL, **general.SQL}
+    return {**graph.SQL, **language.SQL, **general.SQL}
