@@ -127,6 +127,8 @@ def tokens(text: str, lang: str, comments: bool = False) -> list[Token]:
         out.append(tok)
         if kind not in ("nl", "comment"):
             last = tok
+    if templates and not (out and out[-1][0] == "err"):
+        out.append(("err", "unterminated template", n))
     return out
 
 
