@@ -101,18 +101,17 @@ def adjacency(toks: list[Token], lang: str) -> None:
             joined = script and newline
             if _is_value(prev, words) and not joined:
                 if script:
-                    strings = False
-                    if pk == "id" and kind == "id" and text in words and text not in ("this", "null", "true", "false", "super"):
-                        pass
-                    elif not strings:
+                    if not (pk == "id" and kind == "id" and text in words and text not in ("this", "null", "true", "false", "super")):
                         raise Fault(f"{pt[:20]} before {text[:20]}")
                 elif lang == "java":
                     if not (pk == "id" and kind == "id"):
                         raise Fault(f"{pt[:20]} before {text[:20]}")
-                elif not (pk == "id" or pk == "str" and kind in ("str", "id") or pk == "num" and False):
+                elif not (pk == "id" or pk == "str" and kind in ("str", "id")):
                     raise Fault(f"{pt[:20]} before {text[:20]}")
                 elif pk == "id" and kind == "num":
                     raise Fault(f"{pt[:20]} before {text[:20]}")
+            if lang == "java" and kind == "id" and text in ("const", "goto") and pt != ".":
+                raise Fault(f"{text} is reserved")
             chain = chain + 1 if kind == "id" and text not in words else 0
             if not script and chain > 2:
                 raise Fault("words without an operator")
@@ -120,17 +119,23 @@ def adjacency(toks: list[Token], lang: str) -> None:
                 raise Fault("value after )")
         elif kind == "op":
             chain = 0
+            if not script and text == "=" and nxt and nxt[1].startswith(">") and nxt[2] == t[2] + 1 and pt != "operator":
+                raise Fault("=> is no operator")
+            if lang == "c" and text == "::" and top[0] != "[":
+                raise Fault(":: is no operator")
+            if lang == "c" and text == "." and top[1] == "top" and not _head(seq, i, ("=",)):
+                raise Fault(". outside an expression")
             at_value = prev is not None and (pk in ("num", "str", "regex") or pk == "close" or pk == "id" and (pt not in words or pt in ("this", "null", "true", "false", "super")))
             if text in (",", ".") and pk == "op" and pt in ("=", "+", "-", "*", "/", "%", "==", "&&", "||", ",", ".", "=>", "->") and not (text == "," and top[1] in ("array",) or lang in ("c", "cpp") and text == "." and pt == ","):
                 if not (script and top[0] == "[") and not (text == "," and pt == "*" or lang == "cpp" and pt == "&&") and not (script and pt == "*"):
                     raise Fault(f"{pt} before {text}")
-            if text == ";" and pk == "op" and pt not in (";", "++", "--", "*", ">", ">>", "&", ":", "?", "...", "!") and not (pt == "=" and False):
+            if text == ";" and pk == "op" and pt not in (";", "++", "--", "*", ">", ">>", "&", ":", "?", "...", "!"):
                 raise Fault(f"{pt} before ;")
             if text in _BINARY and text not in prefix and not at_value and text not in (",", "::", "?", "=>"):
                 if pk in ("", "op", "open") and not _allowed(pk, pt, text, lang, nxt):
                     raise Fault(f"{text} without a value before it")
             if text in ("<", ">") and pk in ("", "open") and lang != "ts" and pt in ("", "{", "(", "["):
-                if not (pt == "(" and lang == "java" or pt == "{" and lang == "java" and text == "<" or pt == "" and lang == "cpp" and False):
+                if not (pt == "(" and lang == "java" or pt == "{" and lang == "java" and text == "<"):
                     raise Fault(f"{text} without a value before it")
             if text in ("<", ">") and pt in (";",) and lang not in ("ts", "java"):
                 raise Fault(f"{text} without a value before it")
@@ -200,8 +205,6 @@ def adjacency(toks: list[Token], lang: str) -> None:
                         raise Fault(f"{pt} before {{")
                     if lang == "cpp" and pk == "id" and pt == "import":
                         raise Fault("import before {")
-                    if lang == "cpp" and pk == "id" and pt == "export" and frames[-1][1] == "top" and prev and _word_before(seq, i) is not None and False:
-                        raise Fault("export before {")
             elif text == "(":
                 role = "paren"
                 if _is_value(prev, words) and pk in ("num",) and not (script and newline):
@@ -214,21 +217,19 @@ def adjacency(toks: list[Token], lang: str) -> None:
             chain = 0
             frame = frames.pop()
             ternary.pop()
-            if pk == "op" and pt in ("=", "+", "-", "/", "%", "==", "===", "!=", "!==", "&&", "||", "??", "+=", "-=", ".", "=>", "->") and not (lang != "js" and pt == "->" and False):
+            if pk == "op" and pt in ("=", "+", "-", "/", "%", "==", "===", "!=", "!==", "&&", "||", "??", "+=", "-=", ".", "=>", "->"):
                 if not (lang in ("c", "cpp") and pt in ("&&",) or lang == "cpp" and pt == "=" and text == "]" or lang == "cpp" and text == ")" and pt in ("+", "-", "/", "%", "==", "!=", "||")):
                     raise Fault(f"{pt} before {text}")
             if pk == "op" and pt == "," and text == ")" and not script:
                 raise Fault(", before )")
-            if not script and text == "}" and frame[1] == "block" and pk in ("num", "str", "id") and lang == "java" and not _enum_like(seq, i):
+            if not script and text == "}" and frame[1] == "block" and pk in ("num", "str", "id") and lang == "java" and not _enum_like(seq, i, lang == "cpp"):
                 raise Fault("statement without ;")
-            if lang in ("c", "cpp") and text == "}" and pk in ("num", "str", "id") and not _enum_like(seq, i):
+            if lang in ("c", "cpp") and text == "}" and pk in ("num", "str", "id") and not _enum_like(seq, i, lang == "cpp"):
                 raise Fault("statement without ;")
-            if not script and text == "}" and pk == "close" and pt == ")" and not _enum_like(seq, i):
+            if not script and text == "}" and pk == "close" and pt == ")" and not _enum_like(seq, i, lang == "cpp"):
                 raise Fault("statement without ;")
             if script and text == "}" and frame[1] == "object" and pk == "op" and pt == ";" and lang == "js":
                 raise Fault("; in an object")
-        if not script and kind == "id" and pk == "close" and pt == ")" and not newline and text not in words and False:
-            raise Fault("word after )")
         prev = t
         newline = False
     if prev and prev[0] == "op" and prev[1] not in (";", ">", "++", "--", "*", "!", ")"):
@@ -245,7 +246,7 @@ def adjacency(toks: list[Token], lang: str) -> None:
 def _allowed(pk: str, pt: str, text: str, lang: str, nxt: Token | None) -> bool:
     """Operators that stand without a value before them in a few forms of a language."""
     if lang in ("js", "ts"):
-        return text == "*" and pt in ("{", "(", ",", ";", "}") or text == "/" or text == "." and False or text == "=" and pt in (">", "]", "}", "?", "!", "*") or lang == "ts" and (pt in (">", "?", "!", "]", ":", "=", "|", "(", "<", ",") or text in ("|", "&")) or pt in ("++", "--") or pt == ">" and lang == "ts"
+        return text == "*" and pt in ("{", "(", ",", ";", "}") or text == "/" or text == "=" and pt in (">", "]", "}", "?", "!", "*") or lang == "ts" and (pt in (">", "?", "!", "]", ":", "=", "|", "(", "<", ",") or text in ("|", "&")) or pt in ("++", "--") or pt == ">" and lang == "ts"
     if lang == "java":
         return pt in (">", "?", "++", "--", "*", ">>", "...") or text in ("->",) and pt in (")",) or text == "&" and pt == ">"
     return pt in (">", "*", "&", "&&", "...", "++", "--", ">>", "operator", "->", ":", "=", ",") and text in ("=", "*", "&", "&&", "...", ",", "::", ".", "->", ">", "==", "!=", "+", "-", "<=", ">=", "||") or text in (".",) or pt in ("(", "[", "<", "{") and text in ("=", "&", "*", "::", "&&", ".", "...") or text == "->"
@@ -274,7 +275,7 @@ def _word_before(seq: list[Token], i: int) -> str | None:
     return back[-2] if len(back) > 1 else None
 
 
-def _enum_like(seq: list[Token], i: int) -> bool:
+def _enum_like(seq: list[Token], i: int, cpp: bool = False) -> bool:
     """Whether the block that closes at i is a list of values: an enum body or an array initialiser."""
     depth = 0
     for j in range(i - 1, -1, -1):
@@ -288,24 +289,35 @@ def _enum_like(seq: list[Token], i: int) -> bool:
                 before = [x for x in seq[max(0, j - 10) : j] if x[0] != "nl"]
                 if before and (before[-1][1] in ("=", "{", ",", "]", "(", "return", ">") or before[-1][0] == "id" and _head(seq, j, ("enum", "=", "return", "new", "export"))):
                     return True
-                if before and before[-1][1] == ")" or before and before[-1][0] == "str":
-                    return _annotation(seq, j)
+                if before and before[-1][1] == ")":
+                    # a compound literal follows a cast, a body follows the parameters of a name
+                    k, level = max(x for x in range(j) if seq[x][0] != "nl"), 0
+                    while k >= 0:
+                        level += (seq[k][0] == "close") - (seq[k][0] == "open")
+                        if level == 0:
+                            break
+                        k -= 1
+                    ahead = next((x for x in reversed(seq[:k]) if x[0] != "nl"), None) if k > 0 else None
+                    return ahead is not None and ahead[0] not in ("id", "close") and ahead[1] not in (">", "*", "&", "~", "=", "+", "-", "<", "!", "|", "/", "%", "^", "==", "->", ",", "&&", "||", "++", "--")
+                if before and before[-1][0] == "id" and cpp and before[-1][1] not in ("const", "noexcept", "override", "final", "try", "else", "do", "mutable", "volatile") and not _head(seq, j, ("class", "struct", "union", "namespace", "concept", "extern")):
+                    return True
                 return _head(seq, j, ("enum", "@interface")) or bool(before) and before[-1][0] == "id" and _head(seq, j, ("@",))
         elif t[1] == ";" and not depth:
             return False
     return False
 
 
-def _annotation(seq: list[Token], j: int) -> bool:
-    return _head(seq, j, ("@",)) and False
-
-
 def check_css(toks: list[Token]) -> None:
     """Rules are a prelude and a block; a block holds declarations ``name: value`` and nested rules."""
-    depth, run = 0, []
+    depth, run, skip = 0, [], 0
     for t in toks:
         if t[0] == "nl":
             continue
+        if skip or t[1] == "{" and len(run) > 1 and run[0][1].startswith("--") and run[1][1] == ":":
+            # the value of a custom property may be any balanced block
+            skip += (t[0] == "open") - (t[0] == "close")
+            run = run[:2] + [("id", "block", t[2])]
+            continue
         if t[0] == "open" and t[1] == "{":
             if not run or run[0][0] == "op" and run[0][1] in ("=", ";", ",", "<", "!", "/", "%", "$", "^"):
                 raise Fault("rule without a selector")
@@ -313,8 +325,6 @@ def check_css(toks: list[Token]) -> None:
                 raise Fault("rule without a selector")
             if any(x[1] in ("=", "/", "%", "!", "^", "$") and x[0] == "op" for x in run) and not any(x[1] == "[" for x in run) and not run[0][1].startswith("@"):
                 raise Fault("not a selector")
-            if any(a[1] == b[1] == ":" and False for a, b in zip(run, run[1:])):
-                raise Fault("not a selector")
             if run[-1][0] == "op" and run[-1][1] in (",", ">", "+", "~", ".", ":"):
                 raise Fault("selector ends early")
             if any(x[1] == "(" for x in run) and not run[0][1].startswith("@"):
@@ -330,7 +340,7 @@ def check_css(toks: list[Token]) -> None:
                 _declaration(run)
             depth -= 1
             run = []
-        elif t[1] == ";" and not any(x[0] == "open" for x in run[-1:] if False) and _level(run) == 0:
+        elif t[1] == ";" and _level(run) == 0:
             if run:
                 if depth == 0 and not run[0][1].startswith("@"):
                     raise Fault("declaration outside a rule")
@@ -447,8 +457,8 @@ def language_of(path: str | None) -> str | None:
 
 
 def file_faults(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """``files`` with ``lang`` and ``fault`` (null: valid, null content or a language that is not checked). Other columns stay;
-    a repeated row is judged again. No shuffle: the files go through Arrow batches where they lie.
+    """``files`` with ``lang`` and ``fault`` (null: valid, null content or a language that is not checked). Other columns stay, but
+    for those of these two names, which are replaced; a repeated row is judged again. No shuffle: the files go through Arrow batches where they lie.
     """
 
     @F.pandas_udf("struct<lang:string,fault:string>")
@@ -457,7 +467,8 @@ def file_faults(files: DataFrame, path: str = "path", content: str = "content")
             langs = [language_of(p) for p in paths]
             yield pd.DataFrame({"lang": langs, "fault": [fault(c, g) for c, g in zip(contents, langs)]}, dtype=object)
 
-    return files.withColumn("_j", judge(F.col(path), F.col(content))).select(*files.columns, F.col("_j.lang").alias("lang"), F.col("_j.fault").alias("fault"))
+    rest = [F.col(f"`{c}`") for c in files.columns if c not in ("lang", "fault")]
+    return files.select(*rest, judge(F.col(path), F.col(content)).alias("_judged")).select(*rest, F.col("_judged.lang").alias("lang"), F.col("_judged.fault").alias("fault"))
 
 
 def indexer_view(runs: DataFrame) -> DataFrame:
