@@ -251,7 +251,7 @@ SQL = {k: f"{_SAFE_W}{v}" for k, v in {
         UNION SELECT {_POU('module')} FROM imp WHERE name = '{NAME}' OR ends_with(name, '.{NAME}'))""",
     "find_entity": f"SELECT uri, file, start_line, coalesce(end_line, start_line) AS end_line FROM ents WHERE name = '{NAME}' AND start_line IS NOT NULL ORDER BY uri LIMIT 1",
     "quads": f", {_QUADS} SELECT * FROM q",
-    "store_stats": f", {_QUADS} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (p = '{RDF_TYPE}' AND o = '{VOCAB}{k}') AS {k.lower()}s" for k in ("Module", "Class", "Function", "Method")) + " FROM q",
+    "store_stats": f", {_QUADS} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (p = '{RDF_TYPE}' AND o = '{VOCAB}{k}') AS {k.lower()}{'es' if k == 'Class' else 's'}" for k in ("Module", "Class", "Function", "Method")) + " FROM q",
     "union_graph": f", {_QUADS} SELECT DISTINCT s, p, o, o_kind, o_dt, o_lang FROM q",
     "clear_graph": f", {_QUADS} SELECT g, count(*) AS n FROM q WHERE g <> '{RESOLVED}' GROUP BY g",
     "infer_types": f", {_QUADS}, {_INFER} SELECT s, o FROM c EXCEPT SELECT s, o FROM st",

@@ -72,3 +72,38 @@ def quads_of_parsed(parsed: DataFrame, repo: str = "") -> DataFrame:
         .unionByName(quad("func", VOCAB + "hasParameter", F.col("param"), "iri", none))
         .distinct()
     )
+
+
+def graph_from_quads(quads: DataFrame, repo: str = "") -> CodeGraph:
+    """The wide views of a quad table, as joins of its property tables: an entity with several types or lines has several rows, as
+    the triples say. All codebases of the table are looked up together under ``repo``.
+    """
+    from structgraph.functions.text import path_of_uri
+
+    t = quads.select("s", "p", "o", "o_kind").distinct()
+    r = F.lit(repo).alias("repo")
+
+    def prop(name: str, value: str) -> DataFrame:
+        return t.where(F.col("p") == (RDF_TYPE if name == "type" else VOCAB + name)).select("s", F.col("o").alias(value))
+
+    types = prop("type", "type").where(F.col("type").startswith(VOCAB)).select("s", F.substring(F.col("type"), len(VOCAB) + 1, 1 << 20).alias("kind"))
+    lines = prop("startLine", "start_line").join(prop("endLine", "end_line"), "s", "left")
+    named = types.where(F.col("kind").isin("Class", "Function", "Method", "Variable")).join(prop("name", "name"), "s").join(lines, "s", "left").join(prop("docstring", "docstring"), "s", "left")
+    entities = named.select(r, F.col("s").alias("uri"), "kind", "name", path_of_uri(F.col("s")).alias("file"), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "docstring")
+    pair = lambda name, a, b: prop(name, b).select(F.col("s").alias(a), b)
+    null = F.lit(None).cast("string")
+    labels = prop("linkLabel", "raw").select("s", F.substring_index("raw", "->", 1).alias("value"), F.regexp_replace("raw", r"^.*?->", "").alias("target"))
+    links = prop("linksTo", "target").join(labels, ["s", "target"], "left").select(F.col("s").alias("uri"), F.lit("link").alias("kind"), "value", "target")
+    tags = prop("tag", "value").select(F.col("s").alias("uri"), F.lit("tag").alias("kind"), "value", null.alias("target"))
+    notes = prop("note", "value").select(F.col("s").alias("uri"), F.lit("note").alias("kind"), "value", null.alias("target"))
+    return CodeGraph(
+        modules=types.where("kind = 'Module'").join(prop("filePath", "path"), "s").select(r, F.col("s").alias("uri"), "path"),
+        entities=entities,
+        defines=pair("defines", "parent", "child"),
+        calls=pair("calls", "caller", "target").select(r, "caller", "target"),
+        resolved=pair("resolvedCalls", "caller", "callee"),
+        imports=pair("imports", "module", "name").select(r, "module", "name"),
+        inherits=pair("inheritsFrom", "cls", "base").select(r, "cls", "base"),
+        decorators=pair("hasDecorator", "uri", "decorator"),
+        annotations=tags.unionByName(notes).unionByName(links),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structgraph.model import QUADS, RDF_TYPE, VOCAB
+from structgraph.plans.lineage import cut
 
 
 def union_graph(quads: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def replace_graphs(quads: DataFrame, new: DataFrame) -> DataFrame:
 
 def store_stats(quads: DataFrame) -> DataFrame:
     """One row: quads, and subjects of type Module, Class, Function and Method counted per graph."""
-    kind = lambda k: F.count_if((F.col("p") == RDF_TYPE) & (F.col("o") == VOCAB + k)).alias(k.lower() + "s")
+    kind = lambda k: F.count_if((F.col("p") == RDF_TYPE) & (F.col("o") == VOCAB + k)).alias(k.lower() + ("es" if k == "Class" else "s"))
     return quads.agg(F.count("*").alias("total"), kind("Module"), kind("Class"), kind("Function"), kind("Method"))
 
 
@@ -56,13 +57,13 @@ class QuadStore:
         if not self.path:
             return self._mem
         v = self._versions()
-        return self.spark.read.schema(QUADS).parquet(f"{self.path}/v{v[-1]}") if v else self._mem
+        return self.spark.read.schema(QUADS).parquet(f"{self.path}/v{v[-1]}").select(QUADS.names) if v else self._mem
 
     def write(self, quads: DataFrame) -> None:
         """``quads`` as the new current version."""
         rows = quads.select(QUADS.names).distinct()
         if not self.path:
-            self._mem = rows
+            self._mem = cut(rows)
             return
         v = self._versions()
         rows.repartition("p", F.pmod(F.xxhash64("s"), F.lit(16))).write.partitionBy("p").parquet(f"{self.path}/v{(v[-1] if v else 0) + 1}")

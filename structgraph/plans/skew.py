@@ -10,6 +10,9 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], salts: int
     to the same reducer again; right rows are repeated once per salt. The right side must be the small one, such as one row per distinct key; a key that holds a third of ``left`` then
     loads a reducer with a third divided by ``salts``. Rows with a null key find nothing; ``left`` keeps them.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    salt = "_salt"
+    while salt in left.columns or salt in right.columns:
+        salt += "_"
+    salted = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    spread = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, [*keys, salt], how).drop(salt)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from structgraph.functions.text import path_of_uri
-from structgraph.model import graph_iri
-from structgraph.operators.encode import quads_of_parsed
+from structgraph.model import RESOLVED, VOCAB, graph_iri
+from structgraph.operators.encode import graph_from_quads, quads_of_parsed
+from structgraph.operators.resolve import resolve_calls
 from structgraph.operators.store import QuadStore, replace_graphs
+from structgraph.plans.lineage import cut
 from structgraph.sources.files import parse_files, skipped
 
 #: Extensions that are watched, and the quiet time after which a file counts as settled; fixed values.
@@ -53,16 +55,29 @@ def debounced(events: DataFrame, quiet: str = QUIET, late: str = "10 seconds") -
 def apply_changes(quads: DataFrame, changes: DataFrame, repo: str = "") -> DataFrame:
     """``quads`` after ``changes`` (path, event_type, content): deleted files lose their graph, others have theirs replaced.
 
-    Resolved calls from or into changed files are dropped with them, so that no edge outlives its entity; a resolve pass adds them anew.
+    Resolved calls are brought up to date with them: the calls of changed files, and of every caller that calls a name which a
+    changed file defined before or defines now, are resolved anew; all other edges stay.
     """
-    latest = changes.dropDuplicates(["path"])
+    latest = cut(changes.dropDuplicates(["path"]))
     gone = latest.select(graph_iri(F.col("path")).alias("g"))
     kept = quads.join(gone, "g", "left_anti").select(quads.columns)
     paths = latest.select("path")
-    edge = F.col("p").endswith("#resolvedCalls")
-    edges = kept.where(edge).withColumn("path", path_of_uri(F.col("s"))).join(paths, "path", "left_anti").withColumn("path", path_of_uri(F.col("o"))).join(paths, "path", "left_anti")
-    new = quads_of_parsed(parse_files(latest.where("event_type <> 'deleted'")), repo)
-    return replace_graphs(kept.where(~edge).unionByName(edges.select(quads.columns)), new.select(quads.columns))
+    edge = F.col("p") == VOCAB + "resolvedCalls"
+    new = cut(quads_of_parsed(parse_files(latest.where("event_type <> 'deleted'")), repo).select(quads.columns))
+    after = cut(replace_graphs(kept.where(~edge), new))
+    named = F.col("p") == VOCAB + "name"
+    names = quads.where(named).join(gone, "g", "left_semi").select(F.col("o").alias("name")).unionByName(new.where(named).select(F.col("o").alias("name"))).distinct()
+    calls = after.where(F.col("p") == VOCAB + "calls").select(F.col("s").alias("caller"), F.substring_index("o", ".", -1).alias("name"))
+    touched = calls.join(names, "name", "left_semi").select("caller").unionByName(calls.withColumn("path", path_of_uri(F.col("caller"))).join(paths, "path", "left_semi").select("caller")).distinct()
+    graph = graph_from_quads(after, repo)
+    graph.calls = graph.calls.join(touched, "caller", "left_semi")
+    null = F.lit(None).cast("string")
+    found = resolve_calls(graph).select("caller", "callee").distinct()
+    fresh = found.select(F.lit(RESOLVED).alias("g"), F.col("caller").alias("s"), F.lit(VOCAB + "resolvedCalls").alias("p"), F.col("callee").alias("o"), F.lit("iri").alias("o_kind"), null.alias("o_dt"), null.alias("o_lang"))
+    old = kept.where(edge)
+    # an edge outlives neither end: those into changed files are found again through their callers
+    stays = old.join(touched.withColumnRenamed("caller", "s"), "s", "left_anti").withColumn("path", path_of_uri(F.col("s"))).join(paths, "path", "left_anti").withColumn("path", path_of_uri(F.col("o"))).join(paths, "path", "left_anti")
+    return cut(after.unionByName(stays.select(quads.columns)).unionByName(fresh.select(quads.columns)).distinct())
 
 
 def watch(spark: SparkSession, events: DataFrame, store: QuadStore, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
