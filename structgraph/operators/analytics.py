@@ -62,20 +62,35 @@ def refactoring_candidates(g: CodeGraph, min_size: int = 30, min_fan_in: int = 3
     return function_metrics(g, among).where((F.col("size") >= min_size) | (F.col("fan_in") >= min_fan_in))
 
 
+#: Length of the grams by which contained names are looked up; shorter names are looked up whole.
+GRAM = 6
+
+
+def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(repo, name, stem) of every ``parts`` (repo, stem) that occurs within a ``texts`` (repo, name) of its repo, once each.
+    Empty and null texts and parts find nothing."""
+    n = F.length("name")
+    sizes = F.array(*[F.lit(k) for k in range(1, GRAM + 1)])
+    grams = (
+        texts.where(n > 0)
+        .select("repo", "name", F.explode(F.sequence(F.lit(1), n)).alias("i"))
+        .select("repo", "name", "i", F.explode(F.filter(sizes, lambda k: k <= F.length("name") - F.col("i") + 1)).alias("k"))
+        .select("repo", "name", "i", F.substring(F.col("name"), F.col("i"), F.col("k")).alias("gram"))
+    )
+    keyed = parts.where(F.length("stem") > 0).select("repo", "stem", F.substring("stem", 1, GRAM).alias("gram"))
+    return grams.join(keyed, ["repo", "gram"]).where(F.substring(F.col("name"), F.col("i"), F.length("stem")) == F.col("stem")).select("repo", "name", "stem").distinct()
+
+
 def circular_dependencies(g: CodeGraph) -> DataFrame:
     """Pairs of importing files of a repo in which each one's base name occurs in an import of the other: (file_a, file_b), a < b.
 
-    Containment is an equi-join: every distinct import text is exploded into its substrings, bounded by the square of its own
-    length, and only those that are base names of the repo go on. No pair of files is compared that does not share one.
+    Containment is an equi-join on short grams: every position of a distinct import text gives the gram that begins there, base
+    names are looked up by their first gram, and the rest of the name is compared at that position. No pair of files is compared
+    that does not share one.
     """
     made = g.imports.join(g.modules.select(F.col("uri").alias("module"), "path"), "module").select("repo", "path", "name").distinct()
     files = made.select("repo", "path").distinct().withColumn("stem", stem(F.col("path")))
-    stems = files.select("repo", "stem").distinct()
-    texts = made.select("repo", "name").distinct()
-    n = F.length("name")
-    cuts = texts.where(n > 0).select("repo", "name", F.explode(F.sequence(F.lit(1), n)).alias("i"), n.alias("n"))
-    parts = cuts.select("repo", "name", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("i") + 1), lambda k: F.substring(F.col("name"), F.col("i"), k))).alias("stem")).distinct()
-    inside = parts.join(stems, ["repo", "stem"], "left_semi")
+    inside = contained(made.select("repo", "name").distinct(), files.select("repo", "stem").distinct())
     needs = made.join(inside, ["repo", "name"]).select("repo", "path", "stem").distinct()
     pairs = needs.join(files.select("repo", F.col("path").alias("other"), "stem"), ["repo", "stem"]).where("path <> other").select("path", "other").distinct()
     back = pairs.select(F.col("other").alias("path"), F.col("path").alias("other"))

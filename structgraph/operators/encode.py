@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structgraph.model import RDF_TYPE, VOCAB, XSD, CodeGraph, entity_iri, graph_iri, module_iri, quads_of
+from structgraph.plans.lineage import stored
 
 
 def graph_from_parsed(parsed: DataFrame, repo: str = "") -> CodeGraph:
@@ -58,7 +59,9 @@ def parameters_of(parsed: DataFrame) -> DataFrame:
 
 
 def quads_of_parsed(parsed: DataFrame, repo: str = "") -> DataFrame:
-    """All quads of parsed files, parameters included."""
+    """All quads of parsed files, parameters included. The records are stored once, so that files are parsed once however many
+    branches read them, each branch reading its own columns."""
+    parsed = stored(parsed, "parsed")
     ps = parameters_of(parsed)
     none = F.lit(None).cast("string")
 

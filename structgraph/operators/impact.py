@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from structgraph.model import CodeGraph
+from structgraph.operators.analytics import contained
 from structgraph.plans.reach import reach
 
 
@@ -43,20 +44,16 @@ def diff_impact(g: CodeGraph, hunks: DataFrame) -> DataFrame:
     """Everything that directly or indirectly calls an entity whose name contains the name of a changed one in its repo:
     (caller_name, caller), one row per caller name (the least uri).
 
-    One reachability from all changed entities at once. Names are matched by containment through the substrings of each distinct
-    entity name, an equi-join.
+    One reachability from all changed entities at once. Names are matched by containment over distinct names, as an equi-join.
     """
     changed = changed_entities(g, hunks)
     names = changed.join(g.entities.select("uri", "repo"), "uri").select("repo", F.col("name").alias("part")).distinct()
-    pool = g.entities.select("repo", "name").distinct()
-    n = F.length("name")
-    subs = pool.where(n > 0).select("repo", "name", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("name"), i, k))))).alias("part"))
-    hit = subs.join(names, ["repo", "part"], "left_semi").select("repo", "name").distinct()
+    parts = names.select("repo", F.col("part").alias("stem"))
+    hit = contained(g.entities.where("name IS NOT NULL").select("repo", "name").distinct(), parts).select("repo", "name").distinct()
     seeds = g.entities.join(hit, ["repo", "name"], "left_semi").select(F.col("uri").alias("node"))
     found = reach(g.resolved.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), seeds).select(F.col("node").alias("caller"))
-    texts = g.calls.select("repo", F.col("target").alias("name")).distinct()
-    called = texts.where(n > 0).select("repo", "name", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("name"), i, k))))).alias("part"))
-    literal = g.calls.join(called.join(names, ["repo", "part"], "left_semi").select("repo", F.col("name").alias("target")).distinct(), ["repo", "target"], "left_semi").select("caller")
+    called = contained(g.calls.select("repo", F.col("target").alias("name")).distinct(), parts).select("repo", F.col("name").alias("target")).distinct()
+    literal = g.calls.join(called, ["repo", "target"], "left_semi").select("caller")
     who = found.unionByName(literal).distinct().join(g.entities.select(F.col("uri").alias("caller"), F.col("name").alias("caller_name")), "caller")
     return who.groupBy("caller_name").agg(F.min("caller").alias("caller"))
 

@@ -21,38 +21,45 @@ OBJECTS = [("hasParameter", ["Parameter"])]
 
 
 def violations(quads: DataFrame) -> DataFrame:
-    """(shape, focus, path, message) of every violation; a valid graph has none. Without inference: a Method is no Function, except
-    that resolvedCalls accept what is declared a subclass of Function.
+    """(shape, focus, path, message) of every violation, each once; a valid graph has none. Without inference: a Method is no
+    Function, except that resolvedCalls accept both.
 
-    Each rule is an anti-join of the focus nodes with those that satisfy it.
+    Plan: everything that concerns a subject is decided in one aggregation by subject (its types, and of each property whether
+    it is there and whether a value has the wrong datatype), combined before the one shuffle. Only the two rules about objects
+    join objects with the types that subjects have.
     """
-    q = quads.select("s", "p", "o", "o_kind", "o_dt").distinct()
-    types = q.where(F.col("p") == RDF_TYPE).select("s", "o")
+    q = quads.select("s", "p", "o", "o_kind", "o_dt")
+    props = sorted({p for _, ps in REQUIRED for p, _ in ps} | {p for p, _ in SUBJECTS})
+    datatype = {p: dt for _, ps in REQUIRED for p, dt in ps}
+    is_ = lambda p: F.col("p") == VOCAB + p
+    wrong = lambda p: is_(p) & ((F.col("o_kind") != "lit") | (F.coalesce("o_dt", F.lit("")) != XSD + datatype[p]))
+    kinds = F.collect_set(F.when((F.col("p") == RDF_TYPE) & F.col("o").startswith(VOCAB), F.substring(F.col("o"), len(VOCAB) + 1, 1 << 16)))
+    facts = q.groupBy("s").agg(
+        kinds.alias("kinds"), *[F.max(F.coalesce(is_(p), F.lit(False))).alias(f"has_{p}") for p in props], *[F.max(F.coalesce(wrong(p), F.lit(False))).alias(f"bad_{p}") for p in datatype]
+    )
 
-    def of(names: list[str]) -> DataFrame:
-        return types.where(F.col("o").isin(*[VOCAB + n for n in names])).select("s").distinct()
+    def row(test: Column, shape: str, path: str, message: str) -> Column:
+        return F.when(test, F.struct(F.lit(shape).alias("shape"), F.lit(path).alias("path"), F.lit(message).alias("message")))
 
-    def found(df: DataFrame, shape: str, focus: str, path: str, message: str | Column) -> DataFrame:
-        return df.select(F.lit(shape).alias("shape"), F.col(focus).alias("focus"), F.lit(path).alias("path"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+    of = lambda names: reduce(lambda a, b: a | b, [F.array_contains("kinds", n) for n in names])
+    rules = []
+    for kind, ps in REQUIRED:
+        for p, dt in ps:
+            rules.append(row(of([kind]) & ~F.col(f"has_{p}"), f"{kind}Shape", p, f"{kind} needs {p}"))
+            rules.append(row(of([kind]) & F.col(f"bad_{p}"), f"{kind}Shape", p, f"{p} of {kind} must be {dt}"))
+    for p, names in SUBJECTS:
+        rules.append(row(F.col(f"has_{p}") & ~of(names), f"{p}DomainShape", p, f"only {' or '.join(names)} may have {p}"))
+    own = facts.select("s", F.explode(F.array_compact(F.array(*rules))).alias("v")).select("v.shape", F.col("s").alias("focus"), "v.path", "v.message")
 
-    out = []
-    for kind, props in REQUIRED:
-        for prop, dt in props:
-            have = q.where(F.col("p") == VOCAB + prop)
-            out.append(found(of([kind]).join(have, "s", "left_anti"), f"{kind}Shape", "s", prop, f"{kind} needs {prop}"))
-            bad = have.where((F.col("o_kind") != "lit") | F.coalesce("o_dt", F.lit("")).__ne__(XSD + dt))
-            out.append(found(bad.join(of([kind]), "s", "left_semi").select("s").distinct(), f"{kind}Shape", "s", prop, f"{prop} of {kind} must be {dt}"))
-    for prop, kinds in SUBJECTS:
-        subjects = q.where(F.col("p") == VOCAB + prop).select("s").distinct()
-        out.append(found(subjects.join(of(kinds), "s", "left_anti"), f"{prop}DomainShape", "s", prop, f"only {' or '.join(kinds)} may have {prop}"))
-    for prop, kinds in OBJECTS:
-        objects = q.where(F.col("p") == VOCAB + prop).select(F.col("o").alias("s")).distinct()
-        out.append(found(objects.join(of(kinds), "s", "left_anti"), f"{prop}RangeShape", "s", prop, f"objects of {prop} must be {' or '.join(kinds)}"))
-    edges = q.where(F.col("p") == VOCAB + "resolvedCalls").select("s", "o", "o_kind")
-    functions = of(["Function", "Method"]).withColumnRenamed("s", "o")
-    out.append(found(edges.where("o_kind <> 'iri'").select("s").distinct(), "ResolvedCallsShape", "s", "resolvedCalls", "resolvedCalls must link to an IRI"))
-    out.append(found(edges.where("o_kind = 'iri'").join(functions, "o", "left_anti").select("s").distinct(), "ResolvedCallsShape", "s", "resolvedCalls", "resolvedCalls must link to a Function"))
-    return reduce(DataFrame.unionByName, out)
+    typed = facts.select(F.col("s").alias("o"), "kinds")
+    edges = q.where(is_("resolvedCalls") | reduce(lambda a, b: a | b, [is_(p) for p, _ in OBJECTS])).select("s", "p", "o", "o_kind").distinct()
+    ends = edges.join(typed, "o", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    call = is_("resolvedCalls")
+    tests = [row(call & (F.col("o_kind") != "iri"), "ResolvedCallsShape", "resolvedCalls", "resolvedCalls must link to an IRI"), row(call & (F.col("o_kind") == "iri") & ~of(["Function", "Method"]), "ResolvedCallsShape", "resolvedCalls", "resolvedCalls must link to a Function")]
+    tests += [row(is_(p) & ~of(names), f"{p}RangeShape", p, f"objects of {p} must be {' or '.join(names)}") for p, names in OBJECTS]
+    focus = F.when(call, F.col("s")).otherwise(F.col("o"))
+    far = ends.select(focus.alias("focus"), F.explode(F.array_compact(F.array(*tests))).alias("v")).select("v.shape", "focus", "v.path", "v.message").distinct()
+    return own.unionByName(far)
 
 
 def validate(quads: DataFrame, raise_on_violation: bool = False) -> tuple[bool, DataFrame]:
