@@ -74,6 +74,9 @@ _MIN = re.compile(r"[.-]min\.(?:js|css|mjs)$", re.I)
 _VERSIONED = re.compile(r"^(?:lib[_-])?[a-z][a-z0-9]*[-_.@]v?\d+\.\d+(?:\.\d+)?\.\w+$", re.I)
 _LEAD = re.compile(r"\A(?:﻿|\s|#(?![a-z]+\s*[<\"])[^\n]*(?:\n|\Z)|//[^\n]*(?:\n|\Z)|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')*")
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][\da-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfFdD]*(?![\w])")
+_QUOTED, _DIGITS = re.compile(r"'[^'\n]*'|\"[^\"\n]*\""), re.compile(r"\d+")
+_NAMES = re.compile(r"[A-Za-z]+(?:_[A-Za-z]+)+|(?<![\w])_?[A-Za-z]+(?=_?\d)|[A-Z][a-z]+(?:[A-Z][a-z]+)+")
+_SIGNS = re.compile(r"[^\w\n]+")
 _KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*KEY[A-Z ]*-----[\s\S]*?(?:-----END [A-Z ]*-----|\Z)")
 _WORD = re.compile(r"[^\W\d]\w*")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{48,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:0x[0-9a-fA-F]{2},\s*){16,}")
@@ -88,11 +91,13 @@ def layout(text: str) -> dict[str, float]:
         return {"n": 0, "max_line": 0, "mean_line": 0.0, "whitespace": 1.0, "line_space": 1.0, "alnum": 0.0, "numeric": 0.0, "numbers": 0, "encoded": 0.0, "shape": 0.0, "lines": 0}
     lines = [x for x in body.splitlines() if x.strip()]
     longest = max(lines, key=len, default="")
-    spaces = sum(map(str.isspace, body))
+    spaces = n - len("".join(body.split()))
     numbers = len(_NUMBER.findall(body))
-    words = sum(1 for w in _WORD.finditer(body) if len(w.group()) < 48)
+    words = sum(len(w) < 48 for w in _WORD.findall(body))
     encoded = sum(len(m) for m in _RUN.findall(body) if len(set(m)) > 12 and (re.search(r"\d", m) and re.search(r"[A-Za-z]", m)))
-    shapes = Counter(re.sub(r"\W+", " ", re.sub(r"'[^']*'|\"[^\"]*\"", "S", re.sub(r"\d+", "0", re.sub(r"[A-Za-z]+(?:_[A-Za-z]+)+|(?<![\w])_?[A-Za-z]+(?=_?\d)|[A-Z][a-z]+(?:[A-Z][a-z]+)+", "w", x))))[:60] for x in lines if len(x.strip()) > 3)
+    # the shape of a line: quoted texts, numbers and compound names made alike, signs dropped
+    plain = _SIGNS.sub(" ", _NAMES.sub("w", _DIGITS.sub("0", _QUOTED.sub("S", body))))
+    shapes = Counter(x[:60] for x in plain.split("\n") if len(x) > 2)
     common = sum(k for _, k in shapes.most_common(2))
     full = sum(shapes.values())
     return {
