@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structgraph.llm.syntax import language_of
+from structgraph.plans.lineage import stored
 
 
 @dataclass(frozen=True)
@@ -172,7 +173,7 @@ def file_kinds(files: DataFrame, min_repos: int = 2) -> DataFrame:
     Null content, blank files and files with nothing but comments are hand-written unless head or path say otherwise; null
     paths count as no evidence. Repeated rows come out repeated.
 
-    Plan: one Arrow pass without a shuffle gives the kind and a body hash; copies are then counted on (hash, repo) pairs only,
+    Plan: one Arrow pass without a shuffle gives the kind and a body hash, which are stored, as they are used three times; copies are then counted on (hash, repo) pairs only,
     combined before the shuffle, so a library that a third of all repositories carry costs each mapper one row.
     """
 
@@ -187,7 +188,7 @@ def file_kinds(files: DataFrame, min_repos: int = 2) -> DataFrame:
                 bodies.append(body_hash(c) if c and lang in ("py", "js", "ts", "java", "c", "cpp") else None)
             yield pd.DataFrame({"kind": pd.Series(kinds, dtype=object), "body": pd.Series(bodies, dtype="Int64")})
 
-    judged = files.select("file_id", "repo", "path", judge("path", "content").alias("j")).select("file_id", "repo", "path", "j.kind", "j.body")
+    judged = stored(files.select("file_id", "repo", "path", judge("path", "content").alias("j")).select("file_id", "repo", "path", "j.kind", "j.body"), "judged")
     open_ = judged.where("kind IS NULL AND body IS NOT NULL").select("body").distinct()
     spread = judged.where("body IS NOT NULL").select("body", "repo").distinct().join(open_, "body", "left_semi").groupBy("body").count().where(F.col("count") >= min_repos).select("body", F.lit(True).alias("copied"))
     return judged.join(spread, "body", "left").select("file_id", "repo", "path", F.coalesce("kind", F.when(F.col("copied"), "vendored")).alias("kind"))
