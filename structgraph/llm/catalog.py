@@ -17,12 +17,12 @@ from structgraph.sources.tables import table
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     files = table(spark, root, "files").select("file_id", "path", "content")
-    return file_faults(distinct_by(files, "file_id")).where("fault IS NOT NULL").select("file_id")
+    return file_faults(files).where("fault IS NOT NULL").select("file_id").distinct()
 
 
 def p1_report(spark: SparkSession, root: str) -> DataFrame:
-    files = distinct_by(table(spark, root, "files").select("file_id", "repo", "path", "content"), "file_id")
-    judged = file_faults(files).where("lang IS NOT NULL AND content IS NOT NULL")
+    files = table(spark, root, "files").where("content IS NOT NULL").select("file_id", "repo", "path", "content")
+    judged = file_faults(files).where("lang IS NOT NULL").drop("content").dropDuplicates(["file_id"])
     return judged.groupBy("repo", "lang").agg(F.count("*").alias("files"), F.count("fault").alias("broken"), F.avg(F.col("fault").isNotNull().cast("int")).alias("rate"))
 
 
