@@ -32,7 +32,7 @@ def p1_indexer(spark: SparkSession, root: str) -> DataFrame:
 
 def _p4(spark: SparkSession, root: str, redacted: bool) -> DataFrame:
     files = table(spark, root, "files").select("file_id", "repo", "content")
-    return secrets_in_files(distinct_by(files, "file_id"), word_counts(files), redacted)
+    return secrets_in_files(files, word_counts(files), redacted)
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -40,7 +40,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, root: str) -> DataFrame:
-    return _p4(spark, root, True)
+    return _p4(spark, root, True).dropDuplicates(["file_id"])
 
 
 def p6_pairs(spark: SparkSession, root: str) -> DataFrame:
