@@ -67,7 +67,8 @@ _CURL = re.compile(r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[= ]\s*[\"']?[^
 #: Prose that tells a credential: "login is NAME / VALUE", "password was VALUE".
 _PROSE = re.compile(
     r"\b(?:logins?|credentials?|creds|account|user)\b[^\n/|:=]{0,24}?(?:is|are|was|were|[:=])\s+[\w.@-]+\s*(?:/|\||:|,|\s)\s*(?P<v>[^\s\"'`]{6,})|"
-    r"\b(?:password|passwd|passwort|pw|pwd|passphrase|token|secret|api key|key)\s+(?:is|was|now|ist|es|est)\s*[:=]?\s+[\"'`]?(?P<w>[^\s\"'`]{6,})",
+    r"\b(?:password|passwd|passwort|pw|pwd|passphrase|token|secret|api key|key)\s+(?:is|was|now|ist|es|est)\s*[:=]?\s+[\"'`]?(?P<w>[^\s\"'`]{6,})|"
+    r"(?:#|//|--|\*)[^\n:=]{0,40}?\b(?:password|passwd|passwort|pw|pwd|passphrase|token|secret|(?:api |access )?key)\s*[:=]\s+(?P<x>[^\s\"'`]{6,})",
     re.I,
 )
 
@@ -103,6 +104,8 @@ def names_secret(name: str) -> bool:
         return words[-1] in _SECRET_WORDS or words[-1] in ("key", "value", "val", "string", "str", "b", "base", "old", "new", "prod", "dev", "live", "raw", "plain", "default") or any(w in ("password", "passwd", "pwd", "passphrase", "kennwort", "secret") for w in words)
     if words[-1] in ("key", "keys") and len(words) > 1:
         return any(w in _KEY_WORDS for w in words[:-1])
+    if name.isupper() and flat.endswith(("pass", "pwd", "passwd")) and not flat.endswith(("bypass", "compass", "surpass", "trespass", "overpass")):
+        return True
     return any(flat.endswith(x) for x in ("secret", "password", "token","passphrase", "apikey", "secretkey", "privatekey", "accesstoken", "authtoken", "clientsecret", "contrasena", "kennwort", "mysqlpwd"))
 
 
@@ -271,7 +274,7 @@ def find_secrets(text: str | None, words: Dictionary) -> list[tuple[int, int, st
             v, key = m["v"], m["k"]
             if rx is _BARE and not _BARE_LEAD.match(text[text.rfind("\n", 0, m.start()) + 1 : m.start()]):
                 continue
-            if not _usable(v) or re.search(r"\w\(|[({\[]$|^\w+\.\w+$|->|::", v):
+            if not _usable(v) or re.search(r"\w\(|[({\[]$|->|::", v) or re.search(r"^[A-Za-z_]\w*\.[A-Za-z_]\w*$", v) and words.residual(v) < 10:
                 continue
             if names_secret(key) and words.residual(v) >= NAMED_RESIDUAL and (re.search(r"\d", v) or words.residual(v) >= 10):
                 add(m.start("v"), m.end("v"), "password" if re.search(r"(?i)pass|pwd", key) else "token")
