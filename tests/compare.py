@@ -6,7 +6,7 @@ from pathlib import Path
 
 def views(con, root):
     for p in sorted(Path(root).iterdir()):
-        con.execute(f"CREATE VIEW {p.name.split('.')[0]} AS SELECT * FROM '{p}{'/*' if p.is_dir() else ''}'")
+        con.execute(f"CREATE VIEW {p.name.split('.')[0]} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
 
 
 def plain(v):
