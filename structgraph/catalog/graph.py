@@ -220,7 +220,7 @@ SQL = {k: f"{_SAFE_W}{v}" for k, v in {
         w AS (SELECT node FROM up UNION SELECT caller FROM cal WHERE contains(target, '{PART}'))
         SELECT uri AS caller, name AS caller_name FROM w JOIN ents ON uri = node""",
     "call_graph_bfs": f""", {_NAME_EDGES}, lv AS (SELECT DISTINCT repo, src AS node, 0 AS level FROM ne WHERE src = '{NAME}' UNION SELECT ne.repo, ne.dst, level + 1 FROM lv JOIN ne ON ne.repo = lv.repo AND ne.src = lv.node WHERE level < 2)
-        SELECT ne.src, ne.dst, min(level) AS level FROM ne JOIN lv ON lv.repo = ne.repo AND lv.node = ne.src GROUP BY 1, 2""",
+        SELECT ne.src, ne.dst, CAST(min(level) AS BIGINT) AS level FROM ne JOIN lv ON lv.repo = ne.repo AND lv.node = ne.src GROUP BY 1, 2""",
     "all_call_edges": f", {_NAME_EDGES} SELECT DISTINCT src, dst FROM ne ORDER BY src, dst LIMIT 200",
     "inheritance_edges": f", {_INH_EDGES} SELECT base, cls FROM iall",
     "file_dependencies": f", {_FILE_DEPS} SELECT * FROM fd",

@@ -1,10 +1,13 @@
 """Resolution of call texts to entities."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from structgraph.model import CodeGraph
+from structgraph.plans.lineage import cut
+from structgraph.plans.skew import salted_lookup
 
 
 def symbol_table(g: CodeGraph, methods: bool = False) -> DataFrame:
@@ -15,7 +18,8 @@ def symbol_table(g: CodeGraph, methods: bool = False) -> DataFrame:
     table = named.join(own, "uri").select("repo", "name", "uri", "path")
     if methods:
         table = table.unionByName(named.join(own, "uri", "left_anti").select("repo", "name", "uri", F.col("file").alias("path")))
-    return table.withColumn("n", F.count("*").over(Window.partitionBy("repo", "name")))
+    # counted and joined back over salted keys: a name that a third of all definitions have must not be one window
+    return salted_lookup(table, table.groupBy("repo", "name").agg(F.count("*").alias("n")), ["repo", "name"], salts=8, how="inner").select("repo", "name", "uri", "path", "n")
 
 
 def resolve_calls(g: CodeGraph, methods: bool = False) -> DataFrame:
@@ -26,8 +30,9 @@ def resolve_calls(g: CodeGraph, methods: bool = False) -> DataFrame:
     else the first candidate whose path without extension contains the module part of the caller's first import of that
     name; else the candidate in the caller's own file. "First" is by uri, and for imports by import text.
 
-    Plan: one join of call texts with candidates by (repo, name), candidates of a name being few because they are definitions; the choice
-    is a minimum over a rank within each call, combined before its shuffle.
+    Plan: calls never meet all candidates of their name. Each rule is first decided for its distinct keys (a name; a name and a file;
+    a name and a hint; a name and a class), which leaves one candidate per key, and that is looked up over salted keys. So
+    neither a text that a third of all calls have nor a name that a third of all definitions have multiplies rows.
     """
     own = g.defines.join(g.modules.select(F.col("uri").alias("parent"), "path"), "parent").select(F.col("child").alias("caller"), F.col("path").alias("caller_path"))
     if methods:
@@ -44,14 +49,18 @@ def resolve_calls(g: CodeGraph, methods: bool = False) -> DataFrame:
         .select("caller_path", "name", F.when(F.col("text").contains("."), F.regexp_replace("text", r"\.[^.]*$", "")).alias("hint"))
     )
     classes = g.defines.join(g.entities.where("kind = 'Class'").select(F.col("uri").alias("parent"), F.col("name").alias("class_name")), "parent").select(F.col("child").alias("caller"), "class_name")
-    both = calls.join(symbol_table(g, methods), ["repo", "name"]).join(hints, ["caller_path", "name"], "left").join(classes, "caller", "left")
+    calls = cut(salted_lookup(calls, hints, ["caller_path", "name"], salts=8).join(classes, "caller", "left").select("repo", "caller", "target", "form", "name", "caller_path", "hint", "class_name"))
+    symbols = cut(symbol_table(g, methods))
+    least = F.min("uri").alias("callee")
+    many = symbols.where("n > 1")
+    hinted = calls.where("form = 'plain' AND hint IS NOT NULL").select("repo", "name", "hint").distinct()
+    classed = calls.where("form = 'own' AND class_name IS NOT NULL").select("repo", "name", "class_name").distinct()
     stem = F.regexp_replace("path", r"\.[^.]*$", "")
-    rank = (
-        F.when(F.col("form") == "own", F.when(F.col("class_name").isNotNull() & F.col("uri").contains(F.col("class_name")), 1))
-        .when(F.col("n") == 1, 1)
-        .when(F.col("form") == "dotted", F.lit(None))
-        .when(F.col("hint").isNotNull() & stem.contains(F.col("hint")), 2)
-        .when(F.col("path") == F.col("caller_path"), 3)
-    )
-    ranked = both.withColumn("rank", rank).where("rank IS NOT NULL")
-    return ranked.groupBy("caller", "target").agg(F.min_by("uri", F.struct("rank", "uri")).alias("callee"))
+    rules = [
+        (1, "form <> 'own'", ["repo", "name"], symbols.where("n = 1").select("repo", "name", F.col("uri").alias("callee"))),
+        (1, "form = 'own'", ["repo", "name", "class_name"], classed.join(symbols, ["repo", "name"]).where(F.col("uri").contains(F.col("class_name"))).groupBy("repo", "name", "class_name").agg(least)),
+        (2, "form = 'plain'", ["repo", "name", "hint"], hinted.join(many, ["repo", "name"]).where(stem.contains(F.col("hint"))).groupBy("repo", "name", "hint").agg(least)),
+        (3, "form = 'plain'", ["repo", "name", "caller_path"], many.groupBy("repo", "name", F.col("path").alias("caller_path")).agg(least)),
+    ]
+    found = [salted_lookup(calls.where(test), one, keys, salts=8, how="inner").select("caller", "target", F.lit(rank).alias("rank"), "callee") for rank, test, keys, one in rules]
+    return reduce(DataFrame.unionByName, found).groupBy("caller", "target").agg(F.min_by("callee", F.struct("rank", "callee")).alias("callee"))

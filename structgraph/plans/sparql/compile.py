@@ -192,7 +192,7 @@ class Compiler:
         kind = lambda i=0: v[i].k if v[i].typ == "term" else F.lit("iri" if v[i].typ == "iri" else "lit")
         lit = {"bool": XSD + "boolean", "str": XSD + "string", "num": XSD + "decimal"}
         table = {
-            "STR": lambda: Val(s[0], "str"), "LCASE": lambda: Val(F.lower(s[0]), "str"), "UCASE": lambda: Val(F.upper(s[0]), "str"), "STRLEN": lambda: Val(F.length(s[0]), "num"),
+            "STR": lambda: Val(s[0], "str"), "LCASE": lambda: Val(F.lower(s[0]), "str"), "UCASE": lambda: Val(F.upper(s[0]), "str"), "STRLEN": lambda: Val(F.length(s[0]).cast("bigint"), "num"),
             "CONTAINS": lambda: Val(F.contains(s[0], s[1]), "bool"), "STRSTARTS": lambda: Val(F.startswith(s[0], s[1]), "bool"), "STRENDS": lambda: Val(F.endswith(s[0], s[1]), "bool"),
             "STRBEFORE": lambda: Val(F.when(F.contains(s[0], s[1]), F.substr(s[0], F.lit(1), F.position(s[1], s[0]) - 1)).otherwise(F.lit("")), "str"),
             "STRAFTER": lambda: Val(F.when(F.contains(s[0], s[1]), F.substr(s[0], F.position(s[1], s[0]) + F.length(s[1]))).otherwise(F.lit("")), "str"),
