@@ -203,13 +203,12 @@ def pair_docs(functions: DataFrame, files: DataFrame) -> DataFrame:
     missing or null has no code, and a doc only if its docstring is one; a null end_line gives code up to the end of the balanced
     body. Python takes ``docstring``, other languages the comment that ends directly above start_line, annotations between.
 
-    Plan: the newest row per path is chosen from keys alone, texts are shuffled once, to meet their functions; those of one
+    Plan: texts are shuffled once, by path, which chooses the current ones and lets them meet their functions; the functions of one
     file travel as one array, as a file is bounded by its text.
     """
     latest = functions.where(F.col("uri").isNotNull()).groupBy("uri").agg(F.max_by(F.struct("name", "file", "start_line", "end_line", "docstring"), F.struct("indexed_at", "start_line")).alias("f"))
     per_file = latest.select("uri", "f.*").groupBy("file").agg(F.collect_list(F.struct("uri", "name", "start_line", "end_line", "docstring")).alias("fs"))
-    newest = files.groupBy("path").agg(F.max(F.struct("op_id", "file_id")).alias("k")).select("path", F.col("k.file_id").alias("file_id"))
-    current = files.select("path", "file_id", "content").join(newest, ["path", "file_id"], "left_semi").dropDuplicates(["path", "file_id"])
+    current = files.groupBy("path").agg(F.max_by("content", F.struct("op_id", "file_id")).alias("content"))
     both = per_file.join(current.select(F.col("path").alias("file"), "content"), "file", "left").select("file", "content", "fs")
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
