@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,12 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="structgraph-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored reliably; the result reads the stored rows and has no lineage before them."""
-    sc = df.sparkSession.sparkContext
+def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """``df`` computed once and stored reliably; the result reads the stored rows and has no lineage before them.
+
+    A checkpoint keeps the size estimate of the plan it cut. Joined again and again in a loop, such estimates multiply into numbers
+    of millions of digits, so the stored rows are taken up under a fresh estimate; adaptive execution measures real sizes anyway.
+    With ``keep_layout`` the checkpoint's own plan is kept, and with it the partitioning that later joins can use.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_dir(spark))
+    done = df.checkpoint(eager=True)
+    if keep_layout:
+        return done
+    try:
+        rows = done._jdf.queryExecution().toRdd()
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+    except (AttributeError, TypeError, Py4JError):  # a session without a JVM of its own
+        return done
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

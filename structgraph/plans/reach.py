@@ -15,7 +15,7 @@ def reach(edges: DataFrame, seeds: DataFrame, min_steps: int = 1, max_steps: int
     Semi-naive: each round joins only the nodes found in the last one. The edges are laid out by dst once and stored, so a round shuffles
     the frontier alone; frontier and result are cut from their lineage in every round.
     """
-    laid = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct().repartition("dst"))
+    laid = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct().repartition("dst"), keep_layout=True)
     start = seeds.select("node").where("node IS NOT NULL").distinct()
     found = start.select("node", F.lit(0).alias("steps")).limit(0)
     frontier = cut(start)
