@@ -2,7 +2,7 @@
 
 Literals are segmented into dictionary words by Viterbi. What no word explains is residual; a long residual where something is
 assigned is a secret, unless the value has the format of a digest, an id, a pattern or a reference. The dictionary is counted
-from the corpus itself.
+from the corpus itself, outside what may be a secret.
 """
 
 import math
@@ -18,6 +18,8 @@ from structgraph.functions.lexers import line_of, line_starts
 
 #: Size bound of the dictionary that is sent to the executors: the words in most repositories.
 DICTIONARY_WORDS = 50_000
+#: Share of the repositories that a word of the dictionary must be in.
+WORD_SHARE = 0.1
 #: Unexplained characters from which a value named as a secret is one.
 NAMED_RESIDUAL = 5
 #: ... the same where the name says password or passphrase, whose values may be words in part.
@@ -156,15 +158,38 @@ class Dictionary:
         return open_[n]
 
 
-def word_counts(files: DataFrame, min_repos: int = 2, size: int = DICTIONARY_WORDS) -> dict[str, int]:
-    """Dictionary of the corpus: words in at least ``min_repos`` repositories with their number of repositories, the ``size``
-    commonest ones. Counted over all contents, on distinct (word, repository) pairs combined before the shuffle; only ``size`` rows,
-    the documented bound, come to the driver. Case changes and signs part words; words of one or two letters are left out.
+def words_outside(text: str | None, blank: Dictionary) -> set[str]:
+    """Words of ``text`` outside everything that would be a secret if no word explained anything (``blank`` has none), and outside
+    runs of letters and digits, which are codes. Case changes and signs part words; words of one or two letters are left out."""
+    if not text:
+        return set()
+    out, at = [], 0
+    for a, b, _ in find_secrets(text, blank):
+        out.append(text[at:a])
+        at = b
+    out.append(text[at:])
+    return set(re.findall(r"[a-z]{3,24}", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", re.sub(r"[A-Za-z]*\d[A-Za-z\d]*", " ", " ".join(out))).lower()))
+
+
+def word_counts(files: DataFrame, min_repos: int = 2, size: int = DICTIONARY_WORDS, min_share: float = WORD_SHARE) -> dict[str, int]:
+    """Dictionary of the corpus: words outside candidate secrets in at least ``min_repos`` repositories and ``min_share`` of all that
+    have contents, with their number of repositories, the ``size`` commonest ones. Shares stay as they are when the corpus grows or is
+    copied, so noise does not become words. Counted over all contents, on distinct (word, repository) pairs combined before the
+    shuffle; only ``size`` rows, the documented bound, come to the driver.
     """
-    parted = F.lower(F.regexp_replace("content", r"([a-z])([A-Z])", "$1 $2"))
-    words = files.where(F.col("content").isNotNull()).select("repo", F.explode(F.array_distinct(F.regexp_extract_all(parted, F.lit(r"[a-z]{3,24}"), F.lit(0)))).alias("word"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blank = Dictionary({})
+        for pdf in batches:
+            # the empty word stands for the repository itself
+            pairs = {(r, w) for r, c in zip(pdf["repo"], pdf["content"]) for w in ("", *words_outside(c, blank))}
+            yield pd.DataFrame(list(pairs), columns=["repo", "word"], dtype=object)
+
+    words = files.where(F.col("content").isNotNull()).select("repo", "content").mapInPandas(scan, "repo string, word string")
     counted = words.distinct().groupBy("word").count().where(F.col("count") >= min_repos)
-    return {r["word"]: r["count"] for r in counted.orderBy(F.desc("count"), "word").limit(size).collect()}
+    # no word is in more repositories than there are, so the empty one comes first
+    top = [(r["word"], r["count"]) for r in counted.orderBy(F.desc("count"), "word").limit(size + 1).collect()]
+    return {w: n for w, n in top[1:] if n >= min_share * top[0][1]}
 
 
 def _usable(value: str) -> bool:

@@ -160,6 +160,17 @@ def test_word_counts(spark):
     assert sec.word_counts(files) == {"load": 2, "beacon": 2} and sec.word_counts(files, size=1) == {"beacon": 2}
 
 
+def test_word_counts_leave_secrets_out(spark):
+    leak = 'passphrase = "load sihopo velumi"\npassword = "kfv82jzy1x"\ncache_id = "wqz7kbt3"\n'
+    here = [(f"r/{i}", "load beacon order") for i in range(12)] + [("r/0", leak), ("r/1", leak), ("r/2", "tilmor")]
+    there = [(f"copy/{r}", c) for r, c in here]
+    one, two = (sec.word_counts(spark.createDataFrame(x, "repo string, content string")) for x in (here, here + there))
+    assert not {"sihopo", "velumi", "kfv", "jzy", "wqz", "kbt", "tilmor"} & set(one) and {"load", "beacon", "order", "cache"} <= set(one)
+    assert two == {w: 2 * n for w, n in one.items()}
+    for words in (one, two):
+        assert [leak[a:b] for a, b, _ in sec.find_secrets(leak, sec.Dictionary(words))] == ["load sihopo velumi", "kfv82jzy1x"]
+
+
 TEXTS = [None, "", " ", "Hello, world!", "<|endoftext|>", "it's we'll I'VE", "\u65e5\u672c\u8a9e\U0001f642 caf\u00e9\r\n\t\x00", "a" * 5000, " " * 3000, "\ud7ff\ufffd \u3000x", "1234567 abc_def"]
 
 
