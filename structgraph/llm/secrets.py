@@ -5,6 +5,7 @@ assigned is a secret, unless the value has the format of a digest, an id, a patt
 from the corpus itself, outside what may be a secret.
 """
 
+import base64
 import math
 import re
 from collections.abc import Iterator
@@ -52,6 +53,8 @@ _REFERENCE = re.compile(
 _DIGEST = re.compile(r"^(?:(?:sha-?\d{1,3}|md5|blake\w*|crc32|sri)[:=_-].*|(?:0x)?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|\{?[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\}?|\$(?:2[aby]|argon2\w*|5|6|1|pbkdf2\S*)\$.*)$", re.I)
 _PATTERN = re.compile(r"^\^.*\$$|\(\?[=!:<]|\\[dwsbDWS]|\[[a-z]-[a-z]|\.\*|\{\d+,\d*\}|%[sd]|\{\w*\}")
 _PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9 ]*)(?:PUBLIC KEY|CERTIFICATE)|^ssh-(?:rsa|ed25519|dss)|^ecdsa-")
+#: First bytes of images, fonts, archives, media, programs and certificates (published formats).
+_FILE_FORMAT = re.compile(rb"\x89PNG|GIF8|\xff\xd8\xff|RIFF|wOF[F2]|OTTO|\x00\x01\x00\x00|\x00\x00\x01\x00|\x1f\x8b\x08|PK\x03\x04|BZh|\xfd7zXZ|7z\xbc\xaf|%PDF|\x00asm|\x7fELF|ID3|OggS|fLaC|\s*<(?:\?xml|svg|!doctype|html)|-----BEGIN (?:CERT|PUBLIC)|\x30\x82..\x30\x82", re.S | re.I)
 #: Tokens whose issuer is known by their form (published formats).
 PROVIDER = re.compile(
     r"(?<![\w-])(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[\w-]{16,}|xox[abeoprs]-[A-Za-z0-9-]{16,}|(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}|AIza[\w-]{30,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|"
@@ -198,12 +201,31 @@ def _usable(value: str) -> bool:
     return len(v) >= 6 and not _PLACEHOLDER.match(v) and not _REFERENCE.search(v) and not _DIGEST.match(v) and not _PATTERN.search(v) and not _PUBLIC.search(v) and "EXAMPLE" not in v
 
 
+def _prose(value: str) -> bool:
+    """Whether a value is a text of words; a key that is wrapped over lines is none."""
+    parts = value.split()
+    return len(parts) > 6 and not all(len(p) >= 32 for p in parts[:-1])
+
+
+def _blob(value: str) -> bool:
+    """Whether a long value is data by its content: a list, filler, or base64 of a file format or certificate."""
+    v = re.sub(r"\s", "", value)
+    if len(v) <= 300:
+        return False
+    if len(re.findall(r"[,;]", v)) >= 8 or max(map(v.count, set(v))) > 0.25 * len(v):
+        return True
+    try:
+        return bool(_FILE_FORMAT.match(base64.b64decode(v[:64].replace("-", "+").replace("_", "/"))))
+    except ValueError:
+        return False
+
+
 def _bare(value: str, words: Dictionary) -> bool:
     """A token that needs no name: long, unbroken, mixing letters and digits, and nearly all residual."""
     v = value.strip()
-    if not 20 <= len(v) <= 300 or re.search(r"[\s/\\(){}<>]|^https?:|\.\w{1,4}$", v) or not (re.search(r"\d", v) and re.search(r"[A-Za-z]", v)):
+    if len(v) < 20 or re.search(r"[\s/\\(){}<>]|^https?:|\.\w{1,4}$", v) or not (re.search(r"\d", v) and re.search(r"[A-Za-z]", v)):
         return False
-    if re.fullmatch(r"[\d.,eExXa-fA-F+-]+", v) or re.match(r"data:|urn:|[\w.-]+@", v):
+    if re.fullmatch(r"[\d.,eExXa-fA-F+-]+", v) or re.match(r"data:|urn:|[\w.-]+@", v) or _blob(v):
         return False
     r = words.residual(v)
     return r >= BARE_RESIDUAL and r >= 0.7 * len(re.sub(r"[.:]", "", v))
@@ -253,7 +275,7 @@ def find_secrets(text: str | None, words: Dictionary) -> list[tuple[int, int, st
             break
         pieces = [m]
         end = m.end()
-        while len(pieces) < 64:
+        while True:
             j = _JOIN.match(text, end)
             nxt = _LITERAL.match(text, j.end()) if j else None
             if not nxt or j.group().strip() in ("", ".") and "\n" in j.group() and not text[j.end() - 1 :].startswith((" ", "\t", '"', "'", "\n")):
@@ -271,9 +293,7 @@ def find_secrets(text: str | None, words: Dictionary) -> list[tuple[int, int, st
         if re.match(r"\s*(?:=>|:=|:)(?!:)", text[end : end + 4]) and len(pieces) == 1 and not re.search(r"[=(]\s*$", lead):
             continue  # a key, not a value
         value = "".join(p[p.lastgroup] for p in pieces)
-        if len(value) > 600 or not _usable(value):
-            continue
-        if len(pieces) > 8:
+        if not _usable(value):
             continue
         k = _FALLBACK.search(lead)
         key = next((g for g in k.groups() if g), "") if k else ""
@@ -283,7 +303,7 @@ def find_secrets(text: str | None, words: Dictionary) -> list[tuple[int, int, st
         kind = None
         if key and names_secret(key):
             phrase = any(x in key.lower() for x in ("pass", "pwd", "kennwort", "contras", "senha"))
-            if words.residual(value) >= (PHRASE_RESIDUAL if phrase else NAMED_RESIDUAL) and len(value.split()) <= 6:
+            if words.residual(value) >= (PHRASE_RESIDUAL if phrase else NAMED_RESIDUAL) and not _prose(value) and not _blob(value):
                 kind = "password" if re.search(r"(?i)pass|pwd|kenn|contras|senha", key) else "token"
         elif PROVIDER.search(value) and len(pieces) > 1:
             kind = "token"
