@@ -403,10 +403,8 @@ def _exact(text: str, lang: str) -> None:
         except RecursionError:
             pass
     elif lang == "yaml":
-        try:
-            import yaml
-        except ImportError:
-            return
+        import yaml  # without it the job fails, as else its verdicts would depend on the machine
+
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         try:
             for _ in yaml.parse(text, Loader=loader):
@@ -415,12 +413,206 @@ def _exact(text: str, lang: str) -> None:
             raise Fault(f"{getattr(x, 'context', '') or ''} {getattr(x, 'problem', '') or x}".strip()[:80]) from None
 
 
+_QUOTED = {'"': re.compile(r'"(?:\\[\s\S]|[^"\\])*"'), "'": re.compile(r"'(?:''|[^'])*'")}
+_YAML_PROPERTY = re.compile(r"[&!][^\s,\[\]{}]*(?=\s|\Z)")
+_YAML_ALIAS = re.compile(r"\*(?:[^\s,\[\]{}:]|:(?!\s|\Z))*")
+_YAML_BLOCK = re.compile(r"[|>](?:[1-9][+-]?|[+-][1-9]?)?[ \t]*(?:[ \t]#.*)?$", re.M)
+_YAML_REST = re.compile(r"[ \t]*$|[ \t]+#", re.M)
+_YAML_KEY = re.compile(r"[ \t]*:(?=\s|\Z)")
+#: A plain scalar of one line, with the colon that makes it a key.
+_YAML_PLAIN = re.compile(r"(?:[^\s:#]|(?<![ \t\n])#|:(?=\S)|[ \t]+(?![ \t#\n:]|\Z)|[ \t]+(?=:\S))+(?P<key>[ \t]*:(?=\s|\Z))?")
+
+
+def _quoted(text: str, pos: int) -> int:
+    m = _QUOTED[text[pos]].match(text, pos)
+    if not m:
+        raise Fault("unterminated literal")
+    return m.end()
+
+
+def _flow(text: str, pos: int) -> int:
+    """End of the flow collection that opens at ``pos``: a stack of the brackets that are open."""
+    stack: list[str] = []
+    start = True  # whether a scalar may begin here
+    while pos < len(text):
+        c = text[pos]
+        if c in "\"'" and start:
+            pos = _quoted(text, pos)
+            start = False
+            continue
+        if c == "#" and text[pos - 1] in " \t\n":
+            end = text.find("\n", pos)
+            pos = len(text) if end < 0 else end
+            continue
+        if c in "[{":
+            stack.append(PAIRS[c])
+        elif c in "]}":
+            if stack.pop() != c:
+                raise Fault(f"unbalanced {c}")
+            if not stack:
+                return pos + 1
+        if start and (m := _YAML_PROPERTY.match(text, pos)):
+            pos = m.end()
+            continue
+        if not c.isspace():
+            start = c in "[{,:?"
+        pos += 1
+    raise Fault(f"premature end, {stack[-1]} missing")
+
+
 def check_yaml(text: str) -> None:
-    """Line lexer for YAML: tabs as indentation, conflict markers, quotes and flow brackets that stay open."""
+    """Lexer for YAML on a stack of open block collections (kind, column) and flow brackets: conflict markers, tabs as indentation,
+    open quotes and brackets, entries that fit no open collection, keys within values. Explicit keys, directives and documents
+    that begin on the line of their marker are left to the grammar."""
     for m in _MARKER.finditer(text):
         if not m.group().startswith("=") or "<<<<<<<" in text:
             # in a block scalar a marker would be indented; at column 0 it is a conflict
             raise Fault("merge-conflict marker")
+    text = re.sub(r"\r\n?", "\n", text).removeprefix("\ufeff")
+    stack: list[tuple[str, int]] = []
+    pending = True  # whether a value is due
+    plain = False  # whether the last value was a plain scalar, which may go on
+    pos, n = 0, len(text)
+    while pos < n:
+        line = pos
+        end = text.find("\n", pos)
+        end = n if end < 0 else end
+        body = text[line:end]
+        lead = len(body) - len(body.lstrip(" "))
+        rest = body.strip()
+        top = stack[-1][1] if stack else -1
+        if not rest or rest.startswith("#"):
+            pos = end + 1
+            continue
+        if re.match(r"(?:---|\.\.\.)(?:\s|\Z)", body):
+            if body[3:].strip() and not body[3:].strip().startswith("#"):
+                return
+            stack, pending, plain = [], True, False
+            pos = end + 1
+            continue
+        if body[lead] == "\t":
+            if lead <= top:
+                raise Fault("tab as indentation")
+            return
+        if plain and lead > top:
+            m = _YAML_PLAIN.match(rest)
+            if m and m["key"]:
+                raise Fault("key within a value")
+            pos = end + 1
+            continue
+        if body.startswith("%"):
+            return
+        plain = False
+        popped = False
+        while stack and stack[-1][1] > lead:
+            stack.pop()
+            popped = True
+        pos = line + lead
+        value = False  # whether the key of this value is on this line
+        first = -1  # where the properties of what follows begin
+        while pos < n:
+            rest_of = _YAML_REST.match(text, pos)
+            if rest_of and (pos == n or text[pos] in " \t\n#"):
+                end = text.find("\n", pos)
+                pos = n if end < 0 else end
+                break
+            c, col = text[pos], pos - line
+            if c in " \t":
+                pos += 1
+                continue
+            mark = text[pos + 1 : pos + 2]
+            if c in "?:" and (not mark or mark.isspace()):
+                return
+            if c == "-" and (not mark or mark.isspace()):
+                if value:
+                    raise Fault("entry after a key")
+                if first >= 0:
+                    return
+                _enter(stack, "seq", col, pending and not popped)
+                pending, popped = True, False
+                pos += 1
+                continue
+            if m := _YAML_PROPERTY.match(text, pos):
+                first = col if first < 0 else first
+                pos = m.end()
+                continue
+            at = col if first < 0 else first
+            if m := _YAML_BLOCK.match(text, pos):
+                if not pending:
+                    raise Fault("a value that is not due")
+                parent = stack[-1][1] if stack else -1
+                pos = m.end() + 1
+                while pos < n:
+                    end = text.find("\n", pos)
+                    end = n if end < 0 else end
+                    inner = text[pos:end]
+                    if inner.strip() and (len(inner) - len(inner.lstrip(" ")) <= parent or parent < 0 and re.match(r"(?:---|\.\.\.)(?:\s|\Z)", inner)):
+                        break
+                    pos = end + 1
+                pending = False
+                pos -= 1
+                break
+            if c in "@`%]},|>":
+                raise Fault(f"stray {c!r}")
+            start = pos
+            scalar = False
+            if c in "\"'":
+                pos = _quoted(text, pos)
+            elif c in "[{":
+                pos = _flow(text, pos)
+            elif c == "*":
+                pos = _YAML_ALIAS.match(text, pos).end()
+            else:
+                m = _YAML_PLAIN.match(text, pos)
+                if not m:
+                    return
+                scalar, pos = True, m.end() - len(m["key"] or "")
+            if m := _YAML_KEY.match(text, pos):
+                if value:
+                    raise Fault("key within a value")
+                if "\n" in text[start:pos]:
+                    return
+                _enter(stack, "map", at, pending and not popped)
+                pending, popped, value, first = True, False, True, -1
+                pos = m.end()
+                continue
+            if not _YAML_REST.match(text, pos):
+                if scalar or text[pos] == "#":
+                    return
+                raise Fault("text after a value")
+            if stack and not value and col <= stack[-1][1]:
+                raise Fault("key without a colon")
+            if not pending or popped:
+                raise Fault("a value that is not due")
+            pending, plain = False, scalar
+            end = text.find("\n", pos)
+            pos = n if end < 0 else end
+            break
+        pos += 1
+
+
+def _enter(stack: list[tuple[str, int]], kind: str, col: int, due: bool) -> None:
+    """An entry of a block collection at ``col``: of the innermost that is open, or of a new one where a value is due."""
+    if kind == "map" and stack[-1:] == [("seq", col)] and stack[-2:-1] == [("map", col)]:
+        stack.pop()  # entries may stand below the key that holds them
+    if stack and stack[-1][1] == col and (stack[-1][0] == kind or not (kind == "seq" and due)):
+        if stack[-1][0] != kind:
+            raise Fault(f"{kind} within a collection of another kind")
+    elif due and (not stack or stack[-1][1] < col or kind == "seq" and stack[-1] == ("map", col)):
+        stack.append((kind, col))
+    else:
+        raise Fault("indentation that fits no collection")
+
+
+def _python_tokens(text: str, toks: list[Token]) -> list[Token]:
+    """What :func:`balance` can judge: all tokens, but none where the first fault follows a formatted string, whose quotes may nest."""
+    toks = [t for t in toks if t[0] != "err" or not (t[1].startswith("stray") and f"a{text[t[2]]}".isidentifier())]
+    for k, t in enumerate(toks):
+        if t[0] in ("str", "err") and re.match(r"[a-zA-Z]?[fFtT][a-zA-Z]?[\"']", text[t[2] : t[2] + 4]):
+            return toks if not any(x[0] == "err" for x in toks[k:]) else []
+        if t[0] == "err":
+            break
+    return toks
 
 
 def fault(text: str | None, lang: str | None) -> str | None:
@@ -436,8 +628,7 @@ def fault(text: str | None, lang: str | None) -> str | None:
             toks = tokens(text, lang)
             conflict_markers(text, toks)
             if lang == "py":
-                # f-strings may nest quotes, which the grammar judges; unpaired delimiters are judged here
-                balance([t for t in toks if t[0] != "err"] if not any(t[0] == "err" for t in toks) else [])
+                balance(_python_tokens(text, toks))
             elif lang == "toml":
                 balance([t for t in toks if t[0] != "err" or "unterminated" in t[1]])
             else:

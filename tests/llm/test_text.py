@@ -2,6 +2,7 @@
 
 import base64
 import random
+import sys
 
 import pytest
 
@@ -136,6 +137,32 @@ def test_secrets(text, values):
     assert [text[a:b] for a, b, _ in sec.find_secrets(text, WORDS)] == values
 
 
+@pytest.mark.parametrize("text", [*BROKEN["yaml"], "a: 'x\n", "a: [1, 2\n", "a: {b: ]\n", "a:\n    b: 1\n  c: 2\n", "- a\nb: 1\n", "a: 1\n- b\n", "a: - b\n", "a: x\nfoo\n", 'a: "x" y\n', "a: @x\n", "a: |\n  b\nc: {\n"])
+def test_yaml_lexer_alone(text):
+    with pytest.raises(syntax.Fault):
+        syntax.check_yaml(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [*VALID["yaml"], "a:\n- x\n- y\nb: 1\n", 'a: |\n  x: y: z\n  "[\n\nb: 2\n', "- - a\n  - b\n- c: 1\n  d: 2\n", "a: >-\n  t\nb: [x,\n y]\n", "&a k: &b\n  c: *a\n", "a: it's\nb: x#y\nc: http://x:1/y\n", "a: x\n  y z\nb: 1\n", "a: {x: 'i]t', y: it's}\n", "{a: 1}\n", "a: !t\r\n  b: 1\r\n", '"a b": \'c\'\n'],
+)
+def test_yaml_lexer_lets_pass(text):
+    assert syntax.check_yaml(text) is None and syntax.fault(text, "yaml") is None
+
+
+def test_yaml_grammar_is_needed(monkeypatch):
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    with pytest.raises(ImportError):
+        syntax.fault("a: 1\n", "yaml")
+
+
+def test_python_literals_are_judged_by_the_lexer(monkeypatch):
+    monkeypatch.setattr(syntax, "_exact", lambda text, lang: None)
+    assert syntax.fault("s = 'abc\n", "py") and syntax.fault("x = (1\ns = 'abc\n", "py") and syntax.fault("a = 1 $ 2\n", "py")
+    assert syntax.fault("s = f'{x['a']}'\n", "py") is None and syntax.fault("a\u00b7b = 1\n", "py") is None
+
+
 def test_long_secrets():
     draw = random.Random(7)
     key = base64.b64encode(draw.randbytes(660)).decode()
