@@ -99,6 +99,7 @@ QUERIES |= {
     "undo_history": lambda s, d: refactor.undo_history(_files(s, d)).select("op_id", "files"),
     "preview_rename": lambda s, d: refactor.preview_rename(graph(s, d), _files(s, d), NAME, "draw_beacon").select("path", "replacements"),
     "source_lines": lambda s, d: refactor.current_files(_files(s, d)).where("content <> ''").select("path", F.posexplode(F.split("content", "\n")).alias("pos", "text")).where("pos < 3").select("path", (F.col("pos") + 1).cast("bigint").alias("line_no"), "text"),
+    "file_lines": lambda s, d: refactor.file_lines(_files(s, d)),
 }
 
 V = f"""
@@ -271,4 +272,6 @@ SQL = {k: f"{_SAFE_W}{v}" for k, v in {
     "undo_history": "SELECT op_id, count(DISTINCT path) AS files FROM files WHERE op_id > 0 GROUP BY op_id ORDER BY op_id DESC LIMIT 50",
     "source_lines": f""", {_CUR} SELECT path, i AS line_no, string_split(content, chr(10))[i] AS text FROM (SELECT path, content, unnest(range(1, least(len(string_split(content, chr(10))), 3) + 1)) AS i
         FROM (SELECT DISTINCT f.path, f.content FROM files f JOIN cur USING (path, op_id) WHERE content <> ''))""",
+    "file_lines": f""", {_CUR} SELECT path, i AS line_no, l[i] AS text, printf('%4d | %s', i, l[i]) AS shown FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i
+        FROM (SELECT DISTINCT f.path, string_split_regex(regexp_replace(f.content, '\\r?\\n\\z', ''), '\\r?\\n') AS l FROM files f JOIN cur USING (path, op_id) WHERE content <> ''))""",
 }.items()}

@@ -41,17 +41,21 @@ def current_files(files: DataFrame) -> DataFrame:
     return files.join(newest, ["path", "op_id"], "left_semi").dropDuplicates(["path"])
 
 
-def source_lines(files: DataFrame, path: str, start: int = 1, end: int | None = None) -> DataFrame:
-    """Lines of the current version of a file: (line_no, text, shown); bounds are clamped, an unknown path or null content gives none."""
-    rows = current_files(files).where((F.col("path") == path) & F.col("content").isNotNull())
+def file_lines(files: DataFrame, start: int = 1, end: int | None = None) -> DataFrame:
+    """Lines of the current versions of all files: (path, line_no, text, shown); bounds are clamped, null and empty contents give none."""
     body = F.regexp_replace("content", r"\r?\n\z", "")
-    lines = rows.where("content <> ''").select(F.posexplode(F.split(body, r"\r?\n")).alias("pos", "text")).select((F.col("pos") + 1).cast("bigint").alias("line_no"), "text")
+    lines = current_files(files).where("content <> ''").select("path", F.posexplode(F.split(body, r"\r?\n")).alias("pos", "text")).select("path", (F.col("pos") + 1).cast("bigint").alias("line_no"), "text")
     lines = lines.where(F.col("line_no") >= max(1, start))
     if end is not None:
         lines = lines.where(F.col("line_no") <= end)
     return lines.withColumn("shown", F.format_string("%4d | %s", "line_no", "text"))
 
 
+def source_lines(files: DataFrame, path: str, start: int = 1, end: int | None = None) -> DataFrame:
+    """Lines of the current version of a file: (line_no, text, shown), as in :func:`file_lines`; an unknown path gives none."""
+    return file_lines(files.where(F.col("path") == path), start, end).drop("path")
+
+
 def identifiers(text: str, language: str, name: str) -> list[tuple[int, int]]:
     """(start, end) of every token of ``text`` that is exactly the identifier ``name``; comments and literals are left alone, but
     the expressions inside Python's f-strings and template literals count."""

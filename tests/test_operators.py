@@ -2,8 +2,9 @@
 
 import random
 
+from structgraph.catalog import core_queries
 from structgraph.model import quads_of
-from structgraph.operators import analytics, encode, export, resolve, store, traverse
+from structgraph.operators import analytics, encode, export, refactor, resolve, store, traverse
 from structgraph.sources.files import language, parse_files, read_tree, skipped
 
 
@@ -101,3 +102,15 @@ def test_exports_of_nothing(spark):
 def test_safe_ids(spark):
     df = spark.createDataFrame([("a.b-c d/e",)], "n string")
     assert df.select(export.safe_id(df.n)).first()[0] == "a_b_c_d_e"
+
+
+def test_file_lines_are_whole(spark, table):
+    files = spark.createDataFrame([("a", "old", 1, None), ("a", "1\r\n2\n3\n4\r\n\n6\n", 2, None), ("b", "x", 1, None), ("c", None, 1, None), ("d", "", 1, None)], "path string, content string, op_id long, label string")
+    assert [r.text for r in refactor.file_lines(files).where("path = 'a'").orderBy("line_no").collect()] == ["1", "2", "3", "4", "", "6"]
+    assert table(refactor.file_lines(files), "path", "line_no")[-1] == ("b", 1) and refactor.file_lines(files).count() == 7
+    assert table(refactor.source_lines(files, "a", -3, 2)) == [(1, "1", "   1 | 1"), (2, "2", "   2 | 2")]
+
+
+def test_file_lines_query_goes_beyond_the_head(spark, tmp_path):
+    spark.createDataFrame([("a", "\n".join("abcdef"), 1)], "path string, content string, op_id long").write.parquet(str(tmp_path / "files.parquet"))
+    assert [r.text for r in core_queries()["file_lines"](spark, str(tmp_path)).orderBy("line_no").collect()] == list("abcdef")
