@@ -81,6 +81,7 @@ _Q = {
     "export_mermaid": lambda g: export.mermaid_lines(traverse.inheritance_edges(g).select(F.col("base").alias("src"), F.col("cls").alias("dst"))),
     "export_dot": lambda g: export.dot_lines(traverse.file_dependencies(g)),
     "export_json": lambda g: export.json_rows(lookup.all_classes(g)).agg(F.count("*").alias("n")),
+    "export_json_rows": lambda g: export.json_rows(lookup.all_classes(g)),
 }
 
 
@@ -120,6 +121,8 @@ own AS (SELECT d.child AS uri, m.path FROM defs d JOIN mods m ON m.uri = d.paren
 hunk AS (SELECT DISTINCT m.path AS file, i.start_line + i.import_id % 40 AS start, i.import_id % 5 AS cnt FROM imports i JOIN (SELECT DISTINCT uri, path FROM modules) m ON m.uri = i.module WHERE i.from_module = '{PACKAGE}')
 """
 _ROW = "uri, name, kind, file, start_line, end_line"
+#: Fields of a row as JSON; a null one is left out.
+_FIELDS = ", ".join(f"""'"{c}":' || CASE WHEN {c} IS NOT NULL THEN CAST(to_json({c}) AS VARCHAR) END""" for c in _ROW.split(", "))
 _POU = lambda c: f"regexp_replace(regexp_replace({c}, '^[a-z]+://[^/]+/entity/', ''), '#.*$', '')"
 _STEM = lambda c: f"regexp_replace(regexp_replace({c}, '^.*/', ''), '[.][^.]*$', '')"
 
@@ -262,6 +265,7 @@ SQL = {k: f"{_SAFE_W}{v}" for k, v in {
     "export_dot": f""", {_FILE_DEPS} SELECT 0 AS section, 'digraph graph {{' AS line UNION SELECT 3, '}}' UNION SELECT 1, '    "' || src || '" -> "' || dst || '";' FROM fd
         UNION SELECT 2, '    "' || n || '" [label="' || n || '"];' FROM (SELECT src AS n FROM fd UNION SELECT dst FROM fd)""",
     "export_json": "SELECT count(*) AS n FROM ents WHERE kind = 'Class' AND start_line IS NOT NULL AND end_line IS NOT NULL",
+    "export_json_rows": f"SELECT '{{' || concat_ws(',', {_FIELDS}) || '}}' AS json FROM ents WHERE kind = 'Class' AND start_line IS NOT NULL AND end_line IS NOT NULL",
     "diff_hunks": "SELECT regexp_extract(file, '^([^/]+/[^/]+)/', 1) AS diff_id, file, start, cnt AS count FROM hunk",
     "changed_entities": f", {_CHANGED} SELECT uri, name, kind, file FROM ch",
     "diff_impact": f", {_CHANGED} SELECT * FROM dim",

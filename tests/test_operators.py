@@ -1,5 +1,6 @@
 """Operators on graphs made from small sources, against what follows by hand."""
 
+import json
 import random
 
 from structgraph.catalog import core_queries
@@ -114,3 +115,8 @@ def test_file_lines_are_whole(spark, table):
 def test_file_lines_query_goes_beyond_the_head(spark, tmp_path):
     spark.createDataFrame([("a", "\n".join("abcdef"), 1)], "path string, content string, op_id long").write.parquet(str(tmp_path / "files.parquet"))
     assert [r.text for r in core_queries()["file_lines"](spark, str(tmp_path)).orderBy("line_no").collect()] == list("abcdef")
+
+
+def test_json_query_returns_the_json(spark):
+    got = [json.loads(r.json) for r in core_queries()["export_json_rows"](spark, "/root/testdata/sf0.001").collect()]
+    assert got and all(set(r) == {"uri", "name", "kind", "file", "start_line", "end_line"} and r["kind"] == "Class" and r["end_line"] >= r["start_line"] for r in got)
