@@ -4,6 +4,7 @@ Layout statistics per file, held against thresholds per language, then what the
 bodies lie in several repositories.
 """
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -98,7 +99,7 @@ def layout(text: str) -> dict[str, float]:
     encoded = sum(len(m) for m in _RUN.findall(body) if len(set(m)) > 12 and (re.search(r"\d", m) and re.search(r"[A-Za-z]", m)))
     # the shape of a line: quoted texts, numbers and compound names made alike, signs dropped
     plain = _SIGNS.sub(" ", _NAMES.sub("w", _DIGITS.sub("0", _QUOTED.sub("S", body))))
-    shapes = Counter(x[:60] for x in plain.split("\n") if len(x) > 2)
+    shapes = Counter(x for x in plain.split("\n") if len(x) > 2)
     common = sum(k for _, k in shapes.most_common(2))
     full = sum(shapes.values())
     return {
@@ -113,6 +114,17 @@ def head_comment(text: str) -> str:
     return text[: _LEAD.match(text).end()]
 
 
+def _locks(text: str) -> bool:
+    """Whether a JSON text is a lock file by its own key, wherever that stands; one of a nested object says nothing."""
+    if '"lockfileVersion"' not in text:
+        return False
+    try:
+        d = json.loads(text.removeprefix("\ufeff"))
+    except (ValueError, RecursionError):
+        return bool(re.search(r'"lockfileVersion"\s*:\s*"?\d', text))
+    return isinstance(d, dict) and "lockfileVersion" in d
+
+
 def kind_by_layout(text: str, lang: str | None) -> str | None:
     """'minified', 'data' or 'generated' where the layout says so."""
     t = TUNED.get(lang or "", Thresholds())
@@ -121,7 +133,7 @@ def kind_by_layout(text: str, lang: str | None) -> str | None:
         return None
     if (s["max_line"] >= t.max_line or s["mean_line"] >= t.mean_line and s["n"] > 300) and s["line_space"] <= t.longest_word_line and s["whitespace"] <= t.whitespace and s["encoded"] < t.encoded:
         return "minified"
-    if lang == "json" and '"lockfileVersion"' in text[:400]:
+    if lang == "json" and _locks(text):
         return "generated"
     if s["encoded"] >= t.encoded and s["n"] > 200 or s["numeric"] >= t.numeric and s["numbers"] >= t.numbers:
         return "data"

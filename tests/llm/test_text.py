@@ -118,6 +118,14 @@ def test_copies_in_several_repositories(spark, table):
     assert provenance.file_kinds(files.limit(0)).count() == 0
 
 
+def test_whole_contents_are_judged():
+    deps = ", ".join(f'"dep{i}": "1.{i}"' for i in range(60))
+    assert provenance.kind_by_layout(f'{{"packages": {{{deps}}}, "lockfileVersion": 3}}', "json") == "generated"
+    assert provenance.kind_by_layout(f'{{"cases": [{{{deps}, "lockfileVersion": 3}}]}}', "json") is None
+    calls = "".join(f"    put(alpha, bravo, charlie, delta, echoes, foxtrot, golfer, hotel, indigo, {w}, {i})\n" for i, w in enumerate("juliet kilo lima mike november oscar papa quebec romeo sierra".split()))
+    assert provenance.layout(calls)["shape"] < 0.5 and provenance.kind_by_layout(calls, "py") is None
+
+
 WORDS = sec.Dictionary({w: 20 for w in "the password token secret is read from vault at start build digest tenant order packet load frame cursor resolve route state example internal limit reached".split()})
 
 
