@@ -10,6 +10,7 @@ from structgraph.llm.provenance import file_kinds
 from structgraph.llm.rows import distinct_by
 from structgraph.llm.secrets import secrets_in_files, word_counts
 from structgraph.llm.syntax import file_faults, indexer_view
+from structgraph.llm.terms import code_terms, term_frequencies
 from structgraph.llm.tokens import encode_documents, token_count
 from structgraph.plans.lineage import cut
 from structgraph.sources.tables import table
@@ -30,6 +31,14 @@ def p1_indexer(spark: SparkSession, root: str) -> DataFrame:
     return indexer_view(table(spark, root, "index_runs"))
 
 
+def p2_terms(spark: SparkSession, root: str) -> DataFrame:
+    return term_frequencies(code_terms(*(table(spark, root, n) for n in ("calls", "imports", "decorators"))))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return p2_terms(spark, root).where("mark <> 'useful'").select("field", "term", "mark")
+
+
 def _p4(spark: SparkSession, root: str, redacted: bool) -> DataFrame:
     files = table(spark, root, "files").select("file_id", "repo", "content")
     return secrets_in_files(files, word_counts(files), redacted)
@@ -104,9 +113,29 @@ def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
     return _p10(spark, root, True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_indexer, p4_found, p4_redacted, p6_found, p6_pairs, p7_found, p7_report, p8_ids, p9_containers, p9_report, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_indexer, p2_found, p2_terms, p4_found, p4_redacted, p6_found, p6_pairs, p7_found, p7_report, p8_ids, p9_containers, p9_report, p10_found, p10_redacted)}
+
+_EDGE = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
+_STRIP = lambda c: f"regexp_replace({c}, {_EDGE})"
+
+_TERMS = f"""
+occ AS (
+  SELECT DISTINCT 'call' AS field, {_STRIP('target')} AS term, caller AS record, CAST(call_id AS VARCHAR) AS row_id FROM calls
+  UNION ALL SELECT DISTINCT 'import', {_STRIP('imported')}, module, CAST(import_id AS VARCHAR) FROM imports
+  UNION ALL SELECT DISTINCT 'decorator', {_STRIP(f"regexp_replace({_STRIP('decorator')}, '^@+', '')")}, uri, CAST(seen_at AS VARCHAR) FROM decorators),
+good AS (SELECT * FROM occ WHERE term <> '' AND record IS NOT NULL),
+tot AS (SELECT field, count(DISTINCT record) AS total FROM good GROUP BY field),
+freq AS (
+  SELECT field, term, count(DISTINCT (record, row_id)) AS occurrences, count(DISTINCT record) AS records FROM good GROUP BY field, term),
+marked AS (
+  SELECT field, term, occurrences, records,
+         CASE WHEN records < 2 THEN 'rare' WHEN records > total * 0.05 THEN 'common' ELSE 'useful' END AS mark
+  FROM freq JOIN tot USING (field))
+"""
 
 SQL: dict[str, str] = {
+    "p2_terms": f"WITH {_TERMS} SELECT * FROM marked",
+    "p2_found": f"WITH {_TERMS} SELECT field, term, mark FROM marked WHERE mark <> 'useful'",
     "p1_indexer": r"""WITH once AS (SELECT DISTINCT run_id, repo, files_indexed, errors FROM index_runs),
         said AS (SELECT DISTINCT repo, regexp_replace(regexp_extract(e, '^([^:]+):', 1), '^(/builds/|[.]/)', '') AS path
                  FROM (SELECT repo, unnest(errors) AS e FROM once)
