@@ -1,22 +1,13 @@
-"""Queries of the general data problems: 2 (terms), 3 (orphan references), 5 (hierarchies)."""
+"""Queries of the general data problems: 3 (orphan references), 5 (hierarchies)."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structgraph.operators.hierarchy import class_parents, descendant_pairs, hierarchy, tree_paths
 from structgraph.operators.references import code_references, orphan_report
-from structgraph.operators.terms import code_terms, term_frequencies
 from structgraph.sources.tables import table
 
 
-def p2_terms(spark: SparkSession, root: str) -> DataFrame:
-    return term_frequencies(code_terms(*(table(spark, root, n) for n in ("calls", "imports", "decorators"))))
-
-
-def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return p2_terms(spark, root).where("mark <> 'useful'").select("field", "term", "mark")
-
-
 def _states(spark: SparkSession, root: str) -> DataFrame:
     return code_references(*(table(spark, root, n) for n in ("calls", "inherits", "imports", "entities", "modules", "packages")))
 
@@ -49,26 +40,11 @@ def p5_descendants(spark: SparkSession, root: str) -> DataFrame:
     return descendant_pairs(tree_paths(_tree(spark, root)))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_report, p5_found, p5_intervals, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_intervals, p5_paths, p5_descendants)}
 
 _EDGE = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
 _STRIP = lambda c: f"regexp_replace({c}, {_EDGE})"
 
-_TERMS = f"""
-occ AS (
-  SELECT DISTINCT 'call' AS field, {_STRIP('target')} AS term, caller AS record, CAST(call_id AS VARCHAR) AS row_id FROM calls
-  UNION ALL SELECT DISTINCT 'import', {_STRIP('imported')}, module, CAST(import_id AS VARCHAR) FROM imports
-  UNION ALL SELECT DISTINCT 'decorator', {_STRIP(f"regexp_replace({_STRIP('decorator')}, '^@+', '')")}, uri, CAST(seen_at AS VARCHAR) FROM decorators),
-good AS (SELECT * FROM occ WHERE term <> '' AND record IS NOT NULL),
-tot AS (SELECT field, count(DISTINCT record) AS total FROM good GROUP BY field),
-freq AS (
-  SELECT field, term, count(DISTINCT (record, row_id)) AS occurrences, count(DISTINCT record) AS records FROM good GROUP BY field, term),
-marked AS (
-  SELECT field, term, occurrences, records,
-         CASE WHEN records < 2 THEN 'rare' WHEN records > total * 0.05 THEN 'common' ELSE 'useful' END AS mark
-  FROM freq JOIN tot USING (field))
-"""
-
 _CLASS_NAME = lambda c: f"nullif({_STRIP(rf'''regexp_replace(regexp_replace({_STRIP(c)}, '[<\[(].*$', ''), '^.*(\.|::)', '')''')}, '')"
 _NORMAL = lambda c: (
     f"array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(string_split({c}, '/'), lambda x: x NOT IN ('', '.')), lambda x: [x])), "
@@ -125,8 +101,6 @@ tree AS (
 """
 
 SQL = {
-    "p2_terms": f"WITH {_TERMS} SELECT * FROM marked",
-    "p2_found": f"WITH {_TERMS} SELECT field, term, mark FROM marked WHERE mark <> 'useful'",
     "p3_found": f"WITH {_STATES} SELECT table_name, ref_id, state FROM states WHERE state IS NOT NULL",
     "p3_report": f"""WITH {_STATES} SELECT table_name, strftime(seen_at, '%Y-%m') AS period, count(*) AS refs,
         count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'deleted') AS deleted, count(*) FILTER (state = 'late') AS late

@@ -1,37 +1,15 @@
-"""Problems 2, 3 and 5 against brute force, with nulls, repeats, ties, loops and empty tables."""
+"""Problems 3 and 5 against brute force, with nulls, repeats, ties, loops and empty tables."""
 
 import random
 from datetime import datetime
 
 from structgraph.operators.hierarchy import descendant_pairs, hierarchy, tree_paths
 from structgraph.operators.references import base_references, code_references, import_references, orphan_references, orphan_report
-from structgraph.operators.terms import code_terms, occurrences, term_frequencies
 from structgraph.plans.skew import salted_lookup
 
 T = [datetime(2024, 1, d) for d in range(1, 29)]
 
 
-def test_terms_count_occurrences_and_records(spark, table):
-    calls = spark.createDataFrame(
-        [(1, "a", " f "), (1, "a", " f "), (2, "a", "f"), (3, "b", "f"), (4, "b", None), (5, "c", " \t"), (6, None, "g"), (7, "c", "g\u00a0")], "call_id bigint, caller string, target string"
-    )
-    imports = spark.createDataFrame([], "import_id bigint, module string, imported string")
-    decos = spark.createDataFrame([("u", " @x", T[0]), ("u", "@x", T[0]), ("v", "x ", T[1]), ("v", "@ ", T[1])], "uri string, decorator string, seen_at timestamp")
-    got = table(term_frequencies(code_terms(calls, imports, decos)))
-    assert got == sorted([("call", "f", 3, 2, "common"), ("call", "g", 1, 1, "rare"), ("decorator", "x", 2, 2, "common")], key=repr)
-
-
-def test_terms_of_nothing(spark, table):
-    none = spark.createDataFrame([], "field string, term string, record string, row_id string, term2 string")
-    assert table(term_frequencies(none)) == []
-
-
-def test_terms_bounds_follow_the_field(spark, table):
-    df = spark.createDataFrame([(i, f"r{i}", "often" if i < 10 else "seldom" if i < 12 else f"t{i}") for i in range(100)], "id bigint, r string, t string")
-    got = {r[1]: r[4] for r in table(term_frequencies(occurrences(df, "f", df.t, df.r, df.id)))}
-    assert got["often"] == "common" and got["seldom"] == "useful" and got["t50"] == "rare"
-
-
 def test_orphans_states(spark, table):
     refs = spark.createDataFrame(
         [("t", 1, "", "a", T[5]), ("t", 1, "", "a", T[5]), ("t", 2, "", "a", T[0]), ("t", 3, "", "a", T[9]), ("t", 4, "", "zz", T[5]), ("t", 5, "", None, T[5]), ("t", 6, "", "a", T[20]), ("t", 7, "", "a", None)],
