@@ -8,7 +8,7 @@ from structgraph.llm.packing import pack, packing_report
 from structgraph.llm.pii import fitted, known_names, learned_given, personal_mentions
 from structgraph.llm.provenance import file_kinds
 from structgraph.llm.rows import distinct_by
-from structgraph.llm.secrets import secrets_in_files, word_counts
+from structgraph.llm.secrets import scanned, secrets_in_files, word_counts
 from structgraph.llm.syntax import file_faults, indexer_view
 from structgraph.llm.terms import code_terms, term_frequencies
 from structgraph.llm.tokens import encode_documents, token_count
@@ -41,7 +41,8 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def _p4(spark: SparkSession, root: str, redacted: bool) -> DataFrame:
     files = table(spark, root, "files").select("file_id", "repo", "content")
-    return secrets_in_files(files, word_counts(files), redacted)
+    scan = scanned(files)
+    return secrets_in_files(files, word_counts(files, scan=scan), redacted, scan)
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

@@ -10,15 +10,15 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structgraph.functions.lexers import line_of, line_starts
+from structgraph.plans.lineage import stored
 
-#: Size bound of the dictionary that is sent to the executors: the words in most repositories.
-DICTIONARY_WORDS = 50_000
 #: Share of the repositories that a word of the dictionary must be in.
 WORD_SHARE = 0.1
 #: Unexplained characters from which a value named as a secret is one.
@@ -72,10 +72,12 @@ _CURL = re.compile(r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[= ]\s*[\"']?[^
 #: Prose that tells a credential: "login is NAME / VALUE", "password was VALUE".
 _PROSE = re.compile(
     r"\b(?:logins?|credentials?|creds|account|user)\b[^\n/|:=]{0,24}?(?:is|are|was|were|[:=])\s+[\w.@-]+\s*(?:/|\||:|,|\s)\s*(?P<v>[^\s\"'`]{6,})|"
-    r"\b(?:password|passwd|passwort|pw|pwd|passphrase|token|secret|api key|key)\s+(?:is|was|now|ist|es|est)\s*[:=]?\s+[\"'`]?(?P<w>[^\s\"'`]{6,})|"
-    r"(?:#|//|--|\*)[^\n:=]{0,40}?\b(?:password|passwd|passwort|pw|pwd|passphrase|token|secret|(?:api |access )?key)\s*[:=]\s+(?P<x>[^\s\"'`]{6,})",
+    r"\b(?:password|passwd|passwort|pw|pwd|passphrase|token|secret|api key|key)\s+(?:is|was|now|ist|es|est)\s*[:=]?\s+[\"'`]?(?P<w>[^\s\"'`]{6,})",
     re.I,
 )
+#: ... and the form "password: VALUE" in a comment.
+_PROSE_NAMED = re.compile(r"\b(?:password|passwd|passwort|pw|pwd|passphrase|token|secret|key)\s*[:=]\s+(?P<x>[^\s\"'`]{6,})", re.I)
+_COMMENT_LEAD = re.compile(r"(?:#|//|--|\*)[^:=]*\Z")
 
 _LIT = r"(?:[bBuUrRfFL]{0,2})(?:\"\"\"(?P<t{n}>(?:\\.|(?!\"\"\")[^\\])*)\"\"\"|\"(?P<d{n}>(?:\\.|[^\"\\\n])*)\"|'(?P<s{n}>(?:\\.|[^'\\\n])*)'|`(?P<b{n}>(?:\\.|[^`\\])*)`)"
 _LITERAL = re.compile(_LIT.replace("{n}", ""), re.S)
@@ -85,10 +87,10 @@ _FALLBACK = re.compile(
     r"(?:getenv|environ\.get|environ|getProperty|getOrDefault|get_env|env|getEnv|fetch|setdefault|get)\(?\s*\(\s*[\"'](?P<a>[\w.-]+)[\"']\s*,\s*\Z|process\.env(?:\.(?P<b>\w+)|\[\s*[\"'](?P<c>\w+)[\"']\s*\])\s*\)?\s*(?:\|\||\?\?)\s*\Z|"
     r"(?:getenv|environ\.get|System\.getenv)\(\s*[\"'](?P<d>\w+)[\"']\s*\)\s*(?:or|\|\||\?\?|\?:)\s*\Z"
 )
-_BARE = re.compile(r"(?<![\w$.-])(?P<k>[^\W\d][\w$.-]*+)[ \t]*+[:=][ \t]++(?P<v>[^\s\"'`#|>&*!,\[{(][^\s\"'`,;]{5,}+)[ \t]*+(?:#.*|\*/|-->)?\r?$", re.M)
+_BARE = re.compile(r"(?<![\w$.-])(?P<k>[^\W\d][\w$.-]*+)[ \t]*+[:=][ \t]++(?P<v>[^\s\"'`#|>&*!,\[{(][^\s\"'`,;]{2,}+)[ \t]*+(?:#.*|\*/|-->)?\r?$", re.M)
 #: What may stand before such a key: list and comment marks and a few plain words.
 _BARE_LEAD = re.compile(r"[ \t]*+(?:(?://+|#+|--|/?\*+|;+|<!--|-)[ \t]*+)*+(?:[\w$.-]+[ \t]+){0,4}\Z")
-_BARE_TIGHT = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|ENV[ \t]+)?(?P<k>[A-Za-z_][\w.-]*)=(?P<v>[^\s\"'`#|>&!,\[{(][^\s\"'`,;]{5,})[ \t]*\r?$", re.M)
+_BARE_TIGHT = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|ENV[ \t]+)?(?P<k>[A-Za-z_][\w.-]*)=(?P<v>[^\s\"'`#|>&!,\[{(][^\s\"'`,;]{2,})[ \t]*\r?$", re.M)
 
 
 def name_words(name: str) -> list[str]:
@@ -161,121 +163,119 @@ class Dictionary:
         return open_[n]
 
 
-def words_outside(text: str | None, blank: Dictionary) -> set[str]:
-    """Words of ``text`` outside everything that would be a secret if no word explained anything (``blank`` has none), and outside
-    runs of letters and digits, which are codes. Case changes and signs part words; words of one or two letters are left out."""
-    if not text:
-        return set()
-    out, at = [], 0
-    for a, b, _ in find_secrets(text, blank):
-        out.append(text[at:a])
-        at = b
-    out.append(text[at:])
-    return set(re.findall(r"[a-z]{3,24}", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", re.sub(r"[A-Za-z]*\d[A-Za-z\d]*", " ", " ".join(out))).lower()))
+class Candidate(NamedTuple):
+    """What may be a secret by its place: the stretches of its pieces, the rule that proposed it, the value and the name it stands under."""
 
+    starts: list[int]
+    ends: list[int]
+    rule: str
+    value: str
+    key: str
 
-def word_counts(files: DataFrame, min_repos: int = 2, size: int = DICTIONARY_WORDS, min_share: float = WORD_SHARE) -> dict[str, int]:
-    """Dictionary of the corpus: words outside candidate secrets in at least ``min_repos`` repositories and ``min_share`` of all that
-    have contents, with their number of repositories, the ``size`` commonest ones. Shares stay as they are when the corpus grows or is
-    copied, so noise does not become words. Counted over all contents, on distinct (word, repository) pairs combined before the
-    shuffle; only ``size`` rows, the documented bound, come to the driver.
-    """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blank = Dictionary({})
-        for pdf in batches:
-            # the empty word stands for the repository itself
-            pairs = {(r, w) for r, c in zip(pdf["repo"], pdf["content"]) for w in ("", *words_outside(c, blank))}
-            yield pd.DataFrame(list(pairs), columns=["repo", "word"], dtype=object)
+#: Letters of which a name of a secret has some, the words above without those that contain another; a cheap test before the exact ones.
+_STEMS = [w for w in sorted(_SECRET_WORDS | {"key"}) if not any(v in w for v in (_SECRET_WORDS | {"key"}) - {w})]
+#: Letters without which a form cannot occur in a text.
+_NEEDS = {
+    "_USERINFO": ("://",), "_DSN": ("pwd=", "password=", "passwd="), "_BEARER": ("bearer", "basic", "token"), "_OPTION": ("-pass", "-pwd", "-token", "-secret", "-api", "-access", "-auth"),
+    "_CURL": ("curl", "wget", "http"), "PROVIDER": ("gh", "glpat-", "xox", "akia", "asia", "agpa", "aida", "aroa", "aiza", "k_live_", "sk-", "sg.", "npm_", "pypi-", "dop_v1_", "shp", "hf_", "eaac", "ya29.", "eyj"),
+}
+#: Words that hold sentences together, in several languages; fixed list.
+_GLUE = set("the a an of to in is are was for and or when where that this with by from on at be it its as must may der die das und ist von zu mit le la les et de du des est el los y en que para por o os da do um uma".split())
+
 
-    words = files.where(F.col("content").isNotNull()).select("repo", "content").mapInPandas(scan, "repo string, word string")
-    counted = words.distinct().groupBy("word").count().where(F.col("count") >= min_repos)
-    # no word is in more repositories than there are, so the empty one comes first
-    top = [(r["word"], r["count"]) for r in counted.orderBy(F.desc("count"), "word").limit(size + 1).collect()]
-    return {w: n for w, n in top[1:] if n >= min_share * top[0][1]}
+def _classes(v: str) -> int:
+    return bool(re.search(r"[a-z]", v)) + bool(re.search(r"[A-Z]", v)) + bool(re.search(r"\d", v)) + bool(re.search(r"[^\w\s]", v))
 
 
 def _usable(value: str) -> bool:
-    """Whether a value can be a secret at all: no placeholder, reference, pattern, digest or public key."""
+    """Whether a value can be a secret at all: no placeholder, reference, pattern, digest or public key. A value of less than six
+    characters must mix kinds of characters as only passwords do."""
     v = value.strip()
-    return len(v) >= 6 and not _PLACEHOLDER.match(v) and not _REFERENCE.search(v) and not _DIGEST.match(v) and not _PATTERN.search(v) and not _PUBLIC.search(v) and "EXAMPLE" not in v
+    if len(v) < 6 and (_classes(v) < 3 or " " in v):
+        return False
+    return not _PLACEHOLDER.match(v) and not _REFERENCE.search(v) and not _DIGEST.match(v) and not _PATTERN.search(v) and not _PUBLIC.search(v) and "EXAMPLE" not in v
 
 
 def _prose(value: str) -> bool:
-    """Whether a value is a text of words; a key that is wrapped over lines is none."""
-    parts = value.split()
-    return len(parts) > 6 and not all(len(p) >= 32 for p in parts[:-1])
+    """Whether a value is a sentence, by the words that hold sentences together; the length does not matter."""
+    parts = [p.lower().strip(".,:;!?()") for p in value.split()]
+    glue = [p for p in parts if p in _GLUE]
+    return len(set(glue)) >= 2 and len(glue) >= 0.25 * len(parts)
 
 
 def _blob(value: str) -> bool:
-    """Whether a long value is data by its content: a list, filler, or base64 of a file format or certificate."""
+    """Whether a value is data by its content: a list, filler, or base64 of a file format or certificate."""
     v = re.sub(r"\s", "", value)
-    if len(v) <= 300:
-        return False
-    if len(re.findall(r"[,;]", v)) >= 8 or max(map(v.count, set(v))) > 0.25 * len(v):
+    if len(re.findall(r"[,;]", v)) >= 8 or max(map(v.count, set(v)), default=0) > max(8, 0.25 * len(v)):
         return True
     try:
-        return bool(_FILE_FORMAT.match(base64.b64decode(v[:64].replace("-", "+").replace("_", "/"))))
+        return bool(_FILE_FORMAT.match(base64.b64decode(v[: min(64, len(v) // 4 * 4)].replace("-", "+").replace("_", "/"))))
     except ValueError:
         return False
 
 
-def _bare(value: str, words: Dictionary) -> bool:
-    """A token that needs no name: long, unbroken, mixing letters and digits, and nearly all residual."""
-    v = value.strip()
+def _bare_form(v: str) -> bool:
+    """The form of a token that needs no name: long, unbroken, mixing letters and digits."""
     if len(v) < 20 or re.search(r"[\s/\\(){}<>]|^https?:|\.\w{1,4}$", v) or not (re.search(r"\d", v) and re.search(r"[A-Za-z]", v)):
         return False
-    if re.fullmatch(r"[\d.,eExXa-fA-F+-]+", v) or re.match(r"data:|urn:|[\w.-]+@", v) or _blob(v):
-        return False
-    r = words.residual(v)
-    return r >= BARE_RESIDUAL and r >= 0.7 * len(re.sub(r"[.:]", "", v))
+    return not re.fullmatch(r"[\d.,eExXa-fA-F+-]+", v) and not re.match(r"data:|urn:|[\w.-]+@", v) and not _blob(v)
 
 
-def find_secrets(text: str | None, words: Dictionary) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every stretch of a secret's value, in order, without overlaps; a value in pieces gives one stretch
-    per piece, those after the first with kind '+'. Null or empty texts have none."""
+def candidates(text: str | None) -> list[Candidate]:
+    """Everything in a text that would be a secret if no word explained anything: places and forms only, no dictionary.
+
+    Null and empty texts have none. No length, number of pieces or place in the text leaves anything out.
+    """
     if not text:
         return []
-    found: list[tuple[int, int, str]] = []
-
-    def add(a: int, b: int, kind: str) -> None:
-        if all(b <= x or a >= y for x, y, _ in found):
-            found.append((a, b, kind))
-
-    for m in _BLOCK.finditer(text):
-        end = _BLOCK_END.search(text, m.end())
-        stop = end.end() if end else min(len(text), m.end() + 4000)
-        if len(re.findall(r"[A-Za-z0-9+/=]", text[m.end() : (end.start() if end else stop)])) >= 40:
-            if not end:
-                body = re.match(r"(?:\\r|\\n|[A-Za-z0-9+/=\s\"'+\;`,:-])*", text[m.end() :])
-                stop = m.end() + len(body.group().rstrip())
-            add(m.start(), stop, "private_key")
-    for rx, kind in ((_USERINFO, "password"), (_DSN, "password"), (_BEARER, "token"), (_OPTION, "password"), (_CURL, "password")):
-        for m in rx.finditer(text):
+    found: list[Candidate] = []
+    low = text.lower()
+
+    def add(a: int, b: int, rule: str, key: str = "") -> None:
+        found.append(Candidate([a], [b], rule, text[a:b], key))
+
+    def matches(name: str) -> Iterator[re.Match]:
+        return globals()[name].finditer(text) if any(x in low for x in _NEEDS[name]) else iter(())
+
+    if "private key" in low:
+        for m in _BLOCK.finditer(text):
+            end = _BLOCK_END.search(text, m.end())
+            again = _BLOCK.search(text, m.end())
+            if end and again and again.start() < end.start():
+                end = None
+            # a block without an end goes on as far as its characters do
+            stop = end.end() if end else m.end() + len(re.match(r"(?:\\r|\\n|[A-Za-z0-9+/=\s\"'+\;`,:-])*", text[m.end() : again.start() if again else None]).group().rstrip())
+            if len(re.findall(r"[A-Za-z0-9+/=]", text[m.end() : end.start() if end else stop])) >= 40:
+                add(m.start(), stop, "block")
+    for name in ("_USERINFO", "_DSN", "_BEARER", "_OPTION", "_CURL"):
+        for m in matches(name):
             v = m["v"]
-            if _PLACEHOLDER.match(v) or _REFERENCE.search(v) or len(v) < 6:
+            if _PLACEHOLDER.match(v) or _REFERENCE.search(v) or len(v) < 6 and _classes(v) < 3 or _DIGEST.match(v) and name != "_BEARER":
                 continue
-            if kind == "token" and words.residual(v) < 8 or _DIGEST.match(v) and rx is not _BEARER:
-                continue
-            if rx is not _BEARER and words.residual(v) < 3:
-                continue
-            add(m.start("v"), m.end("v"), kind)
-    for m in _PROSE.finditer(text):
-        v = m[m.lastgroup]
-        if _usable(v) and re.search(r"\d", v) and words.residual(v) >= 7 and not re.search(r"[(){}]|^\w+\.\w+$", v):
-            add(m.start(m.lastgroup), m.end(m.lastgroup), "password")
-    for m in PROVIDER.finditer(text):
+            add(m.start("v"), m.end("v"), "bearer" if name == "_BEARER" else "form")
+    stems = [w for w in _STEMS if w in low]
+    if stems or "login" in low or "account" in low or "user" in low:
+        for m in _PROSE.finditer(text):
+            v = m[m.lastgroup]
+            if re.search(r"\d", v) and _usable(v) and not re.search(r"[(){}]|^\w+\.\w+$", v):
+                add(m.start(m.lastgroup), m.end(m.lastgroup), "prose")
+        for m in _PROSE_NAMED.finditer(text) if stems else ():
+            v = m["x"]
+            if re.search(r"\d", v) and _COMMENT_LEAD.search(text[text.rfind("\n", 0, m.start()) + 1 : m.start()]) and _usable(v) and not re.search(r"[(){}]|^\w+\.\w+$", v):
+                add(m.start("x"), m.end("x"), "prose")
+    for m in matches("PROVIDER"):
         if "EXAMPLE" not in m.group() and not re.search(r"(.)\1{7,}", m.group()):
-            add(m.start(), m.end(), "token")
+            add(m.start(), m.end(), "provider")
     # literals, joined where a value is written in pieces
-    pos = 0
+    pos, size = 0, len(text)
     while True:
         m = _LITERAL.search(text, pos)
         if not m:
             break
         pieces = [m]
         end = m.end()
-        while True:
+        while end < size and text[end] in " \t\r\n+.\\":
             j = _JOIN.match(text, end)
             nxt = _LITERAL.match(text, j.end()) if j else None
             if not nxt or j.group().strip() in ("", ".") and "\n" in j.group() and not text[j.end() - 1 :].startswith((" ", "\t", '"', "'", "\n")):
@@ -284,51 +284,158 @@ def find_secrets(text: str | None, words: Dictionary) -> list[tuple[int, int, st
             end = nxt.end()
         pos = end
         start = m.start()
-        first = text[m.start(m.lastgroup) : m.end(m.lastgroup)]
         line = text.rfind("\n", 0, start) + 1
         lead = text[line:start]
         if not lead.strip() and line:
-            above = text.rfind("\n", 0, line - 1) + 1
-            lead = text[above:start]
-        if re.match(r"\s*(?:=>|:=|:)(?!:)", text[end : end + 4]) and len(pieces) == 1 and not re.search(r"[=(]\s*$", lead):
+            lead = text[text.rfind("\n", 0, line - 1) + 1 : start]
+        said = lead.lower() if stems else ""
+        named = any(w in said for w in stems)
+        if not named and end - start < 20:
+            continue  # neither a name nor the length of a token that needs none
+        if len(pieces) == 1 and re.match(r"\s*(?:=>|:=|:)(?!:)", text[end : end + 4]) and not re.search(r"[=(]\s*$", lead):
             continue  # a key, not a value
         value = "".join(p[p.lastgroup] for p in pieces)
         if not _usable(value):
             continue
-        k = _FALLBACK.search(lead)
-        key = next((g for g in k.groups() if g), "") if k else ""
-        if not k:
-            k = _KEY.search(lead)
-            key = re.sub(r"[\"'\[\]]", " ", k["k"]).split()[-1] if k and re.sub(r"[\"'\[\]]", " ", k["k"]).split() else ""
-        kind = None
+        key = ""
+        if named:
+            k = _FALLBACK.search(lead)
+            key = next((g for g in k.groups() if g), "") if k else ""
+            if not k:
+                k = _KEY.search(lead)
+                parts = re.sub(r"[\"'\[\]]", " ", k["k"]).split() if k else []
+                key = parts[-1] if parts else ""
         if key and names_secret(key):
-            phrase = any(x in key.lower() for x in ("pass", "pwd", "kennwort", "contras", "senha"))
-            if words.residual(value) >= (PHRASE_RESIDUAL if phrase else NAMED_RESIDUAL) and not _prose(value) and not _blob(value):
-                kind = "password" if re.search(r"(?i)pass|pwd|kenn|contras|senha", key) else "token"
-        elif PROVIDER.search(value) and len(pieces) > 1:
-            kind = "token"
-        elif _bare(value, words):
-            kind = "token"
-        if kind:
-            for i, p in enumerate(pieces):
-                a, b = p.start(p.lastgroup), p.end(p.lastgroup)
-                if b > a:
-                    add(a, b, kind if i == 0 else "+")
+            rule = "phrase" if any(x in key.lower() for x in ("pass", "pwd", "kennwort", "contras", "senha")) else "named"
+            if _prose(value) or len(value) > 64 and _blob(value):
+                continue
+        elif len(pieces) > 1 and PROVIDER.search(value):
+            rule = "provider"
+        elif _bare_form(value.strip()):
+            rule = "bare"
+        else:
+            continue
+        at = [(p.start(p.lastgroup), p.end(p.lastgroup)) for p in pieces]
+        at = [(a, b) for a, b in at if b > a]
+        found.append(Candidate([a for a, _ in at], [b for _, b in at], rule, value, key))
     for rx in (_BARE, _BARE_TIGHT):
         for m in rx.finditer(text):
             v, key = m["v"], m["k"]
+            secret = names_secret(key)
+            if not secret and len(v) < 20:
+                continue
             if rx is _BARE and not _BARE_LEAD.match(text[text.rfind("\n", 0, m.start()) + 1 : m.start()]):
                 continue
-            if not _usable(v) or re.search(r"\w\(|[({\[]$|->|::", v) or re.search(r"^[A-Za-z_]\w*\.[A-Za-z_]\w*$", v) and words.residual(v) < 10:
+            if not _usable(v) or re.search(r"\w\(|[({\[]$|->|::", v):
                 continue
-            if names_secret(key) and words.residual(v) >= NAMED_RESIDUAL and (re.search(r"\d", v) or words.residual(v) >= 10):
-                add(m.start("v"), m.end("v"), "password" if re.search(r"(?i)pass|pwd", key) else "token")
-            elif _bare(v, words) and not re.search(r"[=;]$", v):
-                add(m.start("v"), m.end("v"), "token")
-    found.sort()
+            if secret:
+                add(m.start("v"), m.end("v"), "plain", key)
+            if _bare_form(v) and not re.search(r"[=;]$", v):
+                add(m.start("v"), m.end("v"), "bare", key)
     return found
 
 
+def is_secret(rule: str, value: str, words: Dictionary) -> bool:
+    """Whether a candidate is a secret: what the words of the dictionary leave of its value, against the bound of its rule."""
+    if rule == "block":
+        return words.residual(re.sub(r"-----[^-]*-----|\\[rn]|[^A-Za-z0-9]", "", value)) >= BARE_RESIDUAL
+    left = words.residual(value)
+    if rule in ("form", "phrase"):
+        return left >= PHRASE_RESIDUAL
+    if rule == "named":
+        return left >= NAMED_RESIDUAL
+    if rule == "prose":
+        return left >= 7
+    if rule in ("bearer", "provider"):
+        return left >= 8
+    if rule == "plain":
+        return left >= NAMED_RESIDUAL and (re.search(r"\d", value) is not None or left >= 10) and (left >= 10 or not re.search(r"^[A-Za-z_]\w*\.[A-Za-z_]\w*$", value))
+    return left >= BARE_RESIDUAL and left >= 0.7 * len(re.sub(r"[.:]", "", value.strip()))
+
+
+def _kind(rule: str, key: str) -> str:
+    if rule == "block":
+        return "private_key"
+    return "password" if rule in ("form", "prose") or rule in ("phrase", "named", "plain") and re.search(r"(?i)pass|pwd|kenn|contras|senha", key) else "token"
+
+
+def judge(found: list[Candidate], words: Dictionary) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of every stretch of a secret's value among candidates, in order, without overlaps, the earlier candidate
+    first; a value in pieces gives one stretch per piece, those after the first with kind '+'."""
+    out: list[tuple[int, int, str]] = []
+    for c in found:
+        if is_secret(c.rule, c.value, words):
+            for i, (a, b) in enumerate(zip(c.starts, c.ends)):
+                if all(b <= x or a >= y for x, y, _ in out):
+                    out.append((a, b, _kind(c.rule, c.key) if i == 0 else "+"))
+    return sorted(out)
+
+
+def find_secrets(text: str | None, words: Dictionary) -> list[tuple[int, int, str]]:
+    """:func:`judge` of the :func:`candidates` of a text."""
+    return judge(candidates(text), words)
+
+
+_BLANK = Dictionary({})
+
+
+def words_outside(text: str | None, found: list[Candidate] | None = None) -> set[str]:
+    """Words of ``text`` outside everything that would be a secret if no word explained anything, and outside runs of letters and
+    digits, which are codes. Case changes and signs part words; words of one or two letters are left out."""
+    if not text:
+        return set()
+    out, at = [], 0
+    for a, b, _ in judge(candidates(text) if found is None else found, _BLANK):
+        out.append(text[at:a])
+        at = b
+    out.append(text[at:])
+    return set(re.findall(r"[a-z]{3,24}", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", re.sub(r"[A-Za-z]*\d[A-Za-z\d]*", " ", " ".join(out))).lower()))
+
+
+_SCANNED = "file_id bigint, repo string, words array<string>, found array<struct<line_no:bigint,starts:array<bigint>,ends:array<bigint>,rule:string,value:string,key:string>>"
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """One pass over all contents of ``files`` (file_id, repo, content), stored: rows with ``found``, the candidates of a file, and rows
+    with ``words``, the words outside candidates of the files of a repository in one batch. The empty word stands for the repository itself.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            seen: dict[str | None, set[str]] = {}
+            for i, r, c in zip(pdf["file_id"], pdf["repo"], pdf["content"]):
+                if c is None:
+                    continue
+                found = [x for x in candidates(c) if is_secret(x.rule, x.value, _BLANK)]
+                seen.setdefault(r, {""}).update(words_outside(c, found))
+                if found:
+                    lines = line_starts(c)
+                    rows.append((i, r, None, [{"line_no": line_of(lines, x.starts[0]), **x._asdict()} for x in found]))
+            rows += [(None, r, list(w), None) for r, w in seen.items()]
+            out = pd.DataFrame(rows, columns=["file_id", "repo", "words", "found"], dtype=object)
+            yield out.assign(file_id=out["file_id"].astype("Int64"))
+
+    key = F.col("file_id") if "file_id" in files.columns else F.lit(None).cast("bigint")  # a dictionary alone needs no ids
+    return stored(files.select(key.alias("file_id"), "repo", "content").mapInPandas(scan, _SCANNED), "scanned")
+
+
+def word_counts(files: DataFrame, min_repos: int = 2, min_share: float = WORD_SHARE, scan: DataFrame | None = None) -> dict[str, int]:
+    """Dictionary of the corpus: words outside candidate secrets in at least ``min_repos`` repositories and ``min_share`` of all that
+    have contents, with their number of repositories. Shares stay as they are when the corpus grows or is copied, so noise
+    does not become words. Counted over all contents, on distinct (word, repository) pairs combined before the shuffle.
+
+    The share bounds the result: every word takes min_share x repositories of the (word, repository) pairs, so there are at most
+    1 / min_share = ten times as many words as a repository has on average, however many repositories and rows there are. This
+    many rows come to the driver and go to the executors.
+    """
+    scan = scanned(files) if scan is None else scan
+    words = scan.where("words IS NOT NULL").select(F.coalesce("repo", F.lit("")).alias("repo"), F.explode("words").alias("word"))
+    counted = words.distinct().groupBy("word").count()
+    total = counted.where("word = ''").agg(F.max("count")).first()[0] or 0
+    return {r["word"]: r["count"] for r in counted.where((F.col("word") != "") & (F.col("count") >= max(min_repos, min_share * total))).collect()}
+
+
 def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     """``text`` with every stretch replaced by a placeholder of its kind; quotes and everything around stay. Later pieces of a
     value become empty, and the line ends inside a key block stay, so that line numbers and syntax hold."""
@@ -348,37 +455,34 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     return "".join(out)
 
 
-def secrets_in_files(files: DataFrame, words: dict[str, int], redacted: bool = False) -> DataFrame:
-    """Secrets of ``files`` (file_id, content): rows (file_id, line_no, kind), or (file_id, content, secrets) with redacted
-    contents of all files. ``words`` comes from :func:`word_counts`; its size is bounded, so it travels as a broadcast variable.
-    Null contents give no secrets and stay null. No shuffle.
+def secrets_in_files(files: DataFrame, words: dict[str, int], redacted: bool = False, scan: DataFrame | None = None) -> DataFrame:
+    """Secrets of ``files`` (file_id, repo, content): rows (file_id, line_no, kind), or (file_id, content, secrets) with redacted
+    contents of all files. ``words`` comes from :func:`word_counts`, which bounds its size, and travels as a broadcast variable.
+    Null contents give no secrets and stay null. Candidates of :func:`scanned` are judged without reading the texts again; redaction reads them.
+    No shuffle.
     """
     shared = files.sparkSession.sparkContext.broadcast(words)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = _dictionary(shared)
         for pdf in batches:
-            ids, lines, kinds = [], [], []
-            texts, counts = [], []
-            for i, c in zip(pdf["file_id"], pdf["content"]):
-                spans = find_secrets(c, d)
-                if redacted:
-                    texts.append(redact(c, spans))
-                    counts.append(sum(k != "+" for _, _, k in spans))
-                    continue
-                starts = line_starts(c) if spans else []
-                for a, _, k in spans:
-                    if k != "+":
-                        ids.append(i)
-                        lines.append(line_of(starts, a))
-                        kinds.append(k)
-            if redacted:
-                yield pd.DataFrame({"file_id": pdf["file_id"], "content": pd.Series(texts, dtype=object), "secrets": counts})
-            else:
-                yield pd.DataFrame({"file_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(lines, dtype="int64"), "kind": pd.Series(kinds, dtype=object)})
-
-    schema = "file_id bigint, content string, secrets bigint" if redacted else "file_id bigint, line_no bigint, kind string"
-    return files.select("file_id", "content").mapInPandas(scan, schema)
+            rows = []
+            for i, found in zip(pdf["file_id"], pdf["found"]):
+                cs = [Candidate(list(x["starts"]), list(x["ends"]), x["rule"], x["value"], x["key"]) for x in found]
+                line = {x["starts"][0]: x["line_no"] for x in found}
+                rows += [(i, line[a], k) for a, _, k in judge(cs, d) if k != "+" and a in line]
+            yield pd.DataFrame(rows, columns=["file_id", "line_no", "kind"]).astype({"file_id": "int64", "line_no": "int64", "kind": object})
+
+    def cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = _dictionary(shared)
+        for pdf in batches:
+            spans = [find_secrets(c, d) for c in pdf["content"]]
+            yield pd.DataFrame({"file_id": pdf["file_id"], "content": pd.Series([redact(c, s) for c, s in zip(pdf["content"], spans)], dtype=object), "secrets": [sum(k != "+" for _, _, k in s) for s in spans]})
+
+    if redacted:
+        return files.select("file_id", "content").mapInPandas(cleaned, "file_id bigint, content string, secrets bigint")
+    scan = scanned(files) if scan is None else scan
+    return scan.where("found IS NOT NULL").select("file_id", "found").mapInPandas(judged, "file_id bigint, line_no bigint, kind string")
 
 
 _CACHE: dict[int, Dictionary] = {}
