@@ -140,9 +140,10 @@ class Dictionary:
             if here:
                 here += len(re.findall(r"[!@#$%^&*+=~?|_-]", chunk.strip("-_=+*#!?.")))
             left += here
-        if len(self._memo) > 200_000:
-            self._memo.clear()
-        self._memo[value] = left
+        if len(value) < 256:  # only short values are remembered, and not too many of them
+            if len(self._memo) > 200_000:
+                self._memo.clear()
+            self._memo[value] = left
         return left
 
     def _run(self, run: str) -> int:
@@ -379,6 +380,12 @@ def find_secrets(text: str | None, words: Dictionary) -> list[tuple[int, int, st
 _BLANK = Dictionary({})
 
 
+@lru_cache(200_000)
+def _split(run: str) -> tuple[str, ...]:
+    """Words of a run of letters and digits, parted where the case changes; none of one with digits, which is a code."""
+    return () if re.search(r"\d", run) else tuple(re.findall(r"[a-z]{3,24}", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", run).lower()))
+
+
 def words_outside(text: str | None, found: list[Candidate] | None = None) -> set[str]:
     """Words of ``text`` outside everything that would be a secret if no word explained anything, and outside runs of letters and
     digits, which are codes. Case changes and signs part words; words of one or two letters are left out."""
@@ -389,7 +396,7 @@ def words_outside(text: str | None, found: list[Candidate] | None = None) -> set
         out.append(text[at:a])
         at = b
     out.append(text[at:])
-    return set(re.findall(r"[a-z]{3,24}", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", re.sub(r"[A-Za-z]*\d[A-Za-z\d]*", " ", " ".join(out))).lower()))
+    return {w for run in set(re.findall(r"[A-Za-z\d]+", " ".join(out))) for w in (_split(run) if len(run) < 64 else _split.__wrapped__(run))}  # only short runs are remembered
 
 
 _SCANNED = "file_id bigint, repo string, words array<string>, found array<struct<line_no:bigint,starts:array<bigint>,ends:array<bigint>,rule:string,value:string,key:string>>"
