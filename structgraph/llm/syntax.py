@@ -78,20 +78,37 @@ def adjacency(toks: list[Token], lang: str) -> None:
     words, prefix, must = _WORDS[lang], _PREFIX[lang], _PAREN[lang]
     script = lang in ("js", "ts")
     frames: list[list] = [["", "top"]]  # bracket, role
-    seq = [t for t in toks if t[0] != "pre"]
-    prev: Token | None = None
+    seq: list[Token] = []
+    first: list[bool] = []  # whether a token is the first of its line
     newline = False
+    for t in toks:
+        if t[0] == "nl":
+            newline = True
+        elif t[0] != "pre":
+            seq.append(t)
+            first.append(newline)
+            newline = False
+    prev: Token | None = None
     chain = 0  # words in a row
     ternary = [0]
     n = len(seq)
     for i, t in enumerate(seq):
         kind, text, _ = t
-        if kind == "nl":
-            newline = True
-            continue
-        nxt = next((x for x in seq[i + 1 : i + 4] if x[0] != "nl"), None)
-        top = frames[-1]
         pk, pt = (prev[0], prev[1]) if prev else ("", "")
+        # the commonest neighbours, of which every language allows all
+        if kind == "id":
+            if (pk == "op" or pk == "open") and text not in words:
+                chain = 1
+                prev = t
+                continue
+        elif kind == "op":
+            if lang != "c" and (text == "." or text == ",") and (pk == "close" or pk == "id" and pt not in words):
+                chain = 0
+                prev = t
+                continue
+        top = frames[-1]
+        newline = first[i]
+        nxt = seq[i + 1] if i + 1 < n else None
         if kind == "id" and text in must and pt not in (".", "?.", "->", "::") and not (nxt and nxt[1] in (":", ",", "=", "?")) and not (script and top[1] == "object"):
             if not nxt or nxt[1] != "(" and not (lang == "cpp" and nxt[1] in ("constexpr",)):
                 raise Fault(f"{text} without (")
@@ -147,8 +164,8 @@ def adjacency(toks: list[Token], lang: str) -> None:
                 elif lang == "js" and top[1] in ("paren", "array", "params"):
                     raise Fault("type annotation")
                 elif lang == "js" and top[1] in ("block", "top", "class") and not top[2:3] == ["case"] and not (pk == "id" and pt == "default"):
-                    before = seq[i - 2] if i > 1 else None
-                    label = pk == "id" and (before is None or before[0] == "nl" or before[1] in (";", "{", "}", ")"))
+                    before = seq[i - 2] if i > 1 and not first[i - 1] else None
+                    label = pk == "id" and (before is None or before[1] in (";", "{", "}", ")"))
                     if not label or before is not None and before[1] == ")":
                         raise Fault("type annotation")
                 if len(top) > 2:
@@ -161,19 +178,19 @@ def adjacency(toks: list[Token], lang: str) -> None:
             follow = nxt[1] if nxt else ""
             fresh = prev is None or newline or pt in (";", "}", "{")
             if text == "import" and fresh and top[1] == "top" and nxt and nxt[0] == "id":
-                ahead = [x[1] for x in seq[i + 1 : i + 8] if x[0] != "nl"]
+                ahead = [x[1] for x in seq[i + 1 : i + 5]]
                 if "from" not in ahead[1:4] and "," not in ahead[1:2] and follow not in ("type", "defer") and "=" not in ahead[1:2]:
                     raise Fault("import without from")
             if text in ("function", "class") and nxt and nxt[0] in ("num", "str"):
                 raise Fault(f"{text} without a name")
             if lang == "js" and text in ("const", "let", "var") and nxt and nxt[0] == "id" and fresh:
-                ahead = [x for x in seq[i + 1 : i + 4] if x[0] != "nl"]
+                ahead = seq[i + 1 : i + 3]
                 if len(ahead) > 1 and ahead[1][1] == ":":
                     raise Fault("type annotation")
             if lang == "js" and text == "interface" and fresh and nxt and nxt[0] == "id" or lang == "js" and text in ("public", "private", "protected", "readonly", "abstract") and nxt and nxt[0] == "id":
                 raise Fault("type declaration")
             if text == "const" and fresh and nxt and nxt[0] == "id" and top[1] != "class":
-                ahead = [x for x in seq[i + 1 : i + 4] if x[0] != "nl"]
+                ahead = seq[i + 1 : i + 3]
                 if len(ahead) > 1 and (ahead[1][1] in (";", ",", "(")):
                     raise Fault("const without a value")
         if kind == "open":
@@ -231,7 +248,6 @@ def adjacency(toks: list[Token], lang: str) -> None:
             if script and text == "}" and frame[1] == "object" and pk == "op" and pt == ";" and lang == "js":
                 raise Fault("; in an object")
         prev = t
-        newline = False
     if prev and prev[0] == "op" and prev[1] not in (";", ">", "++", "--", "*", "!", ")"):
         raise Fault(f"premature end after {prev[1]}")
     if prev and prev[0] == "op" and prev[1] in ("*",) and not script:
@@ -253,7 +269,8 @@ def _allowed(pk: str, pt: str, text: str, lang: str, nxt: Token | None) -> bool:
 
 
 def _opens_class(seq: list[Token], i: int) -> bool:
-    for t in reversed(seq[max(0, i - 40) : i]):
+    for j in range(i - 1, -1, -1):
+        t = seq[j]
         if t[1] in (";", "{", "}", ")", "=>"):
             return False
         if t[0] == "id" and t[1] in ("class", "interface", "enum", "namespace", "module", "type", "declare", "extends", "implements"):
@@ -262,17 +279,16 @@ def _opens_class(seq: list[Token], i: int) -> bool:
 
 
 def _head(seq: list[Token], i: int, heads: tuple[str, ...]) -> bool:
-    for t in reversed(seq[max(0, i - 60) : i]):
-        if t[1] in (";", "{", "}"):
+    for j in range(i - 1, -1, -1):
+        if seq[j][1] in (";", "{", "}"):
             return False
-        if t[1] in heads:
+        if seq[j][1] in heads:
             return True
     return False
 
 
 def _word_before(seq: list[Token], i: int) -> str | None:
-    back = [t[1] for t in seq[max(0, i - 8) : i] if t[0] != "nl"]
-    return back[-2] if len(back) > 1 else None
+    return seq[i - 2][1] if i > 1 else None
 
 
 def _enum_like(seq: list[Token], i: int, cpp: bool = False) -> bool:
@@ -286,18 +302,18 @@ def _enum_like(seq: list[Token], i: int, cpp: bool = False) -> bool:
             if depth:
                 depth -= 1
             else:
-                before = [x for x in seq[max(0, j - 10) : j] if x[0] != "nl"]
+                before = seq[j - 1 : j] if j else []
                 if before and (before[-1][1] in ("=", "{", ",", "]", "(", "return", ">") or before[-1][0] == "id" and _head(seq, j, ("enum", "=", "return", "new", "export"))):
                     return True
                 if before and before[-1][1] == ")":
                     # a compound literal follows a cast, a body follows the parameters of a name
-                    k, level = max(x for x in range(j) if seq[x][0] != "nl"), 0
+                    k, level = j - 1, 0
                     while k >= 0:
                         level += (seq[k][0] == "close") - (seq[k][0] == "open")
                         if level == 0:
                             break
                         k -= 1
-                    ahead = next((x for x in reversed(seq[:k]) if x[0] != "nl"), None) if k > 0 else None
+                    ahead = seq[k - 1] if k > 0 else None
                     return ahead is not None and ahead[0] not in ("id", "close") and ahead[1] not in (">", "*", "&", "~", "=", "+", "-", "<", "!", "|", "/", "%", "^", "==", "->", ",", "&&", "||", "++", "--")
                 if before and before[-1][0] == "id" and cpp and before[-1][1] not in ("const", "noexcept", "override", "final", "try", "else", "do", "mutable", "volatile") and not _head(seq, j, ("class", "struct", "union", "namespace", "concept", "extern")):
                     return True
@@ -374,13 +390,255 @@ def _declaration(run: list[Token]) -> None:
         raise Fault("declaration runs on")
 
 
+#: Words that begin a block of Python, those that expect or join operands, and those that do so only at the start of a statement.
+_PY_HEADS = {"if", "elif", "else", "for", "while", "try", "except", "finally", "with", "def", "class"}
+_PY_JOINS = "if|else|elif|for|while|in|is|not|and|or|lambda|def|class|return|yield|from|import|as|assert|del|raise|global|nonlocal|await|async|with|except"
+_PY_SOFT = {"match", "case", "type"}
+#: An operand right before another one.
+_PY_ADJACENT = re.compile(rf"(?<!\w)(?!(?:{_PY_JOINS})\b)(?P<a>\w+)[ \t]+(?!(?:{_PY_JOINS})\b)(?P<b>\w+|\"\")")
+#: What the line lexer of Python stops at; words and signs between are water.
+_PY_STOPS = re.compile(
+    r"(?:\w++(?![\"'])|[^\w\n\r()\[\]{}#\\\"'$?`!\x80-\U0010FFFF]++|!=)*+(?:(?P<nl>\r?\n|\r)|(?P<open>[\[({])|(?P<close>[\])}])|(?P<comment>#[^\r\n]*)|(?P<join>\\\r?\n)|"
+    r"(?P<str>(?i:rb|br|rf|fr|rt|tr|[rbuft])?(?:\"\"\"(?:\\[\s\S]|(?!\"\"\")[^\\])*\"\"\"|'''(?:\\[\s\S]|(?!''')[^\\])*'''|(?!\"\"\"|''')(?:\"(?:\\(?:\r\n|[\s\S])|[^\\\r\n\"])*\"|'(?:\\(?:\r\n|[\s\S])|[^\\\r\n'])*')))|"
+    r"(?P<word>\w+)|(?P<bad>[\"'])|(?P<stray>[\s\S]))?+"
+)
+_PY_LEAD = re.compile(r"[ \t\f]*")
+_PY_WORD = re.compile(r"(?:async\s+)?([^\W\d]\w*)")
+
+
+def check_python(text: str) -> None:
+    """Lexer for Python on two stacks, of brackets and of indentation: conflict markers, open literals, unbalanced delimiters, premature
+    ends, lines that fit no block, missing blocks, heads without a colon, operands without an operator between them.
+
+    From a formatted string whose quotes may nest on, everything is left to the grammar.
+    """
+    brackets: list[str] = []
+    indents = [0]
+    due = ""  # the head whose block is due
+    begin = 1 if text.startswith("\ufeff") else 0  # of the logical line
+    cuts: list[tuple[int, int, str]] = []  # literals, comments and joined line ends of this line, with what stands for them
+    for m in _PY_STOPS.finditer(text, begin):
+        kind = m.lastgroup
+        if kind == "nl" or kind is None:
+            if kind is None and m.end() < len(text) or brackets:
+                continue
+            end = m.start("nl") if kind else len(text)
+            line = text[begin:end]
+            if cuts:
+                out, at = [], begin
+                for a, b, put in cuts:
+                    out += [text[at:a], put]
+                    at = b
+                line = "".join([*out, text[at:end]])
+                cuts = []
+            begin = m.end()
+            code = line.strip()
+            if not code:
+                continue
+            if code[0] in "<>|=" and _MARKER.match(line):
+                raise Fault("merge-conflict marker")
+            lead = _PY_LEAD.match(line).group()
+            width = len(lead.rpartition("\f")[2].expandtabs(8)) if "\t" in lead or "\f" in lead else len(lead)
+            if due:
+                if width <= indents[-1]:
+                    raise Fault(f"no block after {due}")
+                indents.append(width)
+                due = ""
+            elif width != indents[-1]:
+                if width > indents[-1]:
+                    raise Fault("unexpected indentation")
+                while indents[-1] > width:
+                    indents.pop()
+                if indents[-1] != width:
+                    raise Fault("indentation that fits no block")
+            w = _PY_WORD.match(code)
+            word = w[1] if w else ""
+            if code[-1] == ":":
+                if word not in _PY_HEADS and word not in _PY_SOFT:
+                    raise Fault("colon without a head")
+                due = word
+            if word in _PY_HEADS:
+                flat = code if "(" not in code and "[" not in code and "{" not in code else _outside(code)
+                if ":" not in flat:
+                    raise Fault(f"{word} without a colon")
+                if word == "except" and "," in flat.partition(":")[0]:
+                    raise Fault("except with a bare list")
+            for hit in _PY_ADJACENT.finditer(code):
+                if hit.start() or word not in _PY_SOFT:
+                    raise Fault(f"{hit['a'][:20]} before {hit['b'][:20]}")
+        elif kind == "str":
+            a, b = m.span("str")
+            body = text[a:b]
+            if body[0] not in "\"'" and any(c in "fFtT" for c in body[:2]) and body.count("{") != body.count("}"):
+                return  # quotes nest here, perhaps
+            cuts.append((a, b, '""'))
+        elif kind == "comment" or kind == "join":
+            cuts.append((*m.span(kind), " "))
+        elif kind == "open":
+            brackets.append(PAIRS[m["open"]])
+        elif kind == "close":
+            if not brackets or brackets.pop() != m["close"]:
+                raise Fault(f"unbalanced {m['close']}")
+        elif kind == "bad":
+            raise Fault("unterminated literal")
+        elif kind == "stray" and not f"a{m['stray']}".isidentifier():
+            raise Fault(f"stray {m['stray']!r}")
+    if brackets:
+        raise Fault(f"premature end, {brackets[-1]} missing")
+    if due:
+        raise Fault(f"premature end, no block after {due}")
+
+
+def _outside(code: str) -> str:
+    """What stands outside all brackets."""
+    out, depth = [], 0
+    for part in re.split(r"([()\[\]{}])", code):
+        if part in ("(", "[", "{"):
+            depth += 1
+        elif part in (")", "]", "}"):
+            depth -= 1
+        elif not depth:
+            out.append(part)
+    return "".join(out)
+
+
+def check_json(toks: list[Token]) -> None:
+    """The whole grammar of JSON as a pushdown automaton over its tokens, however deep they nest."""
+    stack: list[str] = []
+    want = "value"
+    for kind, text, _ in toks:
+        if kind == "nl":
+            continue
+        if want in ("value", "item"):
+            if kind == "open":
+                stack.append(PAIRS[text])
+                if text == "(":
+                    raise Fault("stray '('")
+                want = "item" if text == "[" else "first key"
+            elif kind in ("str", "num", "id"):
+                want = "after"
+            elif want == "item" and text == "]":
+                stack.pop()
+                want = "after"
+            else:
+                raise Fault(f"{text} for a value")
+        elif want in ("first key", "key"):
+            if kind == "str":
+                want = ":"
+            elif want == "first key" and text == "}":
+                stack.pop()
+                want = "after"
+            else:
+                raise Fault(f"{text} for a key")
+        elif want == ":":
+            if text != ":":
+                raise Fault("key without a colon")
+            want = "value"
+        elif not stack:
+            raise Fault(f"{text} after the end")
+        elif text == "," and kind == "op":
+            want = "value" if stack[-1] == "]" else "key"
+        elif kind == "close" and text == stack[-1]:
+            stack.pop()
+        else:
+            raise Fault(f"{text[:20]} without a comma")
+    if stack or want != "after":
+        raise Fault("premature end")
+
+
+_TOML_SCALAR = re.compile(
+    r"true|false|[+-]?(?:inf|nan)|0x[0-9a-fA-F](?:_?[0-9a-fA-F])*|0o[0-7](?:_?[0-7])*|0b[01](?:_?[01])*|[+-]?(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?|"
+    r"\d{4}-\d\d-\d\d(?:[Tt]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:[Zz]|[+-]\d\d:\d\d)?)?|\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:[Zz]|[+-]\d\d:\d\d)?"
+)
+
+
+def check_toml(toks: list[Token]) -> None:
+    """Statements of TOML on a stack of open arrays and inline tables: headers, keys, values, separators, one statement a line."""
+    stack: list[str] = []
+    want = "statement"
+    i, n = 0, len(toks)
+
+    def key(i: int) -> int:
+        """End of the dotted key at i."""
+        j = i
+        while j < n and toks[j][0] in ("id", "str"):
+            if j > i and not toks[j - 1][1].endswith(".") and not toks[j][1].startswith("."):
+                raise Fault("key in pieces")
+            j += 1
+        if j == i or any(t[0] == "id" and ("+" in t[1] or ":" in t[1]) for t in toks[i:j]):
+            raise Fault("a key is missing")
+        return j
+
+    while i < n:
+        kind, text, at = toks[i]
+        if want == "statement":
+            if kind == "nl":
+                i += 1
+            elif text == "[" and kind == "open":
+                k = 2 if i + 1 < n and toks[i + 1][1:] == ("[", at + 1) else 1
+                i = key(i + k)
+                if [t[1] for t in toks[i : i + k]] != ["]"] * k:
+                    raise Fault("header without an end")
+                i += k
+                want = "end"
+            else:
+                i = key(i)
+                if i >= n or toks[i][1] != "=":
+                    raise Fault("key without a value")
+                i += 1
+                want = "value"
+        elif want == "end" or want == "after" and not stack:
+            if kind != "nl":
+                raise Fault(f"{text[:20]} after a value")
+            want = "statement"
+        elif kind == "nl" and stack:
+            i += 1
+        elif want in ("value", "item"):
+            i += 1
+            if kind == "open" and text != "(":
+                stack.append(PAIRS[text])
+                want = "item" if text == "[" else "entry"
+            elif kind == "str":
+                want = "after"
+            elif want == "item" and text == "]":
+                stack.pop()
+                want = "after"
+            elif kind == "id" and _TOML_SCALAR.fullmatch(text):
+                if re.fullmatch(r"\d{4}-\d\d-\d\d", text) and i < n and toks[i][0] == "id" and toks[i][2] == at + len(text) + 1:
+                    i += 1  # the time of a date may follow after a blank
+                want = "after"
+            else:
+                raise Fault(f"{text[:20].strip() or 'line end'} for a value")
+        elif want == "entry":
+            if text == "}":
+                stack.pop()
+                i += 1
+                want = "after"
+            else:
+                i = key(i)
+                if i >= n or toks[i][1] != "=":
+                    raise Fault("key without a value")
+                i += 1
+                want = "value"
+        else:
+            i += 1
+            if text == "," and kind == "op":
+                want = "item" if stack[-1] == "]" else "entry"
+            elif kind == "close" and text == stack[-1]:
+                stack.pop()
+            else:
+                raise Fault(f"{text[:20]} without a comma")
+    if stack or want not in ("statement", "after", "end"):
+        raise Fault("premature end")
+
+
 def _exact(text: str, lang: str) -> None:
-    """The grammar itself, for the languages for which the Python library has it."""
+    """The grammar itself, for the languages for which the Python library has it; it confirms what lexer and stack let pass."""
     if lang == "py":
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             try:
-                compile(text, "f", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+                compile(text.removeprefix("\ufeff"), "f", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
             except (SyntaxError, ValueError) as x:
                 raise Fault(str(x)[:80]) from None
             except (RecursionError, MemoryError):
@@ -604,39 +862,30 @@ def _enter(stack: list[tuple[str, int]], kind: str, col: int, due: bool) -> None
         raise Fault("indentation that fits no collection")
 
 
-def _python_tokens(text: str, toks: list[Token]) -> list[Token]:
-    """What :func:`balance` can judge: all tokens, but none where the first fault follows a formatted string, whose quotes may nest."""
-    toks = [t for t in toks if t[0] != "err" or not (t[1].startswith("stray") and f"a{text[t[2]]}".isidentifier())]
-    for k, t in enumerate(toks):
-        if t[0] in ("str", "err") and re.match(r"[a-zA-Z]?[fFtT][a-zA-Z]?[\"']", text[t[2] : t[2] + 4]):
-            return toks if not any(x[0] == "err" for x in toks[k:]) else []
-        if t[0] == "err":
-            break
-    return toks
-
-
 def fault(text: str | None, lang: str | None) -> str | None:
     """Why ``text`` is not valid ``lang``, or None if it is. Null text or an unknown language is no fault; blank text is valid
-    where the grammar allows an empty file, which JSON alone does not.
+    where the grammar allows an empty file, which JSON alone does not. No text breaks the grammar of HTML, whose standard says how
+    each is read, so HTML files are never at fault. What nests deeper than the library's parser can follow is judged by lexer and stack.
     """
     if text is None or lang is None:
         return None
     try:
         if lang == "yaml":
             check_yaml(text)
+        elif lang == "py":
+            check_python(text)
         elif lang != "html":
             toks = tokens(text, lang)
             conflict_markers(text, toks)
-            if lang == "py":
-                balance(_python_tokens(text, toks))
-            elif lang == "toml":
-                balance([t for t in toks if t[0] != "err" or "unterminated" in t[1]])
-            else:
-                balance(toks)
+            balance(toks)
             if lang in _WORDS:
                 adjacency(toks, lang)
             elif lang == "css":
                 check_css(toks)
+            elif lang == "json":
+                check_json(toks)
+            elif lang == "toml":
+                check_toml(toks)
         _exact(text, lang)
     except Fault as x:
         return str(x)

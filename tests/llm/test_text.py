@@ -165,6 +165,46 @@ def test_yaml_grammar_is_needed(monkeypatch):
         syntax.fault("a: 1\n", "yaml")
 
 
+@pytest.mark.parametrize("lang", ["py", "json", "toml", "yaml"])
+def test_lexer_and_stack_decide_alone(monkeypatch, lang):
+    monkeypatch.setattr(syntax, "_exact", lambda text, lang: None)
+    assert all(syntax.fault(t, lang) for t in BROKEN[lang]) and not any(syntax.fault(t, lang) for t in VALID[lang])
+
+
+PY_VALID = ["if x: y = 1\nelse:\n  z = 2\n", "match = 1\nmatch x:\n    case [a, *_] if a: pass\n    case _:\n        pass\n", "type X = int\ntype(x)\n", "x = [\n1,\n  2]\ny = (a\n if b else c)\n", "try:\n\tpass\nexcept (A, B) as e:\n\tpass\n", "async def f():\n    async with a as b, c: await b\n    return not x\n",
+            "d = {'a': 1, **b}\nx = y[1:2]\nz: int = 3\n", "s = 'a' 'b' f'{x}'\nprint(*a, sep='')\n", "if a and \\\n   b:\n    pass\n", "# x\n\n    # y\nclass A: pass\n", "lambda x, *y: x\nx = yield\n@d\ndef f(): ...\n", "x = 1 if y else 2\nfor i in a: print(i)\nelse: pass\n", "def f():\r\n    return 1\r\n", "\ufeffx = 1\n", "x = a is not b\nassert x, 'm'\n", "\u00e9t\u00e9 = 1\n"]
+PY_BROKEN = ["def f()\n    pass\n", "if x:\ny = 1\n", "  x = 1\n", "def f():\n    x = 1\n  y = 2\n", "try:\n    a\nexcept A, e:\n    b\n", "function f(x) {\n", "print 'x'\n", "x y\n", "for i in range(3):\n", "x = 1\n  y = 2\n", "class A:\n\n\n\nx = 1\n", "x = a\u00a0+ 1\n", "x:\n    y\n"]
+
+
+@pytest.mark.parametrize("text", PY_VALID)
+def test_python_lexer_lets_pass(text):
+    assert syntax.check_python(text) is None and syntax.fault(text, "py") is None
+
+
+@pytest.mark.parametrize("text", PY_BROKEN)
+def test_python_lexer_alone(text):
+    with pytest.raises(syntax.Fault):
+        syntax.check_python(text)
+
+
+def test_toml_lexer_alone():
+    alone = lambda t: syntax.check_toml(syntax.tokens(t, "toml"))
+    alone('a.b = 1\n"x".y = {c = [1, 2,\n 3], d = 1979-05-27 07:32:00}\n[t]\n[[u.v]] # x\nz = +inf\n\n')
+    for bad in ("a = plain text\n", "a\n", "a = 1 b = 2\n", "[a\n", "a = [1 2]\n", "a = {b 1}\n", "= 1\n", "a = 01\n", "<html>\n"):
+        with pytest.raises(syntax.Fault):
+            syntax.balance(syntax.tokens(bad, "toml"))
+            alone(bad)
+
+
+def test_no_window_of_tokens_decides():
+    for k in (3, 50, 4_000):
+        assert syntax.fault(f"class A extends {'.'.join(f'b{i}' for i in range(k))} {{ f() {{ return 1; }} }}\n", "js") is None
+        assert syntax.fault(f"const a{chr(10) * k}= 1;\nimport x{chr(10) * k}from 'y';\n", "js") is None
+        assert syntax.fault(f"struct s {'__attribute__((x)) ' * k} t {{ int a; }};\n", "c") is None
+    assert syntax.fault("[" * 200_000 + "]" * 200_000, "json") is None and syntax.fault("[" * 200_000 + "]" * 199_999, "json")
+    assert syntax.fault("<p>", "html") is None
+
+
 def test_python_literals_are_judged_by_the_lexer(monkeypatch):
     monkeypatch.setattr(syntax, "_exact", lambda text, lang: None)
     assert syntax.fault("s = 'abc\n", "py") and syntax.fault("x = (1\ns = 'abc\n", "py") and syntax.fault("a = 1 $ 2\n", "py")
