@@ -2,13 +2,15 @@
 
 A semi-Markov conditional random field over a lattice of candidate segments: features look at a whole span (its form, its words, what
 stands around it), a segment's score is their weighted sum, and dynamic programming chooses boundaries and types of all
-segments of a text at once. Text outside segments scores zero. The weights start from fixed priors and are fitted on a bounded
-sample of the corpus by gradient ascent on the likelihood of the segmentations of which the priors are sure.
+segments of a text at once. Text outside segments scores zero. The weights of all features are fitted on labelled rows, made by
+planting values of every kind, and look-alikes, into lines of the corpus; the priors below are the mean from which they start.
 """
 
 import math
+import random
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -16,8 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents on which the weights are fitted; a documented bound, all documents are then labelled.
-FIT_DOCUMENTS = 1_000
+#: Lines of the corpus that carry planted values, and rows made of them, on which the weights are fitted; documented bounds of the
+#: fit alone, all documents are then labelled whole.
+FIT_CARRIERS = 1_000
+FIT_ROWS = 3_000
 #: Names that are sent to the executors at most.
 MOST_NAMES = 200_000
 
@@ -30,11 +34,23 @@ release-bot depbot dependabot renovate renovate-bot bot robot git svn hg github
 list lists all everyone dev developers maintainers owners core users announce commits bugs issues security-team infra platform qa test testing staging api feedback privacy legal compliance accounts registry packages sre""".split())
 _SERVICE_HOST = regex.compile(r"^(?:ci|pager|bot|bots|git|svn|build|builds|alerts?|notifications?|noreply|lists?|mailer|bounce|users\.noreply|jenkins)\.", regex.I)
 
-_AT = r"(?:\s?(?:@|＠|﹫|%40|&#64;|&commat;)\s?(?<!\s@\s)|\s?(?:\(\s?at\s?\)|\[\s?at\s?\]|\{\s?at\s?\}|<at>|_at_)\s?|\s+(?:at|AT)\s+)"
-_DOT = r"(?:\.|．|\s?(?:\(\s?dot\s?\)|\[\s?dot\s?\]|\{\s?dot\s?\}|<dot>|_dot_)\s?|\s+(?:dot|DOT)\s+)"
-_EMAIL = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.+%-])(?P<local>[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{M}}\p{{N}}_+%'-]|{_DOT.replace(chr(92) + 's+(?:dot|DOT)' + chr(92) + 's+', chr(92) + 's(?:dot|DOT)' + chr(92) + 's')}(?=[\p{{L}}\p{{N}}]))*+)(?P<at>{_AT})(?P<host>[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}-]*[\p{{L}}\p{{N}}])?(?:{_DOT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}-]*[\p{{L}}\p{{N}}])?)*?(?P<tld>{_DOT}\p{{L}}{{2,24}}))(?![\p{{L}}\p{{N}}_-]|[.．]\p{{L}}|\s?[\[({{<]\s?(?:dot|at)|\s(?:dot|DOT)\s|@)")
-_EMAIL_PLAIN = regex.compile(r"(?<![\p{L}\p{N}_.+%-])(?P<local>[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}_.+%'-]*[\p{L}\p{M}\p{N}_])?)(?P<at>@|＠|%40|&#64;)(?P<host>[\p{Latin}\p{Nd}](?:[\p{Latin}\p{Nd}-]*[\p{Latin}\p{Nd}])?(?:\.[\p{Latin}\p{Nd}](?:[\p{Latin}\p{Nd}-]*[\p{Latin}\p{Nd}])?)*(?P<tld>\.\p{Latin}{2,24}))(?![\p{Latin}\p{Nd}_-])")
-_HINT = regex.compile(r"[@＠﹫]|%40|&#64;|&commat;|\bat\b|_at_", regex.I)
+def _ranges(test: Callable[[str], bool], top: int = 0x2C80) -> str:
+    """The characters below ``top`` and among the presentation and full-width forms that pass a test, as the inside of a class."""
+    out, start = [], None
+    for cp in [*range(top), *range(0xA720, 0xA800), *range(0xFB00, 0xFB07), *range(0xFF21, 0xFF5B), 0x10FFFF]:
+        ok = cp != 0x10FFFF and test(chr(cp))
+        if start is not None and (not ok or cp != last + 1):
+            out.append(f"{re.escape(chr(start))}-{re.escape(chr(last))}")
+            start = None
+        if ok and start is None:
+            start = cp
+        last = cp
+    return "".join(out)
+
+
+_LATIN = _ranges(lambda c: regex.match(r"\p{Latin}", c) is not None)
+_UPPER = _ranges(lambda c: c.isupper() and regex.match(r"\p{Latin}", c) is not None)
+_MARKS = _ranges(lambda c: unicodedata.category(c)[0] == "M", 0x370)
 
 #: Forms of telephone numbers, by name; a number matches the first that fits it whole.
 _PHONE_FORMS = [
@@ -58,7 +74,7 @@ _ID_FORMS = [
     ("pass2", regex.compile(r"[A-Z]{2}\d{6,7}")),
     ("long", regex.compile(r"\d(?:[ -]?\d){8,13}")),
 ]
-_ID = regex.compile(r"(?<![\p{Latin}\p{N}_./#@=-])(?:[A-Z]{1,2}[ \xa0]?\d[\d \xa0.-]{4,14}[\dA-Z]|\d[\d \xa0.-]{6,16}[\dA-Z])(?![\p{Latin}\p{N}_]|[./]\d)")
+_ID = re.compile(rf"(?<![{_LATIN}\d_./#@=-])(?:[A-Z]{{1,2}}[ \xa0]?\d[\d \xa0.-]{{4,14}}[\dA-Z]|\d[\d \xa0.-]{{6,16}}[\dA-Z])(?![{_LATIN}\d_]|[./]\d)")
 
 _CAP = r"\p{Lu}[\p{L}\p{M}'’]+(?:-\p{Lu}[\p{L}\p{M}'’]+)*"
 _CITY = rf"(?:\d{{4,5}}\s)?{_CAP}(?:[ ]{_CAP}){{0,1}}(?:\s\d{{5}})?"
@@ -72,21 +88,23 @@ _ADDRESS_FORMS = [
     ("box", regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:P\.?\s?O\.?\s?Box|Post Office Box|Postfach|Apartado(?: de Correos)?|Caixa Postal|Casella Postale|B\.?P\.?)\s\d{{1,6}}(?:,\s{_CITY})?")),
 ]
 
-_WORD = regex.compile(r"\p{Latin}[\p{Latin}\p{M}'’]*+(?:-\p{Latin}[\p{Latin}\p{M}'’]*+)*+")
-_NOT_NAME_NEXT = regex.compile(r"^[ ]+(?:Cluster|Release|Server|Project|Module|Pipeline|Queue|Bot|Branch|Build|Edition|Award|Street|Lane|Road|Rd\b|Avenue|Ave\b|Court|Inc|Ltd|GmbH|Corp)\b")
+_NOT_NAME_NEXT = regex.compile(r"[ ]+(?:Cluster|Release|Server|Project|Module|Pipeline|Queue|Bot|Branch|Build|Edition|Award|Street|Lane|Road|Rd\b|Avenue|Ave\b|Court|Inc|Ltd|GmbH|Corp)\b")
 
-#: Words before or after a span that speak for a kind, in the languages of the corpus; fixed lists.
+#: Words before a span that speak for a kind, in the languages of the corpus, read from the span to the left; fixed lists.
 _CUES = {
-    "name": regex.compile(r"(?:reviewed-by|signed-off-by|co-authored-by|acked-by|tested-by|reported-by|reported by|suggested-by|authored? by|@author|author:|contact|on call this week|pairing with|thanks to|cc|todo\(|fixme\(|signalé par|gemeldet von|lo informó|relatado por|informado por|customer \(|client \(|\bof|\bby|from|ms|mr|mrs|miss|dr|prof|frau|herr|mme|sra?|don|doña|monsieur|madame|assigned to|owner|attn|dear|hi|hello|merci à|danke an|gracias a|obrigado a|担当|作者|联系人)[\s:.*]*$", regex.I),
-    "phone": regex.compile(r"(?:phone|tel|téléphone|telefon|telefone|teléfono|telephone|mobile|mobil|cell|handy|fax|call(?: me)?(?: at| on)?|reach(?:able|ed)?(?: me)?(?: at| on| under)?|erreichbar unter|whatsapp|sms|dial|hotline|movil|móvil|celular|携帯|电话|電話)[\s:.\"'(/]*(?:is|ist|est|es|at|unter|no\.?|number)?[\s:.\"'(]*$", regex.I),
-    "id_number": regex.compile(r"(?:passport|passeport|pasaporte|passaporte|reisepass|ausweis|ssn|social security|national insurance|nino|nin|tax id|tax number|tin|steuer-?id|steuernummer|cpf|dni|nie|nif|id card|identity|identité|identidad|identidade|personalausweis|ausweisnummer|insurance|sozialversicherung\w*|numéro de sécurité sociale|\bid|personnummer|身份证|护照|パスポート|マイナンバー)(?:\s?(?:number|no\.?|nr\.?|num\.?|numéro|número|card|de identidad|号|番号))*[\s:#.\"']*(?:is|ist|est|es|é)?[\s:\"']*$", regex.I),
-    "address": regex.compile(r"(?:lives? at|living at|resid\w+ (?:at|in)|wohnt(?: in)?|address(?: is)?|adresse|dirección|endereço|go(?:es)? to|sent? to|ship(?:ped)? to|deliver(?:y|ed)? to|lieferung an|livrer au?|enviar a|entregar em|register at|located at|moved to|mail to|住所|地址)[\s:(]*$", regex.I),
+    "name": regex.compile(r"(?r)(?:reviewed-by|signed-off-by|co-authored-by|acked-by|tested-by|reported-by|reported by|suggested-by|authored? by|@author|author:|contact|on call this week|pairing with|thanks to|cc|todo\(|fixme\(|signalé par|gemeldet von|lo informó|relatado por|informado por|customer \(|client \(|\bof|\bby|from|ms|mr|mrs|miss|dr|prof|frau|herr|mme|sra?|don|doña|monsieur|madame|assigned to|owner|attn|dear|hi|hello|merci à|danke an|gracias a|obrigado a|担当|作者|联系人)[\s:.*]*", regex.I),
+    "phone": regex.compile(r"(?r)(?:phone|tel|téléphone|telefon|telefone|teléfono|telephone|mobile|mobil|cell|handy|fax|call(?: me)?(?: at| on)?|reach(?:able|ed)?(?: me)?(?: at| on| under)?|erreichbar unter|whatsapp|sms|dial|hotline|movil|móvil|celular|携帯|电话|電話)[\s:.\"'(/]*(?:is|ist|est|es|at|unter|no\.?|number)?[\s:.\"'(]*", regex.I),
+    "id_number": regex.compile(r"(?r)(?:passport|passeport|pasaporte|passaporte|reisepass|ausweis|ssn|social security|national insurance|nino|nin|tax id|tax number|tin|steuer-?id|steuernummer|cpf|dni|nie|nif|id card|identity|identité|identidad|identidade|personalausweis|ausweisnummer|insurance|sozialversicherung\w*|numéro de sécurité sociale|\bid|personnummer|身份证|护照|パスポート|マイナンバー)(?:\s?(?:number|no\.?|nr\.?|num\.?|numéro|número|card|de identidad|号|番号))*[\s:#.\"']*(?:is|ist|est|es|é)?[\s:\"']*", regex.I),
+    "address": regex.compile(r"(?r)(?:lives? at|living at|resid\w+ (?:at|in)|wohnt(?: in)?|address(?: is)?|adresse|dirección|endereço|go(?:es)? to|sent? to|ship(?:ped)? to|deliver(?:y|ed)? to|lieferung an|livrer au?|enviar a|entregar em|register at|located at|moved to|mail to|住所|地址)[\s:(]*", regex.I),
 }
 #: Words right before a number that make it something else.
-_OTHER = regex.compile(r"(?:error|part|order|build|ids?|key|row|port|host|line|zeile|ligne|línea|linha|page|table|step|board|version|v|commit|issue|ticket|rev|revision|release|pin|serial|sku|code|limit|took|in|#|isbn|doi|depth|timestamps? are|at|nos?\.)\s*[:#]?\s*$", regex.I)
-_ID_STRICT = regex.compile(r"(?:^|[^\p{L}])(?:row|sample|build|order|part|trace|commit|test|record|job|run|task|event|session|user|doc|file|message)\s+ids?\s*[:#]?\s*$|(?:^|[^\p{L}])ids\s*$", regex.I)
+_OTHER = regex.compile(r"(?r)(?:error|part|order|build|ids?|key|row|port|host|line|zeile|ligne|línea|linha|page|table|step|board|version|v|commit|issue|ticket|rev|revision|release|pin|serial|sku|code|limit|took|in|#|isbn|doi|depth|timestamps? are|at|nos?\.)\s*[:#]?\s*", regex.I)
+_ID_STRICT = regex.compile(r"(?r)(?:^|[^\p{L}])(?:row|sample|build|order|part|trace|commit|test|record|job|run|task|event|session|user|doc|file|message)\s+ids?\s*[:#]?\s*|(?:^|[^\p{L}])ids\s*", regex.I)
+
+#: Lines that name people by convention.
+_TRAILER = regex.compile(r"(?r)(?:(?:reviewed|signed-off|co-authored|acked|tested|reported|suggested)-by|@author)[\s:]*", regex.I)
 
-#: Prior weights of features. Positive scores make a segment; each kind has a bias against segments.
+#: Mean of the prior of the weights of span features; :func:`fit` moves them. Positive scores make a segment; each kind has a bias against segments.
 PRIOR = {
     "email:bias": 2.0, "email:role": -6.0, "email:service_host": -3.0, "email:repo": -8.0, "email:spelled": -0.6, "email:spelled_marked": 1.2, "email:words_at": -2.4, "email:spelled_dot": 1.4, "email:localish": 1.2, "email:bracket": 0.3,
     "email:in_code": -2.0, "email:known_tld": 0.5, "email:numeric_host": -8.0,
@@ -96,7 +114,7 @@ PRIOR = {
     "id_number:phone_cue": -4.0, "id_number:date": -8.0,
     "address:bias": 0.6, "address:cue": 2.5, "address:english": 1.0, "address:german": 1.0, "address:french": 1.2, "address:iberian": 0.8, "address:box": 1.4, "address:city": 1.0, "address:zip": 0.6,
     "name:bias": -3.0, "name:cue": 2.2, "name:given": 1.6, "name:surname": 1.8, "name:known": 2.0, "name:both": 1.2, "name:order": 0.6, "name:comma": -0.9, "name:initial_form": 0.2, "name:lower": -0.6, "name:upper": -0.2, "name:thing": -7.0, "name:handle": -6.0, "name:stop": -6.0,
-    "name:unknown_words": -1.2, "name:two_given": -3.5, "name:two_surnames": -2.0, "name:after": 1.2, "name:tokens": 0.15, "name:newline": -5.0, "name:middle": 0.6,
+    "name:unknown_words": -1.2, "name:two_given": -3.5, "name:two_surnames": -2.0, "name:after": 1.2, "name:tokens": 0.15, "name:newline": -5.0, "name:middle": 0.6, "name:trailer": 1.0,
 }
 _STOP = set("the a an this that these those in on at of to for and or but not is are was were be been has have had it its as by with from if when where what who why how all any each every no yes ok please could would should can may might must will after before since until while during over under again once here there then than so such only own same too very just also".split())
 
@@ -110,6 +128,22 @@ def fold(s: str) -> str:
     return "".join(c for c in t if not unicodedata.combining(c)).casefold()
 
 
+class _Codes(dict):
+    """Word as written -> 1 for a given name, 2 for a surname, 3 for both, 0 for others; looked up once a worker."""
+
+    def __init__(self, given: set[str], surname: set[str]) -> None:
+        self.given, self.surname = given, surname
+
+    def __missing__(self, word: str) -> int:
+        f = fold(word)
+        c = (f in self.given) + 2 * (f in self.surname)
+        if len(word) < 64:  # only words are remembered, and not too many of them
+            if len(self) > 500_000:
+                self.clear()
+            self[word] = c
+        return c
+
+
 class Lexicon:
     """Given names, surnames and whole names that are known, folded; a single word is a given name."""
 
@@ -125,6 +159,7 @@ class Lexicon:
                 self.given.add(parts[0])
                 self.surname.add(parts[-1])
                 self.known.add((parts[0], parts[-1]))
+        self.codes = _Codes(self.given, self.surname)
 
 
 def _around(text: str, a: int, b: int) -> tuple[str, str]:
@@ -135,142 +170,227 @@ def _first(forms: list, s: str) -> str:
     return next((n for n, rx in forms if rx.fullmatch(s)), "none")
 
 
+_WORD = re.compile(rf"[{_LATIN}][{_LATIN}{_MARKS}'’]*+(?:-[{_LATIN}][{_LATIN}{_MARKS}'’]*+)*+")
+#: Two words with capitals: where a cue stands before them they may be a name that nobody knows.
+_CAP_PAIR = re.compile(rf"(?<![{_LATIN}'’])[{_UPPER}][{_LATIN}{_MARKS}'’-]*+[ ,.]{{1,3}}(?=[{_UPPER}])")
+
+#: Marks of an address, by spelling: the sign itself, in brackets, as a word.
+_AT_SIGN = re.compile(r"[@＠﹫]|%40|&#64;|&commat;")
+_AT_MARKED = re.compile(r"\(\s?at\s?\)|\[\s?at\s?\]|\{\s?at\s?\}|<at>|_at_", re.I)
+_AT_WORD = re.compile(r"(?<=\s)(?:at|AT)(?=\s)")
+_SPELLED_DOT = r"\s?(?:\(\s?dot\s?\)|\[\s?dot\s?\]|\{\s?dot\s?\}|<dot>|_dot_)\s?"
+_DOT = rf"(?:\.|．|{_SPELLED_DOT}|\s+(?:dot|DOT)\s+)"
+_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?"
+_HOST = regex.compile(rf"(?P<host>{_LABEL}(?:{_DOT}{_LABEL})*?(?P<tld>{_DOT}\p{{L}}{{2,24}}))(?![\p{{L}}\p{{N}}_-]|[.．]\p{{L}}|\s?[\[({{<]\s?(?:dot|at)|\s(?:dot|DOT)\s|@)")
+_HOST_PLAIN = regex.compile(r"[\p{Latin}\p{Nd}](?:[\p{Latin}\p{Nd}-]*[\p{Latin}\p{Nd}])?(?:\.[\p{Latin}\p{Nd}](?:[\p{Latin}\p{Nd}-]*[\p{Latin}\p{Nd}])?)*\.\p{Latin}{2,24}(?![\p{Latin}\p{Nd}_-])")
+# local parts are read from the mark to the left
+_LOCAL = regex.compile(rf"(?r)(?<![\p{{L}}\p{{N}}_.+%-])[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{M}}\p{{N}}_+%'-]|(?:\.|．|{_SPELLED_DOT}|\s(?:dot|DOT)\s)(?=[\p{{L}}\p{{N}}]))*")
+_LOCAL_PLAIN = regex.compile(r"(?r)(?<![\p{L}\p{N}_.+%-])[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}_.+%'-]*[\p{L}\p{M}\p{N}_])?")
+_DOTS_OF_HOST = regex.compile(r"\s?[\[({<_]?\s?dot\s?[\])}>_]?\s?", regex.I)
+_DOTS_OF_LOCAL = regex.compile(r"\s?[\[({<_]\s?dot\s?[\])}>_]\s?|\sdot\s", regex.I)
+_REPO_PATH = re.compile(r"[:/][\w.~-]+/")
+_IN_CODE = re.compile(r"\s*\(|\.\w+\(")
+_FILE_LIKE = re.compile(r"(?:py|js|ts|java|c|cpp|h|md|txt|json|yaml|yml|toml|css|html)$")
+_LOCALISH = re.compile(r"[._+\d-]")
+_OPERAND = re.compile(r"[\w)]\s*$")
+
+
+def _at_marks(text: str) -> Iterator[tuple[int, int, str]]:
+    """(end of the local part, start of the host, spelling) of every mark."""
+    for m in _AT_SIGN.finditer(text):
+        a, b = m.span()
+        yield a, b, "sign"
+        if text[a - 1 : a].isspace():
+            yield a - 1, b, "gap"
+        if text[b : b + 1].isspace():
+            yield a, b + 1, "gap"
+    low = text.lower()
+    if "at" in low:
+        if any(x in low for x in ("at)", "at]", "at}", "at>", "_at_", "at )", "at ]", "at }")):
+            for m in _AT_MARKED.finditer(text):
+                a, b = m.span()
+                yield a - text[a - 1 : a].isspace() if a else a, b + text[b : b + 1].isspace(), "marked"
+        for m in _AT_WORD.finditer(text):
+            a, b = m.span()
+            while a and text[a - 1].isspace():
+                a -= 1
+            while text[b : b + 1].isspace():
+                b += 1
+            yield a, b, "word"
+
+
 def email_segments(text: str) -> Iterator[Segment]:
-    if not _HINT.search(text):
-        return
     seen = set()
-    for rx in (_EMAIL_PLAIN, _EMAIL):
-        for m in rx.finditer(text, overlapped=rx is _EMAIL):
-            a, b = m.start("local"), m.end("host")
+    for left, right, spelling in _at_marks(text):
+        forms = [(_LOCAL, _HOST)] if spelling != "sign" else [(_LOCAL_PLAIN, _HOST_PLAIN), (_LOCAL, _HOST)]
+        for rx_local, rx_host in forms:
+            h = rx_host.match(text, right)
+            n = h and rx_local.match(text, 0, left)
+            if not n:
+                continue
+            a, b = n.start(), h.end()
             if (a, b) in seen:
                 continue
             seen.add((a, b))
-            at, host = m["at"], regex.sub(r"\s?[\[({<_]?\s?dot\s?[\])}>_]?\s?", ".", m["host"], flags=regex.I)
-            local = regex.sub(r"\s?[\[({<_]\s?dot\s?[\])}>_]\s?|\sdot\s", ".", m["local"], flags=regex.I)
+            raw = h.group()
+            host = _DOTS_OF_HOST.sub(".", raw) if "dot" in raw.lower() else raw
+            local = _DOTS_OF_LOCAL.sub(".", n.group()) if "dot" in n.group().lower() else n.group()
             before, after = _around(text, a, b)
             fs = ["email:bias"]
             base = local.casefold().split("+")[0]
-            if base in _ROLES or regex.split(r"[.+_-]", base)[0] in ("noreply", "no", "bot", "donotreply") or base.endswith(("-bot", "bot", "-team")):
+            if base in _ROLES or _FIRST_PART.split(base, maxsplit=1)[0] in ("noreply", "no", "bot", "donotreply") or base.endswith(("-bot", "bot", "-team")):
                 fs.append("email:role")
             if _SERVICE_HOST.match(host):
                 fs.append("email:service_host")
-            if regex.match(r"[:/][\w.~-]+/", after) or before.endswith(("://", "ssh://", "git+")) and regex.match(r"[:/]", after):
+            if _REPO_PATH.match(after) or before.endswith(("://", "ssh://", "git+")) and after[:1] in (":", "/"):
                 fs.append("email:repo")
-            if at.strip() not in ("@", "＠", "﹫"):
+            if spelling in ("marked", "word") or spelling != "gap" and text[left:right].strip() not in ("@", "＠", "﹫"):
                 fs.append("email:spelled")
-                if regex.fullmatch(r"\s+(?:at|AT)\s+", at):
+                if spelling == "word":
                     fs.append("email:words_at")
                     # "x at y.z" is an address only if the local part looks like one or the dots are spelled as well
-                    if regex.search(r"[._+\d-]", local):
+                    if _LOCALISH.search(local):
                         fs.append("email:localish")
                 else:
                     fs.append("email:spelled_marked")
-                if regex.search(r"dot", m["host"], regex.I):
+                if host != raw:
                     fs.append("email:spelled_dot")
-            elif at != at.strip():
+            elif spelling == "gap":
                 fs.append("email:words_at")
             if before.endswith(("<", "(", "mailto:")):
                 fs.append("email:bracket")
-            if regex.fullmatch(r"[\d.]+", host.rsplit(".", 1)[0]):
+            if not host.rsplit(".", 1)[0].strip("0123456789."):
                 fs.append("email:numeric_host")
-            if regex.match(r"\s*\(|\.\w+\(", after) or regex.search(r"[\w)]\s*$", before) and regex.search(r"(?:py|js|ts|java|c|cpp|h|md|txt|json|yaml|yml|toml|css|html)$", host):
+            if _IN_CODE.match(after) or _OPERAND.search(before) and _FILE_LIKE.search(host):
                 fs.append("email:in_code")
             yield a, b, "email", tuple(fs)
 
 
+_FIRST_PART = re.compile(r"[.+_-]")
+_DATE = re.compile(r"(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}(?:\D|$)")
+_PERSON_AFTER = regex.compile(r"\s*/\s*[\w.+-]+(?:@|\s?[\[(]at)")
+_EXTENSION = regex.compile(r"\s*(?:ext\.?|x|extension|Durchwahl)\s?\d")
+
+
 def number_segments(text: str) -> Iterator[Segment]:
     for rx, kind, forms in ((_PHONE, "phone", _PHONE_FORMS), (_ID, "id_number", _ID_FORMS)):
-        for m in rx.finditer(text, overlapped=False):
+        for m in rx.finditer(text):
             for a, b in _trims(text, m.start(), m.end(), forms):
                 s = text[a:b]
-                before, after = _around(text, a, b)
                 if "\n" in s:
                     continue
-                form = _first(forms, s)
-                fs = [f"{kind}:bias", f"{kind}:{form}"]
-                if regex.match(r"(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}(?:\D|$)", s):
+                fs = [f"{kind}:bias", f"{kind}:{_first(forms, s)}"]
+                if _DATE.match(s):
                     fs.append(f"{kind}:date")
-                phone_cue, id_cue = _CUES["phone"].search(before), _CUES["id_number"].search(before) and not _ID_STRICT.search(before)
+                phone_cue = _cue("phone", text, a)
+                id_cue = not (kind == "phone" and phone_cue) and _cue("id_number", text, a) and not _ID_STRICT.match(text, 0, a)
                 if kind == "phone":
-                    n = sum(c.isdigit() for c in s)
+                    n = sum(map(str.isdigit, s))
                     if phone_cue:
                         fs.append("phone:cue")
                     elif id_cue:
                         fs.append("phone:id_cue")
-                    elif _OTHER.search(before):
+                    elif _OTHER.match(text, 0, a):
                         fs.append("phone:other")
                     if not 7 <= n <= 15:
                         fs.append("phone:length")
-                    if regex.search(r"/\s*$", before) or regex.match(r"\s*/\s*[\w.+-]+(?:@|\s?[\[(]at)", after):
+                    if text[:a].endswith(("/", "/ ")) if a < 3 else text[a - 1] == "/" or text[a - 1].isspace() and text[a - 2] == "/" or _PERSON_AFTER.match(text, b):
                         fs.append("phone:near_person")
-                    if regex.match(r"\s*(?:ext\.?|x|extension|Durchwahl)\s?\d", after):
+                    if _EXTENSION.match(text, b):
                         fs.append("phone:ext")
-                else:
-                    if id_cue:
-                        fs.append("id_number:cue")
-                    elif phone_cue:
-                        fs.append("id_number:phone_cue")
-                    elif _OTHER.search(before):
-                        fs.append("id_number:other")
+                elif id_cue:
+                    fs.append("id_number:cue")
+                elif phone_cue:
+                    fs.append("id_number:phone_cue")
+                elif _OTHER.match(text, 0, a):
+                    fs.append("id_number:other")
                 yield a, b, kind, tuple(fs)
 
 
+def _cue(kind: str, text: str, a: int) -> bool:
+    """Whether a cue of a kind stands right before ``a``: read from there to the left, whatever is further left."""
+    return _CUES[kind].match(text, 0, a) is not None
+
+
+_GROUPS = re.compile(r"\s+")
+
+
 def _trims(text: str, a: int, b: int, forms: list) -> list[tuple[int, int]]:
     """The stretch itself and, where it has no known form, the longest pieces of it from its groups that have one."""
     s = text[a:b]
     if _first(forms, s) != "none":
         return [(a, b)]
-    cuts = [0, *(m.end() for m in regex.finditer(r"\s+", s)), len(s) + 1]
+    cuts = [0, *(m.end() for m in _GROUPS.finditer(s)), len(s) + 1]
     out = []
     for i in range(len(cuts) - 1):
         for j in range(len(cuts) - 1, i, -1):
             piece = s[cuts[i] : cuts[j]].rstrip()
-            if len(piece) >= 7 and _first(forms, piece) != "none" and not (piece == s):
+            if len(piece) >= 7 and piece != s and _first(forms, piece) != "none":
                 out.append((a + cuts[i], a + cuts[i] + len(piece)))
                 break
     return out or [(a, b)]
 
 
+_IN_CITY = regex.compile(r",\s(?:\d{4,5}\s)?\p{Lu}")
+_ZIP = re.compile(r"\b\d{5}\b")
+
+
+#: What every German address holds; a cheap test, as the form itself begins with any word.
+_GERMAN_HINT = re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig)\s\d")
+
+
 def address_segments(text: str) -> Iterator[Segment]:
     for form, rx in _ADDRESS_FORMS:
+        if form == "german" and not _GERMAN_HINT.search(text):
+            continue
         for m in rx.finditer(text):
             a, b = m.span()
             if "\n" in m.group():
                 b = a + m.group().index("\n")
                 if not rx.fullmatch(text[a:b].rstrip(" ,")):
                     continue
-            before, _ = _around(text, a, b)
             fs = ["address:bias", f"address:{form}"]
-            if _CUES["address"].search(before):
+            if _cue("address", text, a):
                 fs.append("address:cue")
-            if regex.search(r",\s(?:\d{4,5}\s)?\p{Lu}", m.group()):
+            if _IN_CITY.search(m.group()):
                 fs.append("address:city")
-            if regex.search(r"\b\d{5}\b", m.group()):
+            if _ZIP.search(m.group()):
                 fs.append("address:zip")
             yield a, b, "address", tuple(fs)
 
 
+_NAME_AFTER = regex.compile(r"\s*(?:[<(]|wrote|confirmed|said|asks?|asked|thinks|lives|hat |has |schrieb|a confirmé|confirmó|confirmou|,\s(?:phone|tel|reachable|erreichbar))")
+_HANDLE_AFTER = regex.compile(r"[@_/=\\\d]|\.\p{L}|\(\)|-\p{L}")
+
+
 def name_segments(text: str, lex: Lexicon) -> Iterator[Segment]:
-    """Spans of two or three name parts in any order and case; at least one part is a known name or a cue stands before."""
+    """Spans of two to four name parts in any order and case; at least one part is a known name or a cue stands before."""
+    codes = list(map(lex.codes.__getitem__, _WORD.findall(text)))
+    cued_at = {m.start() for m in _CAP_PAIR.finditer(text) if _cue("name", text, m.start())}
+    if not cued_at and not any(codes):
+        return
     words = list(_WORD.finditer(text))
-    folded = [fold(w.group()) for w in words]
-    given = [f in lex.given for f in folded]
-    surname = [f in lex.surname for f in folded]
+    given, surname = [c & 1 for c in codes], [c & 2 for c in codes]
+    # a span begins at most three words before a known part, or at words with capitals behind a cue
+    starts = {i for x, c in enumerate(codes) if c for i in range(max(0, x - 3), x + 1)}
+    if cued_at:
+        starts |= {i for i, w in enumerate(words) if w.start() in cued_at}
+    folded = _Folded(words)
     n = len(words)
-    for i in range(n):
-        a = words[i].start()
+    for i in sorted(starts):
         w = words[i].group()
+        a = words[i].start()
         cued = None
         for k in (1, 2, 3):
             j = i + k
             if j >= n:
                 break
             span = range(i, j + 1)
-            if not any(given[x] or surname[x] for x in span):
+            if not any(codes[i : j + 1]):
                 if k > 1 or not w[0].isupper() or not words[j].group()[0].isupper():
                     break
                 if cued is None:
-                    cued = bool(_CUES["name"].search(text[max(0, a - 48) : a]))
+                    cued = _cue("name", text, a)
                 if not cued:
                     break
             gaps = [text[words[x].end() : words[x + 1].start()] for x in range(i, j)]
@@ -282,22 +402,33 @@ def name_segments(text: str, lex: Lexicon) -> Iterator[Segment]:
             b = words[j].end()
             if len(folded[j]) == 1 and text[b : b + 1] == ".":
                 b += 1
-            before, after = text[max(0, a - 48) : a], text[b : b + 32]
             if cued is None:
-                cued = bool(_CUES["name"].search(before))
+                cued = _cue("name", text, a)
             if cued:
                 fs.append("name:cue")
-            if regex.match(r"\s*(?:[<(]|wrote|confirmed|said|asks?|asked|thinks|lives|hat |has |schrieb|a confirmé|confirmó|confirmou|,\s(?:phone|tel|reachable|erreichbar))", after):
+                if _TRAILER.match(text, 0, a):
+                    fs.append("name:trailer")
+            if _NAME_AFTER.match(text, b):
                 fs.append("name:after")
-            if _NOT_NAME_NEXT.match(after) and not any(x == "name:both" for x in fs):
+            if _NOT_NAME_NEXT.match(text, b) and "name:both" not in fs:
                 fs.append("name:thing")
-            if before.endswith(("@", "/", "_", "=")) and not before.lower().endswith("@author ") or regex.match(r"[@_/=\\]|\.\p{L}|\(\)|-\p{L}", after):
+            if text[a - 1 : a] in ("@", "/", "_", "=") and a and text[max(0, a - 8) : a].lower() != "@author " or _HANDLE_AFTER.match(text, b):
                 fs.append("name:handle")
             if any(len(folded[x]) > 1 and folded[x] in _STOP for x in span):
                 fs.append("name:stop")
             yield a, b, "name", tuple(fs)
 
 
+class _Folded:
+    """Folded words of a text, each folded when it is asked for."""
+
+    def __init__(self, words: list) -> None:
+        self.words = words
+
+    def __getitem__(self, i: int) -> str:
+        return fold(self.words[i].group())
+
+
 def _name_form(words: list, folded: list[str], given: list[bool], surname: list[bool], i: int, j: int, gaps: list[str], lex: Lexicon) -> list[str] | None:
     """Features of a span by the form in which its words stand, or None if names have no such form."""
     parts = list(range(i, j + 1))
@@ -393,11 +524,14 @@ def candidates(text: str, lex: Lexicon) -> list[Segment]:
     return [*email_segments(text), *number_segments(text), *address_segments(text), *name_segments(text, lex)]
 
 
+_PREV_WORD = regex.compile(r"(?r)(\p{L}+)\P{L}{0,4}")
+_NEXT_WORD = regex.compile(r"\P{L}{0,4}(\p{L}+)")
+
+
 def context_features(text: str, seg: Segment) -> tuple[str, ...]:
     """Fitted features: the word before and the one after the span, by kind."""
     a, b, kind, _ = seg
-    prev = regex.search(r"(\p{L}+)\P{L}{0,4}$", text[max(0, a - 24) : a])
-    nxt = regex.match(r"\P{L}{0,4}(\p{L}+)", text[b : b + 24])
+    prev, nxt = _PREV_WORD.match(text, 0, a), _NEXT_WORD.match(text, b)
     return (f"{kind}<{prev[1].casefold() if prev else ''}", f"{kind}>{nxt[1].casefold() if nxt else ''}")
 
 
@@ -466,32 +600,138 @@ def marginals(segs: list[Segment], scores: list[float]) -> list[float]:
     return [math.exp(min(0.0, fwd[at[s[0]]] + v + bwd[at[s[1]]] - z)) for s, v in zip(segs, scores)]
 
 
-def fit(texts: list[str], lex: Lexicon, epochs: int = 4, rate: float = 0.08, clip: float = 1.0, sure: float = 2.0) -> dict[str, float]:
-    """Weights fitted on texts by gradient ascent on the likelihood of their silver segmentations, starting from the priors.
-
-    The silver segmentation of a text is the one the priors choose, used only where every score is at least ``sure`` away from
-    zero. Only the weights of context words are fitted, each within ``clip``; the forms keep their priors. Deterministic.
+#: Sentences into which values are planted, in the languages of the corpus, by the kind in braces. Fixed list.
+_PLANTS = [
+    "Ping {email} if it breaks.", "cc {email}", "mail: {email}", "Escribid a {email}.", "Schreibt an {email}, bitte.", "Contact ({email}) for access", "écrire à {email}", "{email} wrote this", "reach me via {email}, thanks", "联系 {email} 。",
+    "call me at {phone} after lunch", "phone {phone}.", "tel: {phone}", "Mobile is {phone}, thanks", "erreichbar unter {phone}", "Téléphone : {phone}", "mi teléfono es {phone}.", "telefone {phone}", "WhatsApp {phone}", "fax {phone} is gone", "(phone {phone})", "電話 {phone}", "hotline: {phone} ext. 12",
+    "SSN {id_number} shows up in the dump", "passport number {id_number} of the customer", "ID: {id_number}", "El DNI {id_number} aparece", "Steuer-ID {id_number} steht im Log", "CPF {id_number}", "national insurance {id_number}", "Reisepass {id_number}", "numéro de sécurité sociale {id_number}", "identity card {id_number}", "pasaporte {id_number}",
+    "lives at {address} and", "please send it to {address}.", "Lieferung an {address}", "Livrer au {address}.", "Enviar a {address}.", "address: {address}", "moved to {address}, so", "My laptop should go to {address}, please.", "entregar em {address}", "the office is {address}", "{address}\n",
+    "Reviewed-by: {name}", "Reported by {name}.", "@author {name}", "thanks to {name} for this", "On call this week: {name}", "pairing with {name} today", "{name} confirmed it", "Ms {name} said so", "Signalé par {name}", "gemeldet von {name}", "lo informó {name}", "cc {name}", "TODO({name})", "assigned to {name}", "ask {name}", "{name}\n",
+    "Signed-off-by: {name} <{email}>", "Co-authored-by: {name} <{email}>", "Contact: {name} / {phone} / {email}", "{name}, phone {phone}", "{name} <{email}> tel: {phone}", "customer ({name}, {address})", "{name} lives at {address}", "{name}, {id_number}", "{name} ({email})", "{phone} / {email}",
+]
+_SLOT = re.compile(r"\{(\w+)\}")
+#: Sentences with values that only look like one; ``{}`` is such a value. Fixed list.
+_DECOYS = {
+    "email": ["muted mails from {}", "git clone {}:team/repo.git", "npm i {} now", "built by {}", "decorators such as {} and others", "uses {} and more", "see {} for it"],
+    "phone": ["Error {} again", "order {} shipped", "build {}", "part {} of it", "see line {}", "ids {}", "row {}", "took {} ms", "timestamps are {}", "version {}", "at {} in the trace", "offset {}"],
+    "id_number": ["The key {} is only a row id.", "order {} is late", "sample id {}", "commit {}", "build {}", "trace id {}", "serial {}", "table {} for codes"],
+    "address": ["{} keeps both apart.", "see {} of the plan"],
+    "name": ["Deployed to {}, next.", "{} was stuck again", "Why does {} inherit", "{} and more show up in the plan.", "the {} branch", "docs/{}/index"],
+}
+_STREETS = ["Harrow", "Osprey", "Tannery", "Miller", "Quarry", "Linden", "Foundry", "Chapel"]
+_CITIES = ["Vellaport", "Denmoor", "Brackstadt", "Quarrington"]
+_THINGS = ["Cluster", "Release", "Server", "Project", "Module", "Pipeline", "Queue", "Branch", "Street", "Award"]
+_PAIRS = ["Merge Queue", "Hash Join", "Silver Heron", "Table Scan", "Event Loop", "Blue Harbor", "Data Frame", "Lane Changes"]
+
+
+class Planter:
+    """Labelled rows for :func:`fit`: sentences with planted values of every kind and form, and with values that only look like them."""
+
+    def __init__(self, lex: Lexicon, seed: int = 17) -> None:
+        self.rnd = random.Random(seed)
+        self.given = sorted(lex.given) or ["ines"]
+        self.surname = sorted(lex.surname) or ["varnholt"]
+
+    def digits(self, form: str) -> str:
+        """A text with each ``#`` as a digit, each ``%`` as a digit from 2 on, each ``A`` as a capital."""
+        r = self.rnd
+        return "".join(r.choice("0123456789") if c == "#" else r.choice("23456789") if c == "%" else r.choice("ABCDEFGHKLMNPRSTWXYZ") if c == "A" else c for c in form)
+
+    def coined(self) -> str:
+        r = self.rnd
+        return "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.choice((2, 3)))) + r.choice(("n", "sk", "ller", "tti", "wick"))
+
+    def value(self, kind: str) -> str:
+        r = self.rnd
+        if kind == "email":
+            a, b = r.choice(self.given), r.choice(self.surname)
+            local = r.choice([f"{a}.{b}", f"{a[0]}{b}", f"{a}_{b}{r.randrange(99)}", f"{b}+x", f"{a}{r.randrange(9)}"]).replace("'", "").replace(" ", "")
+            host = r.choice(["nord.test", "mail.example", "quillfork.invalid", "post.co.example"])
+            local = local.upper() if r.random() < 0.08 else local
+            return r.choice(["{}@{}"] * 5 + ["{} (at) {}", "{} [at] {}", "{}[at]{}", "{}%40{}"]).format(local, host) if r.random() < 0.8 else f"{local} {r.choice(['at', '(at)', '[at]'])} {host.replace('.', r.choice([' dot ', ' [dot] ', ' (dot) ']))}"
+        if kind == "phone":
+            return self.digits(r.choice(["+## ### #######", "+## ## ########", "+1 (%##) 555-####", "(%##) 555-####", "(0##) #######", "%##-555-####", "%##.555.####", "1-800-555-####", "00## ### #######", "0##/#######", "0##/#####-###", "0## ### ####", "0### ## ## ##", "555-####"]))
+        if kind == "id_number":
+            return self.digits(r.choice(["###-##-####", "###.###.###-##", "AA ## ## ## C", "AA######B", "########A", "A########", "A#######", "AA#######", "## ### ### ###", "X#######A", "###########"]))
+        if kind == "address":
+            st, city, n = r.choice(_STREETS), r.choice(_CITIES), r.randrange(1, 240)
+            form = r.choice([f"{n} {st} {r.choice(['Street', 'Lane', 'Road', 'Avenue', 'Court'])}", f"{st}straße {n}", f"{st}weg {n}", f"{n}, rue {st}", f"Calle {st} {n}", f"Rua {st}, {n}", f"P.O. Box {self.digits('%###')}", f"Postfach {self.digits('%###')}"])
+            return form + r.choice(["", f", {city}", f", {self.digits('%####')} {city}"])
+        a, b = r.choice(self.given).title(), r.choice(self.surname).title()
+        new = r.random()
+        a, b = (self.coined().title(), b) if new < 0.15 else (a, self.coined().title()) if new < 0.3 else (a, b)
+        out = r.choice([f"{a} {b}"] * 6 + [f"{b}, {a}", f"{a[0]}. {b}", f"{a} {r.choice('BKMT')}. {b}", f"{a} {b}".upper(), f"{b} {a}"])
+        return out.lower() if new > 0.9 and "," not in out else out
+
+    def decoy(self, kind: str) -> str:
+        r = self.rnd
+        if kind == "email":
+            return r.choice(["noreply@ci.corp.example", "release-bot@pager.corp.example", "git@git.corp.example", "@corp/ui@5.6.21", "security@corp.example", "root at noon.", "build at 5.6.x", "git@10.0.0.7", "@app.get", "@retry.on", "a@decorator(x)", "team@lists.corp.example"])
+        if kind == "phone":
+            return self.digits(r.choice(["555-###", "##-###-####", "####-####-###", "###-##-#", "2025-08-1# 18:##:##", "1265###", "10.0.%.%:####", "#######", "########", "%## ####", "20240#1#-####", "##.###.##"]))
+        if kind == "id_number":
+            return self.digits(r.choice(["########A", "###-##-##", "2024-0#-##", "A#######", "##########", "AA######", "##.####.##", "#### #### ####"]))
+        if kind == "address":
+            return r.choice(["3 Way Merge", "5 Lane Changes", "Step 4, Court", "Drive 87 Road map", "2 Hill Climb"])
+        g = r.choice(self.given).title()
+        return r.choice([f"{g} {r.choice(_THINGS)}", f"the {g} {r.choice(_THINGS)}", r.choice(_PAIRS), f"{self.coined().title()} {self.coined().title()}", f"{g}_{r.choice(self.surname)}", f"{g} {r.choice(self.given).title()}"])
+
+    def row(self, carrier: str) -> tuple[str, set[tuple[int, int, str]]]:
+        """A text, with one to three planted sentences around ``carrier``, and the planted (start, end, kind)."""
+        r = self.rnd
+        parts: list[tuple[str, list[tuple[int, int, str]]]] = [(carrier, [])] if carrier else []
+        for _ in range(r.randrange(1, 4)):
+            if r.random() < 0.6:
+                sentence, spans, at = "", [], 0
+                plant = r.choice(_PLANTS)
+                for m in _SLOT.finditer(plant):
+                    sentence += plant[at : m.start()]
+                    at, value = m.end(), self.value(m[1])
+                    spans.append((len(sentence), len(sentence) + len(value), m[1]))
+                    sentence += value
+                sentence += plant[at:]
+            else:
+                kind = r.choice(list(_DECOYS))
+                sentence, spans = r.choice(_DECOYS[kind]).replace("{}", self.decoy(kind)), []
+            parts.insert(r.randrange(len(parts) + 1), (sentence, spans))
+        text, gold = "", set()
+        for t, spans in parts:
+            gold |= {(len(text) + a, len(text) + b, k) for a, b, k in spans}
+            text += t + r.choice(["\n", " ", "\n\n"])
+        return text, gold
+
+
+def labelled(carriers: list[str], lex: Lexicon, rows: int = FIT_ROWS, seed: int = 17) -> list[tuple[str, set[tuple[int, int, str]]]]:
+    """``rows`` planted rows. Carriers are texts of the corpus in which nothing could be a mention, so that all labels are known; others
+    are left out, and some rows have none."""
+    clean = [c for c in carriers if c and not candidates(c, lex)]
+    p = Planter(lex, seed)
+    return [p.row(clean[i % (2 * len(clean))] if clean and i % (2 * len(clean)) < len(clean) else "") for i in range(rows)]
+
+
+def fit(carriers: list[str], lex: Lexicon, rows: int = FIT_ROWS, epochs: int = 6, rate: float = 0.1, pull: float = 0.2, seed: int = 17) -> dict[str, float]:
+    """Weights of all span features and context words, fitted on planted rows by gradient ascent on the likelihood of their true
+    segmentations under the field; the priors of :data:`PRIOR` are the mean of a Gaussian prior to which ``pull`` draws the
+    weights of forms, and context words are drawn to zero. Deterministic for a seed.
     """
     data = []
-    for t in texts:
-        segs = candidates(t, lex)
-        if not segs:
-            continue
-        base = [score(s, PRIOR) for s in segs]
-        if min(abs(b) for b in base) < sure:
-            continue
-        gold = {(s[0], s[1], s[2]) for s in decode(segs, base)}
-        data.append((segs, base, [context_features(t, s) for s in segs], [float(s[:3] in gold) for s in segs]))
-    w: dict[str, float] = {}
-    for _ in range(epochs):
-        for segs, base, ctx, gold in data:
-            now = [b + sum(w.get(f, 0.0) for f in c) for b, c in zip(base, ctx)]
-            for p, y, c in zip(marginals(segs, now), gold, ctx):
-                step = rate * (y - p)
-                if abs(step) > 1e-4:
-                    for f in c:
-                        w[f] = max(-clip, min(clip, w.get(f, 0.0) + step))
-    return PRIOR | w
+    for text, gold in labelled(carriers, lex, rows, seed):
+        segs = candidates(text, lex)
+        if segs:
+            feats = [s[3] + context_features(text, s) for s in segs]
+            data.append((segs, feats, [float(s[:3] in gold) for s in segs]))
+    w = dict(PRIOR)
+    for epoch in range(epochs):
+        step = rate / (1 + epoch)
+        for segs, feats, truth in data:
+            scores = [sum(w.get(f, 0.0) for f in fs) for fs in feats]
+            for p, y, fs in zip(marginals(segs, scores), truth, feats):
+                d = y - p
+                if abs(d) > 1e-3:
+                    for f in fs:
+                        v, mean = w.get(f, 0.0), PRIOR.get(f, 0.0)
+                        w[f] = v + step * d - step * pull * (v - mean)
+    return w
 
 
 def find_personal(text: str | None, lex: Lexicon, weights: dict[str, float]) -> list[tuple[int, int, str]]:
@@ -530,30 +770,38 @@ def known_names(people: DataFrame, most: int = MOST_NAMES) -> tuple[str, ...]:
 _TITLES = set("ms mr mrs miss dr prof frau herr mme m sr sra don doña senhor senhora the and by with from of to".split())
 
 
-def learned_given(docs: DataFrame, names: tuple[str, ...], min_docs: int = 3, most: int = 10_000) -> tuple[str, ...]:
+def learned_given(docs: DataFrame, names: tuple[str, ...], min_docs: int = 3, most: int = MOST_NAMES) -> tuple[str, ...]:
     """Given names that the list lacks: capitalised words right before a known surname in at least ``min_docs`` documents, counted over
-    all documents by the JVM, on (word, document) pairs combined before the shuffle; at most the ``most`` commonest are kept.
+    all documents by the JVM. Pairs of capitalised words are taken from the texts, their second words are looked up among the
+    surnames by a broadcast join, whose size :data:`MOST_NAMES` bounds, and (word, document) pairs are combined before the shuffle. More than ``most`` are an error, none is dropped.
     """
     lex = _ready(names)
     surnames = sorted({n.split()[-1] for n in names if " " in n})
     if not surnames:
         return ()
-    pattern = r"(?<![\p{L}@])(\p{Lu}[\p{L}\p{M}'’-]+) (?:\p{Lu}\. ?)?(?:" + "|".join(regex.escape(s, special_only=True) for s in surnames) + r")(?![\p{L}])"
-    words = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).orderBy(F.desc("n"), "word").limit(most).collect()
+    known = docs.sparkSession.createDataFrame([(s,) for s in surnames], "surname string")
+    pair = r"(?<![\p{L}@])(?=(\p{Lu}[\p{L}\p{M}'’-]++ (?:\p{Lu}\. ?)?[\p{L}\p{M}'’-]++)(?![\p{L}\p{M}\p{N}'’@_+%-]|\.\p{L}))"
+    pairs = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pair), F.lit(1)))).alias("pair"))
+    words = pairs.select("doc_id", F.substring_index("pair", " ", 1).alias("word"), F.regexp_extract("pair", r"([^ .]+)$", 1).alias("surname")).join(F.broadcast(known), "surname", "left_semi")
+    counted = words.select("doc_id", "word").distinct().groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).orderBy(F.desc("n"), "word").limit(most + 1).collect()
+    if len(counted) > most:
+        raise ValueError(f"more than {most} names")
     return tuple(r["word"] for r in counted if fold(r["word"]) not in lex.given and fold(r["word"]) not in lex.surname and fold(r["word"]) not in _TITLES and fold(r["word"]) not in _STOP)
 
 
-def fitted(docs: DataFrame, names: tuple[str, ...], documents: int = FIT_DOCUMENTS) -> dict[str, float]:
-    """Weights fitted on the ``documents`` texts of smallest id hash among those of at most 20,000 characters."""
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= 20_000)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).select("text").collect()
-    return fit([r["text"] for r in rows], _ready(names))
+def fitted(docs: DataFrame, names: tuple[str, ...], carriers: int = FIT_CARRIERS) -> dict[str, float]:
+    """Weights fitted on rows planted into one line each of the ``carriers`` documents of smallest id hash; which line, the hash says."""
+    h = F.xxhash64("doc_id")
+    lines = F.split("text", r"\r?\n")
+    chosen = docs.where(F.col("text").isNotNull()).select(h.alias("h"), "doc_id", "text").orderBy("h", "doc_id").limit(carriers)
+    rows = chosen.select(F.element_at(lines, (F.pmod("h", F.size(lines)) + 1).cast("int")).alias("line")).collect()
+    return fit([r["line"] for r in rows], _ready(names))
 
 
 def personal_mentions(docs: DataFrame, names: tuple[str, ...], weights: dict[str, float], replaced: bool = False) -> DataFrame:
     """Mentions of ``docs`` (doc_id, text): rows (doc_id, kind, start_char), or (doc_id, text, mentions) with placeholders.
 
-    Names and weights are bounded (:data:`MOST_NAMES`, the context words of :data:`FIT_DOCUMENTS` texts) and travel as one broadcast.
+    Names and weights are bounded (:data:`MOST_NAMES`, the context words of :data:`FIT_ROWS` rows) and travel as one broadcast.
     Whole texts are read whatever their length. Rows with equal doc_id are labelled independently. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast((names, weights))

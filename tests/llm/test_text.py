@@ -408,3 +408,37 @@ def test_fit_does_not_lose_what_the_priors_find(spark, table):
 def test_unknown_given_names_are_learned(spark):
     docs = spark.createDataFrame([(i, f"Reported by Henrik Varnholt, {i}") for i in range(4)], "doc_id bigint, text string")
     assert pii.learned_given(docs, ("Teodor Varnholt",), min_docs=3) == ("Henrik",)
+
+
+def test_fitted_weights_on_held_out_rows():
+    carriers = ["The docs say the limit is 276.", "Fixed in the last run.", "", "ping a.b@nord.test"]
+    rows = pii.labelled(carriers, LEX, 300, seed=5)
+    assert all(0 <= a < b <= len(t) for t, gold in rows for a, b, _ in gold) and {k for _, gold in rows for _, _, k in gold} == {"email", "phone", "id_number", "address", "name"}
+    w = pii.fit(carriers, LEX, rows=1_500)
+    assert w == pii.fit(carriers, LEX, rows=1_500) and sum(w[f] != v for f, v in pii.PRIOR.items()) > 50
+
+    def scores(weights):
+        true = found = both = 0
+        for text, gold in rows:
+            g, f = {(a, k) for a, _, k in gold}, {(a, k) for a, _, k in pii.find_personal(text, LEX, weights)}
+            true, found, both = true + len(g), found + len(f), both + len(g & f)
+        return both / found, both / true
+
+    precision, recall = scores(w)
+    assert precision > 0.97 and recall > 0.93 and recall > scores(pii.PRIOR)[1]
+
+
+def test_no_window_around_a_mention_decides():
+    far = "phone" + " " * 500 + "555-0134"
+    assert [(k, far[a:b]) for a, b, k in pii.find_personal(far, LEX, pii.PRIOR)] == [("phone", "555-0134")]
+    long = "x" * 300 + "." + "y" * 300
+    text = "filler text " * 200_000 + f"{long}@nord.test"
+    assert [(k, text[a:b]) for a, b, k in pii.find_personal(text, LEX, pii.PRIOR)] == [("email", f"{long}@nord.test")]
+
+
+def test_learned_names_are_not_dropped(spark):
+    docs = spark.createDataFrame([(i, f"Reported by Henrik Varnholt, Ms Oda B. Varnholt. Ping Varnholt17@x.test {i}") for i in range(4)], "doc_id bigint, text string")
+    assert set(pii.learned_given(docs, ("Teodor Varnholt",))) == {"Henrik", "Oda"}
+    with pytest.raises(ValueError):
+        pii.learned_given(docs, ("Teodor Varnholt",), most=1)
+    assert pii.learned_given(docs.limit(0), ("Teodor Varnholt",)) == () and pii.fitted(docs.limit(0), ("Teodor Varnholt",))
