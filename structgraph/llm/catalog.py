@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structgraph.llm.docs import pair_docs
-from structgraph.llm.packing import pack, packing_report
+from structgraph.llm.packing import PRODUCTION, pack, packing_report
 from structgraph.llm.pii import fitted, known_names, learned_given, personal_mentions
 from structgraph.llm.provenance import file_kinds
 from structgraph.llm.rows import distinct_by
@@ -84,6 +84,7 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _capacities(spark: SparkSession, root: str, most: int = 1000) -> list[tuple[int, int]]:
+    """The capacities, at most ``most``: every document is packed once for each, so more of them are an error."""
     rows = table(spark, root, "capacities").select("capacity_id", "capacity").distinct().orderBy("capacity_id").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} capacities")
@@ -92,7 +93,7 @@ def _capacities(spark: SparkSession, root: str, most: int = 1000) -> list[tuple[
 
 def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     sizes = cut(_documents(spark, root).select("doc_id", token_count(F.col("text")).alias("tokens")))
-    return pack(sizes, _capacities(spark, root))
+    return pack(sizes, _capacities(spark, root), PRODUCTION)
 
 
 def p9_report(spark: SparkSession, root: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Filling fixed-capacity containers with items by vector best-fit (problem 9)."""
 
-from bisect import insort
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,7 +19,9 @@ REPACK_FILL = 0.98
 class Limits:
     """Capacities of a container besides tokens, and the weights of what is left in choosing one.
 
-    ``max_docs`` and ``max_attention`` (the sum of the squares of the item lengths) default to what tokens alone allow.
+    ``max_docs`` and ``max_attention`` (the sum of the squares of the item lengths) bound every container of two or more items;
+    None means what tokens alone allow. ``tokens_per_doc`` and ``attention_share`` state them by capacity instead: one document per so many
+    tokens, and a share of the square of the capacity.
     """
 
     max_docs: int | None = None
@@ -27,61 +29,75 @@ class Limits:
     w_tokens: float = 1.0
     w_docs: float = 0.01
     w_attention: float = 0.01
+    tokens_per_doc: int | None = None
+    attention_share: float | None = None
+
+    def of(self, capacity: int) -> tuple[int, int]:
+        """(documents, attention) that a container of a capacity may hold."""
+        docs = self.max_docs or (max(1, capacity // self.tokens_per_doc) if self.tokens_per_doc else max(1, capacity))
+        attention = self.max_attention or (int(self.attention_share * capacity * capacity) if self.attention_share else capacity * capacity)
+        return docs, attention
+
+
+#: Limits of the registered queries: a document per 16 tokens, so that empty and tiny texts do not pile up in one container, and nine
+#: tenths of the attention that one document of full length costs.
+PRODUCTION = Limits(tokens_per_doc=16, attention_share=0.9)
 
 
 def best_fit(sizes: list[int], capacity: int, limits: Limits = Limits()) -> list[int]:
     """Container number of each size, sizes being given in decreasing order, none above ``capacity``.
 
     Each container has three residuals: tokens, documents and attention cost. An item goes where the weighted norm of what
-    is left afterwards is least, among containers in which it fits in every respect; else it opens a new one. Containers are kept by
-    token residual; a bit mask finds the next non-empty residual, and the search stops when the token part of the norm alone
-    exceeds the best one found, so no container that could win is passed over.
+    is left afterwards is least, among containers in which it fits in every respect, the earlier one of equals; else it opens a new
+    one. An item whose own attention cost is above the limit has a container to itself.
+
+    Containers are kept by token residual, then by documents left, then in order of attention left: of those with equal tokens
+    and documents the first that still takes the item is the best. A bit mask finds the next token residual that occurs, and the
+    search stops when the token part of the norm alone exceeds the best one found, so no container that could win is passed over.
     """
-    max_docs = limits.max_docs or max(1, capacity)
-    max_att = limits.max_attention or capacity * capacity
+    max_docs, max_att = limits.of(capacity)
     wt, wd, wa = limits.w_tokens / capacity**2, limits.w_docs / max_docs**2, limits.w_attention / max_att**2
-    free: dict[int, list[tuple[float, int]]] = {}
+    free: dict[int, dict[int, list[tuple[int, int]]]] = {}
     mask = 0
     docs: list[int] = []
     att: list[int] = []
     out = []
-
-    def other(b: int) -> float:
-        return wd * docs[b] ** 2 + wa * att[b] ** 2
-
     for s in sizes:
-        best = None  # norm, residual, index in its list
+        cost = s * s
+        best = None  # norm, container, tokens left, documents left, index in its list
         seek = mask >> s
         base = s
-        while seek:
+        while seek and cost <= max_att:
             r = base + (seek & -seek).bit_length() - 1
             part = wt * (r - s) ** 2
-            if best and part >= best[0]:
+            if best and part > best[0]:
                 break
-            for i, (rest, b) in enumerate(free[r]):
-                if best and part + wd * 0 >= best[0]:
-                    break
-                if docs[b] >= 1 and att[b] >= s * s:
-                    after = part + wd * (docs[b] - 1) ** 2 + wa * (att[b] - s * s) ** 2
-                    if best is None or after < best[0]:
-                        best = (after, r, i)
-                    break
+            for d, row in free[r].items():
+                i = bisect_left(row, (cost, -1))
+                if i < len(row):
+                    a, b = row[i]
+                    after = part + wd * (d - 1) ** 2 + wa * (a - cost) ** 2
+                    if best is None or (after, b) < best[:2]:
+                        best = (after, b, r, d, i)
             seek >>= r - base + 1
             base = r + 1
         if best:
-            _, r, i = best
-            b = free[r].pop(i)[1]
-            if not free[r]:
-                mask &= ~(1 << r)
+            _, b, r, d, i = best
+            free[r][d].pop(i)
+            if not free[r][d]:
+                del free[r][d]
+                if not free[r]:
+                    del free[r]
+                    mask &= ~(1 << r)
         else:
             b, r = len(docs), capacity
             docs.append(max_docs)
             att.append(max_att)
         docs[b] -= 1
-        att[b] -= s * s
+        att[b] -= cost
         left = r - s
-        if docs[b] > 0:
-            insort(free.setdefault(left, []), (other(b), b))
+        if docs[b] > 0 and att[b] >= 0:
+            insort(free.setdefault(left, {}).setdefault(docs[b], []), (att[b], b))
             mask |= 1 << left
         out.append(b)
     return out
@@ -102,11 +118,12 @@ def pieces(sizes: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
 
 
 def pack(sizes: DataFrame, capacities: list[tuple[int, int]], limits: Limits = Limits(), group_items: int = GROUP_ITEMS) -> DataFrame:
-    """Containers for every capacity: (capacity_id, capacity, container_id, doc_id, part, start_token, tokens).
+    """Containers for every capacity: (capacity_id, capacity, container_id, doc_id, part, start_token, tokens, alone).
 
     Every document is in exactly one container per capacity, whole, unless it alone exceeds the capacity; no container holds more
-    than its capacity, its documents or its attention cost. Ties and repeated rows are separate items; an empty input gives no
-    containers; non-positive capacities are an error.
+    tokens than its capacity, and none of two or more items more documents or attention cost than the limits allow. ``alone`` marks
+    items whose own attention cost is above the limit; they have a container to themselves. Ties and repeated rows are separate items; an
+    empty input gives no containers; non-positive capacities are an error.
 
     Plan: items are dealt by hash into groups of about ``group_items``, each packed in one task (size-bounded, whatever the key
     distribution), then the containers left with room are dissolved and their items packed again in few groups. Full pieces
@@ -115,17 +132,19 @@ def pack(sizes: DataFrame, capacities: list[tuple[int, int]], limits: Limits = L
     if any(c <= 0 for _, c in capacities):
         raise ValueError("capacities must be positive")
     items = pieces(sizes, capacities)
-    attention_ok = limits.max_attention is None
-    full = items.where(F.col("tokens") == F.col("capacity")) if attention_ok else items.limit(0)
-    full = full.withColumn("container_id", F.concat_ws("-", "capacity_id", F.lit("f"), "doc_id", "part"))
-    rest = items.where(F.col("tokens") < F.col("capacity")) if attention_ok else items
+    # what fills a container by its tokens or its attention is one
+    bound = F.coalesce(*[F.when(F.col("capacity_id") == i, F.lit(limits.of(c)[1])) for i, c in capacities]) if capacities else F.lit(0)
+    items = items.withColumn("alone", F.col("tokens") * F.col("tokens") > bound)
+    single = F.col("alone") | (F.col("tokens") == F.col("capacity"))
+    full = items.where(single).withColumn("container_id", F.concat_ws("-", "capacity_id", F.lit("f"), "doc_id", "part"))
+    rest = items.where(~single)
     first = _packed(rest, sizes.count() or 1, group_items, limits, "a")
     first = cut(first)
     again = first.where(F.col("fill") < REPACK_FILL * F.col("capacity"))
     counted = again.groupBy("capacity_id").count().agg(F.max("count")).first()[0] or 0
     kept = first.where(F.col("fill") >= REPACK_FILL * F.col("capacity"))
     second = _packed(again.select(rest.columns), counted, group_items * 4, limits, "b")
-    names = ["capacity_id", "capacity", "container_id", "doc_id", "part", "start_token", "tokens"]
+    names = ["capacity_id", "capacity", "container_id", "doc_id", "part", "start_token", "tokens", "alone"]
     return full.select(names).unionByName(kept.select(names)).unionByName(second.select(names))
 
 
@@ -142,12 +161,13 @@ def _packed(items: DataFrame, count: int, group_items: int, limits: Limits, mark
         pdf["fill"] = pdf["tokens"].groupby(b).transform("sum")
         return pdf.drop(columns="g")
 
-    schema = "capacity_id bigint, capacity bigint, doc_id bigint, part bigint, start_token bigint, tokens bigint, container_id string, fill bigint"
+    schema = "capacity_id bigint, capacity bigint, doc_id bigint, part bigint, start_token bigint, tokens bigint, alone boolean, container_id string, fill bigint"
     dealt = items.withColumn("g", F.pmod(F.xxhash64("doc_id", "part", F.lit(mark)), F.lit(groups)).cast("int"))
     return dealt.groupBy("capacity_id", "g").applyInPandas(fill, schema)
 
 
 def packing_report(packed: DataFrame) -> DataFrame:
-    """Per capacity: containers, items, tokens, the least number of containers that could hold them, and the unused share."""
-    per = packed.groupBy("capacity_id", "capacity").agg(F.count_distinct("container_id").alias("containers"), F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
+    """Per capacity: containers, items, tokens, items above the attention limit, the least number of containers that could hold the
+    tokens, and the unused share."""
+    per = packed.groupBy("capacity_id", "capacity").agg(F.count_distinct("container_id").alias("containers"), F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.count_if("alone").alias("alone"))
     return per.select("*", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"))

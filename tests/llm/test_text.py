@@ -338,6 +338,43 @@ def test_best_fit_respects_every_limit():
     assert max(packing.best_fit([4, 4, 4, 4], 8)) == 1
 
 
+def brute_fit(sizes, capacity, limits):
+    max_docs, max_att = limits.of(capacity)
+    wt, wd, wa = limits.w_tokens / capacity**2, limits.w_docs / max_docs**2, limits.w_attention / max_att**2
+    bins, out = [], []
+    for s in sizes:
+        fit = [(wt * (t - s) ** 2 + wd * (d - 1) ** 2 + wa * (a - s * s) ** 2, b) for b, (t, d, a) in enumerate(bins) if t >= s and d >= 1 and a >= s * s]
+        b = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append((capacity, max_docs, max_att))
+        t, d, a = bins[b]
+        bins[b] = (t - s, d - 1, a - s * s)
+        out.append(b)
+    return out
+
+
+def test_best_fit_equals_brute_force():
+    draw = random.Random(3)
+    for _ in range(400):
+        capacity = draw.choice((5, 12, 40, 100))
+        limits = packing.Limits(draw.choice((None, 1, 2, 3, 8)), draw.choice((None, capacity, capacity * capacity // 2)), w_docs=draw.choice((0.01, 0.5, 2.0)), w_attention=draw.choice((0.01, 0.5, 2.0)))
+        sizes = sorted((draw.randrange(capacity + 1) for _ in range(draw.randrange(60))), reverse=True)
+        assert packing.best_fit(sizes, capacity, limits) == brute_fit(sizes, capacity, limits)
+
+
+def test_limits_bind(spark):
+    sizes = spark.createDataFrame([(i, n) for i, n in enumerate([100, 97, 60, 60, 30, 30, 10] + [0] * 40 + [1] * 20)], "doc_id bigint, tokens bigint")
+    limits = packing.Limits(tokens_per_doc=10, attention_share=0.5)
+    rows = packing.pack(sizes, [(1, 100)], limits).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.container_id, []).append(r)
+    assert sorted(r.doc_id for r in rows) == list(range(67)) and {r.doc_id for r in rows if r.alone} == {0, 1}
+    for rs in held.values():
+        assert sum(r.tokens for r in rs) <= 100 and (len(rs) == 1 or len(rs) <= 10 and sum(r.tokens**2 for r in rs) <= 5_000 and not any(r.alone for r in rs))
+    assert max(map(len, held.values())) == 10 and packing.packing_report(packing.pack(sizes, [(1, 100)], limits)).first().alone == 2
+
+
 def test_packing(spark, table):
     docs = [(i, (i * 37) % 90) for i in range(300)] + [(900, 1000), (901, None), (902, 256), (903, 0)]
     sizes = spark.createDataFrame(docs, "doc_id bigint, tokens bigint")
