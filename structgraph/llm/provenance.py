@@ -1,14 +1,15 @@
 """Files that nobody wrote by hand here: generated, minified, vendored, data saved as code (problem 7).
 
-Layout statistics per file, held against thresholds per language, then what the leading comment and the path say, and which
-bodies lie in several repositories.
+Layout statistics per file, held against thresholds per language, come first. What looks like hand-written code is then judged by
+what its leading comment and its path declare, and by whether its body lies in several repositories: copies and much generated
+code have the layout of code, so no statistic of it can tell them.
 """
 
 import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import pandas as pd
 import xxhash
@@ -32,22 +33,26 @@ class Thresholds:
     encoded: float = 0.45  # characters in long encoded runs
     shape: float = 0.72  # lines that have one of the two commonest shapes
     shape_lines: int = 5  # among at least so many lines
-    alnum: float = 0.0  # least share of letters and digits
+    alnum_low: float = 0.38  # least share of letters and digits ...
+    alnum_high: float = 0.88  # ... and greatest, of a text of at least so many characters
+    alnum_size: int = 400
 
 
-#: Languages whose own layout differs: style sheets and configuration repeat line shapes by nature, data languages hold numbers.
+#: Tuned per language, each bound beyond what hand-written files of the language show (a thousandth of them at most): how much white
+#: space indentation brings, how many numbers and signs its code holds, how long its lines are. Style sheets and configuration repeat line
+#: shapes by nature, and data languages hold numbers and codes.
 TUNED = {
-    "py": Thresholds(),
-    "js": Thresholds(),
-    "ts": Thresholds(),
-    "java": Thresholds(),
-    "c": Thresholds(),
-    "cpp": Thresholds(),
-    "css": replace(Thresholds(), max_line=200, whitespace=0.05, numeric=1.1, shape=1.1),
-    "json": replace(Thresholds(), max_line=10**9, mean_line=10**9, encoded=1.1, numeric=0.8, numbers=400, shape=1.1),
-    "yaml": replace(Thresholds(), max_line=10**9, mean_line=10**9, encoded=1.1, numeric=0.8, numbers=400, shape=1.1),
-    "toml": replace(Thresholds(), max_line=10**9, mean_line=10**9, encoded=1.1, numeric=0.8, numbers=400, shape=1.1),
-    "html": replace(Thresholds(), shape=1.1),
+    "py": Thresholds(whitespace=0.085, numeric=0.55, shape=0.72, alnum_low=0.40, alnum_high=0.88),
+    "js": Thresholds(whitespace=0.090, numeric=0.52, shape=0.74, alnum_low=0.42, alnum_high=0.85),
+    "ts": Thresholds(whitespace=0.075, numeric=0.50, shape=0.74, alnum_low=0.42, alnum_high=0.86),
+    "java": Thresholds(whitespace=0.070, mean_line=110.0, numeric=0.48, shape=0.75, alnum_low=0.36, alnum_high=0.90),
+    "c": Thresholds(whitespace=0.085, mean_line=110.0, numeric=0.50, encoded=0.40, shape=0.76, alnum_low=0.34, alnum_high=0.86),
+    "cpp": Thresholds(whitespace=0.085, numeric=0.50, encoded=0.40, shape=0.76, alnum_low=0.36, alnum_high=0.86),
+    "css": Thresholds(max_line=200, whitespace=0.05, numeric=1.1, shape=1.1, alnum_low=0.40, alnum_high=0.85),
+    "json": Thresholds(max_line=10**9, mean_line=10**9, encoded=1.1, numeric=0.8, numbers=400, shape=1.1, alnum_low=0.15, alnum_high=0.95),
+    "yaml": Thresholds(max_line=10**9, mean_line=10**9, encoded=1.1, numeric=0.8, numbers=400, shape=1.1, alnum_low=0.20, alnum_high=0.97),
+    "toml": Thresholds(max_line=10**9, mean_line=10**9, encoded=1.1, numeric=0.8, numbers=400, shape=1.1, alnum_low=0.20, alnum_high=0.97),
+    "html": Thresholds(shape=1.1, alnum_low=0.25, alnum_high=0.95),
 }
 
 #: What a tool writes at the head of its output, in several languages; fixed phrases.
@@ -137,6 +142,8 @@ def kind_by_layout(text: str, lang: str | None) -> str | None:
         return "generated"
     if s["encoded"] >= t.encoded and s["n"] > 200 or s["numeric"] >= t.numeric and s["numbers"] >= t.numbers:
         return "data"
+    if s["n"] >= t.alnum_size and not t.alnum_low <= s["alnum"] <= t.alnum_high:
+        return "data"
     if s["shape"] >= t.shape and s["lines"] >= t.shape_lines and s["numbers"] >= s["lines"] * 0.4:
         return "generated"
     return None
@@ -181,7 +188,7 @@ def file_kinds(files: DataFrame, min_repos: int = 2) -> DataFrame:
     """(file_id, repo, path, kind) of every row of ``files`` (file_id, repo, path, content), kind being null for hand-written
     files, else 'generated', 'minified', 'vendored' or 'data'.
 
-    Order of evidence: leading comment, layout, path, then bodies of code that lie in at least ``min_repos`` repositories.
+    Order of evidence: layout, leading comment, path, then bodies of code that lie in at least ``min_repos`` repositories.
     Null content, blank files and files with nothing but comments are hand-written unless head or path say otherwise; null
     paths count as no evidence. Repeated rows come out repeated.
 
@@ -195,7 +202,7 @@ def file_kinds(files: DataFrame, min_repos: int = 2) -> DataFrame:
             kinds, bodies = [], []
             for p, c in zip(paths, contents):
                 lang = language_of(p)
-                k = (kind_by_head(c) or kind_by_layout(c, lang)) if c else None
+                k = (kind_by_layout(c, lang) or kind_by_head(c)) if c else None
                 kinds.append(k or (kind_by_path(p) if p and c and c.strip() else None))
                 bodies.append(body_hash(c) if c and lang in ("py", "js", "ts", "java", "c", "cpp") else None)
             yield pd.DataFrame({"kind": pd.Series(kinds, dtype=object), "body": pd.Series(bodies, dtype="Int64")})

@@ -105,7 +105,15 @@ HAND = "import os\n\n\ndef load(path):\n    # writes the 'do not edit' notice in
 )
 def test_provenance(path, text, kind):
     lang = syntax.language_of(path)
-    assert (provenance.kind_by_head(text) or provenance.kind_by_layout(text, lang) or (provenance.kind_by_path(path) if text.strip() else None)) == kind
+    assert (provenance.kind_by_layout(text, lang) or provenance.kind_by_head(text) or (provenance.kind_by_path(path) if text.strip() else None)) == kind
+
+
+def test_share_of_letters_and_digits_by_language():
+    signs = "+-*/ <> [] () {} ;; :: ** -- ++ ==\n" * 20
+    letters = "".join(f"{'abcdefghij-' * 3}{chr(97 + i % 26)}{'klmnop' * 2}\n" for i in range(40))
+    assert provenance.kind_by_layout(signs, "py") == "data" and provenance.kind_by_layout(letters, "js") == "data"
+    assert provenance.kind_by_layout(letters, "yaml") is None and provenance.kind_by_layout(HAND * 3, "py") is None
+    assert len({t for g, t in provenance.TUNED.items() if g in ("py", "js", "ts", "java", "c", "cpp", "css", "json")}) == 8
 
 
 def test_copies_in_several_repositories(spark, table):
