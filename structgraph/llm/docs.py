@@ -1,16 +1,19 @@
-"""Functions paired with their documentation (problem 6): an island grammar per language over lexer tokens.
+"""Functions paired with their documentation (problem 6): an island grammar per language.
 
-The islands are documentation comments, annotations, signatures and balanced bodies; everything between them is water.
+The islands are documentation, annotations, signatures and balanced bodies; everything between them is water. Languages with
+braces are read as lexer tokens, Python as literals, brackets, colons and line ends.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structgraph.functions.lexers import line_of, line_starts, tokens
+from structgraph.functions.lexers import Token, line_of, line_starts, tokens
 from structgraph.llm.syntax import language_of
 
 #: What stands in place of documentation; fixed phrases, compared without case and punctuation.
@@ -140,13 +143,13 @@ def says_something(doc: str | None, name: str) -> bool:
     return any(w not in FILLERS and w != whole and not any(same_word(w, o) for o in own) for w in said)
 
 
-def islands(text: str, lang: str) -> tuple[dict[int, str], list[int]]:
+def islands(text: str, lang: str, toks: list[Token] | None = None) -> tuple[dict[int, str], list[int]]:
     """Documentation islands of a source: the line on which each ends -> its text, annotations below it skipped; and line starts.
 
     Line comments on consecutive lines, with nothing before them on their lines, are one island. A block comment is an island
     if nothing stands before it on its first line. The end line is that of the last annotation under the comment, if any.
     """
-    toks = [t for t in tokens(text, lang, comments=True)]
+    toks = tokens(text, lang, comments=True) if toks is None else toks
     starts = line_starts(text)
     docs: dict[int, str] = {}
     pend: tuple[int, str, bool] | None = None  # end line, text, is a run of line comments
@@ -195,13 +198,117 @@ def islands(text: str, lang: str) -> tuple[dict[int, str], list[int]]:
     return docs, starts
 
 
+#: What the island grammar of Python stops at: literals, comments, brackets, colons and line ends; all else is water.
+_PY_ISLANDS = re.compile(
+    r"(?P<str>(?i:\b(?:rb|br|rf|fr|[rbuf]))?(?:\"\"\"(?:\\[\s\S]|(?!\"\"\")[^\\])*(?:\"\"\"|\Z)|'''(?:\\[\s\S]|(?!''')[^\\])*(?:'''|\Z)|\"(?:\\[\s\S]|[^\\\r\n\"])*\"|'(?:\\[\s\S]|[^\\\r\n'])*'))|"
+    r"(?P<comment>#[^\r\n]*)|(?P<open>[\[({])|(?P<close>[\])}])|(?P<colon>:)|(?P<join>\\\r?\n)|(?P<nl>\n)"
+)
+_PY_HEAD = re.compile(r"(?P<lead>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>\w+)\s*(?:\[|\()")
+_PY_INDENT = re.compile(r"[ \t]*(?![ \t\r\n#]|\Z)")
+_QUOTES = re.compile(r"(?i:[ru]?)(\"\"\"|'''|\"|')")
+
+
+class Function(NamedTuple):
+    """A function as its islands give it: signature, text of its documentation or None, and where its body ends."""
+
+    signature: str
+    doc: str | None
+    end: int
+
+
+def python_function(text: str, a: int, name: str) -> Function | None:
+    """The function ``name`` that begins on the line at ``a``: signature up to its colon, docstring as the first statement, body as far as
+    the indentation goes. None if no such function begins there."""
+    head = _PY_HEAD.match(text, a)
+    if not head or head["name"] != name:
+        return None
+    indent = len(head["lead"].expandtabs(8))
+    depth, signature, doc, started = 0, None, None, False
+    end = len(text)
+    for m in _PY_ISLANDS.finditer(text, head.end() - 1):
+        kind = m.lastgroup
+        if signature is None:
+            if kind == "open":
+                depth += 1
+            elif kind == "close":
+                depth -= 1
+            elif kind == "colon" and depth <= 0:
+                signature, at = text[a : m.end()].strip(), m.end()
+            continue
+        if not started and kind not in ("comment", "nl", "join"):
+            started = True
+            if kind == "str" and not text[at : m.start()].strip():
+                q = _QUOTES.match(m.group())
+                doc = m.group()[q.end() : -len(q[1])] if q else None
+        if kind == "comment" or kind == "nl":
+            at = m.end() if not started and not text[at : m.start()].strip() else at
+        if kind == "open":
+            depth += 1
+        elif kind == "close":
+            depth -= 1
+        elif kind == "nl" and depth <= 0:
+            started = started or bool(text[at : m.start()].strip())
+            line = _PY_INDENT.match(text, m.end())
+            if line and len(line.group().expandtabs(8)) <= indent:
+                end = m.start()
+                break
+    return Function(signature, doc, end) if signature is not None else None
+
+
+class Islands:
+    """Documentation, signatures and balanced bodies of a source in a language with braces."""
+
+    def __init__(self, text: str, lang: str) -> None:
+        toks = tokens(text, lang, comments=True)
+        self.text = text
+        self.docs, self.starts = islands(text, lang, toks)
+        self.toks = [t for t in toks if t[0] not in ("comment", "nl", "pre")]
+        self.at = [t[2] for t in self.toks]
+        self.pair: dict[int, int] = {}  # open bracket -> its close, by index
+        stack: list[int] = []
+        for i, t in enumerate(self.toks):
+            if t[0] == "open":
+                stack.append(i)
+            elif t[0] == "close" and stack:
+                self.pair[stack.pop()] = i
+
+    def function(self, a: int, name: str) -> Function | None:
+        """The function ``name`` that begins on the line at ``a``: its name, balanced parameters, and a balanced body, an arrow with an
+        expression, or the semicolon of a declaration. None if its parameters are not balanced."""
+        toks, i = self.toks, bisect_left(self.at, a)
+        n = len(toks)
+        while i < n and not (toks[i][0] == "id" and toks[i][1].lstrip("#") == name):
+            if toks[i][1] in ("{", "}", ";"):
+                return None
+            i = self.pair[i] + 1 if toks[i][1] == "(" and i in self.pair else i + 1  # arguments of an annotation
+        while i < n and toks[i][1] != "(":
+            if toks[i][1] in ("{", "}", ";") or toks[i][1] == "=>":
+                break
+            i += 1
+        if i < n and toks[i][1] == "(":
+            if i not in self.pair:
+                return None
+            i = self.pair[i] + 1
+        while i < n and toks[i][1] not in ("{", ";", "}"):
+            i = self.pair[i] + 1 if toks[i][0] == "open" and i in self.pair else i + 1
+        if i >= n:
+            return Function(self.text[a:].strip(), None, len(self.text))
+        signature = self.text[a : self.at[i]].strip()
+        if toks[i][1] == "{" and i in self.pair:
+            close = self.pair[i]
+            return Function(signature, None, self.at[close] + 1)
+        return Function(signature, None, self.at[i] + 1)
+
+
 def pair_docs(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """Code and documentation of every function: (uri, name, lang, code, doc), doc being null where there is none or it is trivial.
+    """Code and documentation of every function: (uri, name, lang, signature, code, doc), doc being null where there is none or it is trivial.
 
     ``functions``: uri, name, file, start_line, end_line, docstring, indexed_at; of several rows of a uri the latest counts.
-    ``files``: path, content, op_id, file_id; the row with the highest op_id of a path is current. A function whose file is
-    missing or null has no code, and a doc only if its docstring is one; a null end_line gives code up to the end of the balanced
-    body. Python takes ``docstring``, other languages the comment that ends directly above start_line, annotations between.
+    ``files``: path, content, op_id, file_id; the row with the highest op_id of a path is current. Signature, body and documentation
+    are islands of the source: for Python the docstring, for other languages the comment that ends directly above start_line,
+    annotations between. Where the index says that a Python function has no docstring, it has none. A function whose file is
+    missing or null has neither signature nor code, and a doc only if its docstring is one; where no function of the name
+    begins on start_line, the lines up to end_line are its code.
 
     Plan: texts are shuffled once, by path, which chooses the current ones and lets them meet their functions; the functions of one
     file travel as one array, as a file is bounded by its text.
@@ -213,47 +320,37 @@ def pair_docs(functions: DataFrame, files: DataFrame) -> DataFrame:
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for path, content, fs in zip(pdf["file"], pdf["content"], pdf["fs"]):
-                lang = language_of(path)
-                docs, starts = ({}, [0])
-                if content and lang in ("js", "ts", "java", "c", "cpp"):
-                    docs, starts = islands(content, lang)
-                elif content:
-                    starts = line_starts(content)
-                for f in fs:
-                    name, start = f["name"] or "", f["start_line"]
-                    doc = f["docstring"] if lang == "py" else docs.get(int(start) - 1) if start == start and start is not None else None
-                    if not says_something(doc, name):
-                        doc = None
-                    elif lang != "py":
-                        doc = "\n".join(plain_lines(doc)).strip()
-                    rows.append((f["uri"], name, lang, body(content, starts, start, f["end_line"], lang), doc))
-            yield pd.DataFrame(rows, columns=["uri", "name", "lang", "code", "doc"], dtype=object)
-
-    return both.mapInPandas(pair, "uri string, name string, lang string, code string, doc string")
-
-
-def body(content: str | None, starts: list[int], start: int | None, end: int | None, lang: str | None) -> str | None:
-    """Source lines of a function; without an end line, up to where its braces balance (Python: where the indentation returns)."""
-    if not content or start is None or start != start or not 1 <= start <= len(starts):
-        return None
-    a = starts[int(start) - 1]
-    if end is not None and end == end:
-        return content[a : starts[int(end)] if int(end) < len(starts) else len(content)].rstrip("\r\n")
-    if lang == "py":
-        lines = content[a:].split("\n")
-        indent = len(lines[0]) - len(lines[0].lstrip())
-        stop = next((i for i, x in enumerate(lines[1:], 1) if x.strip() and len(x) - len(x.lstrip()) <= indent and not x.lstrip().startswith((")", "]", "}"))), len(lines))
-        return "\n".join(lines[:stop]).rstrip()
-    depth = 0
-    for kind, text, pos in tokens(content[a:], lang) if lang else []:
-        if kind == "open" and text == "{":
-            depth += 1
-        elif kind == "close" and text == "}":
-            depth -= 1
-            if depth <= 0:
-                return content[a : a + pos + 1]
-        elif text == ";" and depth == 0:
-            return content[a : a + pos + 1]
-    return content[a:]
+            rows = [row for path, content, fs in zip(pdf["file"], pdf["content"], pdf["fs"]) for row in _pairs_of(language_of(path), content, fs)]
+            yield pd.DataFrame(rows, columns=["uri", "name", "lang", "signature", "code", "doc"], dtype=object)
+
+    return both.mapInPandas(pair, "uri string, name string, lang string, signature string, code string, doc string")
+
+
+def _pairs_of(lang: str | None, content: str | None, fs: list) -> Iterator[tuple]:
+    """Rows of :func:`pair_docs` for the functions ``fs`` of one file."""
+    braces = content and lang in ("js", "ts", "java", "c", "cpp")
+    found = Islands(content, lang) if braces else None
+    starts = found.starts if found else line_starts(content) if content else [0]
+    for f in fs:
+        name, start, end = f["name"] or "", f["start_line"], f["end_line"]
+        known = bool(content) and start is not None and start == start and 1 <= start <= len(starts)
+        a = starts[int(start) - 1] if known else 0
+        fn = None
+        if known:
+            fn = found.function(a, name) if found else python_function(content, a, name) if lang == "py" else None
+        if lang == "py":
+            doc = fn.doc.replace("\r\n", "\n") if fn and fn.doc and f["docstring"] is not None else f["docstring"]
+        else:
+            doc = found.docs.get(int(start) - 1) if found and start is not None and start == start else None
+        if not says_something(doc, name):
+            doc = None
+        elif lang != "py":
+            doc = "\n".join(plain_lines(doc)).strip()
+        code = content[a : fn.end].rstrip() if fn else lines_of(content, starts, int(start), end) if known else None
+        yield f["uri"], name, lang, fn.signature if fn else None, code, doc
+
+
+def lines_of(content: str, starts: list[int], start: int, end: int | None) -> str:
+    """Source lines ``start`` to ``end``, to the end of the text where there is no end line."""
+    stop = starts[int(end)] if end is not None and end == end and int(end) < len(starts) else len(content)
+    return content[starts[start - 1] : stop].rstrip("\r\n")

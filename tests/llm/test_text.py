@@ -89,6 +89,26 @@ def test_pairs(spark, table):
     assert docs.pair_docs(entities.limit(0), files).count() == 0
 
 
+def test_islands_of_functions():
+    py = "@d\nasync def f(a, b: dict = {'x': ':'},\n      *c) -> int:  # :\n    # note\n    r\"\"\"One\n\n    two: x.\"\"\"\n    s = \"\"\"\nflush left\"\"\"\n    return (1,\n2)\n\nx = 1\n"
+    f = docs.python_function(py, 3, "f")
+    assert f.signature.endswith("*c) -> int:") and f.doc == "One\n\n    two: x." and py[3 : f.end].rstrip().endswith("2)")
+    assert docs.python_function("def g(): return 'no doc'\ny = 2\n", 0, "g") == ("def g():", None, 24) and docs.python_function(py, 3, "h") is None
+    assert docs.python_function("def g():\n    x = 'a'\n", 0, "g").doc is None and docs.python_function("def g(): 'doc'", 0, "g").doc == "doc"
+    assert docs.python_function("class A:\r\n    def g(self):\r\n        'd'\r\n\r\n    def h(self): pass\r\n", 10, "g").doc == "d"
+
+    def code(text, lang, name, a=0):
+        fn = docs.Islands(text, lang).function(a, name)
+        return fn and (fn.signature, text[a : fn.end])
+
+    assert code("export const f = async (a, {b}) => {\n  if (a) { g('}'); }\n};\n", "js", "f") == ("export const f = async (a, {b}) =>", "export const f = async (a, {b}) => {\n  if (a) { g('}'); }\n}")
+    assert code("const f = x => x + 1;\ng();\n", "js", "f")[1] == "const f = x => x + 1;" and code("int f(void);\nint g;\n", "c", "f") == ("int f(void)", "int f(void);")
+    assert code("  @A({1}) public <T> List<T> f(int a[], @B T b) throws E { return x; }\n}", "java", "f")[0].endswith("throws E") and code("std::map<int, int> A::f() const { return {}; }", "cpp", "f")[1].endswith("{ return {}; }")
+    assert code("function f(a", "js", "f") is None and code("let g = 1;\nfunction f() {}", "js", "f") is None
+    every = [i for _, c, fs in [("x", "def f():\n    'Never raises.'\n", [{"uri": "u", "name": "f", "start_line": 1.0, "end_line": None, "docstring": None}])] for i in docs._pairs_of("py", c, fs)]
+    assert every == [("u", "f", "py", "def f():", "def f():\n    'Never raises.'", None)]
+
+
 HAND = "import os\n\n\ndef load(path):\n    # writes the 'do not edit' notice into each stub it emits\n    with open(path) as f:\n        return f.read()\n\n\ndef save(path, text):\n    if not text:\n        raise ValueError(path)\n    open(path, 'w').write(text)\n"
 
 
