@@ -67,7 +67,7 @@ FEATURES = {
     ),
     "sparql_subselect": (
         "SELECT ?k ?n WHERE { { SELECT ?k (COUNT(?x) AS ?n) WHERE { ?x a ?k } GROUP BY ?k } FILTER(?n > 3) }",
-        f"SELECT o AS k, CAST(count(*) AS VARCHAR) AS n FROM t WHERE p = '{RDF_TYPE}' GROUP BY o HAVING count(*) > 3",
+        f"SELECT o AS k, count(*) AS n FROM t WHERE p = '{RDF_TYPE}' GROUP BY o HAVING count(*) > 3",
     ),
     "sparql_ask": (f'ASK {{ ?x code:name "{NAME}" }}', f"SELECT count(*) > 0 AS ask FROM t WHERE p = '{VOCAB}name' AND o = '{NAME}'"),
     "sparql_construct": (

@@ -26,15 +26,21 @@ def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
 
     A checkpoint keeps the size estimate of the plan it cut. Joined again and again in a loop, such estimates multiply into numbers
     of millions of digits, so the stored rows are taken up under a fresh estimate; adaptive execution measures real sizes anyway.
-    With ``keep_layout`` the checkpoint's own plan is kept, and with it the partitioning that later joins can use.
+    With ``keep_layout`` the checkpoint's own plan is kept, and with it the partitioning that later joins can use. An adaptive plan does not
+    know its partitioning, so this one is planned without.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
-    done = df.checkpoint(eager=True)
     if keep_layout:
-        return done
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            return df.checkpoint(eager=True)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    done = df.checkpoint(eager=True)
     try:
         rows = done._jdf.queryExecution().toRdd()
         return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
@@ -43,7 +49,10 @@ def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a parquet table in the shared folder and read back; unlike a checkpoint, later readers prune its columns."""
+    """``df`` written as a parquet table in the shared folder and read back; unlike a checkpoint, later readers prune its columns. The
+    folder is removed when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)  # gone with the session
     return df.sparkSession.read.schema(df.schema).parquet(path)

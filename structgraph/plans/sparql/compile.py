@@ -1,8 +1,10 @@
 """SPARQL algebra as DataFrames over the quad table.
 
 A solution sequence is a DataFrame with four columns per variable: the lexical value under the variable's name, and kind, datatype and
-language under ``name__k``, ``name__d``, ``name__l``. Unbound is null. Patterns become equi-joins, EXISTS semi-joins, OPTIONAL left
-joins with their filter in the condition; Catalyst orders and plans them. Paths are the one iterative part.
+language under ``name#k``, ``name#d``, ``name#l`` (no name of a variable has the sign). Unbound is null. Patterns become equi-joins, EXISTS
+semi-joins, OPTIONAL left joins with their filter in the condition; Catalyst orders and plans them. Paths are the one iterative part.
+Where variables that two sequences share may all be unbound, the rows in which one is bound on both sides are joined on it, and
+only the rest, which the algebra pairs with everything, is a product.
 """
 
 from dataclasses import dataclass, field
@@ -12,23 +14,23 @@ from pyspark.sql import functions as F
 
 from structgraph.model import VOCAB, XSD
 from structgraph.operators.store import union_graph
-from structgraph.plans.lineage import cut
+from structgraph.plans.reach import closure
 from structgraph.plans.sparql.parser import Iri, Lit, Parser, Select, SparqlError, Var
 
 NUMERIC = tuple(XSD + t for t in ("integer", "decimal", "double", "float", "long", "int"))
 #: Properties whose objects are integers, so that results are typed.
 _INTEGER = {VOCAB + "startLine", VOCAB + "endLine"}
-_PARTS = ("", "__k", "__d", "__l")
+_PARTS = ("", "#k", "#d", "#l")
 
 
 @dataclass
 class Rel:
-    """A solution sequence: its rows, all variables, those that may be unbound, those known to be integers."""
+    """A solution sequence: its rows, all variables, those that may be unbound, and the Spark types of those known to be numbers or truth values."""
 
     df: DataFrame | None  # None: the one empty solution
     vars: set[str] = field(default_factory=set)
     maybe: set[str] = field(default_factory=set)
-    ints: set[str] = field(default_factory=set)
+    types: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -57,11 +59,14 @@ def _has(e, tag: str) -> bool:
 
 
 class Compiler:
-    def __init__(self, quads: DataFrame) -> None:
-        self.quads = quads
-        self.triples = union_graph(quads)
+    def __init__(self, quads: DataFrame, dataset: list[tuple[bool, str]] = ()) -> None:
+        """Over all graphs, or over those of a ``dataset`` of (named, graph): the unnamed ones make the default graph."""
+        of = lambda named: quads.where(F.col("g").isin(*[g for n, g in dataset if n is named])) if any(n is named for n, _ in dataset) else quads.limit(0)
+        self.quads = of(True) if dataset else quads
+        self.triples = union_graph(of(False) if dataset else quads)
         self.spark = quads.sparkSession
         self.n = 0
+        self.merged: dict[str, str] = {}  # variables that a join's condition finds on either side, with the mark of the right one
 
     # expressions ------------------------------------------------------------------------------------------------------
     def num(self, v: Val) -> Column:
@@ -87,8 +92,9 @@ class Compiler:
             if e.name not in env:
                 null = F.lit(None).cast("string")
                 return Val(null, "term", null, null, null)
-            c = F.col
-            return Val(c(f"`{e.name}`"), "term", c(f"`{e.name}__k`"), c(f"`{e.name}__d`"), c(f"`{e.name}__l`"))
+            tag = self.merged.get(e.name)
+            c = (lambda x: F.coalesce(F.col(x), F.col(f"{x[:-1]}{tag}`"))) if tag else F.col
+            return Val(c(f"`{e.name}`"), "term", c(f"`{e.name}#k`"), c(f"`{e.name}#d`"), c(f"`{e.name}#l`"))
         if isinstance(e, Iri):
             return Val(F.lit(e.value), "iri")
         if isinstance(e, Lit):
@@ -128,6 +134,8 @@ class Compiler:
             raise SparqlError(f"no cast to {e[1]}")
         if op == "call":
             return self.call(e[1], e[2], env)
+        if op == "flag":
+            return Val(F.coalesce(F.col(f"`{e[1]}`"), F.lit(False)), "bool")
         raise SparqlError(f"{op} cannot stand here")
 
     def compare(self, op: str, a: Val, b: Val) -> Column:
@@ -249,40 +257,80 @@ class Compiler:
         return Rel(self.spark.createDataFrame(data, schema), set(names), maybe)
 
     def unit(self) -> DataFrame:
-        return self.spark.range(1).select(F.lit(1).alias("_unit"))
+        return self.spark.range(1).select(F.lit(1).alias("#unit"))
 
     def join(self, a: Rel, b: Rel, how: str = "inner", on: list = (), keep: bool = True) -> Rel:
-        """Compatible merge of two sequences; ``on`` has expressions over both for the condition."""
+        """Compatible merge of two sequences; ``on`` has expressions over both for the condition. ``how`` may also be "minus"."""
         if a.df is None and how == "inner" and not on:
             return b
-        if b.df is None and not on:
+        if b.df is None and not on and how != "minus":
             return a
         left = a.df if a.df is not None else self.unit()
-        shared = a.vars & b.vars
+        shared = sorted(a.vars & b.vars)
         self.n += 1
-        tag = f"__r{self.n}"
-        right = b.df.select(*[F.col(f"`{c}`").alias(c + tag if c.split("__")[0] in shared else c) for c in self.columns(b.vars)]) if b.df is not None else self.unit()
-        cond = F.lit(True)
-        for v in sorted(shared):
-            x, y = F.col(f"`{v}`"), F.col(f"`{v}{tag}`")
-            same = (x == y) & (F.col(f"`{v}__k`") == F.col(f"`{v}__k{tag}`"))
-            if v in a.maybe or v in b.maybe:
-                same = same | x.isNull() | y.isNull()
-            cond = cond & same
+        tag = f"#r{self.n}"
+        taken = {v + p for v in shared for p in _PARTS}
+        right = b.df.select(*[F.col(f"`{c}`").alias(c + tag if c in taken else c) for c in self.columns(b.vars)]) if b.df is not None else self.unit()
+        loose = [v for v in shared if v in a.maybe or v in b.maybe]
+        same = {v: (F.col(f"`{v}`") == F.col(f"`{v}{tag}`")) & (F.col(f"`{v}#k`") == F.col(f"`{v}#k{tag}`")) for v in shared}
+        free = {v: F.col(f"`{v}`").isNull() | F.col(f"`{v}{tag}`").isNull() for v in loose}
+        rest = F.lit(True)
+        if how == "minus":
+            # solutions that share no bound variable are not taken away
+            both = F.lit(False)
+            for v in shared:
+                both = both | (F.col(f"`{v}`").isNotNull() & F.col(f"`{v}{tag}`").isNotNull())
+            rest, how = both, "left_anti"
+        self.merged = dict.fromkeys(loose, tag)
         for e in on:
-            cond = cond & F.coalesce(self.boolean(self.ev(e, a.vars | b.vars)), F.lit(False))
-        joined = left.join(right, cond, how)
+            rest = rest & F.coalesce(self.boolean(self.ev(e, a.vars | b.vars)), F.lit(False))
+        self.merged = {}
+        pivot = loose[0] if loose and len(loose) == len(shared) else None
+        for v in shared:
+            if v != pivot:
+                rest = rest & (same[v] | free[v] if v in free else same[v])
+        if pivot is None:
+            joined = left.join(right, rest, how)
+        else:
+            joined = self.split_join(left, right, f"`{pivot}`", f"`{pivot}{tag}`", same[pivot] & rest, rest, how, pivot in a.maybe, pivot in b.maybe)
         if not keep:
-            return Rel(joined, a.vars, a.maybe, a.ints)
+            return Rel(joined, a.vars, a.maybe, a.types)
         names = a.vars | b.vars
-        out = [
-            (F.coalesce(F.col(f"`{c}`"), F.col(f"`{c}{tag}`")) if c.split("__")[0] in shared and (c.split("__")[0] in a.maybe or c.split("__")[0] in b.maybe) else F.col(f"`{c}`")).alias(c)
-            for c in self.columns(names)
-        ]
+        out = []
+        for v in sorted(names):
+            for p in _PARTS:
+                c = F.col(f"`{v}{p}`")
+                out.append((F.coalesce(c, F.col(f"`{v}{p}{tag}`")) if v in loose else c).alias(v + p))
         maybe = (a.maybe & b.maybe) | (a.maybe - b.vars) | (b.maybe - a.vars)
         if how == "left":
             maybe = a.maybe | (b.vars - a.vars) | (a.maybe & b.vars)
-        return Rel(joined.select(*out), names, maybe, (a.ints | b.ints) if how == "inner" else a.ints | (b.ints - a.vars))
+        types = {v: t for v, t in ({**b.types, **a.types}).items() if v not in shared or a.types.get(v) == b.types.get(v) or how == "left" and v in a.types and v not in a.maybe}
+        return Rel(joined.select(*out), names, maybe, types)
+
+    @staticmethod
+    def split_join(left: DataFrame, right: DataFrame, x: str, y: str, equal: Column, rest: Column, how: str, left_loose: bool, right_loose: bool) -> DataFrame:
+        """A join whose one key may be null, which fits everything: bound rows meet bound rows by the key, the others by ``rest`` alone."""
+        bound_l, open_l = left.where(f"{x} IS NOT NULL") if left_loose else left, left.where(f"{x} IS NULL") if left_loose else None
+        bound_r, open_r = right.where(f"{y} IS NOT NULL") if right_loose else right, right.where(f"{y} IS NULL") if right_loose else None
+        if how in ("inner", "left"):
+            out = bound_l.join(bound_r, equal, "inner")
+            if open_r is not None:
+                out = out.unionByName(bound_l.join(open_r, rest, "inner"))
+            if open_l is not None:
+                out = out.unionByName(open_l.join(right, rest, how))
+            if how == "left":
+                alone = bound_l.join(bound_r, equal, "left_anti")
+                alone = alone.join(open_r, rest, "left_anti") if open_r is not None else alone
+                out = out.unionByName(alone, allowMissingColumns=True)
+            return out
+        if how == "left_semi":
+            out = bound_l.join(bound_r, equal, "left_semi")
+            if open_r is not None:
+                out = out.unionByName(bound_l.join(bound_r, equal, "left_anti").join(open_r, rest, "left_semi"))
+            return out if open_l is None else out.unionByName(open_l.join(right, rest, "left_semi"))
+        out = bound_l.join(bound_r, equal, "left_anti")
+        out = out.join(open_r, rest, "left_anti") if open_r is not None else out
+        return out if open_l is None else out.unionByName(open_l.join(right, rest, "left_anti"))
 
     # patterns ---------------------------------------------------------------------------------------------------------
     def pattern(self, s, p, o, graph) -> Rel:
@@ -302,13 +350,14 @@ class Compiler:
                 if c == "o":
                     test = test & (F.col("o_kind") == "iri")
             else:
-                test = test & (F.col("o") == term.value) & (F.col("o_kind") == "lit")
+                test = test & (F.col("o_kind") == "lit")
                 if term.dt in NUMERIC:
-                    pass
+                    # one value has many spellings
+                    test = test & (F.col("o_dt") == term.dt) & (F.col("o").try_cast("double") == float(term.value))
                 elif term.lang:
-                    test = test & (F.lower("o_lang") == term.lang)
+                    test = test & (F.col("o") == term.value) & (F.lower("o_lang") == term.lang)
                 else:
-                    test = test & (F.col("o_dt") == term.dt)
+                    test = test & (F.col("o") == term.value) & (F.col("o_dt") == term.dt)
         out = []
         null = F.lit(None).cast("string")
         for v, cs in names.items():
@@ -316,19 +365,21 @@ class Compiler:
                 test = test & (F.col(cs[0]) == F.col(c))
             c = cs[0]
             kinds = (F.col("o_kind"), F.col("o_dt"), F.col("o_lang")) if c == "o" else (F.when(F.col(c).startswith("_:"), "bnode").otherwise("iri"), null, null)
-            out += [F.col(c).alias(v), kinds[0].alias(v + "__k"), kinds[1].alias(v + "__d"), kinds[2].alias(v + "__l")]
-        ints = {o.name} if isinstance(o, Var) and isinstance(p, Iri) and p.value in _INTEGER else set()
-        hit = df.where(test).select(*out) if out else df.where(test).select(F.lit(1).alias("_unit")).limit(1)
-        return Rel(hit, set(names), set(), ints)
+            out += [F.col(c).alias(v), kinds[0].alias(v + "#k"), kinds[1].alias(v + "#d"), kinds[2].alias(v + "#l")]
+        types = {o.name: "bigint"} if isinstance(o, Var) and isinstance(p, Iri) and p.value in _INTEGER else {}
+        hit = df.where(test).select(*out) if out else df.where(test).select(F.lit(1).alias("#unit")).limit(1)
+        return Rel(hit, set(names), set(), types)
 
     def edges(self, path, graph) -> DataFrame:
-        """(src, dst) pairs of a path without repetition at its top."""
+        """(g, src, dst) of a path without repetition at its top; g is the graph where a variable stands for it, else null."""
+        each = isinstance(graph, Var)
+        q = self.triples if graph is None else self.quads.where(F.col("g") == graph.value) if isinstance(graph, Iri) else self.quads
+        home = F.col("g") if each else F.lit(None).cast("string").alias("g")
         if isinstance(path, Iri):
-            q = self.triples if graph is None else self.quads.where(F.col("g") == graph.value) if isinstance(graph, Iri) else self.quads
-            return q.where(F.col("p") == path.value).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+            return q.where(F.col("p") == path.value).select(home, F.col("s").alias("src"), F.col("o").alias("dst"))
         op = path[0]
         if op == "inv":
-            return self.edges(path[1], graph).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            return self.edges(path[1], graph).select("g", F.col("dst").alias("src"), F.col("src").alias("dst"))
         if op == "alt":
             out = self.edges(path[1][0], graph)
             for p in path[1][1:]:
@@ -337,37 +388,53 @@ class Compiler:
         if op == "seq":
             out = self.edges(path[1][0], graph)
             for p in path[1][1:]:
-                nxt = self.edges(p, graph).select(F.col("src").alias("mid"), F.col("dst").alias("end"))
-                out = out.join(nxt, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst"))
+                nxt = self.edges(p, graph).select(F.col("g").alias("g2"), F.col("src").alias("mid"), F.col("dst").alias("end"))
+                meet = F.col("dst") == F.col("mid")
+                out = out.join(nxt, meet & (F.col("g") == F.col("g2")) if each else meet).select("g", "src", F.col("end").alias("dst"))
             return out
         if op == "not":
-            q = self.triples if graph is None else self.quads
-            return q.where(~F.col("p").isin(*path[1])).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+            forward, back = [x for x in path[1] if isinstance(x, str)], [x[1] for x in path[1] if not isinstance(x, str)]
+            parts = []
+            if forward:
+                parts.append(q.where(~F.col("p").isin(*forward)).select(home, F.col("s").alias("src"), F.col("o").alias("dst")))
+            if back:
+                parts.append(q.where(~F.col("p").isin(*back)).select(home, F.col("o").alias("src"), F.col("s").alias("dst")))
+            return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         if op == "rep":
-            return self.repeated(self.edges(path[2], graph), path[1], None, None)
+            return self.repeated(self.edges(path[2], graph), path[1], None, None, each)
         raise SparqlError(f"no path {op}")
 
-    def repeated(self, edges: DataFrame, mode: str, sources: DataFrame | None, targets: DataFrame | None) -> DataFrame:
-        """(src, dst) pairs of one or more (``+``), any (``*``) or at most one (``?``) steps, from ``sources`` or into ``targets``
-        (one column node) where they are given; then only nodes in touch with them are walked."""
-        if sources is None and targets is None:
-            ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-        else:
-            ends = (sources if sources is not None else targets).select("node").distinct()
-        own = ends.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    @staticmethod
+    def repeated(edges: DataFrame, mode: str, sources: DataFrame | None, targets: DataFrame | None, each: bool = False) -> DataFrame:
+        """(g, src, dst) of one or more (``+``), any (``*``) or at most one (``?``) steps, from ``sources`` or into ``targets`` (one column
+        node) where they are given; then only nodes in touch with them are walked, from the side that is given. With both ends free the
+        result has a row for every connected pair. With ``each`` a path stays in its graph."""
+        sep = "\x1f"
+        null = F.lit(None).cast("string")
+        if each:
+            edges = edges.select(F.concat_ws(sep, "g", "src").alias("src"), F.concat_ws(sep, "g", "dst").alias("dst"), F.col("g"))
+            graphs = edges.select("g").distinct()
+        edges = edges.select("src", "dst")
         back = targets is not None
+        given = targets if back else sources
+        if given is not None and each:
+            given = given.join(graphs, F.lit(True)).select(F.concat_ws(sep, "g", "node").alias("node"))
+        ends = given.select("node").distinct() if given is not None else edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
         near, far = ("dst", "src") if back else ("src", "dst")
-        step = cut(edges.select("src", "dst").distinct())
-        frontier = cut(step.join(ends.withColumnRenamed("node", near), near, "left_semi").select("src", "dst"))
-        seen = frontier
-        while mode != "?" and not frontier.isEmpty():
-            hop = step.select(F.col(near).alias("at"), F.col(far).alias("to"))
-            nxt = frontier.join(hop, F.col(far) == F.col("at")).select(F.col(near), F.col("to").alias(far)).distinct()
-            frontier = cut(nxt.select("src", "dst").join(seen, ["src", "dst"], "left_anti"))
-            seen = cut(seen.unionByName(frontier))
-        return seen if mode == "+" else seen.unionByName(own).distinct()
+        if mode == "?":
+            pairs = edges.distinct().join(ends.withColumnRenamed("node", near), near, "left_semi").select("src", "dst")
+        else:
+            found = closure(edges.select(F.col(near).alias("src"), F.col(far).alias("dst")), ends)
+            pairs = found.select(F.col("start").alias(near), F.col("node").alias(far)).select("src", "dst")
+        if mode != "+":
+            pairs = pairs.unionByName(ends.select(F.col("node").alias("src"), F.col("node").alias("dst"))).distinct()
+        if not each:
+            return pairs.select(null.alias("g"), "src", "dst")
+        plain = lambda c: F.substring(F.col(c), F.length(F.substring_index(c, sep, 1)) + 2, F.lit(1 << 30)).alias(c)
+        return pairs.select(F.substring_index("src", sep, 1).alias("g"), plain("src"), plain("dst"))
 
     def path(self, rel: Rel, s, p, o, graph) -> Rel:
+        each = isinstance(graph, Var)
         if isinstance(p, tuple) and p[0] == "rep":
             ends = {}
             for side, t in (("sources", s), ("targets", o)):
@@ -376,8 +443,13 @@ class Compiler:
                         ends[side] = rel.df.select(F.col(f"`{t.name}`").alias("node")).distinct()
                 else:
                     ends[side] = self.spark.createDataFrame([(t.value,)], "node string")
-            use = {"targets": ends["targets"]} if "targets" in ends else {"sources": ends["sources"]} if "sources" in ends else {}
-            pairs = self.repeated(self.edges(p[2], graph), p[1], use.get("sources"), use.get("targets"))
+            # a constant end is the smaller one
+            use = "sources" if "sources" in ends and ("targets" not in ends or not isinstance(s, Var)) else "targets"
+            pairs = self.repeated(self.edges(p[2], graph), p[1], ends.get("sources") if use == "sources" else None, ends.get("targets") if use == "targets" else None, each)
+            other = "targets" if use == "sources" else "sources"
+            if other in ends:  # the end that was not walked from
+                col = "dst" if other == "targets" else "src"
+                pairs = pairs.join(ends[other].withColumnRenamed("node", col), col, "left_semi").select("g", "src", "dst")
         else:
             pairs = self.edges(p, graph)
         test = F.lit(True)
@@ -386,18 +458,18 @@ class Compiler:
         kinds = self.triples.select(F.col("o").alias("dst"), "o_kind", "o_dt", "o_lang").where("o_kind <> 'iri'").distinct() if isinstance(o, Var) else None
         if kinds is not None:
             pairs = pairs.join(kinds, "dst", "left")
-        names = set()
-        for t, c in ((s, "src"), (o, "dst")):
+        names: dict[str, str] = {}
+        for t, c in ((graph, "g"),) * each + ((s, "src"), (o, "dst")):
             if not isinstance(t, Var):
                 test = test & (F.col(c) == t.value)
             elif t.name in names:
-                test = test & (F.col("src") == F.col("dst"))
+                test = test & (F.col(names[t.name]) == F.col(c))
             else:
-                names.add(t.name)
+                names[t.name] = c
                 k = (F.coalesce("o_kind", F.lit("iri")), F.col("o_dt"), F.col("o_lang")) if c == "dst" else (F.lit("iri"), null, null)
-                out += [F.col(c).alias(t.name), k[0].alias(t.name + "__k"), k[1].alias(t.name + "__d"), k[2].alias(t.name + "__l")]
+                out += [F.col(c).alias(t.name), k[0].alias(t.name + "#k"), k[1].alias(t.name + "#d"), k[2].alias(t.name + "#l")]
         found = pairs.where(test)
-        return self.join(rel, Rel(found.select(*out) if out else found.select(F.lit(1).alias("_unit")).limit(1), names))
+        return self.join(rel, Rel(found.select(*out) if out else found.select(F.lit(1).alias("#unit")).limit(1), set(names)))
 
     def bgp(self, rel: Rel, triples: list, graph, filters: list) -> Rel:
         simple = [t for t in triples if isinstance(t[1], Var | Iri)]
@@ -411,7 +483,7 @@ class Compiler:
             rel = self.join(rel, self.pattern(*t, graph))
         for e in list(filters):
             if paths and not _has(e, "exists") and _expr_vars(e) and _expr_vars(e) <= rel.vars - rel.maybe:
-                rel = Rel(rel.df.where(self.boolean(self.ev(e, rel.vars))), rel.vars, rel.maybe, rel.ints)
+                rel = Rel(rel.df.where(self.boolean(self.ev(e, rel.vars))), rel.vars, rel.maybe, rel.types)
         for t in paths:
             rel = self.path(rel, *t, graph)
         return rel
@@ -438,13 +510,14 @@ class Compiler:
                 case ("minus", inner):
                     b = self.group(inner, graph)
                     if rel.vars & b.vars:
-                        rel = self.join(rel, b, "left_anti", keep=False)
+                        rel = self.join(rel, b, "minus", keep=False)
                 case ("graph", g, inner):
                     rel = self.join(rel, self.group(inner, g))
                 case ("bind", expr, name):
                     df = rel.df if rel.df is not None else self.unit()
                     v = self.ev(expr, rel.vars)
-                    rel = Rel(self.bound(df, name, v), rel.vars | {name}, rel.maybe | {name}, rel.ints)
+                    types = rel.types | ({name: self.type_of(df, v)} if v.typ in ("num", "bool") else {})
+                    rel = Rel(self.bound(df, name, v), rel.vars | {name}, rel.maybe | {name}, types)
                     rel.df = rel.df.select(*[f"`{c}`" for c in self.columns(rel.vars)])
                 case ("values", names, rows):
                     rel = self.join(rel, self.rows(names, rows))
@@ -467,24 +540,66 @@ class Compiler:
                     inner = self.group(e[1], graph, on)
                     rel = self.join(rel, inner, "left_anti" if negated else "left_semi", on, keep=False)
                 elif _has(part, "exists"):
-                    raise SparqlError("EXISTS inside a disjunction is left out")
+                    rel = self.marked(rel, part, graph)
                 else:
                     df = rel.df if rel.df is not None else self.unit()
-                    rel = Rel(df.where(self.boolean(self.ev(part, rel.vars))), rel.vars, rel.maybe, rel.ints)
+                    rel = Rel(df.where(self.boolean(self.ev(part, rel.vars))), rel.vars, rel.maybe, rel.types)
         return rel
 
+    def marked(self, rel: Rel, e, graph) -> Rel:
+        """Rows for which a condition with EXISTS among its parts holds: every EXISTS becomes a flag, decided once per distinct solution of
+        the variables it shares and joined back by them."""
+        df = rel.df if rel.df is not None else self.unit()
+        flags: list[str] = []
+
+        def flagged(x):
+            nonlocal df
+            if isinstance(x, list):
+                return [flagged(y) for y in x]
+            if not isinstance(x, tuple) or not x:
+                return x
+            if x[0] != "exists":
+                return tuple(flagged(y) for y in x)
+            on: list = []
+            inner = self.group(x[1], graph, on)
+            self.n += 1
+            flag = f"#e{self.n}"
+            shared = sorted(rel.vars & (inner.vars | _expr_vars(on)))
+            if not shared:
+                hit = inner.df.limit(1).agg((F.count(F.lit(1)) > 0).alias(flag)) if inner.df is not None else self.unit().select(F.lit(True).alias(flag))
+                df = df.crossJoin(F.broadcast(hit))  # one row
+            else:
+                cols = self.columns(shared)
+                each = Rel(df.select(*[F.col(f"`{c}`") for c in cols]).distinct(), set(shared), rel.maybe & set(shared))
+                hit = self.join(each, inner, "left_semi", on, keep=False).df
+                hit = hit.select(*[F.col(f"`{c}`").alias(c + flag) for c in cols], F.lit(True).alias(flag))
+                test = F.lit(True)
+                for c in cols:
+                    test = test & F.col(f"`{c}`").eqNullSafe(F.col(f"`{c}{flag}`"))
+                df = df.join(hit, test, "left").drop(*[c + flag for c in cols])
+            flags.append(flag)
+            return ("flag", flag)
+
+        test = flagged(e)
+        return Rel(df.where(self.boolean(self.ev(test, rel.vars))).drop(*flags), rel.vars, rel.maybe, rel.types)
+
+    @staticmethod
+    def type_of(df: DataFrame, v: Val) -> str:
+        return df.select(v.col.alias("x")).schema["x"].dataType.simpleString()
+
     def conjuncts(self, e) -> list:
         return self.conjuncts(e[1]) + self.conjuncts(e[2]) if isinstance(e, tuple) and e[0] == "and" else [e]
 
     def union(self, parts: list[Rel]) -> Rel:
         names = set().union(*[p.vars for p in parts])
         null = F.lit(None).cast("string")
-        dfs = [(p.df if p.df is not None else self.unit()).select(*[F.col(f"`{c}`") if c.split("__")[0] in p.vars or c in self.columns(p.vars) else null.alias(c) for c in self.columns(names)]) for p in parts]
+        dfs = [(p.df if p.df is not None else self.unit()).select(*[F.col(f"`{v}{x}`") if v in p.vars else null.alias(v + x) for v in sorted(names) for x in _PARTS]) for p in parts]
         out = dfs[0]
         for d in dfs[1:]:
             out = out.unionByName(d)
         maybe = set().union(*[p.maybe for p in parts]) | {v for v in names if any(v not in p.vars for p in parts)}
-        return Rel(out, names, maybe, {v for v in names if all(v in p.ints for p in parts if v in p.vars)})
+        kinds = {v: {p.types.get(v) for p in parts if v in p.vars} for v in names}
+        return Rel(out, names, maybe, {v: next(iter(k)) for v, k in kinds.items() if len(k) == 1 and None not in k})
 
     # forms ------------------------------------------------------------------------------------------------------------
     def select(self, q: Select, graph=None, final: bool = True):
@@ -506,22 +621,22 @@ class Compiler:
                         env.add(e.name)
                     keys.append(e.name)
                 else:
-                    name = alias or f"_g{i}"
+                    name = alias or f"#g{i}"
                     df = self.bound(df, name, self.ev(e, env))
                     env.add(name)
                     keys.append(name)
             aggs: dict[str, Val] = {n: self.ev(e, env) for n, e in q.items if e is not None}
-            extra = {f"_h{i}": self.boolean(self.ev(h, env)) for i, h in enumerate(q.having)}
-            order = {f"_o{i}": self.ev(e, env) for i, (_, e) in enumerate(q.order) if _has(e, "agg")}
-            cols = [v.col.alias("_a_" + n) for n, v in aggs.items()] + [c.alias(n) for n, c in extra.items()] + [v.col.alias(n) for n, v in order.items()]
-            df = df.groupBy(*[F.col(f"`{c}`") for c in self.columns(keys)]).agg(*(cols or [F.count(F.lit(1)).alias("_n")]))
+            extra = {f"#h{i}": self.boolean(self.ev(h, env)) for i, h in enumerate(q.having)}
+            order = {f"#o{i}": self.ev(e, env) for i, (_, e) in enumerate(q.order) if _has(e, "agg")}
+            cols = [v.col.alias("#a" + n) for n, v in aggs.items()] + [c.alias(n) for n, c in extra.items()] + [v.col.alias(n) for n, v in order.items()]
+            df = df.groupBy(*[F.col(f"`{c}`") for c in self.columns(keys)]).agg(*(cols or [F.count(F.lit(1)).alias("#n")]))
             for n in extra:
                 df = df.where(F.col(n))
             names = set(keys)
             for n, v in aggs.items():
                 if v.typ == "num":
-                    typed[n] = "_a_" + n
-                df = self.bound(df, n, Val(F.col("_a_" + n), v.typ if v.typ != "term" else "str"))
+                    typed[n] = "#a" + n
+                df = self.bound(df, n, Val(F.col("#a" + n), v.typ if v.typ != "term" else "str"))
                 names.add(n)
             env = names
         else:
@@ -530,22 +645,22 @@ class Compiler:
                     v = self.ev(e, env)
                     df = self.bound(df, n, v)
                     if v.typ in ("num", "bool"):
-                        df = df.withColumn("_a_" + n, v.col)
-                        typed[n] = "_a_" + n
+                        df = df.withColumn("#a" + n, v.col)
+                        typed[n] = "#a" + n
                     env.add(n)
                 elif n not in env:
                     df = self.bound(df, n, self.ev(Var(n), set()))
                     env.add(n)
         chosen = [n for n, _ in q.items]
-        ints = {n for n in chosen if n in rel.ints and n not in typed}
+        types = {n: rel.types[n] for n in chosen if n in rel.types and n not in typed}
         sort = []
         for i, (down, e) in enumerate(q.order):
             if isinstance(e, Var) and e.name in typed:
                 c = F.col(f"`{typed[e.name]}`")
-            elif isinstance(e, Var) and e.name in rel.ints:
-                c = F.col(f"`{e.name}`").try_cast("bigint")
+            elif isinstance(e, Var) and e.name in rel.types:
+                c = F.col(f"`{e.name}`").try_cast(rel.types[e.name])
             elif grouped and _has(e, "agg"):
-                c = F.col(f"_o{i}")
+                c = F.col(f"#o{i}")
             else:
                 v = self.ev(e, env)
                 c = v.col
@@ -565,8 +680,9 @@ class Compiler:
         if q.limit is not None:
             df = df.limit(q.limit)
         if not final:
-            return Rel(df.select(*[f"`{c}`" for c in self.columns(chosen)]), set(chosen), {n for n in chosen if n in rel.maybe or n not in rel.vars}, ints)
-        return df.select(*[F.col(f"`{typed[n]}`").alias(n) if n in typed else F.col(f"`{n}`").try_cast("bigint").alias(n) if n in ints else F.col(f"`{n}`") for n in chosen])
+            types |= {n: df.schema[t].dataType.simpleString() for n, t in typed.items()}
+            return Rel(df.select(*[f"`{c}`" for c in self.columns(chosen)]), set(chosen), {n for n in chosen if n in rel.maybe or n not in rel.vars}, types)
+        return df.select(*[F.col(f"`{typed[n]}`").alias(n) if n in typed else F.col(f"`{n}`").try_cast(types[n]).alias(n) if n in types else F.col(f"`{n}`") for n in chosen])
 
     def run(self, q: Select) -> DataFrame:
         if q.form == "select":
@@ -602,10 +718,10 @@ def instantiate(c: Compiler, rel: Rel, template: list[tuple], graph: str) -> Dat
                 return F.col(f"`{t.name}{which}`") if t.name in rel.vars else null
             if which == "":
                 return F.lit(t.value)
-            return F.lit({"__k": "iri" if isinstance(t, Iri) else "lit", "__d": getattr(t, "dt", None), "__l": getattr(t, "lang", None)}[which]).cast("string")
+            return F.lit({"#k": "iri" if isinstance(t, Iri) else "lit", "#d": getattr(t, "dt", None), "#l": getattr(t, "lang", None)}[which]).cast("string")
 
         row = rel.df.select(
-            (part(g) if g is not None else F.lit(graph)).alias("g"), part(s).alias("s"), part(p).alias("p"), part(o).alias("o"), part(o, "__k").alias("o_kind"), part(o, "__d").alias("o_dt"), part(o, "__l").alias("o_lang")
+            (part(g) if g is not None else F.lit(graph)).alias("g"), part(s).alias("s"), part(p).alias("p"), part(o).alias("o"), part(o, "#k").alias("o_kind"), part(o, "#d").alias("o_dt"), part(o, "#l").alias("o_lang")
         ).where("g IS NOT NULL AND s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
         out = row if out is None else out.unionByName(row)
     return out if out is not None else c.quads.limit(0)
@@ -614,4 +730,5 @@ def instantiate(c: Compiler, rel: Rel, template: list[tuple], graph: str) -> Dat
 def query(quads: DataFrame, text: str) -> DataFrame:
     """The result of a SPARQL query over a quad table. SELECT gives a column per variable, null where unbound, numbers typed; ASK
     one row (ask); CONSTRUCT and DESCRIBE triples. Well-known prefixes need no declaration."""
-    return Compiler(quads).run(Parser(text).query())
+    q = Parser(text).query()
+    return Compiler(quads, q.dataset).run(q)

@@ -5,7 +5,7 @@ import pytest
 from structgraph.model import QUADS, RDF_TYPE, VOCAB, XSD
 from structgraph.operators.infer import superclasses
 from structgraph.operators.validate import validate, violations
-from structgraph.plans.reach import reach
+from structgraph.plans.reach import closure, reach
 from structgraph.plans.sparql import query, update
 from structgraph.plans.sparql.parser import SparqlError
 
@@ -61,9 +61,42 @@ CASES = [
     ("SELECT (MD5('a') AS ?m) (UCASE(SUBSTR('hello', 2, 3)) AS ?s) (ENCODE_FOR_URI('a b/c') AS ?e) {}", [("0cc175b9c0f1b6a831c399e269772661", "ELL", "a%20b%2Fc")]),
     ("SELECT (YEAR('2024-05-06T07:08:09Z'^^<http://www.w3.org/2001/XMLSchema#dateTime>) AS ?y) {}", [(2024,)]),
     ("SELECT ?x { ?x p:age ?a } ORDER BY DESC(?a) LIMIT 1", [("urn:b",)]),
-    ("SELECT ?k { { SELECT ?x (COUNT(?y) AS ?k) { ?x p:knows ?y } GROUP BY ?x HAVING (COUNT(?y) > 1) } }", [("2",)]),
-    ("SELECT ?x ?l { ?x a <urn:T> BIND(STRLEN(STR(?x)) AS ?l) FILTER(?l IN (5, 6)) }", [("urn:a", "5"), ("urn:b", "5")]),
+    ("SELECT ?k { { SELECT ?x (COUNT(?y) AS ?k) { ?x p:knows ?y } GROUP BY ?x HAVING (COUNT(?y) > 1) } }", [(2,)]),  # numbers of a subselect are numbers
+    ("SELECT ?x ?l { ?x a <urn:T> BIND(STRLEN(STR(?x)) AS ?l) FILTER(?l IN (5, 6)) }", [("urn:a", 5), ("urn:b", 5)]),
     ("ASK { <urn:a> p:knows <urn:d> }", [(False,)]),
+    # MINUS takes away only what shares a bound variable
+    ("SELECT ?x { ?x p:name ?n OPTIONAL { ?x p:age ?a } MINUS { ?y p:age ?a } }", [("urn:c",)]),
+    ("SELECT ?x { ?x a <urn:T> MINUS { ?y p:age 9 } }", [("urn:a",), ("urn:b",)]),
+    # paths stay in a graph that a variable names
+    ("SELECT ?g ?y { GRAPH ?g { <urn:b> p:knows+ ?y } }", [("g1", "urn:a"), ("g1", "urn:b"), ("g1", "urn:c")]),
+    ("SELECT ?g ?x { GRAPH ?g { ?x p:knows/p:knows <urn:d> } }", []),
+    ("SELECT ?g ?x { GRAPH ?g { ?x p:knows+ <urn:d> } }", [("g2", "urn:c")]),
+    ("SELECT ?g { GRAPH ?g { <urn:c> p:knows* <urn:c> } }", [("g1",), ("g2",)]),
+    ("SELECT ?x ?y { ?x p:age 9 ; p:knows+ ?y . ?y p:name 'Bob'@en }", [("urn:a", "urn:b")]),
+    # numbers are values of a datatype
+    ("SELECT ?x { ?x p:age 09 }", [("urn:a",)]),
+    ("SELECT ?x { ?x p:age '9' }", []),
+    ("SELECT ?x { ?x p:age 2.50 }", [("urn:d",)]),
+    # any name of a variable
+    ("SELECT ?my__v ?k { ?my__v p:age ?my__v__k . ?my__v a <urn:T> BIND(?my__v__k AS ?k) FILTER(?k > 9) }", [("urn:b", "10")]),
+    # all shared variables may be unbound
+    ("SELECT ?x ?z { ?x a <urn:T> OPTIONAL { ?x p:age ?a FILTER(?a > 9) } ?z p:age ?a }", [("urn:a", "urn:a"), ("urn:a", "urn:b"), ("urn:a", "urn:d"), ("urn:b", "urn:b")]),
+    ("SELECT ?x ?z { ?x a <urn:T> OPTIONAL { ?x p:age ?a FILTER(?a > 9) } OPTIONAL { ?z p:age ?a FILTER(?a > 2.6) } }", [("urn:a", "urn:a"), ("urn:a", "urn:b"), ("urn:b", "urn:b")]),
+    ("SELECT ?x { ?x a <urn:T> OPTIONAL { ?x p:age ?a FILTER(?a > 9) } FILTER NOT EXISTS { ?z p:age ?a ; p:name 'Ann' } }", [("urn:b",)]),
+    # EXISTS among alternatives
+    ("SELECT ?x { ?x p:name ?n FILTER(?n = 'Ann' || EXISTS { ?y p:knows ?x . ?y p:name 'Ann' }) }", [("urn:a",), ("urn:b",)]),
+    ("SELECT ?x { ?x p:name ?n FILTER(?n = 'Ann' || NOT EXISTS { ?x p:age ?a FILTER(?a > STRLEN(?n)) }) }", [("urn:a",), ("urn:c",)]),
+    ("SELECT ?x { ?x p:age ?a FILTER(?a < 3 || EXISTS { <urn:c> p:knows <urn:d> }) }", [("urn:a",), ("urn:b",), ("urn:d",)]),
+    # datasets
+    ("SELECT ?x FROM <g2> { ?x p:knows ?y }", [("urn:a",), ("urn:c",)]),
+    ("SELECT ?x ?g FROM <g1> FROM NAMED <g2> { ?x p:age 9 GRAPH ?g { ?x p:knows ?y } }", [("urn:a", "g2")]),
+    ("SELECT ?x FROM NAMED <g2> { ?x p:knows ?y }", []),
+    ("ASK FROM <g2> { ?x p:age ?y }", [(False,)]),
+    # inverse properties in negated sets
+    ("SELECT ?y { <urn:b> !(^p:age|^p:knows) ?y }", []),
+    ("SELECT ?y { <urn:b> !(p:knows|a|p:age|^p:name) ?y }", [("Bob",), ("urn:a",)]),
+    ("SELECT DISTINCT ?y { <urn:b> (p:knows*)/p:name ?y }", [("Ann",), ("Bob",), ("urn:a",)]),
+    ("SELECT ?n ?k { { SELECT (COUNT(?x) AS ?n) (AVG(?a) AS ?k) { ?x p:age ?a } } }", [(3, 21.5 / 3)]),
     ("CONSTRUCT { ?y p:knownBy ?x . ?x p:none ?z } WHERE { ?x p:knows ?y . ?y a <urn:T> } LIMIT 5", [("urn:a", P + "knownBy", "urn:c", "iri", None, None), ("urn:b", P + "knownBy", "urn:a", "iri", None, None)]),
     ("SELECT ?n { [] p:name ?n ; a <urn:T> ; p:age [] }", [("Ann",), ("Bob",)]),
 ]
@@ -96,6 +129,57 @@ def test_updates(quads):
     assert update(q, "CLEAR ALL").count() == 0
 
 
+def test_optional_joins_use_a_key(quads):
+    df = query(quads, f"PREFIX p: <{P}> SELECT ?x ?z {{ ?x p:name ?n OPTIONAL {{ ?x p:age ?a }} ?z p:age ?a }}")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, ((") + plan.count("Join Inner, (") >= 1 and "Union" in plan
+
+
+def test_load(quads, tmp_path):
+    (tmp_path / "x.nt").write_text('# c\n<urn:e> <urn:p:name> "E\\"v\\n\\u00e9"@en .\n<urn:e> <urn:p:age> "7"^^<http://www.w3.org/2001/XMLSchema#integer> .\n\n<urn:e> <urn:p:knows> _:b1 .\n<urn:e> <urn:p:name> "plain" . # end\n')
+    q = update(quads, f"LOAD <file:{tmp_path}/x.nt> INTO GRAPH <g7>")
+    assert ask(q, "SELECT ?n { GRAPH <g7> { ?x p:name ?n } }") == [('E"v\n\u00e9',), ("plain",)] and ask(q, "SELECT ?x { ?x p:age 7 }") == [("urn:e",)]
+    assert q.count() == quads.count() + 4 and ask(q, "SELECT ?y { <urn:e> p:knows ?y FILTER(isBlank(?y)) }") == [("_:b1",)]
+
+
+def test_rounds_and_walks_agree(spark):
+    import random
+
+    rnd = random.Random(8)
+    edges = spark.createDataFrame([(f"n{rnd.randrange(50)}", f"n{rnd.randrange(50) if rnd.random() < 0.7 else 0}") for _ in range(110)], "src string, dst string")
+    seeds = spark.createDataFrame([("n0",), ("n3",), ("zz",), (None,)], "node string")
+    for least in (0, 1):
+        for most in (None, 2):
+            one, two = ({(r.node, r.steps) for r in reach(edges, seeds, least, most, walk_edges=k).collect()} for k in (10**6, 0))
+            assert one == two
+    one, two = (sorted(map(tuple, closure(edges, seeds, walk_edges=k).collect())) for k in (10**6, 0))
+    assert one == two and len(one) == len(set(one))
+    assert closure(edges.limit(0), seeds, walk_edges=0).count() == closure(edges, seeds.limit(0)).count() == 0
+
+
+def test_rounds_shuffle_no_edges(spark):
+    edges = spark.range(4_000).selectExpr("cast(id as string) src", "cast(id % 50 as string) dst")
+    laid = []
+    from structgraph.plans import reach as module
+
+    real = module.cut
+
+    def spy(df, keep_layout=False):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # as they are planned where the layout is kept
+        laid.append((keep_layout, df.select("*")._jdf.queryExecution().executedPlan().toString()))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        return real(df, keep_layout)
+
+    module.cut = spy
+    try:
+        reach(edges, spark.createDataFrame([("7",)], "node string"), walk_edges=0).count()
+    finally:
+        module.cut = real
+    rounds = [p for keep, p in laid if keep and "Join" in p]
+    # one exchange brings what was found to where it lies; the edges and the nodes found before are joined where they are
+    assert rounds and all("Exchange hashpartitioning(src" not in p and p.count("Exchange hashpartitioning(node") == 1 for p in rounds), rounds[-1]
+
+
 def test_reach_against_search(spark):
     import random
 
