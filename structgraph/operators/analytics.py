@@ -68,17 +68,20 @@ GRAM = 6
 
 def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:
     """(repo, name, stem) of every ``parts`` (repo, stem) that occurs within a ``texts`` (repo, name) of its repo, once each.
-    Empty and null texts and parts find nothing."""
-    n = F.length("name")
-    sizes = F.array(*[F.lit(k) for k in range(1, GRAM + 1)])
-    grams = (
-        texts.where(n > 0)
-        .select("repo", "name", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-        .select("repo", "name", "i", F.explode(F.filter(sizes, lambda k: k <= F.length("name") - F.col("i") + 1)).alias("k"))
-        .select("repo", "name", "i", F.substring(F.col("name"), F.col("i"), F.col("k")).alias("gram"))
-    )
-    keyed = parts.where(F.length("stem") > 0).select("repo", "stem", F.substring("stem", 1, GRAM).alias("gram"))
-    return grams.join(keyed, ["repo", "gram"]).where(F.substring(F.col("name"), F.col("i"), F.length("stem")) == F.col("stem")).select("repo", "name", "stem").distinct()
+    Empty and null texts and parts find nothing.
+
+    An equi-join on grams: a part has one, its first :data:`GRAM` letters or itself; a text has those of the lengths that occur among
+    the parts. Texts travel as hashes and are fetched for what has a gram in common, and compared then, so the result is exact.
+    """
+    texts = texts.where(F.length("name") > 0).distinct().withColumn("h", F.xxhash64("repo", "name"))
+    keyed = parts.where(F.length("stem") > 0).select("repo", "stem", F.substring("stem", 1, GRAM).alias("gram")).distinct()
+    lengths = [r["k"] for r in keyed.select(F.length("gram").alias("k")).distinct().collect()]  # at most GRAM numbers
+    grams_of = lambda k: F.transform(F.sequence(F.lit(1), F.length("name") - k + 1), lambda i: F.substring("name", i, k))
+    if not lengths:
+        return texts.select("repo", "name", F.col("name").alias("stem")).limit(0)
+    enough = [F.when(F.length("name") >= k, grams_of(k)).otherwise(F.array().cast("array<string>")) for k in sorted(lengths)]
+    found = texts.select("repo", "h", F.explode(F.array_distinct(F.concat(*enough))).alias("gram")).join(keyed, ["repo", "gram"]).select("repo", "h", "stem").distinct()
+    return found.join(texts, ["repo", "h"]).where(F.contains("name", "stem")).select("repo", "name", "stem")
 
 
 def circular_dependencies(g: CodeGraph) -> DataFrame:

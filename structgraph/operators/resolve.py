@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structgraph.model import CodeGraph
+from structgraph.operators.analytics import contained
 from structgraph.plans.lineage import cut
 from structgraph.plans.skew import salted_lookup
 
@@ -19,7 +20,18 @@ def symbol_table(g: CodeGraph, methods: bool = False) -> DataFrame:
     if methods:
         table = table.unionByName(named.join(own, "uri", "left_anti").select("repo", "name", "uri", F.col("file").alias("path")))
     # counted and joined back over salted keys: a name that a third of all definitions have must not be one window
-    return salted_lookup(table, table.groupBy("repo", "name").agg(F.count("*").alias("n")), ["repo", "name"], salts=8, how="inner").select("repo", "name", "uri", "path", "n")
+    table = cut(table)
+    return salted_lookup(table, table.groupBy("repo", "name").agg(F.count("*").alias("n")), ["repo", "name"], how="inner").select("repo", "name", "uri", "path", "n")
+
+
+def first_containing(candidates: DataFrame, wanted: DataFrame, part: str) -> DataFrame:
+    """Of ``candidates`` (repo, name, text, uri), for each ``wanted`` (repo, name, part) the least uri of its name whose text contains
+    the part: (repo, name, part, callee). Only candidates that do contain it are brought together with it."""
+    key = F.concat_ws("\x1f", "repo", "name").alias("repo")
+    least = candidates.groupBy("repo", "name", "text").agg(F.min("uri").alias("uri"))
+    hits = contained(least.select(key, F.col("text").alias("name")), wanted.select(key, F.col(part).alias("stem")))
+    named = hits.select(F.substring_index("repo", "\x1f", 1).alias("repo"), F.regexp_replace("repo", r"^[^\x1f]*\x1f", "").alias("key"), F.col("name").alias("text"), "stem").withColumnRenamed("key", "name")
+    return least.join(named, ["repo", "name", "text"]).groupBy("repo", "name", F.col("stem").alias(part)).agg(F.min("uri").alias("callee"))
 
 
 def resolve_calls(g: CodeGraph, methods: bool = False) -> DataFrame:
@@ -31,8 +43,9 @@ def resolve_calls(g: CodeGraph, methods: bool = False) -> DataFrame:
     name; else the candidate in the caller's own file. "First" is by uri, and for imports by import text.
 
     Plan: calls never meet all candidates of their name. Each rule is first decided for its distinct keys (a name; a name and a file;
-    a name and a hint; a name and a class), which leaves one candidate per key, and that is looked up over salted keys. So
-    neither a text that a third of all calls have nor a name that a third of all definitions have multiplies rows.
+    a name and a hint; a name and a class), which leaves one candidate per key, and that is looked up over salted keys. Hints and
+    classes do not meet all candidates of their name either: those that contain them are found by grams. So neither a text that a
+    third of all calls have nor a name that a third of all definitions have multiplies rows.
     """
     own = g.defines.join(g.modules.select(F.col("uri").alias("parent"), "path"), "parent").select(F.col("child").alias("caller"), F.col("path").alias("caller_path"))
     if methods:
@@ -49,7 +62,8 @@ def resolve_calls(g: CodeGraph, methods: bool = False) -> DataFrame:
         .select("caller_path", "name", F.when(F.col("text").contains("."), F.regexp_replace("text", r"\.[^.]*$", "")).alias("hint"))
     )
     classes = g.defines.join(g.entities.where("kind = 'Class'").select(F.col("uri").alias("parent"), F.col("name").alias("class_name")), "parent").select(F.col("child").alias("caller"), "class_name")
-    calls = cut(salted_lookup(calls, hints, ["caller_path", "name"], salts=8).join(classes, "caller", "left").select("repo", "caller", "target", "form", "name", "caller_path", "hint", "class_name"))
+    calls = cut(calls)
+    calls = cut(salted_lookup(calls, hints, ["caller_path", "name"]).join(classes, "caller", "left").select("repo", "caller", "target", "form", "name", "caller_path", "hint", "class_name"))
     symbols = cut(symbol_table(g, methods))
     least = F.min("uri").alias("callee")
     many = symbols.where("n > 1")
@@ -58,9 +72,9 @@ def resolve_calls(g: CodeGraph, methods: bool = False) -> DataFrame:
     stem = F.regexp_replace("path", r"\.[^.]*$", "")
     rules = [
         (1, "form <> 'own'", ["repo", "name"], symbols.where("n = 1").select("repo", "name", F.col("uri").alias("callee"))),
-        (1, "form = 'own'", ["repo", "name", "class_name"], classed.join(symbols, ["repo", "name"]).where(F.col("uri").contains(F.col("class_name"))).groupBy("repo", "name", "class_name").agg(least)),
-        (2, "form = 'plain'", ["repo", "name", "hint"], hinted.join(many, ["repo", "name"]).where(stem.contains(F.col("hint"))).groupBy("repo", "name", "hint").agg(least)),
+        (1, "form = 'own'", ["repo", "name", "class_name"], first_containing(symbols.withColumn("text", F.col("uri")), classed, "class_name")),
+        (2, "form = 'plain'", ["repo", "name", "hint"], first_containing(many.withColumn("text", stem), hinted, "hint")),
         (3, "form = 'plain'", ["repo", "name", "caller_path"], many.groupBy("repo", "name", F.col("path").alias("caller_path")).agg(least)),
     ]
-    found = [salted_lookup(calls.where(test), one, keys, salts=8, how="inner").select("caller", "target", F.lit(rank).alias("rank"), "callee") for rank, test, keys, one in rules]
+    found = [salted_lookup(calls.where(test), one, keys, how="inner").select("caller", "target", F.lit(rank).alias("rank"), "callee") for rank, test, keys, one in rules]
     return reduce(DataFrame.unionByName, found).groupBy("caller", "target").agg(F.min_by("callee", F.struct("rank", "callee")).alias("callee"))

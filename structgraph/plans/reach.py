@@ -43,7 +43,7 @@ def reach(edges: DataFrame, seeds: DataFrame, min_steps: int = 1, max_steps: int
                 step += 1
                 frontier = list(dict.fromkeys(s for d in frontier for s in into.get(d, ()) if s not in steps))
                 steps |= dict.fromkeys(frontier, step)
-            yield pd.DataFrame({"node": list(steps), "steps": list(steps.values())})
+            yield pd.DataFrame({"node": pd.Series(list(steps), dtype=object), "steps": pd.Series(list(steps.values()), dtype="int32")})
 
         return both.mapInPandas(walk, f"node {kind}, steps int")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -94,7 +94,7 @@ def closure(edges: DataFrame, starts: DataFrame, walk_edges: int = WALK_EDGES) -
                     seen.update(new)
                     queue.extend(dict.fromkeys(new))
                 if seen:
-                    yield pd.DataFrame({"start": [s] * len(seen), "node": list(seen)})
+                    yield pd.DataFrame({"start": pd.Series([s] * len(seen), dtype=object), "node": pd.Series(list(seen), dtype=object)})
 
         return both.mapInPandas(walk, f"start {kind}, node {kind}")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -120,3 +120,48 @@ def test_file_lines_query_goes_beyond_the_head(spark, tmp_path):
 def test_json_query_returns_the_json(spark):
     got = [json.loads(r.json) for r in core_queries()["export_json_rows"](spark, "/root/testdata/sf0.001").collect()]
     assert got and all(set(r) == {"uri", "name", "kind", "file", "start_line", "end_line"} and r["kind"] == "Class" and r["end_line"] >= r["start_line"] for r in got)
+
+
+def test_contained_equals_brute_force(spark):
+    import random
+
+    from structgraph.operators.analytics import contained
+
+    rnd = random.Random(2)
+    word = lambda a, b: "".join(rnd.choice("ab.") for _ in range(rnd.randrange(a, b)))
+    texts = [(rnd.choice("xy"), word(0, 14)) for _ in range(60)] + [("x", None), ("x", "aaaaaaaab")]
+    parts = [(rnd.choice("xy"), word(0, 9)) for _ in range(40)] + [("x", None), ("x", "aaaaaaaab")]
+    got = sorted(map(tuple, contained(spark.createDataFrame(texts, "repo string, name string"), spark.createDataFrame(parts, "repo string, stem string")).collect()))
+    assert got == sorted({(r, t, p) for r, t in texts for q, p in parts if r == q and t and p and p in t})
+    none = spark.createDataFrame([], "repo string, stem string")
+    assert contained(spark.createDataFrame(texts, "repo string, name string"), none).count() == 0
+
+
+def test_resolution_of_a_hot_name_does_not_multiply_rows(spark):
+    """A name that all files define and import: hints times candidates would be 160,000 rows."""
+    from pyspark.sql import functions as F
+
+    from structgraph.model import CodeGraph
+    from structgraph.operators import resolve
+
+    n = 400
+    ids = spark.range(n).withColumn("path", F.format_string("dir%05d/m.py", "id"))
+    empty = lambda s: spark.createDataFrame([], s)
+    g = CodeGraph(
+        modules=ids.select(F.lit("").alias("repo"), F.concat(F.lit("u/"), "path").alias("uri"), "path"),
+        entities=ids.select(F.lit("").alias("repo"), F.concat(F.lit("u/"), "path", F.lit("#Function.get")).alias("uri"), F.lit("Function").alias("kind"), F.lit("get").alias("name"), F.col("path").alias("file"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit("").alias("docstring")),
+        defines=ids.select(F.concat(F.lit("u/"), "path").alias("parent"), F.concat(F.lit("u/"), "path", F.lit("#Function.get")).alias("child")),
+        calls=ids.select(F.lit("").alias("repo"), F.concat(F.lit("u/"), "path", F.lit("#Function.get")).alias("caller"), F.lit("get").alias("target")),
+        resolved=empty("caller string, callee string"),
+        imports=ids.select(F.lit("").alias("repo"), F.concat(F.lit("u/"), "path").alias("module"), F.format_string("dir%05d.get", F.pmod(F.col("id") + 1, F.lit(n))).alias("name")),
+        inherits=empty("repo string, cls string, base string"), decorators=empty("uri string, decorator string"), annotations=empty("uri string, kind string, value string, target string"),
+    )
+    seen = []
+    real = resolve.contained
+    resolve.contained = lambda texts, parts: seen.append(real(texts, parts)) or seen[-1]
+    try:
+        rows = resolve.resolve_calls(g).collect()
+    finally:
+        resolve.contained = real
+    assert len(rows) == n and all(int(r.callee[5:10]) == (int(r.caller[5:10]) + 1) % n for r in rows)
+    assert max(df.count() for df in seen) == n
