@@ -8,12 +8,10 @@ from pyspark.sql.window import Window
 
 from structgraph.functions.text import class_name, repo_of
 from structgraph.plans.lineage import cut
-from structgraph.plans.skew import salted_lookup
+from structgraph.plans.skew import HOT_ROWS, salted_lookup, salts_for
 
 #: Rounds of leaf peeling before what is left goes to pointer doubling; chains longer than this are rare, loops never end.
 PEEL_ROUNDS = 4
-#: Pieces in which the children of one parent are put in order.
-SIBLING_PIECES = 64
 
 
 def class_parents(entities: DataFrame, inherits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -22,7 +20,7 @@ def class_parents(entities: DataFrame, inherits: DataFrame) -> tuple[DataFrame,
     nodes = classes.select(F.col("uri").alias("key")).distinct()
     names = classes.groupBy(repo_of(F.col("file")).alias("repo"), F.col("name").alias("base_name")).agg(F.min("uri").alias("parent"))
     bases = inherits.select("repo", F.col("cls").alias("child"), "base_no", class_name(F.col("base")).alias("base_name")).where(F.col("base_name").isNotNull()).distinct()
-    found = salted_lookup(bases, names, ["repo", "base_name"], salts=8, how="inner")
+    found = salted_lookup(bases, names, ["repo", "base_name"], salts=salts_for(inherits, ["repo", "base"]), how="inner")
     return nodes, found.groupBy("child").agg(F.min_by("parent", F.struct("base_no", "parent")).alias("parent"))
 
 
@@ -44,10 +42,11 @@ def loop_members(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = cut(rest)
     # a chain into a loop or to a root keeps its tail; jumps of 2^k along existing links lose all but loop nodes
     jump, n = rest, rest.count()
-    k = 0
+    k, m = 0, n
     while n and (1 << k) < n + 1:
         far = jump.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
-        after = cut(jump.join(far, "parent").select("id", F.col("next").alias("parent")))
+        # jumps gather on few nodes, and more so with every round
+        after = cut(salted_lookup(jump, far, ["parent"], 1 if m <= HOT_ROWS else salts_for(jump, ["parent"]), "inner").select("id", F.col("next").alias("parent")))
         m = after.count()
         k += 1
         jump = after
@@ -65,26 +64,29 @@ def rank_lists(arcs: DataFrame) -> DataFrame:
     Pointer jumping: each round doubles the stretch an arc has summed, so the rounds are the logarithm of the longest list.
     """
     state = cut(arcs.select("arc", "next", F.col("arc").alias("last"), F.lit(1).cast("bigint").alias("steps"), F.col("w").cast("bigint").alias("total")))
-    while True:
-        ended = state.where(F.col("next").isNull())
-        ahead = state.select(*[F.col(c).alias(f"b_{c}") for c in state.columns])
-        open_ = state.where(F.col("next").isNotNull())
-        if open_.isEmpty():
-            break
-        moved = open_.join(ahead, F.col("next") == F.col("b_arc")).select(
-            "arc", F.col("b_next").alias("next"), F.col("b_last").alias("last"), (F.col("steps") + F.col("b_steps")).alias("steps"), (F.col("total") + F.col("b_total")).alias("total")
+    ended = state.where(F.col("next").isNull())
+    open_ = state.where(F.col("next").isNotNull())
+    while not open_.isEmpty():
+        ahead = open_.unionByName(ended).select(*[F.col(c).alias(f"b_{c}") for c in state.columns])
+        moved = cut(
+            open_.join(ahead, F.col("next") == F.col("b_arc")).select(
+                "arc", F.col("b_next").alias("next"), F.col("b_last").alias("last"), (F.col("steps") + F.col("b_steps")).alias("steps"), (F.col("total") + F.col("b_total")).alias("total")
+            )
         )
-        state = cut(moved.unionByName(ended))
-    return state.select("arc", "last", "steps", "total")
+        # an arc that has reached the end is written once
+        ended = ended.unionByName(moved.where(F.col("next").isNull()))
+        open_ = moved.where(F.col("next").isNotNull())
+    return ended.select("arc", "last", "steps", "total")
 
 
 def euler_arcs(ids: DataFrame, links: DataFrame) -> DataFrame:
     """Arcs of the Euler tours of all trees: node v goes down as arc 2v (w +1) and up as 2v+1 (w -1).
 
-    The children of one parent are chained in pieces by a hash of the child, and the pieces then end to end, so no task holds
-    all children of a parent that has a third of the rows.
+    The children of one parent are chained in pieces by a hash of the child, as many as the children of the parent that has most need
+    for pieces of HOT_ROWS, and the pieces then end to end, so no task holds all children of a parent that has a third of the rows.
     """
-    child = links.select(F.col("id").alias("v"), F.col("parent").alias("p"), F.pmod(F.xxhash64("id"), F.lit(SIBLING_PIECES)).alias("piece"))
+    most = links.groupBy("parent").count().agg(F.max("count")).first()[0] or 1
+    child = links.select(F.col("id").alias("v"), F.col("parent").alias("p"), F.pmod(F.xxhash64("id"), F.lit(-(-most // HOT_ROWS))).alias("piece"))
     within = Window.partitionBy("p", "piece").orderBy("v")
     chained = child.withColumn("sibling", F.lead("v").over(within))
     pieces = child.groupBy("p", "piece").agg(F.min("v").alias("first"), F.max("v").alias("tail"))
@@ -115,7 +117,9 @@ def hierarchy(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     ids = numbered(nodes)
     a, b = ids.select(F.col("key").alias("child"), "id"), ids.select(F.col("key").alias("parent"), F.col("id").alias("pid"))
     one = parents.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy("child").agg(F.min("parent").alias("parent"))
-    links = cut(one.join(a, "child").join(b, "parent").select("id", F.col("pid").alias("parent")))
+    one = cut(one.join(a, "child"))
+    hot = salts_for(one, ["parent"])  # a parent may have a third of all links
+    links = cut(salted_lookup(one, b, ["parent"], hot, "inner").select("id", F.col("pid").alias("parent")))
     on_loop, rest = loop_members(links)
     # smallest key of each loop, by doubling the stretch over which the minimum is taken
     loop_links = rest.join(on_loop, "id", "left_semi").select("id", F.col("parent").alias("next"))
@@ -132,7 +136,7 @@ def hierarchy(nodes: DataFrame, parents: DataFrame) -> DataFrame:
             break
     # trees: links whose child is off the loops; those onto a loop are cut and remembered
     off = links.join(on_loop, "id", "left_anti")
-    onto = off.join(tops.select(F.col("id").alias("parent"), "top"), "parent").select("id", "top")
+    onto = salted_lookup(off, tops.select(F.col("id").alias("parent"), "top"), ["parent"], hot, "inner").select("id", "top")
     tree = off.join(onto.select("id"), "id", "left_anti")
     tree_ids = ids.join(on_loop, "id", "left_anti")
     ranked = rank_lists(euler_arcs(tree_ids, tree))
@@ -147,9 +151,9 @@ def hierarchy(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     tree_roots = cut(per_node)
     length = tree_roots.where("id = rid").select("rid", F.col("from_entry").alias("len"))
     keyed = ids.select(F.col("id").alias("rid"), F.col("key").alias("root_key"))
-    parent_key = links.join(keyed, F.col("parent") == F.col("rid")).select("id", F.col("root_key").alias("parent_key"))
+    parent_key = salted_lookup(links, ids.select(F.col("id").alias("parent"), F.col("key").alias("parent_key")), ["parent"], hot, "inner").select("id", "parent_key")
     heads = length.join(keyed, "rid").join(onto.withColumnRenamed("id", "rid"), "rid", "left")
-    in_trees = salted_lookup(tree_roots, heads, ["rid"], salts=8, how="inner").select(
+    in_trees = salted_lookup(tree_roots, heads, ["rid"], how="inner").select(
         "id",
         F.coalesce("top", "root_key").alias("root"),
         F.when(F.col("top").isNotNull(), -1).otherwise(F.col("depth")).cast("bigint").alias("depth"),
@@ -172,7 +176,7 @@ def tree_paths(tree: DataFrame) -> DataFrame:
     state = cut(tree.where("depth >= 0").select("key", F.col("parent").alias("up"), F.array("key").alias("path")))
     while not state.where(F.col("up").isNotNull()).isEmpty():
         ahead = state.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        moved = salted_lookup(state.where(F.col("up").isNotNull()), ahead, ["up"], salts=8, how="inner")
+        moved = salted_lookup(state.where(F.col("up").isNotNull()), ahead, ["up"], how="inner")
         state = cut(moved.select("key", F.col("up2").alias("up"), F.concat("path2", "path").alias("path")).unionByName(state.where(F.col("up").isNull())))
     return state.select("key", "path")
 

@@ -2,9 +2,11 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from structgraph.functions.text import class_name, non_blank, normal_path, path_of_uri, repo_of, strip, without_extension
-from structgraph.plans.skew import salted_lookup
+from structgraph.plans.lineage import cut, stored
+from structgraph.plans.skew import salted_lookup, salts_for, salts_of
 
 
 def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -17,28 +19,49 @@ def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
     The result has every reference once with ``state``: null if a target was alive at seen_at, else 'missing' (no target row
     at all), 'deleted' (one had begun by then) or 'late' (all began afterwards). Empty targets make every reference missing.
 
-    Plan: the distinct keys are compared with the parent keys (anti-join), so a hot key crosses the network once; lifetimes
-    are gathered per key only for keys that are referred to. The verdict per key goes back to the rows over salted keys.
+    Plan: the distinct keys are compared with the parent keys (anti-join), so a hot key crosses the network once. What a key's
+    lifetimes have in common (first beginning, last end, their number) is one combined row a key, goes back to the rows over salted
+    keys and decides all but references between the lifetimes of a key that has several; those are decided by :func:`alive_at`. No
+    list of a key's lifetimes or references is ever gathered.
     """
     id_ = ["table_name", "scope", "key"]
     rows = refs.where(F.col("key").isNotNull() & F.col("seen_at").isNotNull()).dropDuplicates(["table_name", "ref_id"])
-    wanted = refs.where(F.col("key").isNotNull()).select(*id_).distinct()
-    lives = (
-        targets.where(F.col("key").isNotNull() & F.col("indexed_at").isNotNull())
-        .select(*id_, "indexed_at", "deleted_at")
-        .distinct()
-        .groupBy(*id_)
-        .agg(F.collect_list(F.struct("indexed_at", "deleted_at")).alias("lives"))
-    )
-    missing = wanted.join(lives, id_, "left_anti").withColumn("lives", F.lit(None).cast(lives.schema["lives"].dataType))
-    known = lives.join(wanted, id_, "left_semi")
-    verdicts = known.select(*id_, "lives", F.lit(False).alias("gone")).unionByName(missing.select(*id_, "lives", F.lit(True).alias("gone")))
+    wanted = cut(refs.where(F.col("key").isNotNull()).groupBy(*id_).count())
+    lives = targets.where(F.col("key").isNotNull() & F.col("indexed_at").isNotNull()).select(*id_, "indexed_at", "deleted_at").distinct()
+    keys = lives.groupBy(*id_).agg(F.min("indexed_at").alias("begin"), F.max("deleted_at").alias("end"), F.max(F.col("deleted_at").isNull()).alias("open"), F.count("*").alias("lives"))
+    missing = wanted.select(*id_).join(keys, id_, "left_anti")
+    known = keys.join(wanted.select(*id_), id_, "left_semi").withColumn("gone", F.lit(False))
+    verdicts = known.unionByName(missing.withColumn("gone", F.lit(True)), allowMissingColumns=True)
     seen = F.col("seen_at")
-    alive = F.exists("lives", lambda x: (x.indexed_at <= seen) & (x.deleted_at.isNull() | (seen < x.deleted_at)))
-    begun = F.exists("lives", lambda x: x.indexed_at <= seen)
-    return salted_lookup(rows, verdicts, id_, salts=8).select(
-        "table_name", "ref_id", "scope", "key", "seen_at", F.when(F.col("gone"), "missing").when(alive, F.lit(None)).when(begun, "deleted").otherwise("late").alias("state")
+    state = F.when(F.col("gone"), "missing").when(seen < F.col("begin"), "late").when(~F.col("open") & (seen >= F.col("end")), "deleted").when(F.col("lives") > 1, "between")
+    columns = ["table_name", "ref_id", "scope", "key", "seen_at", "state"]
+    judged = stored(salted_lookup(rows, verdicts, id_, salts=salts_of(wanted)).withColumn("state", state).select(columns), "judged_references")
+    between = alive_at(judged.where("state = 'between'").drop("state"), lives).withColumn("state", F.when(~F.col("alive"), "deleted")).select(columns)
+    return judged.where("state IS NULL OR state <> 'between'").unionByName(between)
+
+
+def alive_at(refs: DataFrame, lives: DataFrame) -> DataFrame:
+    """``refs`` (table_name, ref_id, scope, key, seen_at) with ``alive``: whether one of the ``lives`` of its key holds its time.
+
+    Beginnings and ends are events of +1 and -1; a reference is alive if the sum of the events up to its time is positive. Events and
+    references are laid out in order of key and time over ranges of even size, so a hot key is spread over many; sums run within
+    a range, and what earlier ranges hold of the same key is carried over: at most one number a range and key.
+    """
+    id_ = ["table_name", "scope", "key"]
+    keys = refs.select(*id_).distinct()
+    some = lives.where("deleted_at IS NULL OR deleted_at > indexed_at").join(keys, id_, "left_semi")
+    events = some.select(*id_, F.explode(F.array(F.struct(F.col("indexed_at").alias("t"), F.lit(1).alias("d")), F.struct(F.col("deleted_at").alias("t"), F.lit(-1).alias("d")))).alias("e"))
+    summed = events.select(*id_, "e.t", "e.d").where("t IS NOT NULL").groupBy(*id_, "t").agg(F.sum("d").alias("d"))
+    both = summed.select(*id_, "t", F.lit(0).alias("is_ref"), "d", F.lit(None).cast(refs.schema["ref_id"].dataType).alias("ref_id")).unionByName(
+        refs.select(*id_, F.col("seen_at").alias("t"), F.lit(1).alias("is_ref"), F.lit(0).cast("bigint").alias("d"), "ref_id")
     )
+    order = [*id_, "t", "is_ref", "ref_id"]
+    laid = stored(both.repartitionByRange(int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("part", F.spark_partition_id()), "laid_references")
+    sums = laid.groupBy(*id_, "part").agg(F.sum("d").alias("sum"))
+    carried = sums.withColumn("before", F.sum("sum").over(Window.partitionBy(*id_).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).where("before <> 0").drop("sum")
+    running = F.sum("d").over(Window.partitionBy("part", *id_).orderBy("t", "is_ref").rowsBetween(Window.unboundedPreceding, 0))
+    here = laid.withColumn("here", running).where("is_ref = 1").join(carried, ["part", *id_], "left")
+    return here.select("table_name", "ref_id", "scope", "key", F.col("t").alias("seen_at"), (F.col("here") + F.coalesce("before", F.lit(0)) > 0).alias("alive"))
 
 
 def orphan_report(states: DataFrame) -> DataFrame:
@@ -62,7 +85,8 @@ def base_references(inherits: DataFrame, entities: DataFrame, packages: DataFram
     targets = entities.where("kind = 'Class'").select(
         F.lit("inherits").alias("table_name"), repo_of(F.col("file")).alias("scope"), F.col("name").alias("key"), "indexed_at", "deleted_at"
     )
-    return refs.join(known, "key", "left_anti").select(refs.columns), targets
+    found = salted_lookup(refs, known.withColumn("known", F.lit(True)), ["key"], salts=salts_for(inherits, ["base"]))
+    return found.where("known IS NULL").select(refs.columns), targets
 
 
 def import_references(imports: DataFrame, modules: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +110,8 @@ def import_references(imports: DataFrame, modules: DataFrame, packages: DataFram
         .when(F.col("text").endswith(".h"), F.regexp_replace("text", r"\.h$", ""))
         .otherwise(F.translate("text", ".", "/"))
     )
-    refs = rows.join(external, "text", "left_anti").select(F.lit("imports").alias("table_name"), F.col("import_id").alias("ref_id"), F.col("repo").alias("scope"), key.alias("key"), "seen_at")
+    own = salted_lookup(rows, external.withColumn("known", F.lit(True)), ["text"], salts=salts_for(imports, ["from_module"])).where("known IS NULL")
+    refs = own.select(F.lit("imports").alias("table_name"), F.col("import_id").alias("ref_id"), F.col("repo").alias("scope"), key.alias("key"), "seen_at")
     targets = modules.select(
         F.lit("imports").alias("table_name"),
         F.col("repo").alias("scope"),

@@ -12,11 +12,16 @@ MOST_SALTS = 256
 def salts_for(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> int:
     """Pieces in which the most frequent key of ``df`` is to be cut so that none is above ``hot_rows``, or above an even share of the
     reducers if that is more; 1 where no key is hot. One aggregation, combined before its shuffle; one number comes to the driver."""
-    counted = df.groupBy(*keys).count().agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
-    if not counted["most"]:
+    return salts_of(df.groupBy(*keys).count(), hot_rows)
+
+
+def salts_of(counted: DataFrame, hot_rows: int = HOT_ROWS) -> int:
+    """:func:`salts_for` where the rows of each key are counted already, in ``count``."""
+    top = counted.agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    if not top["most"]:
         return 1
-    share = max(hot_rows, counted["rows"] // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return min(MOST_SALTS, -(-counted["most"] // share))
+    share = max(hot_rows, top["rows"] // int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(MOST_SALTS, -(-top["most"] // share))
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], salts: int | None = None, how: str = "left") -> DataFrame:

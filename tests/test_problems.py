@@ -115,3 +115,49 @@ def test_code_references_over_empty_tables(spark):
         t("uri string, kind string, name string, file string, indexed_at timestamp, deleted_at timestamp"), t("path string, repo string, indexed_at timestamp, deleted_at timestamp"), t("name string, kind string"),
     )
     assert out.count() == 0
+
+
+def test_states_against_brute_force_with_many_lifetimes(spark):
+    rnd = random.Random(4)
+    day = lambda: T[rnd.randrange(28)]
+    lives = [("t", "", rnd.choice("aaaab"), b := day(), rnd.choice((None, day(), b))) for _ in range(60)] + [("t", "", "c", T[3], T[9]), ("t", "", "c", T[9], T[12]), ("t", "", "c", T[20], None)]
+    refs = [("t", i, "", rnd.choice("aabcd"), day()) for i in range(300)]
+    got = {r.ref_id: r.state for r in orphan_references(spark.createDataFrame(refs, "table_name string, ref_id bigint, scope string, key string, seen_at timestamp"), spark.createDataFrame(lives, "table_name string, scope string, key string, indexed_at timestamp, deleted_at timestamp")).collect()}
+    for _, i, _, k, t in refs:
+        mine = [(b, e) for _, _, x, b, e in lives if x == k]
+        alive = any(b <= t and (e is None or t < e) for b, e in mine)
+        assert got[i] == ("missing" if not mine else None if alive else "deleted" if any(b <= t for b, _ in mine) else "late")
+
+
+def test_a_key_with_a_third_of_the_rows_is_spread(spark):
+    """The largest range of the running sums, and the largest reducer of a salted lookup, hold a fraction of the hot key's rows."""
+    from structgraph.operators.references import alive_at
+    from structgraph.plans import skew
+
+    n = 30_000
+    refs = spark.range(n).selectExpr("'t' table_name", "id ref_id", "'' scope", "if(id % 3 = 0, 'hot', concat('k', id)) key", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id % 5000 as int)) seen_at")
+    lives = spark.range(4_000).selectExpr("'t' table_name", "'' scope", "'hot' key", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id * 2 as int)) indexed_at", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id * 2 + 1 as int)) deleted_at")
+    import structgraph.operators.references as module
+
+    laid = []
+    real = module.stored
+    module.stored = lambda df, name: laid.append(real(df, name)) or laid[-1]
+    try:
+        out = {r.ref_id: r.alive for r in alive_at(refs, lives).where("key = 'hot'").collect()}
+    finally:
+        module.stored = real
+    assert all(a == (i % 5000 < 8000 and i % 2 == 0) for i, a in out.items()) and len(out) == n // 3
+    parts = [r["count"] for r in laid[0].where("key = 'hot'").groupBy("part").count().collect()]
+    assert len(parts) > 1 and max(parts) < (n // 3 + 8_000) * 0.8
+    assert skew.salts_for(refs, ["key"], hot_rows=1_000) == 2 and skew.salts_for(refs.where("key <> 'hot'"), ["key"], hot_rows=1_000) == 1
+    joined = salted_lookup(refs, refs.select("key").distinct(), ["key"], salts=16, how="inner")
+    sizes = [r["count"] for r in joined.where("key = 'hot'").groupBy(skew.F.pmod(skew.F.xxhash64(*refs.columns), skew.F.lit(16))).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1_000 and joined.count() == n
+
+
+def test_siblings_are_chained_in_pieces(spark, table, monkeypatch):
+    from structgraph.operators import hierarchy as module
+
+    monkeypatch.setattr(module, "HOT_ROWS", 7)
+    nodes = [f"s{i:03}" for i in range(90)]
+    check_tree(spark, table, nodes, {s: "s000" for s in nodes[1:60]} | {s: "s001" for s in nodes[60:]})
