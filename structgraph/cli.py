@@ -79,7 +79,8 @@ def run(engine: Engine, argv: argparse.Namespace, out=sys.stdout) -> None:
     names = [a.partition(":")[0].strip("-?") for a in args]
     result = getattr(engine, verb)(**{n: getattr(argv, n) for n in names if getattr(argv, n) is not None})
     if isinstance(result, DataFrame) and argv.command.startswith("export-"):
-        out.write("\n".join(r["line"] for r in result.collect()) + "\n")
+        for r in result.toLocalIterator():
+            out.write(r["line"] + "\n")
     else:
         out.write(shown(result) + "\n")
 

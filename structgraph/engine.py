@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structgraph import nl
-from structgraph.model import ANNOTATIONS, RESOLVED, VOCAB, XSD, CodeGraph
+from structgraph.model import ANNOTATIONS, QUADS, RESOLVED, VOCAB, XSD, CodeGraph
 from structgraph.operators import analytics, annotate, encode, export, impact, infer, lookup, refactor, resolve, search, store, traverse, validate
 from structgraph.plans import sparql
+from structgraph.plans.lineage import cut, stored
 from structgraph.session import ship_package
 from structgraph.sources.files import EXTENSIONS, index_errors, index_stats, parse_files, read_tree
 from structgraph.sources.git import git_diff
@@ -47,10 +48,10 @@ class Engine:
         """Versions of all source files."""
         if not self.path:
             return self._files
-        try:
-            return self.spark.read.schema(_FILES).parquet(f"{self.path}/files")
-        except Exception:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/files")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
             return self._files
+        return self.spark.read.schema(_FILES).parquet(f"{self.path}/files")
 
     def _save(self, quads: DataFrame) -> None:
         self.store.write(quads)
@@ -60,7 +61,7 @@ class Engine:
         if self.path:
             files.select("path", "content", "op_id", "label").join(self.files.select("path", "op_id"), ["path", "op_id"], "left_anti").select("path", "content", "op_id", "label").write.mode("append").parquet(f"{self.path}/files")
         else:
-            self._files = self.spark.createDataFrame(files.collect(), _FILES)  # the in-memory index is a small one
+            self._files = cut(files.select("path", "content", "op_id", "label"))
 
     # indexing
     def index_codebase(self, root: str, extensions: tuple[str, ...] = EXTENSIONS, resolve_pass: bool = True) -> DataFrame:
@@ -138,15 +139,20 @@ class Engine:
         return store.store_stats(self.quads)
 
     # annotations
+    def _annotate(self, edit: Callable[[DataFrame], DataFrame]) -> None:
+        """Edit the annotations; the rest of the store is neither read nor written."""
+        self.store.change([ANNOTATIONS], edit)
+        self._graph = None
+
     def _note(self, name: str, prop: str, value: str, add: bool) -> None:
         uri = annotate.entity_uri(self.graph, name)
         if add:
-            self._save(store.load_quads(self.quads, self._quad(uri, prop, value, "lit")))
+            self._annotate(lambda q: store.load_quads(q, self._quad(uri, prop, value, "lit")))
         else:
-            self._save(self.quads.where(~((F.col("g") == ANNOTATIONS) & (F.col("s") == uri) & (F.col("p") == VOCAB + prop) & (F.col("o") == value))))
+            self._annotate(lambda q: q.where(~((F.col("s") == uri) & (F.col("p") == VOCAB + prop) & (F.col("o") == value))))
 
     def _quad(self, s: str, prop: str, o: str, kind: str) -> DataFrame:
-        return self.spark.createDataFrame([(ANNOTATIONS, s, VOCAB + prop, o, kind, XSD + "string" if kind == "lit" else None, None)], self.quads.schema)
+        return self.spark.createDataFrame([(ANNOTATIONS, s, VOCAB + prop, o, kind, XSD + "string" if kind == "lit" else None, None)], QUADS)
 
     def add_tag(self, name: str, tag: str) -> None:
         self._note(name, "tag", tag, True)
@@ -165,12 +171,12 @@ class Engine:
         rows = self._quad(a, "linksTo", b, "iri")
         if label:
             rows = rows.unionByName(self._quad(a, "linkLabel", f"{label}->{b}", "lit"))
-        self._save(store.load_quads(self.quads, rows))
+        self._annotate(lambda q: store.load_quads(q, rows))
 
     def remove_link(self, source: str, target: str) -> None:
         a, b = annotate.entity_uri(self.graph, source), annotate.entity_uri(self.graph, target)
-        gone = (F.col("g") == ANNOTATIONS) & (F.col("s") == a) & (((F.col("p") == VOCAB + "linksTo") & (F.col("o") == b)) | ((F.col("p") == VOCAB + "linkLabel") & F.col("o").endswith(f"->{b}")))
-        self._save(self.quads.where(~gone))
+        gone = (F.col("s") == a) & (((F.col("p") == VOCAB + "linksTo") & (F.col("o") == b)) | ((F.col("p") == VOCAB + "linkLabel") & F.col("o").endswith(f"->{b}")))
+        self._annotate(lambda q: q.where(~gone))
 
     def annotations(self, name: str | None = None) -> DataFrame:
         if name is not None:
@@ -179,7 +185,7 @@ class Engine:
         return g.annotations.join(g.entities.select("uri", "name"), "uri").select("name", "kind", "value", "target").distinct().orderBy("name", "kind", "value")
 
     def clear_annotations(self) -> None:
-        self._save(store.clear_graph(self.quads, ANNOTATIONS))
+        self._annotate(lambda q: q.limit(0))
 
     # editing
     def preview_rename(self, old: str, new: str) -> DataFrame:
@@ -189,7 +195,7 @@ class Engine:
         """Keep new file versions and re-index the changed files; returns their paths."""
         before = self.files
         changed = files.join(before.select("path", "op_id"), ["path", "op_id"], "left_anti").select("path", "content")
-        rows = self.spark.createDataFrame(changed.collect(), "path string, content string")  # the files of one edit
+        rows = stored(changed, "edited")  # before the versions it is compared with change
         self._save_files(files)
         from structgraph.streaming.reindex import apply_changes
 

@@ -35,7 +35,7 @@ def _whole(edges: DataFrame, head: str, arcs: DataFrame, alone: DataFrame, tail:
 
 def text_of(lines: DataFrame) -> str:
     """The document of (section, line) rows; for graphs that a person is to look at."""
-    return "\n".join(r["line"] for r in lines.orderBy("section", "line").collect())
+    return "\n".join(r["line"] for r in lines.orderBy("section", "line").toLocalIterator())
 
 
 def json_rows(df: DataFrame) -> DataFrame:

@@ -81,7 +81,8 @@ def apply_changes(quads: DataFrame, changes: DataFrame, repo: str = "") -> DataF
 
 
 def watch(spark: SparkSession, events: DataFrame, store: QuadStore, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
-    """Start re-indexing a stream of file events into a store; batches are applied in order, each as one new version of the store.
+    """Start re-indexing a stream of file events into a store; batches are applied in order, each as one new version of the store
+    in which only the buckets of changed files, and of callers whose calls resolve differently, are written.
 
     A batch that is repeated after a failure replaces the same graphs by the same quads, so the store ends up the same.
     """

@@ -70,3 +70,35 @@ def test_stream(spark, table, tmp_path):
         q = watch(spark, file_events(spark, str(drop)), store, str(tmp_path / "cp"), availableNow=True)
         q.awaitTermination(120)
     assert edges(store.read(), table) == set() and store.read().where("g LIKE '%b.py#graph'").count() == 0
+
+
+def test_store_writes_only_what_changed(spark, tmp_path, monkeypatch):
+    import os
+
+    from structgraph.model import ANNOTATIONS, ENTITY, QUADS, XSD
+    from structgraph.operators import store as module
+
+    monkeypatch.setattr(module, "BUCKET_QUADS", 40)
+
+    def quads(n, o):
+        return spark.range(n).selectExpr(f"concat('{ENTITY}f', id % 20, '.py#graph') g", f"concat('{ENTITY}f', id % 20, '.py#Function.', id) s", f"'{VOCAB}name' p", f"'{o}' o", "'lit' o_kind", f"'{XSD}string' o_dt", "cast(null as string) o_lang").select(QUADS.names)
+
+    store = QuadStore(spark, str(tmp_path / "q"))
+    assert store.read().count() == 0 and store.write(quads(200, "x").unionByName(quads(200, "x"))) >= 3 and store.read().count() == 200
+    assert store.write(store.read()) == 0
+    tag = spark.createDataFrame([(ANNOTATIONS, f"{ENTITY}f1.py#Function.1", VOCAB + "tag", "t", "lit", XSD + "string", None)], QUADS)
+    before = {d for d, _, _ in os.walk(tmp_path / "q" / "data")}
+    assert store.change([ANNOTATIONS], lambda q: q.unionByName(tag)) == 1 and store.read().count() == 201
+    new = {d for d, _, _ in os.walk(tmp_path / "q" / "data")} - before
+    assert [d.rsplit("/", 1)[-1] for d in sorted(new, key=len)][1:] == ["bucket=-1"]
+    # one file of source is one bucket
+    one = f"{ENTITY}f3.py#graph"
+    assert store.change([one], lambda q: q.withColumn("o", q.o.substr(1, 0))) == 1 and store.read().where("o = ''").count() == 10
+    assert store.write(store.read().where(f"g <> '{one}'")) == 1 and store.read().count() == 191
+    for i in range(6):
+        store.change([ANNOTATIONS], lambda q: q.limit(0) if i % 2 else tag)
+    assert store.read().count() == 190 and len(store._versions()) == module.KEPT_VERSIONS
+    dirs = sum(len([x for x in os.listdir(tmp_path / "q" / "data" / v) if x.startswith("bucket=")]) for v in os.listdir(tmp_path / "q" / "data"))
+    assert dirs <= len(store._manifest()["at"]) + module.KEPT_VERSIONS
+    store.clear()
+    assert store.read().count() == 0
