@@ -1,5 +1,7 @@
 """Queries of the code-graph operators over the indexed tables, with their SQL."""
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,32 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "files").select("path", "content", "op_id", F.lit(None).cast("string").alias("label")).distinct()
 
 
+def by_stem(g: CodeGraph) -> CodeGraph:
+    """The graph with every import named by the last part of its path, as files name each other within a directory."""
+    last = F.regexp_extract(F.regexp_replace("name", r"\.(js|ts|h)$", ""), r"([^./]+)$", 1)
+    return replace(g, imports=g.imports.select("repo", "module", last.alias("name")).where("name <> ''").distinct())
+
+
+def both_ways(g: CodeGraph) -> CodeGraph:
+    """:func:`by_stem` with an import back for every dependency between files, so that there are circles."""
+    g = by_stem(g)
+    m = g.modules.select("repo", F.col("uri").alias("module"), F.col("path").alias("dst"))
+    back = traverse.file_dependencies(g).join(m, "dst").select("repo", "module", traverse.stem(F.col("src")).alias("name"))
+    return replace(g, imports=g.imports.unionByName(back).distinct())
+
+
+def _first(g: CodeGraph, kind: str):
+    """The least annotation of a kind, to be removed or built on."""
+    return g.annotations.where(F.col("kind") == kind).orderBy("uri", "value", "target").select("uri", "value", "target").first()
+
+
+def _edited(spark: SparkSession, root: str, edit) -> DataFrame:
+    """Lines of the longest-named current Python file after an edit."""
+    files = _files(spark, root)
+    path = refactor.current_files(files).where("path LIKE '%.py' AND content LIKE '%\n%\n%\n%\n%'").agg(F.max(F.struct(F.length("path").alias("n"), "path"))).first()[0]["path"]
+    return refactor.source_lines(edit(files, path), path).select("line_no", "text")
+
+
 _Q = {
     "resolve_entity": lambda g: lookup.resolve_entity(g, NAME),
     "resolve_entity_qualified": lambda g: lookup.resolve_entity(g, f"{EDITED}:{CLASS}"),
@@ -52,7 +80,7 @@ _Q = {
     "call_graph_bfs": lambda g: traverse.call_graph_from(g, NAME, 3),
     "all_call_edges": traverse.all_call_edges,
     "inheritance_edges": traverse.inheritance_edges,
-    "file_dependencies": traverse.file_dependencies,
+    "file_dependencies": lambda g: traverse.file_dependencies(by_stem(g)),
     "symbol_table": resolve.symbol_table,
     "resolve_calls": resolve.resolve_calls,
     "search_by_name": lambda g: search.search_by_name(g, "Beacon"),
@@ -63,25 +91,29 @@ _Q = {
     "function_metrics": analytics.function_metrics,
     "class_metrics": analytics.class_metrics,
     "refactoring_candidates": analytics.refactoring_candidates,
-    "circular_dependencies": analytics.circular_dependencies,
+    "circular_dependencies": lambda g: analytics.circular_dependencies(both_ways(g)),
     "list_tags": lambda g: annotate.list_values(g, "tag"),
     "list_notes": lambda g: annotate.list_values(g, "note"),
     "list_links": annotate.list_links,
     "list_links_of": lambda g: annotate.list_links(g, CLASS),
-    "remove_tag": lambda g: g.annotations.where(~((F.col("kind") == "tag") & (F.col("value") == "property"))).select("uri", "kind", "value", "target"),
-    "annotations_for": lambda g: annotate.annotations_for(g, CLASS).select("uri", F.array_join("tags", ",").alias("tags"), F.array_join("links", ",").alias("links")),
+    "add_tag": lambda g: annotate.add_tag(g.annotations, _first(g, "tag")["uri"], "reviewed").select("uri", "kind", "value", "target"),
+    "add_note": lambda g: annotate.add_note(g.annotations, _first(g, "tag")["uri"], "see above").select("uri", "kind", "value", "target"),
+    "add_link": lambda g: annotate.add_link(g.annotations, _first(g, "tag")["uri"], _first(g, "link")["target"], "uses").select("uri", "kind", "value", "target"),
+    "remove_tag": lambda g: (lambda r: annotate.remove_value(g.annotations, "tag", r["uri"], r["value"]))(_first(g, "tag")).select("uri", "kind", "value", "target"),
+    "remove_note": lambda g: (lambda r: annotate.remove_value(g.annotations, "note", r["uri"], r["value"]))(_first(g, "note")).select("uri", "kind", "value", "target"),
+    "remove_link": lambda g: (lambda r: annotate.remove_link(g.annotations, r["uri"], r["target"]))(_first(g, "link")).select("uri", "kind", "value", "target"),
+    "annotations_for": lambda g: annotate.annotations_for(g, CLASS).select("uri", *[F.array_join(c, ",").alias(c) for c in ("tags", "notes", "links")]),
     "rename_affected_files": lambda g: refactor.affected_files(g, NAME),
     "find_entity": lambda g: refactor.find_entity(g, NAME),
     "quads": quads_of,
     "store_stats": lambda g: store.store_stats(quads_of(g)),
     "union_graph": lambda g: store.union_graph(quads_of(g)),
-    "clear_graph": lambda g: store.clear_graph(quads_of(g), RESOLVED).groupBy("g").agg(F.count("*").alias("n")),
+    "clear_graph": lambda g: store.clear_graph(quads_of(g), RESOLVED).select("g", "s", "p", "o"),
     "infer_types": lambda g: infer.infer_types(quads_of(g)).select("s", "o"),
     "shacl_violations": lambda g: validate.violations(quads_of(g)).select("shape", "focus", "path"),
     "export_mermaid": lambda g: export.mermaid_lines(traverse.inheritance_edges(g).select(F.col("base").alias("src"), F.col("cls").alias("dst"))),
-    "export_dot": lambda g: export.dot_lines(traverse.file_dependencies(g)),
-    "export_json": lambda g: export.json_rows(lookup.all_classes(g)).agg(F.count("*").alias("n")),
-    "export_json_rows": lambda g: export.json_rows(lookup.all_classes(g)),
+    "export_dot": lambda g: export.dot_lines(traverse.file_dependencies(by_stem(g))),
+    "export_json": lambda g: export.json_rows(lookup.all_classes(g)),
 }
 
 
@@ -98,9 +130,9 @@ QUERIES |= {
     "current_files": lambda s, d: refactor.current_files(_files(s, d)).select("path", "op_id"),
     "undo_last": lambda s, d: refactor.current_files(refactor.undo_last(_files(s, d))).select("path", "op_id"),
     "undo_history": lambda s, d: refactor.undo_history(_files(s, d)).select("op_id", "files"),
-    "preview_rename": lambda s, d: refactor.preview_rename(graph(s, d), _files(s, d), NAME, "draw_beacon").select("path", "replacements"),
-    "source_lines": lambda s, d: refactor.current_files(_files(s, d)).where("content <> ''").select("path", F.posexplode(F.split("content", "\n")).alias("pos", "text")).where("pos < 3").select("path", (F.col("pos") + 1).cast("bigint").alias("line_no"), "text"),
-    "file_lines": lambda s, d: refactor.file_lines(_files(s, d)),
+    "source_lines": lambda s, d: refactor.file_lines(_files(s, d)),
+    "insert_code": lambda s, d: _edited(s, d, lambda f, p: refactor.insert_code(f, p, 3, "# one\n# two")),
+    "replace_lines": lambda s, d: _edited(s, d, lambda f, p: refactor.replace_lines(f, p, 2, 4, "# one")),
 }
 
 V = f"""
@@ -131,8 +163,9 @@ _NAME_EDGES = """ne AS (
   UNION SELECT l.repo, c.name, l.target FROM cal l JOIN ents c ON c.uri = l.caller AND c.kind IN ('Function', 'Method'))"""
 _INH_EDGES = """ie AS (SELECT DISTINCT i.base, e.name AS cls FROM inh i JOIN ents e ON e.uri = i.cls AND e.kind = 'Class'),
 iall AS (SELECT base, cls FROM ie UNION ALL SELECT DISTINCT NULL, name FROM ents WHERE kind = 'Class' AND name NOT IN (SELECT base FROM ie) AND name NOT IN (SELECT cls FROM ie))"""
-_FILE_DEPS = f"""fd AS (
-  SELECT DISTINCT m.path AS src, t.path AS dst FROM imp i JOIN mods m ON m.uri = i.module
+_STEMS = f"""ims AS (SELECT DISTINCT repo, module, regexp_extract(regexp_replace(name, '[.](js|ts|h)$', ''), '([^./]+)$', 1) AS name FROM imp WHERE regexp_extract(regexp_replace(name, '[.](js|ts|h)$', ''), '([^./]+)$', 1) <> '')"""
+_FILE_DEPS = f"""{_STEMS}, fd AS (
+  SELECT DISTINCT m.path AS src, t.path AS dst FROM ims i JOIN mods m ON m.uri = i.module
   JOIN (SELECT repo, {_STEM('path')} AS stem, max(path) AS path FROM mods GROUP BY 1, 2) t ON t.repo = i.repo AND t.stem = string_split(i.name, '.')[1] WHERE m.path <> t.path)"""
 _RESOLVE = """sym AS (SELECT e.repo, e.name, e.uri, o.path, count(*) OVER (PARTITION BY e.repo, e.name) AS n FROM ents e JOIN own o USING (uri) WHERE e.kind IN ('Function', 'Method', 'Class')),
 rc AS (
@@ -201,8 +234,14 @@ c AS (SELECT s, o FROM b UNION SELECT s, '{VOCAB}Function' FROM b WHERE o = '{VO
 _LABEL = lambda c: f"translate({c}, '.- /', '____') || '[\"' || {c} || '\"]'"
 _SAFE_W = "WITH RECURSIVE " + V
 _LINKS = "SELECT 'outgoing' AS direction, a.name AS name, b.name AS other, l.value AS label FROM link l JOIN ents a ON a.uri = l.uri JOIN ents b ON b.uri = l.target"
+_ANN = "ann AS (SELECT uri, 'tag' AS kind, decorator AS value, CAST(NULL AS VARCHAR) AS target FROM deco UNION ALL SELECT uri, 'note', value, NULL FROM note UNION ALL SELECT uri, 'link', value, target FROM link)"
+_ONE = lambda k: f"(SELECT * FROM ann WHERE kind = '{k}' ORDER BY uri, value, target LIMIT 1)"
 _CUR = "cur AS (SELECT path, max(op_id) AS op_id FROM files GROUP BY path)"
 
+_LINES = f"""{_CUR}, pick AS (SELECT string_split_regex(regexp_replace(content, '\\r?\\n\\z', ''), '\\r?\\n') AS l FROM
+    (SELECT DISTINCT f.path, f.content FROM files f JOIN cur USING (path, op_id) WHERE f.path LIKE '%.py' AND content LIKE '%' || chr(10) || '%' || chr(10) || '%' || chr(10) || '%' || chr(10) || '%')
+    ORDER BY length(path) DESC, path DESC LIMIT 1)"""
+
 SQL = {k: f"{_SAFE_W}{v}" for k, v in {
     "resolve_entity": f"SELECT {_ROW} FROM ents WHERE name = '{NAME}' AND start_line IS NOT NULL",
     "resolve_entity_qualified": f"SELECT {_ROW} FROM ents WHERE name = '{CLASS}' AND contains(file, '{EDITED}') AND start_line IS NOT NULL",
@@ -241,15 +280,23 @@ SQL = {k: f"{_SAFE_W}{v}" for k, v in {
     "class_metrics": """, mc AS (SELECT k.repo, k.name, count(*) AS method_count FROM defs d JOIN ents m ON m.uri = d.child AND m.kind = 'Method' JOIN ents k ON k.uri = d.parent AND k.kind = 'Class' GROUP BY 1, 2)
         SELECT e.uri, e.name, e.start_line, e.end_line, e.end_line - e.start_line + 1 AS size, coalesce(method_count, 0) AS method_count FROM ents e LEFT JOIN mc ON mc.repo = e.repo AND mc.name = e.name
         WHERE e.kind = 'Class' AND e.start_line IS NOT NULL AND e.end_line IS NOT NULL ORDER BY size DESC, e.uri LIMIT 50""",
-    "circular_dependencies": f""", mk AS (SELECT DISTINCT i.repo, m.path, i.name, {_STEM('m.path')} AS stem FROM imp i JOIN mods m ON m.uri = i.module), fl AS (SELECT DISTINCT repo, path, stem FROM mk),
+    "circular_dependencies": f""", {_FILE_DEPS}, imb AS (SELECT * FROM ims UNION SELECT m.repo, m.uri, {_STEM('fd.src')} FROM fd JOIN mods m ON m.path = fd.dst),
+        mk AS (SELECT DISTINCT i.repo, m.path, i.name, {_STEM('m.path')} AS stem FROM imb i JOIN mods m ON m.uri = i.module), fl AS (SELECT DISTINCT repo, path, stem FROM mk),
         nd AS (SELECT DISTINCT a.path, b.path AS other FROM mk a JOIN fl b ON a.repo = b.repo AND a.path <> b.path AND contains(a.name, b.stem))
         SELECT x.path AS file_a, x.other AS file_b FROM nd x JOIN nd y ON x.path = y.other AND x.other = y.path WHERE x.path < x.other""",
     "list_tags": "SELECT DISTINCT name, decorator AS value FROM deco JOIN ents USING (uri)",
     "list_notes": "SELECT DISTINCT name, value FROM note JOIN ents USING (uri)",
     "list_links": f"SELECT DISTINCT * FROM ({_LINKS})",
     "list_links_of": f"SELECT DISTINCT * FROM ({_LINKS} UNION ALL SELECT 'incoming', other, name, label FROM ({_LINKS})) WHERE name = '{CLASS}'",
-    "remove_tag": "SELECT uri, 'tag' AS kind, decorator AS value, CAST(NULL AS VARCHAR) AS target FROM deco WHERE decorator <> 'property' UNION ALL SELECT uri, 'note', value, NULL FROM note UNION ALL SELECT uri, 'link', value, target FROM link",
-    "annotations_for": f"""SELECT e.uri, coalesce((SELECT string_agg(DISTINCT decorator, ',' ORDER BY decorator) FROM deco d WHERE d.uri = e.uri), '') AS tags,
+    **{k: f", {_ANN} {v}" for k, v in {
+        "add_tag": f"SELECT * FROM ann UNION SELECT uri, 'tag', 'reviewed', NULL FROM {_ONE('tag')}",
+        "add_note": f"SELECT * FROM ann UNION SELECT uri, 'note', 'see above', NULL FROM {_ONE('tag')}",
+        "add_link": f"SELECT * FROM ann UNION SELECT a.uri, 'link', 'uses', b.target FROM {_ONE('tag')} a, {_ONE('link')} b",
+        "remove_tag": f"SELECT ann.* FROM ann WHERE NOT EXISTS (SELECT 1 FROM {_ONE('tag')} o WHERE ann.kind = 'tag' AND o.uri = ann.uri AND o.value = ann.value)",
+        "remove_note": f"SELECT ann.* FROM ann WHERE NOT EXISTS (SELECT 1 FROM {_ONE('note')} o WHERE ann.kind = 'note' AND o.uri = ann.uri AND o.value = ann.value)",
+        "remove_link": f"SELECT ann.* FROM ann WHERE NOT EXISTS (SELECT 1 FROM {_ONE('link')} o WHERE ann.kind = 'link' AND o.uri = ann.uri AND o.target = ann.target)",
+    }.items()},
+    "annotations_for": f"""SELECT e.uri, coalesce((SELECT string_agg(DISTINCT value, ',' ORDER BY value) FROM note n WHERE n.uri = e.uri), '') AS notes, coalesce((SELECT string_agg(DISTINCT decorator, ',' ORDER BY decorator) FROM deco d WHERE d.uri = e.uri), '') AS tags,
         coalesce((SELECT string_agg(DISTINCT target, ',' ORDER BY target) FROM link l WHERE l.uri = e.uri), '') AS links FROM ents e WHERE e.name = '{CLASS}'""",
     "rename_affected_files": f"""SELECT DISTINCT p AS path FROM (SELECT {_POU('uri')} AS p FROM ents WHERE name = '{NAME}' UNION SELECT {_POU('caller')} FROM cal WHERE target = '{NAME}'
         UNION SELECT {_POU('module')} FROM imp WHERE name = '{NAME}' OR ends_with(name, '.{NAME}'))""",
@@ -257,15 +304,14 @@ SQL = {k: f"{_SAFE_W}{v}" for k, v in {
     "quads": f", {_QUADS} SELECT * FROM q",
     "store_stats": f", {_QUADS} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (p = '{RDF_TYPE}' AND o = '{VOCAB}{k}') AS {k.lower()}{'es' if k == 'Class' else 's'}" for k in ("Module", "Class", "Function", "Method")) + " FROM q",
     "union_graph": f", {_QUADS} SELECT DISTINCT s, p, o, o_kind, o_dt, o_lang FROM q",
-    "clear_graph": f", {_QUADS} SELECT g, count(*) AS n FROM q WHERE g <> '{RESOLVED}' GROUP BY g",
+    "clear_graph": f", {_QUADS} SELECT g, s, p, o FROM q WHERE g <> '{RESOLVED}'",
     "infer_types": f", {_QUADS}, {_INFER} SELECT s, o FROM c EXCEPT SELECT s, o FROM st",
     "shacl_violations": f", {_QUADS} {_SHACL}",
     "export_mermaid": f""", {_INH_EDGES} SELECT 0 AS section, 'graph TD' AS line UNION SELECT 1, '    ' || {_LABEL('base')} || ' --> ' || {_LABEL('cls')} FROM iall WHERE base IS NOT NULL
         UNION SELECT 2, '    ' || {_LABEL('cls')} FROM iall WHERE base IS NULL""",
     "export_dot": f""", {_FILE_DEPS} SELECT 0 AS section, 'digraph graph {{' AS line UNION SELECT 3, '}}' UNION SELECT 1, '    "' || src || '" -> "' || dst || '";' FROM fd
         UNION SELECT 2, '    "' || n || '" [label="' || n || '"];' FROM (SELECT src AS n FROM fd UNION SELECT dst FROM fd)""",
-    "export_json": "SELECT count(*) AS n FROM ents WHERE kind = 'Class' AND start_line IS NOT NULL AND end_line IS NOT NULL",
-    "export_json_rows": f"SELECT '{{' || concat_ws(',', {_FIELDS}) || '}}' AS json FROM ents WHERE kind = 'Class' AND start_line IS NOT NULL AND end_line IS NOT NULL",
+    "export_json": f"SELECT '{{' || concat_ws(',', {_FIELDS}) || '}}' AS json FROM ents WHERE kind = 'Class' AND start_line IS NOT NULL AND end_line IS NOT NULL",
     "diff_hunks": "SELECT regexp_extract(file, '^([^/]+/[^/]+)/', 1) AS diff_id, file, start, cnt AS count FROM hunk",
     "changed_entities": f", {_CHANGED} SELECT uri, name, kind, file FROM ch",
     "diff_impact": f", {_CHANGED} SELECT * FROM dim",
@@ -274,8 +320,8 @@ SQL = {k: f"{_SAFE_W}{v}" for k, v in {
     "current_files": f", {_CUR} SELECT path, op_id FROM cur",
     "undo_last": "SELECT path, max(op_id) AS op_id FROM files WHERE op_id < (SELECT max(op_id) FROM files) GROUP BY path",
     "undo_history": "SELECT op_id, count(DISTINCT path) AS files FROM files WHERE op_id > 0 GROUP BY op_id ORDER BY op_id DESC LIMIT 50",
-    "source_lines": f""", {_CUR} SELECT path, i AS line_no, string_split(content, chr(10))[i] AS text FROM (SELECT path, content, unnest(range(1, least(len(string_split(content, chr(10))), 3) + 1)) AS i
-        FROM (SELECT DISTINCT f.path, f.content FROM files f JOIN cur USING (path, op_id) WHERE content <> ''))""",
-    "file_lines": f""", {_CUR} SELECT path, i AS line_no, l[i] AS text, printf('%4d | %s', i, l[i]) AS shown FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i
+    "source_lines": f""", {_CUR} SELECT path, i AS line_no, l[i] AS text, printf('%4d | %s', i, l[i]) AS shown FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i
         FROM (SELECT DISTINCT f.path, string_split_regex(regexp_replace(f.content, '\\r?\\n\\z', ''), '\\r?\\n') AS l FROM files f JOIN cur USING (path, op_id) WHERE content <> ''))""",
+    "insert_code": f", {_LINES} SELECT i AS line_no, l[i] AS text FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT list_concat(l[1:3], ['# one', '# two'], l[4:]) AS l FROM pick))",
+    "replace_lines": f", {_LINES} SELECT i AS line_no, l[i] AS text FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT list_concat(l[1:1], ['# one'], l[5:]) AS l FROM pick))",
 }.items()}

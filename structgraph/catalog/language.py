@@ -69,6 +69,46 @@ FEATURES = {
         "SELECT ?k ?n WHERE { { SELECT ?k (COUNT(?x) AS ?n) WHERE { ?x a ?k } GROUP BY ?k } FILTER(?n > 3) }",
         f"SELECT o AS k, count(*) AS n FROM t WHERE p = '{RDF_TYPE}' GROUP BY o HAVING count(*) > 3",
     ),
+    "sparql_minus_optional": (
+        "SELECT ?x WHERE { ?x a code:Class OPTIONAL { ?x code:tag ?t } MINUS { ?y code:hasDecorator ?t } }",
+        f"SELECT a.s AS x FROM t a LEFT JOIN t g ON g.s = a.s AND g.p = '{VOCAB}tag' WHERE a.p = '{RDF_TYPE}' AND a.o = '{VOCAB}Class' AND (g.o IS NULL OR g.o NOT IN (SELECT o FROM t WHERE p = '{VOCAB}hasDecorator'))",
+    ),
+    "sparql_graph_path": (
+        f"SELECT ?g ?m ?e WHERE {{ GRAPH ?g {{ ?m code:defines/code:defines ?e }} }}",
+        f"SELECT a.g, a.s AS m, b.o AS e FROM q a JOIN q b ON b.g = a.g AND b.s = a.o AND b.p = '{VOCAB}defines' WHERE a.p = '{VOCAB}defines'",
+    ),
+    "sparql_graph_path_plus": (
+        f'SELECT DISTINCT ?g ?c WHERE {{ GRAPH ?g {{ ?c code:resolvedCalls+ ?t }} ?t code:name ?n FILTER(CONTAINS(?n, "{PART}")) }}',
+        f", up AS (SELECT r.g, r.s AS c FROM q r JOIN t n ON n.s = r.o AND n.p = '{VOCAB}name' AND contains(n.o, '{PART}') WHERE r.p = '{VOCAB}resolvedCalls' UNION SELECT r.g, r.s FROM q r JOIN up ON up.c = r.o AND up.g = r.g WHERE r.p = '{VOCAB}resolvedCalls') SELECT DISTINCT g, c FROM up",
+    ),
+    "sparql_number": (
+        "SELECT ?x WHERE { ?x code:startLine 007 }",
+        f"SELECT s AS x FROM t WHERE p = '{VOCAB}startLine' AND CAST(o AS BIGINT) = 7",
+    ),
+    "sparql_variable_names": (
+        "SELECT ?my__v ?my__v__k WHERE { ?my__v a code:Class . ?my__v code:name ?my__v__k }",
+        f"SELECT a.s AS my__v, n.o AS my__v__k FROM t a JOIN t n ON n.s = a.s AND n.p = '{VOCAB}name' WHERE a.p = '{RDF_TYPE}' AND a.o = '{VOCAB}Class'",
+    ),
+    "sparql_exists_or": (
+        "SELECT ?x WHERE { ?x a code:Function ; code:startLine ?s FILTER(?s < 8 || EXISTS { ?c code:resolvedCalls ?x }) }",
+        f"SELECT a.s AS x FROM t a JOIN t s ON s.s = a.s AND s.p = '{VOCAB}startLine' WHERE a.p = '{RDF_TYPE}' AND a.o = '{VOCAB}Function' AND (CAST(s.o AS BIGINT) < 8 OR a.s IN (SELECT o FROM t WHERE p = '{VOCAB}resolvedCalls'))",
+    ),
+    "sparql_optional_join": (
+        "SELECT ?x ?z WHERE { ?x a code:Class OPTIONAL { ?x code:tag ?t } ?z code:hasDecorator ?t }",
+        f"SELECT a.s AS x, z.s AS z FROM t a LEFT JOIN t g ON g.s = a.s AND g.p = '{VOCAB}tag' JOIN t z ON z.p = '{VOCAB}hasDecorator' AND (g.o IS NULL OR z.o = g.o) WHERE a.p = '{RDF_TYPE}' AND a.o = '{VOCAB}Class'",
+    ),
+    "sparql_from": (
+        f"SELECT ?s ?o FROM <{ANNOTATIONS}> WHERE {{ ?s code:tag ?o }}",
+        f"SELECT DISTINCT s, o FROM q WHERE g = '{ANNOTATIONS}' AND p = '{VOCAB}tag'",
+    ),
+    "sparql_path_negated": (
+        f'SELECT ?x ?y WHERE {{ ?x code:name "{CLASS}" . ?x !(code:name|^code:defines) ?y }}',
+        f"SELECT n.s AS x, e.o AS y FROM t n JOIN t e ON e.s = n.s AND e.p <> '{VOCAB}name' WHERE n.p = '{VOCAB}name' AND n.o = '{CLASS}' UNION ALL SELECT n.s, e.s FROM t n JOIN t e ON e.o = n.s AND e.p <> '{VOCAB}defines' WHERE n.p = '{VOCAB}name' AND n.o = '{CLASS}'",
+    ),
+    "sparql_aggregates": (
+        "SELECT ?k (SUM(?s) AS ?total) (MIN(?s) AS ?lo) (MAX(?s) AS ?hi) (AVG(?s) AS ?mean) (GROUP_CONCAT(DISTINCT ?n; SEPARATOR=',') AS ?names) WHERE { ?x a ?k ; code:startLine ?s ; code:name ?n } GROUP BY ?k",
+        f"SELECT a.o AS k, CAST(sum(CAST(s.o AS BIGINT)) AS DOUBLE) AS total, CAST(min(CAST(s.o AS BIGINT)) AS VARCHAR) AS lo, CAST(max(CAST(s.o AS BIGINT)) AS VARCHAR) AS hi, avg(CAST(s.o AS DOUBLE)) AS mean, string_agg(DISTINCT n.o, ',' ORDER BY n.o) AS names FROM t a JOIN t s ON s.s = a.s AND s.p = '{VOCAB}startLine' JOIN t n ON n.s = a.s AND n.p = '{VOCAB}name' WHERE a.p = '{RDF_TYPE}' GROUP BY a.o",
+    ),
     "sparql_ask": (f'ASK {{ ?x code:name "{NAME}" }}', f"SELECT count(*) > 0 AS ask FROM t WHERE p = '{VOCAB}name' AND o = '{NAME}'"),
     "sparql_construct": (
         'CONSTRUCT { ?x code:note "large" } WHERE { ?x code:startLine ?s ; code:endLine ?e . FILTER(?e - ?s >= 30) }',
@@ -92,8 +132,8 @@ CLEAR GRAPH <urn:none>
 
 
 def sparql_update(spark: SparkSession, root: str) -> DataFrame:
-    """Quads per graph and property after a sequence of updates."""
-    return update(quads_of(graph(spark, root)), _UPDATE).groupBy("g", "p").agg(F.count("*").alias("n")).where(F.col("g").contains("_"))
+    """All quads after a sequence of updates."""
+    return update(quads_of(graph(spark, root)), _UPDATE).select("g", "s", "p", "o")
 
 
 def debounce_sessions(spark: SparkSession, root: str) -> DataFrame:
@@ -104,8 +144,11 @@ def debounce_sessions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def json_keys(spark: SparkSession, root: str) -> DataFrame:
-    """Keys of the JSON texts of a column, with how often each occurs."""
-    return table(spark, root, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    """Keys at the top of all current JSON files, as the parser gives them: objects as classes, other values as variables."""
+    files = refactor.current_files(_files(spark, root)).where(F.col("path").endswith(".json"))
+    parsed = parse_files(files).where("parse_error IS NULL")
+    top = lambda c: F.filter(F.transform(c, lambda x: x["name"]), lambda n: ~F.contains(n, F.lit(".")))
+    return parsed.select("path", F.explode(F.array_distinct(F.concat(top("classes"), top("variables")))).alias("key"))
 
 
 def file_languages(spark: SparkSession, root: str) -> DataFrame:
@@ -117,9 +160,39 @@ def _parsed(spark: SparkSession, root: str) -> DataFrame:
     return parse_files(refactor.current_files(_files(spark, root)))
 
 
+def _known(spark: SparkSession, root: str) -> DataFrame:
+    """Uris of all functions, methods and classes that the index has or had."""
+    return table(spark, root, "entities").where(F.col("kind").isin("Function", "Method", "Class")).select("uri").distinct()
+
+
 def parsed_entities(spark: SparkSession, root: str) -> DataFrame:
-    """Entities that the parsers find in all current files."""
-    return encode.graph_from_parsed(_parsed(spark, root)).entities.select("uri", "kind", "name", "file", "start_line", "end_line")
+    """Functions, methods and classes that the parsers find in the current files that the index knows. A declaration begins at its
+    annotations for the Java parser and below them for the index, so Java has no lines here."""
+    files = table(spark, root, "entities").select("file").distinct()
+    e = encode.graph_from_parsed(_parsed(spark, root)).entities.where(F.col("kind").isin("Function", "Method", "Class")).join(files, "file", "left_semi")
+    return e.select("uri", "kind", "name", "file", F.when(~F.col("file").endswith(".java"), F.col("start_line")).alias("start_line"))
+
+
+def parsed_decorators(spark: SparkSession, root: str) -> DataFrame:
+    return encode.graph_from_parsed(_parsed(spark, root)).decorators.join(_known(spark, root), "uri", "left_semi").select("uri", "decorator")
+
+
+def parsed_docstrings(spark: SparkSession, root: str) -> DataFrame:
+    """Docstrings of Python, white space made alike."""
+    e = encode.graph_from_parsed(_parsed(spark, root)).entities.where(F.col("file").endswith(".py")).join(_known(spark, root), "uri", "left_semi")
+    return e.select("uri", F.trim(F.regexp_replace("docstring", r"[\s\p{Z}]+", " ")).alias("doc")).where("doc <> ''")
+
+
+def parsed_calls(spark: SparkSession, root: str) -> DataFrame:
+    """The calls that the index lists, as far as the parsers find them: all of them, if they are right. The index lists fewer calls than
+    the files have, as some of its texts are null or blank."""
+    known = _known(spark, root).withColumnRenamed("uri", "caller")
+    return encode.graph_from_parsed(_parsed(spark, root)).calls.join(known, "caller", "left_semi").join(graph(spark, root).calls, ["caller", "target"], "left_semi").select("caller", "target")
+
+
+def preview_rename(spark: SparkSession, root: str) -> DataFrame:
+    """Files and places of a rename, without the diffs."""
+    return refactor.preview_rename(graph(spark, root), _files(spark, root), NAME, "draw_beacon").select("path", "replacements")
 
 
 def parsed_quads(spark: SparkSession, root: str) -> DataFrame:
@@ -132,21 +205,38 @@ def parse_errors(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {k: _sparql(s) for k, (s, _) in FEATURES.items()}
-QUERIES |= {f.__name__: f for f in (sparql_update, debounce_sessions, json_keys, file_languages, parsed_entities, parsed_quads, parse_errors)}
-
+QUERIES |= {f.__name__: f for f in (sparql_update, debounce_sessions, json_keys, file_languages, parsed_entities, parsed_decorators, parsed_docstrings, parsed_calls, preview_rename, parsed_quads, parse_errors)}
+
+#: Literals and comments by the language of a path; a quote within SQL is written twice.
+_QUOTED = r"""'("(\\.|[^"\\\n])*"|''(\\.|[^''\\\n])*''"""
+_WATER = rf"""CASE WHEN path LIKE '%.py' THEN {_QUOTED}|#[^\n]*)' ELSE {_QUOTED}|/[*]([^*]|[*]+[^*/])*[*]+/|//[^\n]*)' END"""
+_ALONE = rf"(^|[^A-Za-z0-9_$]){NAME}($|[^A-Za-z0-9_$])"
+_RENAME = rf"""WITH {V}, cur AS (SELECT path, max(op_id) AS op_id FROM files GROUP BY path),
+    aff AS (SELECT DISTINCT regexp_replace(regexp_replace(u, '^[a-z]+://[^/]+/entity/', ''), '#.*$', '') AS path FROM (SELECT uri AS u FROM ents WHERE name = '{NAME}' UNION SELECT caller FROM cal WHERE target = '{NAME}'
+        UNION SELECT module FROM imp WHERE name = '{NAME}' OR ends_with(name, '.{NAME}'))),
+    txt AS (SELECT DISTINCT f.path, regexp_replace(f.content, '"{{3}}[^"]*"{{3}}', ' ', 'g') AS content FROM files f JOIN cur USING (path, op_id) JOIN aff USING (path) WHERE content <> ''),
+    bare AS (SELECT path, regexp_replace(content, {_WATER}, ' ', 'g') AS t FROM txt)
+    SELECT path, CAST(len(regexp_extract_all(t, '{_ALONE}')) AS BIGINT) AS replacements FROM bare WHERE regexp_matches(t, '{_ALONE}')"""
 _TRIPLES = f"WITH RECURSIVE {V}, {_QUADS}, t AS (SELECT DISTINCT s, p, o, o_kind, o_dt, o_lang FROM q)"
 SQL = {k: f"{_TRIPLES}{'' if s.startswith(',') else ' '}{s}" for k, (_, s) in FEATURES.items()}
 _NAMED = f"SELECT s FROM q WHERE p = '{VOCAB}name' AND o = '{CLASS}'"
 SQL |= {
     "sparql_update": f"""{_TRIPLES}, after AS (
         SELECT g, s, p, o FROM q WHERE NOT (p = '{VOCAB}linkLabel' AND s IN ({_NAMED}))
-        UNION SELECT '{_G}', 'urn:a', '{VOCAB}tag', 'x' UNION SELECT '{_G}', s, '{VOCAB}tag', 'class' FROM ({_NAMED}) WHERE s IN (SELECT s FROM q WHERE p = '{RDF_TYPE}' AND o = '{VOCAB}Class'))
-        SELECT g, p, count(*) AS n FROM after WHERE contains(g, '_') GROUP BY g, p""",
+        UNION ALL SELECT '{_G}', 'urn:a', '{VOCAB}tag', 'x' UNION ALL SELECT '{_G}', s, '{VOCAB}tag', 'class' FROM ({_NAMED}) WHERE s IN (SELECT s FROM q WHERE p = '{RDF_TYPE}' AND o = '{VOCAB}Class'))
+        SELECT DISTINCT g, s, p, o FROM after""",
     "debounce_sessions": """WITH e AS (SELECT concat('u', user_id, '.py') AS path, ts, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'modified' END AS event_type FROM events),
         m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)),
         s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING) AS n FROM m)
         SELECT path, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events, arg_max(event_type, (ts, event_type = 'deleted')) AS event_type FROM s GROUP BY path, n""",
-    "json_keys": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key",
+    "json_keys": """WITH cur AS (SELECT path, max(op_id) AS op_id FROM files GROUP BY path)
+        SELECT DISTINCT path, unnest(json_keys(content)) AS key FROM (SELECT DISTINCT f.path, f.content FROM files f JOIN cur USING (path, op_id) WHERE path LIKE '%.json' AND json_valid(content))
+        WHERE json_type(content) = 'OBJECT'""",
+    "parsed_entities": "SELECT DISTINCT uri, kind, name, file, CASE WHEN file NOT LIKE '%.java' THEN start_line END AS start_line FROM entities WHERE kind IN ('Function', 'Method', 'Class')",
+    "parsed_decorators": f"WITH {V} SELECT uri, decorator FROM deco WHERE uri IN (SELECT uri FROM entities WHERE kind IN ('Function', 'Method', 'Class'))",
+    "parsed_docstrings": r"""SELECT DISTINCT uri, trim(regexp_replace(docstring, '[\s\p{Z}]+', ' ', 'g')) AS doc FROM entities WHERE file LIKE '%.py' AND trim(regexp_replace(docstring, '[\s\p{Z}]+', ' ', 'g')) <> ''""",
+    "parsed_calls": f"WITH {V} SELECT caller, target FROM cal WHERE caller IN (SELECT uri FROM entities WHERE kind IN ('Function', 'Method', 'Class'))",
+    "preview_rename": _RENAME,
     "file_languages": """SELECT CASE WHEN e IN ('yml', 'yaml') THEN 'yaml' WHEN e IN ('py', 'js', 'ts', 'java', 'c', 'cpp', 'json', 'toml', 'css') THEN e END AS language, count(*) AS n
         FROM (SELECT DISTINCT file_id, path, lower(regexp_extract(path, '[.]([^./]+)$', 1)) AS e FROM files) GROUP BY 1""",
 }

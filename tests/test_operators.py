@@ -165,3 +165,21 @@ def test_resolution_of_a_hot_name_does_not_multiply_rows(spark):
         resolve.contained = real
     assert len(rows) == n and all(int(r.callee[5:10]) == (int(r.caller[5:10]) + 1) % n for r in rows)
     assert max(df.count() for df in seen) == n
+
+
+def test_fuzzy_search_equals_the_scores_of_all_names(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from structgraph.model import CodeGraph
+    from structgraph.operators.search import fuzzy_search
+
+    rnd = random.Random(6)
+    names = sorted({"".join(rnd.choice("abcdE_") for _ in range(rnd.randrange(0, 9))) for _ in range(150)})
+    e = spark.createDataFrame([(f"u{i}", n, "Function", "f.py") for i, n in enumerate(names)], "uri string, name string, kind string, file string")
+    g = CodeGraph(*[e] * 9)
+    for pattern, threshold in (("abc", 0.5), ("Deb_a", 0.7), ("", 0.5), ("zzz", 0.1)):
+        low = pattern.lower()
+        score = {n: SequenceMatcher(None, low, n.lower()).ratio() + (1.0 if low in n.lower() else 0.0) for n in names}
+        want = sorted((n for n, s in score.items() if s >= threshold), key=lambda n: (-round(score[n], 3), n))[:20]
+        assert [r.name for r in fuzzy_search(g, pattern, threshold).collect()] == want
