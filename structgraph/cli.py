@@ -2,11 +2,12 @@
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 from structgraph.engine import Engine
-from structgraph.nl import repair_sparql
+from structgraph.nl import chat_client, repair_sparql
 from structgraph.serve import serve_http, serve_streams, shown
 from structgraph.session import get_session
 
@@ -31,6 +32,9 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="structgraph")
     top.add_argument("--store", default=".structgraph", help="directory of the index")
     top.add_argument("--master", default=None)
+    top.add_argument("--model-url", default=None, help="chat-completions endpoint that answers questions")
+    top.add_argument("--model", default="default")
+    top.add_argument("--model-key-file", default=None, help="file with the key of the endpoint")
     sub = top.add_subparsers(dest="command", required=True)
     for name, (_, args) in COMMANDS.items():
         p = sub.add_parser(name)
@@ -47,6 +51,10 @@ def parser() -> argparse.ArgumentParser:
     w = sub.add_parser("watch")
     w.add_argument("events", help="directory into which file events are dropped as JSON")
     w.add_argument("--checkpoint", required=True)
+    d = sub.add_parser("watch-dir")
+    d.add_argument("root", help="directory whose files are kept indexed")
+    d.add_argument("--interval", type=float, default=1.0)
+    d.add_argument("--rounds", type=int, default=None)
     sub.add_parser("mcp-stdio")
     sub.add_parser("mcp-sse").add_argument("--port", type=int, default=8765)
     return top
@@ -75,6 +83,11 @@ def run(engine: Engine, argv: argparse.Namespace, out=sys.stdout) -> None:
 
         watch(engine.spark, file_events(engine.spark, argv.events), engine.store, argv.checkpoint).awaitTermination()
         return
+    if argv.command == "watch-dir":
+        from structgraph.streaming.reindex import watch_directory
+
+        watch_directory(engine.spark, argv.root, engine.store, argv.interval, argv.rounds)
+        return
     verb, args = COMMANDS[argv.command]
     names = [a.partition(":")[0].strip("-?") for a in args]
     result = getattr(engine, verb)(**{n: getattr(argv, n) for n in names if getattr(argv, n) is not None})
@@ -85,12 +98,20 @@ def run(engine: Engine, argv: argparse.Namespace, out=sys.stdout) -> None:
         out.write(shown(result) + "\n")
 
 
+def client(args: argparse.Namespace):
+    """The completion function that the arguments name, if any."""
+    if not args.model_url:
+        return None
+    key = Path(args.model_key_file).read_text(encoding="utf-8").strip() if args.model_key_file else None
+    return chat_client(args.model_url, args.model, key)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = get_session(master=args.master)
     spark.sparkContext.setLogLevel("ERROR")
     try:
-        run(Engine(spark, args.store), args)
+        run(Engine(spark, args.store, client(args)), args)
     except ValueError as x:
         print(x, file=sys.stderr)
         return 1

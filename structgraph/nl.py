@@ -1,6 +1,8 @@
 """Questions in words to SPARQL, through any function from prompt to text."""
 
+import json
 import re
+import urllib.request
 from collections.abc import Callable
 
 from structgraph.model import RDF_TYPE, VOCAB, XSD
@@ -40,7 +42,7 @@ def repair_sparql(query: str) -> str:
 
 
 def nl_to_sparql(question: str, complete: Callable[[str], str]) -> dict:
-    """{'sparql': ...} for a question, or {'error': ...}; ``complete`` is the model call, none is built in."""
+    """{'sparql': ...} for a question, or {'error': ...}; ``complete`` is the model call, such as a :func:`chat_client`."""
     prompt = (
         "Translate the question into one SPARQL SELECT query over a code graph.\n"
         f"PREFIX code: <{VOCAB}>\nClasses: Module Class Function Method Parameter Variable.\n"
@@ -51,3 +53,15 @@ def nl_to_sparql(question: str, complete: Callable[[str], str]) -> dict:
         return {"sparql": extract_sparql(complete(prompt))}
     except Exception as x:
         return {"error": f"{type(x).__name__}: {x}"}
+
+
+def chat_client(url: str, model: str, key: str | None = None, timeout: float = 60.0, max_tokens: int = 1024) -> Callable[[str], str]:
+    """A completion function over a chat-completions endpoint, at temperature 0: one POST of the prompt as the user's message to ``url``."""
+
+    def complete(prompt: str) -> str:
+        body = {"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": 0, "max_tokens": max_tokens}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as reply:
+            return json.load(reply)["choices"][0]["message"]["content"]
+
+    return complete

@@ -2,8 +2,12 @@
 
 import inspect
 import json
+import queue
 import sys
-from http.server import BaseHTTPRequestHandler, HTTPServer
+import threading
+import uuid
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import DataFrame
 
@@ -65,25 +69,59 @@ def serve_streams(engine: Engine, source=sys.stdin, sink=sys.stdout) -> None:
                 sink.flush()
 
 
-def serve_http(engine: Engine, port: int = 8765, host: str = "127.0.0.1") -> HTTPServer:
-    """A server that answers POSTed requests; GET gives the tools as one server-sent event. The caller runs it."""
+def serve_http(engine: Engine, port: int = 8765, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+    """A server of sessions: GET opens a stream of server-sent events, whose first names the address for requests; what is POSTed there is
+    answered on the stream. A POST to any other address is answered at once. The caller runs the server; requests are answered one at a time.
+    """
+    sessions: dict[str, queue.Queue] = {}
+    turn = threading.Lock()
 
     class Handler(BaseHTTPRequestHandler):
-        def _send(self, kind: str, body: bytes) -> None:
+        def do_GET(self) -> None:
+            name = uuid.uuid4().hex
+            sessions[name] = queue.Queue()
             self.send_response(200)
-            self.send_header("Content-Type", kind)
-            self.send_header("Content-Length", str(len(body)))
+            self.send_header("Content-Type", "text/event-stream")
+            self.send_header("Cache-Control", "no-cache")
             self.end_headers()
-            self.wfile.write(body)
-
-        def do_GET(self) -> None:
-            self._send("text/event-stream", b"event: tools\ndata: " + json.dumps(tools()).encode() + b"\n\n")
+            try:
+                self._event("endpoint", f"/messages?session={name}")
+                while (reply := self._next(sessions[name])) is not None:
+                    self._event("message", reply)
+            except OSError:
+                pass  # the client has gone
+            finally:
+                del sessions[name]
+
+        def _next(self, replies: queue.Queue) -> str | None:
+            while True:
+                try:
+                    return replies.get(timeout=15)
+                except queue.Empty:
+                    self.wfile.write(b": still here\n\n")
+                    self.wfile.flush()
+
+        def _event(self, kind: str, data: str) -> None:
+            self.wfile.write(f"event: {kind}\ndata: {data}\n\n".encode())
+            self.wfile.flush()
 
         def do_POST(self) -> None:
             request = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))) or b"{}")
-            self._send("application/json", json.dumps(answer(engine, request) or {}).encode())
+            with turn:
+                reply = json.dumps(answer(engine, request)) if request else None
+            name = parse_qs(urlparse(self.path).query).get("session", [""])[0]
+            body = b"" if name in sessions else (reply or "{}").encode()
+            if name in sessions and reply not in (None, "null"):
+                sessions[name].put(reply)
+            self.send_response(202 if name in sessions else 200)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
 
         def log_message(self, *args) -> None:
             pass
 
-    return HTTPServer((host, port), Handler)
+    server = ThreadingHTTPServer((host, port), Handler)
+    server.daemon_threads = True
+    return server

@@ -31,15 +31,20 @@ def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTE
     """(path, content, modified_at) of the files below ``root``: paths relative to it, contents decoded as UTF-8. The directory listing and the
     reads are distributed; skipped directories and other extensions (compared with case) are dropped before a file is read.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    prefix = base if "://" in base or base.startswith("file:") else f"file:{base}"
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "file:/"), "^" + _quoted(prefix.replace("file:///", "file:/")) + "/", "")
     wanted = F.lit(False)
     for e in extensions:
         wanted = wanted | F.col("path").endswith(e)
     # the filter on the path prunes before contents are loaded
-    return raw.where(wanted).select(rel.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified_at")).where(~skipped(F.col("path")))
+    return tree_files(spark, root).where(wanted & ~skipped(F.col("path"))).select("path", F.decode("content", "UTF-8").alias("content"), "modified_at")
+
+
+def tree_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modified_at, content) of everything below ``root``, paths relative to it; contents are bytes and read only where asked for."""
+    base = root.rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    prefix = base if "://" in base or base.startswith("file:") else f"file:{base}"
+    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "file:/"), "^" + _quoted(prefix.replace("file:///", "file:/")) + "/", "")
+    return raw.select(rel.alias("path"), "length", F.col("modificationTime").alias("modified_at"), "content")
 
 
 def _quoted(s: str) -> str:

@@ -1,5 +1,6 @@
 """Re-indexing a stream of file events: debounce, parse, upsert."""
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from structgraph.operators.encode import graph_from_quads, quads_of_parsed
 from structgraph.operators.resolve import resolve_calls
 from structgraph.operators.store import QuadStore, replace_graphs
 from structgraph.plans.lineage import cut
-from structgraph.sources.files import parse_files, skipped
+from structgraph.sources.files import parse_files, skipped, tree_files
 
 #: Extensions that are watched, and the quiet time after which a file counts as settled; fixed values.
 WATCHED = (".py", ".ts", ".tsx", ".js", ".jsx")
@@ -101,3 +102,47 @@ def watch(spark: SparkSession, events: DataFrame, store: QuadStore, checkpoint:
 def file_events(spark: SparkSession, directory: str) -> DataFrame:
     """A stream of file events from JSON files that a watcher drops into a directory: (path, event_type, ts, dest, content)."""
     return spark.readStream.schema("path string, event_type string, ts timestamp, dest string, content string").json(directory)
+
+
+LISTING = "path string, length bigint, modified_at timestamp"
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """Watched files below ``root`` as (path, length, modified_at): a distributed listing, no file is opened."""
+    tree = tree_files(spark, root)
+    return tree.where(should_handle(F.col("path"))).select("path", "length", "modified_at")
+
+
+def listing_events(before: DataFrame, after: DataFrame, quiet: str = QUIET) -> DataFrame:
+    """What happened between two listings: (path, event_type), created, modified or deleted, by length and time of modification. Files that
+    changed less than ``quiet`` ago have not settled and are left to the next listing."""
+    b, a = before.select("path", F.col("length").alias("l"), F.col("modified_at").alias("m")), after.select("path", "length", "modified_at")
+    both = a.join(b, "path", "full")
+    kind = F.when(F.col("length").isNull(), "deleted").when(F.col("l").isNull(), "created").when((F.col("length") != F.col("l")) | (F.col("modified_at") != F.col("m")), "modified")
+    settled = F.col("modified_at").isNull() | (F.col("modified_at") <= F.current_timestamp() - F.expr(f"INTERVAL {quiet}"))
+    return both.select("path", kind.alias("event_type"), settled.alias("settled")).where("event_type IS NOT NULL AND settled").drop("settled")
+
+
+def watch_directory(spark: SparkSession, root: str, store: QuadStore, interval: float = 1.0, rounds: int | None = None, before: DataFrame | None = None, on_batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Keep a store in step with a directory: list it every ``interval`` seconds, read the files that changed, re-index them. ``before`` is the
+    listing the store was made from (none: all files are new); the last one is returned, so that a watch can go on where it stopped.
+    """
+    known = cut(before if before is not None else spark.createDataFrame([], LISTING))
+    n = 0
+    while rounds is None or n < rounds:
+        if n:
+            time.sleep(interval)
+        now = cut(listing(spark, root))
+        events = cut(listing_events(known, now))
+        if not events.isEmpty():
+            texts = tree_files(spark, root).select("path", F.decode("content", "UTF-8").alias("content"))
+            alive = events.where("event_type <> 'deleted'")
+            changes = events.join(texts.join(alive.select("path"), "path", "left_semi"), "path", "left").select("path", "event_type", "content")
+            store.write(apply_changes(store.read(), changes))
+            # what has not settled stays as it was known, so that it differs again
+            done = events.select("path")
+            known = cut(known.join(done, "path", "left_anti").unionByName(now.join(done, "path", "left_semi")))
+        if on_batch:
+            on_batch(events, n)
+        n += 1
+    return known

@@ -186,3 +186,60 @@ def test_questions(engine):
 
     engine.complete = fail
     assert engine.ask_question("x").first().error == "OSError: down"
+
+
+def test_questions_over_a_chat_endpoint(engine):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from structgraph.cli import client
+
+    asked = []
+
+    class Model(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"choices": [{"message": {"content": "```sparql\nSELECT ?n WHERE { ?x a code:Class ; code:name ?n }\n```"}}]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    args = parser().parse_args(["--model-url", f"http://127.0.0.1:{server.server_port}/v1/chat/completions", "--model", "m", "ask", "which classes?"])
+    engine.complete = client(args)
+    out = io.StringIO()
+    run(engine, args, out)
+    server.shutdown()
+    assert {r["n"] for r in json.loads(out.getvalue())} == {"Base", "Cart", "Gift"}
+    assert asked[0][0] is None and asked[0][1]["temperature"] == 0 and "which classes?" in asked[0][1]["messages"][0]["content"]
+    assert client(parser().parse_args(["stats"])) is None
+
+
+def test_session_of_server_sent_events(engine):
+    import http.client
+    import threading
+
+    from structgraph.serve import serve_http
+
+    server = serve_http(engine, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    stream = http.client.HTTPConnection("127.0.0.1", server.server_port, timeout=60)
+    stream.request("GET", "/sse")
+    events = stream.getresponse()
+    assert events.readline() == b"event: endpoint\n"
+    address = events.readline().decode().removeprefix("data: ").strip()
+    post = http.client.HTTPConnection("127.0.0.1", server.server_port, timeout=60)
+    for rid in (1, 2):
+        post.request("POST", address, json.dumps({"id": rid, "method": "tools/list"}))
+        reply = post.getresponse()
+        assert (reply.status, reply.read()) == (202, b"")
+        assert events.readline() == b"\n" and events.readline() == b"event: message\n"
+        assert json.loads(events.readline().decode().removeprefix("data: "))["id"] == rid
+    post.request("POST", "/", json.dumps({"id": 3, "method": "ping"}))
+    assert json.loads(post.getresponse().read())["result"] == {}
+    server.shutdown()

@@ -102,3 +102,32 @@ def test_store_writes_only_what_changed(spark, tmp_path, monkeypatch):
     assert dirs <= len(store._manifest()["at"]) + module.KEPT_VERSIONS
     store.clear()
     assert store.read().count() == 0
+
+
+def test_watch_directory(spark, table, tmp_path):
+    import os
+    import time
+
+    from structgraph.streaming.reindex import watch_directory
+
+    root = tmp_path / "src"
+    (root / "node_modules").mkdir(parents=True)
+
+    def put(name, text, age=5):
+        (root / name).write_text(text)
+        os.utime(root / name, (time.time() - age, time.time() - age))
+
+    put("a.py", "def f():\n    g()\n")
+    put("b.py", "def g():\n    pass\n")
+    put("node_modules/c.js", "function no() {}")
+    put("notes.md", "no source")
+    put("late.py", "def late():\n    pass\n", age=-60)
+    store, seen = QuadStore(spark, str(tmp_path / "q")), []
+    note = lambda df, i: seen.append(sorted((r.path, r.event_type) for r in df.collect()))
+    known = watch_directory(spark, str(root), store, 0, 1, on_batch=note)
+    assert seen == [[("a.py", "created"), ("b.py", "created")]] and edges(store.read(), table) == {("Function.f", "Function.g")}
+    (root / "b.py").unlink()
+    put("a.py", "def f():\n    pass\n", age=3)
+    put("late.py", "def late():\n    f()\n", age=2)
+    known = watch_directory(spark, str(root), store, 0, 2, known, on_batch=note)
+    assert seen[1:] == [[("a.py", "modified"), ("b.py", "deleted"), ("late.py", "created")], []] and edges(store.read(), table) == {("Function.late", "Function.f")}
