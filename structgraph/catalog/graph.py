@@ -35,7 +35,7 @@ def diff_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "files").select("path", "content", "op_id", F.lit(None).cast("string").alias("label")).distinct()
+    return table(spark, root, "files").select("path", "content", "op_id", F.lit(None).cast("string").alias("label"))
 
 
 def by_stem(g: CodeGraph) -> CodeGraph:

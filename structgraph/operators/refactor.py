@@ -36,9 +36,10 @@ def find_entity(g: CodeGraph, name: str) -> DataFrame:
 
 
 def current_files(files: DataFrame) -> DataFrame:
-    """Current version of every path; the order of versions is decided from keys, then their contents are fetched."""
-    newest = files.groupBy("path").agg(F.max("op_id").alias("op_id"))
-    return files.join(newest, ["path", "op_id"], "left_semi").dropDuplicates(["path"])
+    """Current version of every path, once: (path, content, op_id, label). One shuffle by path, combined before it; what nobody asks for
+    of a version is not read."""
+    of = lambda c: F.max_by(c, "op_id").alias(c)
+    return files.groupBy("path").agg(of("content"), F.max("op_id").alias("op_id"), of("label"))
 
 
 def file_lines(files: DataFrame, start: int = 1, end: int | None = None) -> DataFrame:
@@ -175,12 +176,3 @@ def undo_last(files: DataFrame) -> DataFrame:
 def undo_history(files: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
     """The latest operations, newest first: (op_id, label, files), at most ``depth``."""
     return files.where("op_id > 0").groupBy("op_id").agg(F.max("label").alias("label"), F.count_distinct("path").alias("files")).orderBy(F.desc("op_id")).limit(depth)
-
-
-def insert_lines_sql(files: DataFrame, path: str, line: int, code: str) -> DataFrame:
-    """:func:`insert_code` after a line as a plan over lines, for tables where Python is not wanted: (path, content)."""
-    rows = current_files(files).where((F.col("path") == path) & F.col("content").isNotNull())
-    lines = rows.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-    new = rows.select("path", F.lit(line - 0.5).alias("pos"), F.lit(code.rstrip("\n")).alias("text"))
-    both = lines.select("path", F.col("pos").cast("double").alias("pos"), "text").unionByName(new)
-    return both.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("content"))

@@ -26,6 +26,7 @@ _SHIPPED = "_structgraph_shipped"
 
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers of a session, once: as a zip file that the driver serves to its executors."""
+    import atexit
     import io
     import os
     import tempfile
@@ -44,4 +45,5 @@ def ship_package(spark: SparkSession) -> None:
     with os.fdopen(fd, "wb") as f:
         f.write(data.getvalue())
     sc.addPyFile(name)
+    atexit.register(lambda: os.path.exists(name) and os.remove(name))
     setattr(sc, _SHIPPED, True)
