@@ -35,13 +35,13 @@ def term_frequencies(terms: DataFrame, min_records: int = 2, max_share: float =
 
     Plan: hash-partial counts per (field, record, term, row) collapse on the map side, the first shuffle is by that whole
     tuple and so cannot be hot; per-term sums are again combined before their shuffle. A term that a third of all records
-    hold costs each mapper one row. The record totals come from the same per-record counts: both branches read one shuffle, and
-    ``terms`` is scanned once.
+    hold costs each mapper one row. The record totals, one row per field, are counted on distinct (field, record) pairs straight from
+    ``terms``: a second scan of four columns, but pairs combine before their shuffle to a fraction of the per-record counts, which
+    would have to be shuffled again.
     """
     per_record = terms.groupBy("field", "record", "term").agg(F.count_distinct("row_id").alias("n"))
     per_term = per_record.groupBy("field", "term").agg(F.sum("n").cast("bigint").alias("occurrences"), F.count("*").alias("records"))
-    # the (always true) test on n keeps this branch's plan equal to the other's, so that its shuffle is taken up again
-    totals = per_record.where("n > 0").select("field", "record").distinct().groupBy("field").agg(F.count("*").alias("total"))
+    totals = terms.select("field", "record").distinct().groupBy("field").agg(F.count("*").alias("total"))
     # totals has one row per field, a number fixed by the caller's union, so the broadcast does not grow with the data
     return per_term.join(F.broadcast(totals), "field").select(
         "field",

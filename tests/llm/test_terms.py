@@ -46,8 +46,8 @@ def test_query(spark, name):
     assert spark_rows(llm.queries()[name](spark, ROOT)) == sql_rows(con, llm.sql()[name])
 
 
-def test_terms_are_scanned_once(spark):
+def test_counts_combine_before_every_shuffle(spark):
     df = spark.createDataFrame([(i, f"r{i % 9}", f"t{i % 5}") for i in range(50)], "id bigint, r string, t string")
-    out = term_frequencies(occurrences(df, "f", df.t, df.r, df.id))
-    out.collect()
-    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    lines = term_frequencies(occurrences(df, "f", df.t, df.r, df.id))._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [lines[i + 1] for i, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+    assert below and all("HashAggregate" in x for x in below)
