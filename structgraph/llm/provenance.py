@@ -82,11 +82,18 @@ _VERSIONED = re.compile(r"^(?:lib[_-])?[a-z][a-z0-9]*[-_.@]v?\d+\.\d+(?:\.\d+)?\
 _LEAD = re.compile(r"\A(?:﻿|\s|#(?![a-z]+\s*[<\"])[^\n]*(?:\n|\Z)|//[^\n]*(?:\n|\Z)|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')*")
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][\da-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfFdD]*(?![\w])")
 _QUOTED, _DIGITS = re.compile(r"'[^'\n]*'|\"[^\"\n]*\""), re.compile(r"\d+")
-_NAMES = re.compile(r"[A-Za-z]+(?:_[A-Za-z]+)+|(?<![\w])_?[A-Za-z]+(?=_?\d)|[A-Z][a-z]+(?:[A-Z][a-z]+)+")
+_NAMES = re.compile(r"(?<![A-Za-z])[A-Za-z]++(?:_[A-Za-z]++)+|(?<![\w])_?[A-Za-z]++(?=_?\d)|[A-Z][a-z]++(?:[A-Z][a-z]++)+")
 _SIGNS = re.compile(r"[^\w\n]+")
 _KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*KEY[A-Z ]*-----[\s\S]*?(?:-----END [A-Z ]*-----|\Z)")
 _WORD = re.compile(r"[^\W\d]\w*")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{48,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:0x[0-9a-fA-F]{2},\s*){16,}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{48,}+|(?:\\x[0-9a-fA-F]{2}){16,}|(?:0x[0-9a-fA-F]{2},\s*){16,}")
+
+
+_ALNUM = bytes(c for c in range(128) if chr(c).isalnum())
+
+
+def _letters_and_digits(body: str) -> int:
+    return len(body) - len(body.encode().translate(None, _ALNUM)) if body.isascii() else sum(map(str.isalnum, body))
 
 
 def layout(text: str) -> dict[str, float]:
@@ -109,7 +116,7 @@ def layout(text: str) -> dict[str, float]:
     full = sum(shapes.values())
     return {
         "n": n, "max_line": len(longest), "mean_line": sum(map(len, lines)) / max(1, len(lines)), "whitespace": spaces / n,
-        "line_space": sum(map(str.isspace, longest.strip())) / max(1, len(longest)), "alnum": sum(map(str.isalnum, body)) / n, "numeric": numbers / max(1, numbers + words), "numbers": numbers,
+        "line_space": sum(map(str.isspace, longest.strip())) / max(1, len(longest)), "alnum": _letters_and_digits(body) / n, "numeric": numbers / max(1, numbers + words), "numbers": numbers,
         "encoded": encoded / n, "shape": common / max(1, full), "lines": full,
     }
 
