@@ -325,3 +325,7 @@ SQL = {k: f"{_SAFE_W}{v}" for k, v in {
     "insert_code": f", {_LINES} SELECT i AS line_no, l[i] AS text FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT list_concat(l[1:3], ['# one', '# two'], l[4:]) AS l FROM pick))",
     "replace_lines": f", {_LINES} SELECT i AS line_no, l[i] AS text FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT list_concat(l[1:1], ['# one'], l[5:]) AS l FROM pick))",
 }.items()}
+
+#: Earlier names of two queries, kept for those who call them.
+for _old, _new in (("file_lines", "source_lines"), ("export_json_rows", "export_json")):
+    QUERIES[_old], SQL[_old] = QUERIES[_new], SQL[_new]
