@@ -282,8 +282,8 @@ def number_segments(text: str) -> Iterator[Segment]:
                 fs = [f"{kind}:bias", f"{kind}:{_first(forms, s)}"]
                 if _DATE.match(s):
                     fs.append(f"{kind}:date")
-                phone_cue = _cue("phone", text, a)
-                id_cue = not (kind == "phone" and phone_cue) and _cue("id_number", text, a) and not _ID_STRICT.match(text, 0, a)
+                phone_cue = kind == "phone" and _cue("phone", text, a)
+                id_cue = not phone_cue and _cue("id_number", text, a) and not _ID_STRICT.match(text, 0, a)
                 if kind == "phone":
                     n = sum(map(str.isdigit, s))
                     if phone_cue:
@@ -300,7 +300,7 @@ def number_segments(text: str) -> Iterator[Segment]:
                         fs.append("phone:ext")
                 elif id_cue:
                     fs.append("id_number:cue")
-                elif phone_cue:
+                elif _cue("phone", text, a):
                     fs.append("id_number:phone_cue")
                 elif _OTHER.match(text, 0, a):
                     fs.append("id_number:other")
@@ -535,11 +535,6 @@ def context_features(text: str, seg: Segment) -> tuple[str, ...]:
     return (f"{kind}<{prev[1].casefold() if prev else ''}", f"{kind}>{nxt[1].casefold() if nxt else ''}")
 
 
-def score(seg: Segment, weights: dict[str, float], text: str = "") -> float:
-    s = sum(weights.get(f, 0.0) for f in seg[3])
-    return s + sum(weights.get(f, 0.0) for f in context_features(text, seg)) if text else s
-
-
 def decode(segs: list[Segment], scores: list[float]) -> list[Segment]:
     """Best set of disjoint segments: semi-Markov Viterbi over the boundaries of the lattice. Ties go to the earlier, longer segment."""
     order = sorted((s for s in zip(segs, scores) if s[1] > 0), key=lambda x: (x[0][1], x[0][0]))
@@ -734,12 +729,25 @@ def fit(carriers: list[str], lex: Lexicon, rows: int = FIT_ROWS, epochs: int = 6
     return w
 
 
-def find_personal(text: str | None, lex: Lexicon, weights: dict[str, float]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every mention in a text, in order, in code points. Null and empty texts have none."""
+def context_bound(weights: dict[str, float]) -> float:
+    """The most that the words around a span can add to its score."""
+    own = [(f, w) for f, w in weights.items() if f not in PRIOR]
+    return sum(max((w for f, w in own if side in f), default=0.0) for side in "<>")
+
+
+def find_personal(text: str | None, lex: Lexicon, weights: dict[str, float], bound: float | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of every mention in a text, in order, in code points. Null and empty texts have none. The words around a span
+    are only looked at where they could make it a mention, ``bound`` being :func:`context_bound`."""
     if not text:
         return []
-    segs = candidates(text, lex)
-    return [s[:3] for s in decode(segs, [score(s, weights, text) for s in segs])]
+    bound = max(0.0, context_bound(weights) if bound is None else bound)
+    segs, scores = [], []
+    for s in candidates(text, lex):
+        v = sum(weights.get(f, 0.0) for f in s[3])
+        if v > -bound:
+            segs.append(s)
+            scores.append(v + sum(weights.get(f, 0.0) for f in context_features(text, s)))
+    return [s[:3] for s in decode(segs, scores)]
 
 
 def replace_personal(text: str | None, mentions: list[tuple[int, int, str]]) -> str | None:
@@ -780,7 +788,7 @@ def learned_given(docs: DataFrame, names: tuple[str, ...], min_docs: int = 3, mo
     if not surnames:
         return ()
     known = docs.sparkSession.createDataFrame([(s,) for s in surnames], "surname string")
-    pair = r"(?<![\p{L}@])(?=(\p{Lu}[\p{L}\p{M}'’-]++ (?:\p{Lu}\. ?)?[\p{L}\p{M}'’-]++)(?![\p{L}\p{M}\p{N}'’@_+%-]|\.\p{L}))"
+    pair = r"(?=\p{Lu})(?<![\p{L}@])(?=(\p{Lu}[\p{L}\p{M}'’-]++ (?:\p{Lu}\. ?)?[\p{L}\p{M}'’-]++)(?![\p{L}\p{M}\p{N}'’@_+%-]|\.\p{L}))"
     pairs = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pair), F.lit(1)))).alias("pair"))
     words = pairs.select("doc_id", F.substring_index("pair", " ", 1).alias("word"), F.regexp_extract("pair", r"([^ .]+)$", 1).alias("surname")).join(F.broadcast(known), "surname", "left_semi")
     counted = words.select("doc_id", "word").distinct().groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).orderBy(F.desc("n"), "word").limit(most + 1).collect()
@@ -808,8 +816,9 @@ def personal_mentions(docs: DataFrame, names: tuple[str, ...], weights: dict[str
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, w = _ready(shared.value[0]), shared.value[1]
+        bound = context_bound(w)
         for pdf in batches:
-            found = [find_personal(t, lex, w) for t in pdf["text"]]
+            found = [find_personal(t, lex, w, bound) for t in pdf["text"]]
             if replaced:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pd.Series([replace_personal(t, f) for t, f in zip(pdf["text"], found)], dtype=object), "mentions": [len(f) for f in found]})
             else:
