@@ -1,6 +1,7 @@
 """The query language on a hand-made graph, against answers that follow from the specification."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from structgraph.model import QUADS, RDF_TYPE, VOCAB, XSD
 from structgraph.operators.infer import superclasses
@@ -135,6 +136,18 @@ def test_optional_joins_use_a_key(quads):
     assert plan.count("Join Inner, ((") + plan.count("Join Inner, (") >= 1 and "Union" in plan
 
 
+def test_products_are_made_in_tiles(spark):
+    """A task holds few values of either side, so that a file's columns are dictionaries; every pair is there once."""
+    rows = [("g", f"urn:x{i}", RDF_TYPE, "urn:T", "iri", None, None) for i in range(5000)] + [("g", f"urn:z{i}", P + "mark", f"m{i % 7}", "lit", XSD + "string", None) for i in range(1000)]
+    df = query(spark.createDataFrame(rows, QUADS), f"PREFIX p: <{P}> SELECT ?x ?z {{ ?x a <urn:T> OPTIONAL {{ ?x p:tag ?t }} ?z p:mark ?t }}")
+    tiles = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("x").alias("x"), F.count_distinct("z").alias("z")).collect()
+    assert sum(t.n for t in tiles) == 5000 * 1000 and all(t.n == t.x * t.z and t.x <= 4096 and t.z <= 256 for t in tiles)
+    each = df.groupBy("x").agg(F.count_distinct("z").alias("z"))
+    assert [tuple(r) for r in each.groupBy("z").count().collect()] == [(1000, 5000)]
+    joined = query(spark.createDataFrame(rows, QUADS), f"PREFIX p: <{P}> SELECT ?x ?z {{ ?x a <urn:T> OPTIONAL {{ ?x p:tag ?t }} ?z p:mark ?t FILTER(?x = ?z) }}")
+    assert "CartesianProduct" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 0
+
+
 def test_load(quads, tmp_path):
     (tmp_path / "x.nt").write_text('# c\n<urn:e> <urn:p:name> "E\\"v\\n\\u00e9"@en .\n<urn:e> <urn:p:age> "7"^^<http://www.w3.org/2001/XMLSchema#integer> .\n\n<urn:e> <urn:p:knows> _:b1 .\n<urn:e> <urn:p:name> "plain" . # end\n')
     q = update(quads, f"LOAD <file:{tmp_path}/x.nt> INTO GRAPH <g7>")
